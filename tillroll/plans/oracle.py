@@ -61,6 +61,63 @@ def top_spend(key_sql: str, name: str, n: int | None) -> str:
     return q + f" ORDER BY 2 DESC, 1 ASC NULLS FIRST LIMIT {n}"
 
 
+def _num(x: str, typ: str = "BIGINT") -> str:
+    d = f"try_cast({_nullify(x)} AS DOUBLE)"
+    return f"CASE WHEN isfinite({d}) THEN cast(trunc({d}) AS {typ}) END"
+
+
+def _dbl(x: str) -> str:
+    d = f"try_cast({_nullify(x)} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({d}) THEN {d} END"
+
+
+# strftime layouts equal to tillroll.functions.cleaning.DATE_FORMATS
+_DATE_LAYOUTS = ("%d-%b-%y", "%d-%b-%Y", "%Y-%m-%d", "%Y-%m-%d %H:%M:%S",
+                 "%m/%d/%Y", "%m/%d/%y", "%m/%d/%Y", "%Y/%m/%d")
+
+
+def _date(x: str) -> str:
+    t = _clean(x)
+    tries = ", ".join(f"try_strptime({t}, '{f}')" for f in _DATE_LAYOUTS)
+    return f"cast(coalesce({tries}) AS DATE)"
+
+
+_PULL = ("SELECT hshd_num, basket_num, purchase_date AS date, product_num, department, commodity, "
+         "spend, units, store_r AS store_region, week_num, year AS year, loyalty_flag, age_range, "
+         "marital_status, income_range, homeowner_desc, hshd_composition, hh_size AS hshd_size, "
+         "children FROM star WHERE hshd_num = 10 "
+         "ORDER BY 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST, 4 NULLS FIRST, 5 NULLS FIRST, "
+         "6 NULLS FIRST, 7 NULLS FIRST, 8 NULLS FIRST, 9 NULLS FIRST")
+
+_HH = ("hh AS (SELECT hshd_num, round(sum(spend), 2) AS total_spend, sum(units) AS total_units, "
+       "count(DISTINCT basket_num) AS total_baskets, count(DISTINCT week_num) AS active_weeks, "
+       "max(week_num) AS last_purchase_week FROM star GROUP BY hshd_num)")
+
+_CHURN = ("churn AS (SELECT hshd_num, last_purchase_week, total_spend, total_baskets, "
+          "cast((SELECT max(week_num) FROM star) - last_purchase_week AS INTEGER) "
+          "AS weeks_since_last_purchase FROM hh)")
+
+_BS = ("bs AS (SELECT basket_num, count(*) AS n_lines, count(DISTINCT commodity) AS n_commodity, "
+       "count(DISTINCT department) AS n_department, round(sum(spend), 2) AS basket_spend "
+       "FROM star GROUP BY basket_num)")
+
+_BC = "bc AS (SELECT DISTINCT basket_num, commodity FROM star WHERE commodity IS NOT NULL)"
+
+_PAIRS = ("SELECT a.commodity AS item_1, b.commodity AS item_2, count(*) AS times_bought_together "
+          "FROM bc a JOIN bc b ON a.basket_num = b.basket_num AND a.commodity < b.commodity "
+          "GROUP BY 1, 2")
+
+_CLV = ("clv AS (SELECT hshd_num, total_spend, total_units, total_baskets, active_weeks, "
+        "total_spend * 1.25 AS estimated_future_clv, "
+        "cast(round(total_spend * 100) AS BIGINT) AS cents FROM hh WHERE total_baskets > 0)")
+
+_AVG = ("(((cents - ((cents % total_baskets) + total_baskets) % total_baskets) // total_baskets) + "
+        "CASE WHEN 2 * (((cents % total_baskets) + total_baskets) % total_baskets) > total_baskets "
+        "OR (2 * (((cents % total_baskets) + total_baskets) % total_baskets) = total_baskets AND "
+        "((cents - ((cents % total_baskets) + total_baskets) % total_baskets) // total_baskets) % 2 <> 0) "
+        "THEN 1 ELSE 0 END) / 100.0")
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     v = with_views()
@@ -96,4 +153,70 @@ def build() -> dict[str, str]:
             sub = f"SELECT * FROM ({sub}) r WHERE rank <= {n}"
         parts.append(sub)
     q["dashboard_series"] = v + "\nUNION ALL\n".join(parts)
+
+    pnum, dept, comm, hnum = '" product_num"', '"DEPARTMENT "', '"Commodity"', '" hshd_num "'
+    q["clean_products"] = v + (
+        f"SELECT {_num(pnum)} AS product_num, {_nullify(dept)} AS department, "
+        f"{_nullify(comm)} AS commodity, {_nullify('BRAND_TY')} AS brand_ty, "
+        f"{_nullify('natural_organic_flag')} AS natural_organic_flag FROM products_raw")
+    q["clean_transactions"] = v + (
+        f"SELECT {_num('BASKET_NUM')} AS basket_num, {_num(hnum)} AS hshd_num, "
+        f"{_date('PURCHASE_')} AS purchase_date, {_num('PRODUCT_NUM')} AS product_num, "
+        f"{_dbl('spend')} AS spend, {_dbl('UNITS')} AS units, {_nullify('STORE_R')} AS store_r, "
+        f"{_num('WEEK_NUM', 'INTEGER')} AS week_num, {_num('YEAR', 'INTEGER')} AS year "
+        "FROM transactions_raw")
+    q["star_join"] = v + "SELECT * FROM star"
+    q["data_pull"] = v + _PULL + " LIMIT 100"
+    q["data_pull_top20"] = v + _PULL + " LIMIT 20"
+    q["data_pull_sorted"] = v + f"SELECT * FROM ({_PULL} LIMIT 20) p ORDER BY date DESC NULLS LAST"
+
+    vh = with_views(_HH)
+    q["household_summary"] = vh + (
+        "SELECT hshd_num, total_spend, total_units, total_baskets, active_weeks FROM hh "
+        "WHERE total_baskets > 0")
+    q["basket_summary"] = with_views(_BS) + "SELECT * FROM bs"
+    vc = with_views(_HH, _CHURN)
+    risk = "CASE WHEN weeks_since_last_purchase >= 8 THEN 'High Risk' ELSE 'Low Risk' END"
+    q["churn_recency"] = vc + f"SELECT *, {risk} AS churn_risk FROM churn"
+    q["churn_counts"] = vc + (
+        f"SELECT count(*) FILTER (WHERE {risk} = 'High Risk') AS high_risk_count, "
+        f"count(*) FILTER (WHERE {risk} = 'Low Risk') AS low_risk_count FROM churn")
+    q["churn_top"] = vc + (
+        f"SELECT *, {risk} AS churn_risk FROM churn "
+        "ORDER BY weeks_since_last_purchase DESC NULLS LAST, hshd_num LIMIT 10")
+
+    vb = with_views(_BC)
+    q["basket_items"] = v + (
+        "SELECT basket_num, count(DISTINCT commodity) AS n_items, "
+        "array_to_string(list_sort(list(DISTINCT commodity)), '; ') AS items "
+        "FROM star WHERE commodity IS NOT NULL GROUP BY basket_num")
+    q["pair_counts"] = vb + _PAIRS
+    q["basket_pairs"] = vb + _PAIRS + " ORDER BY 3 DESC, 1, 2 LIMIT 10"
+    q["association_rules"] = with_views(
+        _BC,
+        "tot AS (SELECT count(DISTINCT basket_num) AS total FROM bc)",
+        "item AS (SELECT commodity, count(*) AS n_item FROM bc GROUP BY 1)",
+        "pair AS (SELECT a.commodity AS x, b.commodity AS y, count(*) AS n FROM bc a JOIN bc b "
+        "ON a.basket_num = b.basket_num AND a.commodity <> b.commodity GROUP BY 1, 2)",
+    ) + (
+        "SELECT x AS antecedent, y AS consequent, n AS n_together, "
+        "round(cast(n AS DOUBLE) / total, 6) AS support, "
+        "round(cast(n AS DOUBLE) / ix.n_item, 6) AS confidence, "
+        "round(cast(n AS DOUBLE) * total / (cast(ix.n_item AS DOUBLE) * iy.n_item), 6) AS lift "
+        "FROM pair JOIN item ix ON ix.commodity = x JOIN item iy ON iy.commodity = y CROSS JOIN tot")
+
+    vbs = with_views(_BS)
+    q["basket_value_median"] = vbs + "SELECT round(median(basket_spend), 4) AS median_basket_spend FROM bs"
+    q["basket_value_label"] = vbs + (
+        "SELECT *, cast(basket_spend >= (SELECT median(basket_spend) FROM bs) AS INTEGER) "
+        "AS high_value_basket FROM bs")
+
+    vclv = with_views(_HH, _CLV)
+    q["clv_features"] = vclv + (
+        "SELECT hshd_num, total_spend, total_units, total_baskets, active_weeks, "
+        f"cast({_AVG} AS DOUBLE) AS avg_basket_value, estimated_future_clv FROM clv")
+    q["clv_predict"] = vclv + "SELECT hshd_num, total_spend, estimated_future_clv, true AS clv_ok FROM clv"
+    q["clv_top"] = vclv + (
+        "SELECT hshd_num, total_spend, estimated_future_clv, true AS clv_ok FROM clv "
+        "ORDER BY estimated_future_clv DESC, hshd_num LIMIT 10")
     return q

@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.operators import cleaning, kpi
+from tillroll.ml import basket_value, churn_model, clv
+from tillroll.operators import basket, churn, cleaning, kpi, pull, summaries
 from tillroll.operators.star import star
 from tillroll.sources import fixture
+from tillroll.sources.fixture import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +26,37 @@ def _on_star(fn) -> Query:
     return run
 
 
+def _on_tables(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(fixture.load(spark, sf_dir))
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
+def _on_coded(fn) -> Query:
+    """Star whose products carry the dense commodity code, plus the codes."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = fixture.load(spark, sf_dir)
+        coded = basket.code_commodities(t.products)
+        s = star(RetailTables(t.households, coded, t.transactions))
+        return fn(s, basket.commodity_codes(coded))
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
+    # ingest / cleaning
     q["clean_households"] = lambda s, d: cleaning.clean_households(fixture.households_raw(s, d))
+    q["clean_products"] = lambda s, d: cleaning.clean_products(fixture.products_raw(s, d))
+    q["clean_transactions"] = lambda s, d: cleaning.clean_transactions(fixture.transactions_raw(s, d))
+    q["star_join"] = _on_tables(star)
+    # household pull
+    q["data_pull"] = _on_tables(lambda t: pull.data_pull(t, 10, 100))
+    q["data_pull_top20"] = _on_tables(lambda t: pull.data_pull(t, 10, 20))
+    q["data_pull_sorted"] = _on_tables(
+        lambda t: pull.data_pull_sorted(t, 10, 20, sort_by="date", ascending=False))
+    # dashboard
     q["kpi_totals"] = _on_star(kpi.kpi_totals)
     q["spend_by_department"] = _on_star(kpi.spend_by_department)
     q["spend_by_week"] = _on_star(kpi.spend_by_week)
@@ -37,4 +67,28 @@ def build() -> dict[str, Query]:
     q["spend_by_hh_size"] = _on_star(kpi.spend_by_hh_size)
     q["spend_by_store_region"] = _on_star(kpi.spend_by_store_region)
     q["dashboard_series"] = _on_star(kpi.dashboard_series)
+    # summaries and churn
+    q["household_summary"] = _on_star(summaries.household_summary)
+    q["basket_summary"] = _on_star(summaries.basket_summary)
+    q["churn_recency"] = _on_star(churn.churn_recency)
+    q["churn_counts"] = _on_star(churn.churn_counts)
+    q["churn_top"] = _on_star(churn.churn_top)
+    # market baskets
+    q["basket_items"] = _on_coded(basket.basket_items)
+    q["pair_counts"] = _on_coded(basket.pair_counts)
+    q["basket_pairs"] = _on_coded(lambda s, c: basket.top_pairs(basket.pair_counts(s, c), 10))
+    q["association_rules"] = _on_coded(basket.association_rules)
+    # basket value
+    q["basket_value_median"] = _on_star(basket_value.basket_value_median)
+    q["basket_value_label"] = _on_star(basket_value.basket_value_label)
+    q["basket_value_gbt"] = _on_star(basket_value.basket_value_gbt)
+    # lifetime value
+    q["clv_features"] = _on_star(clv.clv_features)
+    q["clv_predict"] = _on_star(
+        lambda s: clv.clv_predict(s).select("hshd_num", "total_spend", "estimated_future_clv", "clv_ok"))
+    q["clv_top"] = _on_star(
+        lambda s: clv.clv_top(s).select("hshd_num", "total_spend", "estimated_future_clv", "clv_ok"))
+    q["clv_rf"] = _on_star(clv.clv_rf)
+    q["clv_holdout"] = _on_star(clv.clv_holdout)
+    q["churn_model"] = _on_star(churn_model.churn_model)
     return q
