@@ -36,18 +36,20 @@ MISSING_TOKENS = (
     "null",
 )
 
-# Date layouts accepted for the purchase date, tried in order.
-# ``dd-MMM-yy`` also takes upper-case month names (13-JAN-18).
-DATE_FORMATS = (
-    "dd-MMM-yy",
-    "dd-MMM-yyyy",
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "MM/dd/yyyy",
-    "MM/dd/yy",
-    "M/d/yyyy",
-    "yyyy/MM/dd",
+# Date layouts accepted for the purchase date, tried in order,
+# each with the text shape it applies to. ``dd-MMM-yy`` also takes upper-case
+# month names (13-JAN-18).
+DATE_LAYOUTS = (
+    ("dd-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
+    ("dd-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("MM/dd/yy", r"^\d{2}/\d{2}/\d{2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
 )
+DATE_FORMATS = tuple(f for f, _ in DATE_LAYOUTS)
 
 _EDGE_SPACE = r"^\s+|\s+$"
 
@@ -91,18 +93,18 @@ def to_number(c: Column, target: str = "double") -> Column:
     return d if target == "double" else F.when(F.abs(d) < F.lit(9.2e18), d.cast(target))
 
 
-def parse_date(c: Column, formats=DATE_FORMATS) -> Column:
+def parse_date(c: Column, layouts=DATE_LAYOUTS) -> Column:
     """Text -> date; the first layout that parses wins, unparseable -> NULL.
 
-    Two-digit years follow the common pivot: 69-99 -> 1969-1999,
-    00-68 -> 2000-2068.
+    A layout is only tried on text of its shape (a regex test is far cheaper
+    than a failed parse). Two-digit years follow the common pivot:
+    69-99 -> 1969-1999, 00-68 -> 2000-2068.
     """
     text = py_strip(missing_to_null(c))
     tries = []
-    for f in formats:
+    for f, shape in layouts:
         ts = F.try_to_timestamp(text, F.lit(f))
         if "yyyy" not in f:
             ts = F.when(F.year(ts) >= 2069, F.add_months(ts, -1200)).otherwise(ts.cast("date"))
-        tries.append(ts.cast("date"))
+        tries.append(F.when(text.rlike(shape), ts.cast("date")))
     return reduce(lambda a, b: F.coalesce(a, b), tries)
-

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.operators.summaries import basket_summary
+from tillroll.session import materialize
 
 # Model inputs with their report labels, and the model size.
 FEATURES = (
@@ -43,7 +44,9 @@ def exact_median(df: DataFrame, col: str) -> Column:
 
 
 def basket_value_label(star: DataFrame) -> DataFrame:
-    bs = basket_summary(star)
+    """Basket summary + high-value label; the summary is materialised once
+    and read by both the median subquery and the labelling pass."""
+    bs = materialize(basket_summary(star))
     med = exact_median(bs, "basket_spend")
     return bs.select(
         "basket_num", "n_lines", "n_commodity", "n_department", "basket_spend",

@@ -5,7 +5,8 @@ units, baskets, active weeks and average basket value (half-even cents).
 The fit uses Spark's normal-equation solver: one distributed pass builds the
 (small) Gram matrix, the solve is local. Because the target is an exact
 multiple of one feature, a correct fit predicts 1.25 × spend; ``clv_ok``
-reports that per household.
+reports that per household. The feature table (one row per household) is
+materialised once; the rank check, the fit and the scoring all read it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.rounding import half_even_ratio
 from tillroll.operators.summaries import household_summary
+from tillroll.session import materialize
 
 # Feature columns and the target multiplier.
 FEATURES = ("total_spend", "total_units", "total_baskets", "active_weeks", "avg_basket_value")
@@ -55,7 +57,7 @@ def clv_fit(feats: DataFrame, cols=None):
 
 
 def clv_predict(star: DataFrame) -> DataFrame:
-    feats = clv_features(star)
+    feats = materialize(clv_features(star))
     model, cols = clv_fit(feats)
     pred = model.transform(_assemble(feats, cols))
     return pred.select(
@@ -73,7 +75,7 @@ def clv_top(star: DataFrame, n: int = 10) -> DataFrame:
 
 def clv_rf(star: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int = 42) -> DataFrame:
     """Extension: random-forest CLV predictions per household."""
-    feats = clv_features(star)
+    feats = materialize(clv_features(star))
     data = _assemble(feats, FEATURES)
     model = RandomForestRegressor(featuresCol="features", labelCol="estimated_future_clv",
                                   numTrees=num_trees, maxDepth=max_depth, seed=seed).fit(data)
@@ -83,7 +85,7 @@ def clv_rf(star: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int =
 
 def clv_holdout(star: DataFrame, test_buckets: int = 5) -> DataFrame:
     """Extension: fit on 4/5 of households (stable hash split), score the rest."""
-    feats = clv_features(star)
+    feats = materialize(clv_features(star))
     bucket = F.pmod(F.xxhash64("hshd_num"), F.lit(test_buckets))
     train = feats.where(bucket != 0)
     test = feats.where(bucket == 0)

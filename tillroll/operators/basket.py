@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import materialize
+
 WORD_BITS = 64
 
 
@@ -100,9 +102,10 @@ def association_rules(coded_star: DataFrame, codes: DataFrame,
 
     support = n(a,b)/N, confidence = n(a,b)/n(a), lift = n(a,b)·N/(n(a)·n(b)),
     N = baskets with at least one commodity. Item supports are the diagonal
-    of the same co-occurrence matrix; N is a scalar subquery.
+    of the same co-occurrence matrix; N is a scalar subquery. The itemsets
+    (one row per basket) are materialised once for both.
     """
-    itemsets = basket_itemsets(coded_star)
+    itemsets = materialize(basket_itemsets(coded_star))
     m = cooccurrence(itemsets)
     total = itemsets.agg(F.count(F.lit(1))).scalar()
     diag = m.where(F.col("a") == F.col("b")).select(F.col("a").alias("cid"), F.col("n").alias("n_item"))

@@ -2,8 +2,10 @@
 
 weeks_since_last_purchase = (latest week in the data) - (household's last
 week); 'High Risk' when it is 8 or more, else 'Low Risk' (also when
-unknown). The latest week is a scalar subquery over the household rollup:
-Spark runs it as its own one-row job and inlines the value, no join.
+unknown). The household rollup is materialised once (one row per
+household); the latest week is a scalar subquery over it, which Spark runs
+as its own one-row job and inlines, so there is no join and no second pass
+over the lines.
 """
 
 from __future__ import annotations
@@ -12,20 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.summaries import household_rollup
+from tillroll.session import materialize
 
 # Fixed value: weeks without a purchase from which a household is at risk.
 HIGH_RISK_WEEKS = 8
 
 
-def churn_recency(star: DataFrame, threshold: int = HIGH_RISK_WEEKS) -> DataFrame:
-    rollup = household_rollup(star)
+def churn_recency(star: DataFrame, threshold: int = HIGH_RISK_WEEKS,
+                  rollup: DataFrame | None = None) -> DataFrame:
+    rollup = rollup if rollup is not None else materialize(household_rollup(star))
     latest = rollup.agg(F.max("last_purchase_week")).scalar()
-    gap = (latest - F.col("last_purchase_week")).cast("int")
+    gap = F.col("weeks_since_last_purchase")
     return rollup.select(
         "hshd_num", "last_purchase_week", "total_spend", "total_baskets",
-        gap.alias("weeks_since_last_purchase"),
-        F.when(gap >= threshold, F.lit("High Risk")).otherwise(F.lit("Low Risk")).alias("churn_risk"),
-    )
+        (latest - F.col("last_purchase_week")).cast("int").alias("weeks_since_last_purchase"),
+    ).withColumn(
+        "churn_risk", F.when(gap >= threshold, F.lit("High Risk")).otherwise(F.lit("Low Risk")))
 
 
 def churn_counts(star: DataFrame, threshold: int = HIGH_RISK_WEEKS) -> DataFrame:

@@ -61,3 +61,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A per-job folder under the shared checkpoint directory."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used for small intermediate aggregates (one row per household or
+    basket) that several actions or a scalar subquery read: they are
+    computed once instead of re-running the star join, and the lineage is
+    cut so a lost executor only costs re-reading files.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
