@@ -31,14 +31,25 @@ def _sum_spend() -> Column:
     return money(F.sum(F.col("spend").cast("double")))
 
 
-def kpi_totals(star: DataFrame) -> DataFrame:
-    """One row: total spend (0 when empty), distinct baskets, has-data flag."""
+def kpi_totals(star: DataFrame, approx_baskets: bool = False) -> DataFrame:
+    """One row: total spend (0 when empty), distinct baskets, has-data flag,
+    and the spend as display text ('3,159,237,275.87').
+
+    ``approx_baskets`` swaps the exact distinct count (a shuffle of the
+    distinct basket keys) for a HyperLogLog++ sketch merged from per-task
+    partial sketches (~1% relative error, no key shuffle).
+    """
+    baskets = (F.approx_count_distinct("basket_num", 0.01) if approx_baskets
+               else F.count_distinct("basket_num"))
     agg = star.agg(
         F.coalesce(_sum_spend(), F.lit(0.0)).alias("total_spend"),
-        F.count_distinct("basket_num").alias("total_transactions"),
+        baskets.alias("total_transactions"),
+    )
+    return agg.select(
+        "total_spend", "total_transactions",
+        ((F.col("total_transactions") > 0) | (F.col("total_spend") > 0)).alias("has_data"),
+        F.format_number("total_spend", 2).alias("total_spend_text"),
     )
-    return agg.withColumn(
-        "has_data", (F.col("total_transactions") > 0) | (F.col("total_spend") > 0))
 
 
 def spend_by(star: DataFrame, key: Column, name: str, n: int | None) -> DataFrame:

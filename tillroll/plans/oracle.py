@@ -125,7 +125,8 @@ def build() -> dict[str, str]:
     q["kpi_totals"] = v + (
         "SELECT coalesce(round(sum(spend), 2), 0.0) AS total_spend, "
         "count(DISTINCT basket_num) AS total_transactions, "
-        "(count(DISTINCT basket_num) > 0 OR coalesce(round(sum(spend), 2), 0.0) > 0) AS has_data "
+        "(count(DISTINCT basket_num) > 0 OR coalesce(round(sum(spend), 2), 0.0) > 0) AS has_data, "
+        "format('{:,.2f}', coalesce(round(sum(spend), 2), 0.0)) AS total_spend_text "
         "FROM star")
     q["spend_by_department"] = v + top_spend("department", "department", 5)
     q["spend_by_week"] = v + top_spend("week_num", "week_num", None)
