@@ -26,26 +26,37 @@ def normalise_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().upper() for c in df.columns])
 
 
-def _need(df: DataFrame, cols) -> None:
-    missing = [c for c in cols if c not in df.columns]
+def _columns(raw: DataFrame, needed, renames=None) -> dict[str, Column]:
+    """Raw columns keyed by their normalised header (strip + upper + rename).
+
+    Resolving names once in Python keeps the cleaning a single projection
+    over the raw scan (no intermediate rename steps to analyse).
+    """
+    renames = renames or {}
+    cols = {}
+    for c in raw.columns:
+        key = c.strip().upper()
+        cols[renames.get(key, key)] = F.col("`" + c.replace("`", "``") + "`")
+    missing = [c for c in needed if c not in cols]
     if missing:
-        raise ValueError(f"raw extract lacks columns {missing}; has {df.columns}")
+        raise ValueError(f"raw extract lacks columns {missing}; has {raw.columns}")
+    return cols
 
 
 def clean_households(raw: DataFrame) -> DataFrame:
-    df = normalise_header(raw).withColumnsRenamed({"L": "LOYALTY_FLAG"})
-    _need(df, ["HSHD_NUM", "LOYALTY_FLAG", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
-               "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN"])
-    out = df.select(
-        coerce_key(F.col("HSHD_NUM")).alias("hshd_num"),
-        clean_text(F.col("LOYALTY_FLAG")).alias("loyalty_flag"),
-        clean_text(F.col("AGE_RANGE")).alias("age_range"),
-        clean_text(F.col("MARITAL")).alias("marital_status"),
-        clean_text(F.col("INCOME_RANGE")).alias("income_range"),
-        clean_text(F.col("HOMEOWNER")).alias("homeowner_desc"),
-        clean_text(F.col("HSHD_COMPOSITION")).alias("hshd_composition"),
-        clean_text(F.col("HH_SIZE")).alias("hh_size"),
-        clean_text(F.col("CHILDREN")).alias("children"),
+    c = _columns(raw, ["HSHD_NUM", "LOYALTY_FLAG", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
+                       "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN"],
+                 {"L": "LOYALTY_FLAG"})
+    out = raw.select(
+        coerce_key(c["HSHD_NUM"]).alias("hshd_num"),
+        clean_text(c["LOYALTY_FLAG"]).alias("loyalty_flag"),
+        clean_text(c["AGE_RANGE"]).alias("age_range"),
+        clean_text(c["MARITAL"]).alias("marital_status"),
+        clean_text(c["INCOME_RANGE"]).alias("income_range"),
+        clean_text(c["HOMEOWNER"]).alias("homeowner_desc"),
+        clean_text(c["HSHD_COMPOSITION"]).alias("hshd_composition"),
+        clean_text(c["HH_SIZE"]).alias("hh_size"),
+        clean_text(c["CHILDREN"]).alias("children"),
     )
     return out.filter(F.col("hshd_num").isNotNull())
 
@@ -59,29 +70,29 @@ def _int(c: Column) -> Column:
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
-    df = normalise_header(raw)
-    _need(df, ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY", "BRAND_TY", "NATURAL_ORGANIC_FLAG"])
-    return df.select(
-        _long(F.col("PRODUCT_NUM")).alias("product_num"),
-        missing_to_null(F.col("DEPARTMENT")).alias("department"),
-        missing_to_null(F.col("COMMODITY")).alias("commodity"),
-        missing_to_null(F.col("BRAND_TY")).alias("brand_ty"),
-        missing_to_null(F.col("NATURAL_ORGANIC_FLAG")).alias("natural_organic_flag"),
+    c = _columns(raw, ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY", "BRAND_TY",
+                       "NATURAL_ORGANIC_FLAG"])
+    return raw.select(
+        _long(c["PRODUCT_NUM"]).alias("product_num"),
+        missing_to_null(c["DEPARTMENT"]).alias("department"),
+        missing_to_null(c["COMMODITY"]).alias("commodity"),
+        missing_to_null(c["BRAND_TY"]).alias("brand_ty"),
+        missing_to_null(c["NATURAL_ORGANIC_FLAG"]).alias("natural_organic_flag"),
     )
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
-    df = normalise_header(raw).withColumnsRenamed({"PURCHASE_": "PURCHASE_DATE"})
-    _need(df, ["BASKET_NUM", "HSHD_NUM", "PURCHASE_DATE", "PRODUCT_NUM", "SPEND",
-               "UNITS", "STORE_R", "WEEK_NUM", "YEAR"])
-    return df.select(
-        _long(F.col("BASKET_NUM")).alias("basket_num"),
-        _long(F.col("HSHD_NUM")).alias("hshd_num"),
-        parse_date(F.col("PURCHASE_DATE")).alias("purchase_date"),
-        _long(F.col("PRODUCT_NUM")).alias("product_num"),
-        to_number(missing_to_null(F.col("SPEND"))).alias("spend"),
-        to_number(missing_to_null(F.col("UNITS"))).alias("units"),
-        missing_to_null(F.col("STORE_R")).alias("store_r"),
-        _int(F.col("WEEK_NUM")).alias("week_num"),
-        _int(F.col("YEAR")).alias("year"),
+    c = _columns(raw, ["BASKET_NUM", "HSHD_NUM", "PURCHASE_DATE", "PRODUCT_NUM", "SPEND",
+                       "UNITS", "STORE_R", "WEEK_NUM", "YEAR"],
+                 {"PURCHASE_": "PURCHASE_DATE"})
+    return raw.select(
+        _long(c["BASKET_NUM"]).alias("basket_num"),
+        _long(c["HSHD_NUM"]).alias("hshd_num"),
+        parse_date(c["PURCHASE_DATE"]).alias("purchase_date"),
+        _long(c["PRODUCT_NUM"]).alias("product_num"),
+        to_number(missing_to_null(c["SPEND"])).alias("spend"),
+        to_number(missing_to_null(c["UNITS"])).alias("units"),
+        missing_to_null(c["STORE_R"]).alias("store_r"),
+        _int(c["WEEK_NUM"]).alias("week_num"),
+        _int(c["YEAR"]).alias("year"),
     )
