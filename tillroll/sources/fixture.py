@@ -167,9 +167,17 @@ def _line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     sort-merge on the key beyond that; AQE re-plans from runtime sizes).
     nation (25 rows) and region (5 rows) are fixed-size in the TPC-H
     specification, so their pre-joined lookup is broadcast at any scale.
+
+    Lines are hash-partitioned on the order key up front: at scale this *is*
+    the exchange the sort-merge join with orders needs (the planner reuses
+    it), the basket key (= order key) keeps that partitioning through
+    broadcast joins so per-basket aggregates need no second shuffle, and an
+    input stored as a few large row groups is still spread over all cores.
     """
-    li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = (_read(spark, sf_dir, "lineitem")
+          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                  "l_extendedprice")
+          .repartition("l_orderkey"))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
