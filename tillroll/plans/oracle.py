@@ -168,6 +168,7 @@ def build() -> dict[str, str]:
         "FROM transactions_raw")
     q["star_join"] = v + "SELECT * FROM star"
     q["data_pull"] = v + _PULL + " LIMIT 100"
+    q["data_pull_sql"] = v + _PULL + " LIMIT 100"
     q["data_pull_top20"] = v + _PULL + " LIMIT 20"
     q["data_pull_sorted"] = v + f"SELECT * FROM ({_PULL} LIMIT 20) p ORDER BY date DESC NULLS LAST"
 

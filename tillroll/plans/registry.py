@@ -53,6 +53,7 @@ def build() -> dict[str, Query]:
     q["star_join"] = _on_tables(star)
     # household pull
     q["data_pull"] = _on_tables(lambda t: pull.data_pull(t, 10, 100))
+    q["data_pull_sql"] = _on_tables(lambda t: pull.data_pull_sql(t, 10, 100))
     q["data_pull_top20"] = _on_tables(lambda t: pull.data_pull(t, 10, 20))
     q["data_pull_sorted"] = _on_tables(
         lambda t: pull.data_pull_sorted(t, 10, 20, sort_by="date", ascending=False))
