@@ -75,3 +75,17 @@ def test_stream_ingest_equals_batch_and_is_exactly_once(spark, scratch):
     q3 = ingest_stream(spark, land, out, checkpoint=ckpt)
     q3.awaitTermination(120)
     assert spark.read.parquet(out).count() == 6
+
+
+def test_default_stream_checkpoint_is_stable(spark, scratch):
+    from tillroll.session import scratch_path
+    assert scratch_path(spark, "ingest_stream/x") == scratch_path(spark, "ingest_stream/x")
+    land = os.path.join(scratch, "in")
+    os.makedirs(land)
+    header, *lines = [ln for ln in TRANSACTIONS.split("\n") if ln]
+    with open(os.path.join(land, "a.csv"), "w") as f:
+        f.write("\n".join([header, *lines]) + "\n")
+    out = os.path.join(scratch, "out")
+    ingest_stream(spark, land, out).awaitTermination(120)
+    ingest_stream(spark, land, out).awaitTermination(120)  # same default checkpoint: no rerun
+    assert spark.read.parquet(out).count() == 5

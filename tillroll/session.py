@@ -44,23 +44,32 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we pick a
-    scratch folder and register it, so lineage cuts always land in a
-    place every executor can reach.
+    Order: the directory the SparkContext already uses, else the session's
+    ``spark.checkpoint.dir`` setting. Only when neither is set (local tests)
+    do we pick a scratch folder, so lineage cuts always land where every
+    executor can read them.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A per-job folder under the shared checkpoint directory."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A stable per-job folder under the configured shared checkpoint base.
+
+    Uses the ``spark.checkpoint.dir`` setting itself (not the per-application
+    subfolder Spark creates under it), so a restarted job - e.g. a stream
+    resuming from its checkpoint - finds the same folder again.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    return base.rstrip("/") + "/" + name
 
 
 def materialize(df):

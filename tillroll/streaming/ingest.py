@@ -11,6 +11,8 @@ replacing the whole data set is ``warehouse.refresh``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +29,8 @@ def ingest_stream(spark: SparkSession, landing: str, out: str,
     """Start the ingest query; ``available_now`` processes what is there and stops."""
     raw = stream_extract(spark, landing, columns)
     clean = clean_transactions(raw)
-    ckpt = checkpoint or scratch_path(spark, "ingest_stream")
+    ckpt = checkpoint or scratch_path(
+        spark, "ingest_stream/" + hashlib.sha1(out.encode()).hexdigest()[:16])
     writer = (clean.writeStream.format("parquet")
               .option("path", out)
               .option("checkpointLocation", ckpt)
