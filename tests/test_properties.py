@@ -4,6 +4,7 @@ import itertools
 from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,3 +75,20 @@ def test_pairs_beyond_one_word(spark):
         for a, b in itertools.combinations(sorted(f"c{p:03d}" for p in ps), 2):
             want[(a, b)] += 1
     assert got == dict(want)
+
+
+def test_exact_median_small_and_bucketed(spark):
+    import random
+    import statistics
+
+    from tillroll.operators.median import exact_median
+    random.seed(7)
+    for n in (1, 2, 5, 1000, 1001):
+        vals = [round(random.uniform(0, 500), 2) for _ in range(n)]
+        vals += [42.0] * (n // 3)  # a value holding a third of the rows
+        df = spark.createDataFrame([(v,) for v in vals], "x double")
+        want = statistics.median(vals)
+        assert exact_median(df, "x") == pytest.approx(want, rel=1e-12)
+        # forced bucketed path
+        assert exact_median(df, "x", bucket_rows=7) == pytest.approx(want, rel=1e-12)
+    assert exact_median(spark.createDataFrame([], "x double"), "x") is None

@@ -1,9 +1,8 @@
 """High-value basket label and the boosted-tree drivers of basket value.
 
 Label: a basket is high-value when its spend is at or above the exact
-median basket spend. The median is computed from the value counts (a
-partial aggregate), so one task only ever sees distinct spend values with
-their frequencies, never the baskets themselves.
+median basket spend (``operators.median``: distributed selection over value
+counts, bounded work per task).
 
 Model: gradient-boosted trees on (lines, distinct commodities, distinct
 departments). The three features are small integers, so baskets are first
@@ -15,10 +14,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.operators.median import exact_median
 from tillroll.operators.summaries import basket_summary
 from tillroll.session import materialize
 
@@ -41,27 +41,24 @@ IMPORTANCE_SCHEMA = T.StructType([
 ])
 
 
-def exact_median(df: DataFrame, col: str) -> Column:
-    """Exact (interpolated) median of ``col`` as a scalar-subquery Column."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_f"))
-    return counts.agg(F.percentile(col, 0.5, F.col("_f"))).scalar()
-
-
 def basket_value_label(star: DataFrame) -> DataFrame:
     """Basket summary + high-value label; the summary is materialised once
     and read by both the median subquery and the labelling pass."""
     bs = materialize(basket_summary(star))
     med = exact_median(bs, "basket_spend")
+    label = (F.col("basket_spend") >= F.lit(med)) if med is not None else F.lit(None)
     return bs.select(
         "basket_num", "n_lines", "n_commodity", "n_department", "basket_spend",
-        (F.col("basket_spend") >= med).cast("int").alias("high_value_basket"),
+        label.cast("int").alias("high_value_basket"),
     )
 
 
 def basket_value_median(star: DataFrame) -> DataFrame:
-    bs = basket_summary(star)
-    return bs.agg(F.percentile("basket_spend", 0.5).alias("median_basket_spend")).select(
-        F.round("median_basket_spend", 4).alias("median_basket_spend"))
+    """One row: the exact median basket spend (4 decimals)."""
+    bs = materialize(basket_summary(star))
+    med = exact_median(bs, "basket_spend")
+    return bs.sparkSession.range(1).select(
+        F.round(F.lit(med).cast("double"), 4).alias("median_basket_spend"))
 
 
 def sample_baskets(labelled: DataFrame, n: int, seed: int = 42) -> DataFrame:
