@@ -168,23 +168,23 @@ def _line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation (25 rows) and region (5 rows) are fixed-size in the TPC-H
     specification, so their pre-joined lookup is broadcast at any scale.
 
-    Lines are hash-partitioned on the order key up front: at scale this *is*
-    the exchange the sort-merge join with orders needs (the planner reuses
-    it), the basket key (= order key) keeps that partitioning through
-    broadcast joins so per-basket aggregates need no second shuffle, and an
-    input stored as a few large row groups is still spread over all cores.
+    Lines join orders as a sort-merge join on the order key (the hint only
+    fixes what the planner picks anyway once orders outgrows a broadcast).
+    Its exchanges are the planner's own, so AQE can split a basket holding a
+    third of all lines; the basket key (= order key) keeps the join's hash
+    partitioning through the broadcast dimension joins, so per-basket
+    aggregates need no second shuffle; and an input stored as a few large
+    row groups is still spread over all cores.
     """
-    li = (_read(spark, sf_dir, "lineitem")
-          .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                  "l_extendedprice")
-          .repartition("l_orderkey"))
+    li = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    return (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return (li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
               .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey")))
 
