@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.session import materialize
+
 FEATURES = ("spend", "units", "baskets", "weeks", "recency")
 
 
@@ -36,7 +38,12 @@ def churn_training_frame(star: DataFrame, horizon: int = 8) -> DataFrame:
 
 
 def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:
-    data = churn_training_frame(star, horizon)
+    """Per household: the churn label and the fitted churn probability.
+
+    The training frame (one row per household) is materialised once; the
+    scaler fit, the optimiser's passes and the scoring all read it.
+    """
+    data = materialize(churn_training_frame(star, horizon))
     vec = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(data)
     scaled = StandardScaler(inputCol="raw", outputCol="features").fit(vec).transform(vec)
     model = LogisticRegression(featuresCol="features", labelCol="churned",
