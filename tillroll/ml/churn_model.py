@@ -24,7 +24,7 @@ def churn_training_frame(star: DataFrame, horizon: int = 8) -> DataFrame:
     cutoff = latest - F.lit(horizon)
     before = star.where(F.col("week_num") <= cutoff)
     feats = before.groupBy("hshd_num").agg(
-        F.sum("spend").alias("spend"),
+        F.round(F.sum("spend"), 2).alias("spend"),
         F.sum("units").alias("units"),
         F.count_distinct("basket_num").cast("double").alias("baskets"),
         F.count_distinct("week_num").cast("double").alias("weeks"),

@@ -213,6 +213,21 @@ def build() -> dict[str, str]:
         "SELECT *, cast(basket_spend >= (SELECT median(basket_spend) FROM bs) AS INTEGER) "
         "AS high_value_basket FROM bs")
 
+    q["basket_value_training"] = vbs + (
+        "SELECT n_lines, n_commodity, n_department, "
+        "cast(basket_spend >= (SELECT median(basket_spend) FROM bs) AS INTEGER) AS high_value_basket, "
+        "cast(count(*) AS DOUBLE) AS weight FROM bs GROUP BY 1, 2, 3, 4")
+    q["churn_features"] = with_views(
+        "cut AS (SELECT max(week_num) - 8 AS cutoff FROM star)",
+        "pre AS (SELECT hshd_num, round(sum(spend), 2) AS spend, sum(units) AS units, "
+        "cast(count(DISTINCT basket_num) AS DOUBLE) AS baskets, "
+        "cast(count(DISTINCT week_num) AS DOUBLE) AS weeks, "
+        "cast((SELECT cutoff FROM cut) - max(week_num) AS DOUBLE) AS recency "
+        "FROM star WHERE week_num <= (SELECT cutoff FROM cut) GROUP BY hshd_num)",
+        "post AS (SELECT DISTINCT hshd_num FROM star WHERE week_num > (SELECT cutoff FROM cut))",
+    ) + ("SELECT pre.*, cast(CASE WHEN post.hshd_num IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS churned "
+         "FROM pre LEFT JOIN post ON pre.hshd_num = post.hshd_num")
+
     vclv = with_views(_HH, _CLV)
     q["clv_features"] = vclv + (
         "SELECT hshd_num, total_spend, total_units, total_baskets, active_weeks, "

@@ -82,6 +82,8 @@ def build() -> dict[str, Query]:
     # basket value
     q["basket_value_median"] = _on_star(basket_value.basket_value_median)
     q["basket_value_label"] = _on_star(basket_value.basket_value_label)
+    q["basket_value_training"] = _on_star(
+        lambda s: basket_value.training_frame(basket_value.basket_value_label(s)))
     q["basket_value_gbt"] = _on_star(basket_value.basket_value_gbt)
     # lifetime value
     q["clv_features"] = _on_star(clv.clv_features)
@@ -91,5 +93,6 @@ def build() -> dict[str, Query]:
         lambda s: clv.clv_top(s).select("hshd_num", "total_spend", "estimated_future_clv", "clv_ok"))
     q["clv_rf"] = _on_star(clv.clv_rf)
     q["clv_holdout"] = _on_star(clv.clv_holdout)
+    q["churn_features"] = _on_star(churn_model.churn_training_frame)
     q["churn_model"] = _on_star(churn_model.churn_model)
     return q
