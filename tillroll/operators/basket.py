@@ -113,10 +113,12 @@ def association_rules(coded_star: DataFrame, codes: DataFrame,
     support = n(a,b)/N, confidence = n(a,b)/n(a), lift = n(a,b)·N/(n(a)·n(b)),
     N = baskets with at least one commodity. Item supports are the diagonal
     of the same co-occurrence matrix; N is a scalar subquery. The itemsets
-    (one row per basket) are materialised once for both.
+    (one row per basket) and the matrix (at most C·(C+1)/2 cells, bounded by
+    the commodity dimension) are each materialised once, so the four reads
+    of the matrix below do not recompute it.
     """
     itemsets = materialize(basket_itemsets(coded_star))
-    m = cooccurrence(itemsets)
+    m = materialize(cooccurrence(itemsets))
     total = itemsets.agg(F.count(F.lit(1))).scalar()
     diag = m.where(F.col("a") == F.col("b")).select(F.col("a").alias("cid"), F.col("n").alias("n_item"))
     off = m.where((F.col("a") < F.col("b")) & (F.col("n") >= min_together))
