@@ -92,3 +92,12 @@ def test_exact_median_small_and_bucketed(spark):
         # forced bucketed path
         assert exact_median(df, "x", bucket_rows=7) == pytest.approx(want, rel=1e-12)
     assert exact_median(spark.createDataFrame([], "x double"), "x") is None
+
+
+def test_dense_codes_across_partitions(spark):
+    from tillroll.operators.basket import dense_codes
+    names = [f"n{i:04d}" for i in range(500)] * 2 + [None]
+    df = spark.createDataFrame([(n,) for n in names], "commodity string").repartition(7)
+    codes = {r["commodity"]: r["cid"] for r in dense_codes(df, "commodity").collect()}
+    assert len(codes) == 500
+    assert codes == {n: i for i, n in enumerate(sorted(set(n for n in names if n)))}

@@ -27,16 +27,35 @@ from tillroll.session import materialize
 WORD_BITS = 64
 
 
+def dense_codes(values: DataFrame, col: str, code: str = "cid") -> DataFrame:
+    """Dense 0-based codes for the distinct ``col`` values in sort order.
+
+    Distributed: the values are range-partitioned and sorted, each
+    partition's size is counted (one row per partition), prefix offsets are
+    taken over those few rows, and each value's code is its partition offset
+    plus its position inside the partition. No task sees more than one
+    partition of values. The partition-tagged table is materialised so both
+    reads see the same partitioning.
+    """
+    names = values.select(col).where(F.col(col).isNotNull()).distinct()
+    tagged = materialize(names.repartitionByRange(col).sortWithinPartitions(col)
+                         .withColumn("_pid", F.spark_partition_id()))
+    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(
+        "_pid",
+        (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    pos = F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1
+    return (tagged.withColumn("_pos", pos)
+            .join(F.broadcast(offsets), "_pid")
+            .select(col, (F.col("_off") + F.col("_pos")).cast("int").alias(code)))
+
+
 def code_commodities(products: DataFrame) -> DataFrame:
     """Products with a dense commodity code ``cid`` (NULL commodity -> NULL).
 
-    The code table is ranked by one window over the *distinct* commodity
-    names (size bounded by the product dimension).
+    Codes follow text order, so ``item_1 < item_2`` is ``a < b``.
     """
-    names = products.select("commodity").where(F.col("commodity").isNotNull()).distinct()
-    codes = names.withColumn(
-        "cid", (F.dense_rank().over(Window.orderBy("commodity")) - 1).cast("int"))
-    return products.join(codes, "commodity", "left")
+    return products.join(dense_codes(products, "commodity"), "commodity", "left")
 
 
 def commodity_codes(coded_products: DataFrame) -> DataFrame:
