@@ -101,3 +101,14 @@ def test_dense_codes_across_partitions(spark):
     codes = {r["commodity"]: r["cid"] for r in dense_codes(df, "commodity").collect()}
     assert len(codes) == 500
     assert codes == {n: i for i, n in enumerate(sorted(set(n for n in names if n)))}
+
+
+def test_min_support_pruning_is_exact(spark):
+    t = fixture.load(spark, SF_SMALL)
+    coded = basket.code_commodities(t.products)
+    s = star(RetailTables(t.households, coded, t.transactions))
+    codes = basket.commodity_codes(coded)
+    full = {(r[0], r[1]): r[2] for r in basket.pair_counts(s, codes).collect()}
+    for k in (2, 3):
+        pruned = {(r[0], r[1]): r[2] for r in basket.pair_counts(s, codes, min_support=k).collect()}
+        assert pruned == {p: n for p, n in full.items() if n >= k}

@@ -91,10 +91,31 @@ def cooccurrence(itemsets: DataFrame) -> DataFrame:
             .where((F.col("n") > 0) & (F.col("b") >= F.col("a"))))
 
 
-def pair_counts(coded_star: DataFrame, codes: DataFrame) -> DataFrame:
+def prune_itemsets(itemsets: DataFrame, min_support: int) -> DataFrame:
+    """Apriori pruning: drop commodities held by fewer than ``min_support``
+    baskets from every itemset. Exact for all pairs counted ``min_support``
+    times or more (a pair never outnumbers either of its items). The
+    frequent codes (at most C) reach each row as one scalar-subquery array.
+    """
+    support = (itemsets.select(F.explode("items").alias("cid")).groupBy("cid")
+               .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support))
+    frequent = support.agg(F.collect_list("cid")).scalar()
+    kept = F.filter(F.col("items"), lambda x: F.array_contains(F.col("_frequent"), x))
+    return (itemsets.withColumn("_frequent", frequent)
+            .select("basket_num", kept.alias("items"))
+            .where(F.size("items") >= 2))
+
+
+def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -> DataFrame:
     """Every unordered pair of distinct commodities bought in the same basket:
-    (item_1 < item_2, times_bought_together = number of such baskets)."""
-    m = cooccurrence(basket_itemsets(coded_star)).where(F.col("a") < F.col("b"))
+    (item_1 < item_2, times_bought_together = number of such baskets).
+    With ``min_support`` > 1 only pairs bought together at least that often
+    are returned, and rare commodities are pruned before the pairing."""
+    itemsets = basket_itemsets(coded_star)
+    if min_support > 1:
+        itemsets = prune_itemsets(itemsets, min_support)
+    m = cooccurrence(itemsets).where(
+        (F.col("a") < F.col("b")) & (F.col("n") >= min_support))
     c1 = codes.select(F.col("cid").alias("a"), F.col("commodity").alias("item_1"))
     c2 = codes.select(F.col("cid").alias("b"), F.col("commodity").alias("item_2"))
     return (m.join(c1, "a").join(c2, "b")
