@@ -194,7 +194,7 @@ def build() -> dict[str, str]:
         "FROM star WHERE commodity IS NOT NULL GROUP BY basket_num")
     q["pair_counts"] = vb + _PAIRS
     q["basket_pairs"] = vb + _PAIRS + " ORDER BY 3 DESC, 1, 2 LIMIT 10"
-    q["frequent_pairs"] = vb + _PAIRS + " HAVING count(*) >= 2"
+    q["frequent_pairs"] = vb + _PAIRS + " HAVING count(*) >= 50"
     q["association_rules"] = with_views(
         _BC,
         "tot AS (SELECT count(DISTINCT basket_num) AS total FROM bc)",

@@ -77,7 +77,7 @@ def build() -> dict[str, Query]:
     # market baskets
     q["basket_items"] = _on_coded(basket.basket_items)
     q["pair_counts"] = _on_coded(basket.pair_counts)
-    q["frequent_pairs"] = _on_coded(lambda s, c: basket.pair_counts(s, c, min_support=2))
+    q["frequent_pairs"] = _on_coded(lambda s, c: basket.pair_counts(s, c, min_support=50))
     q["basket_pairs"] = _on_coded(lambda s, c: basket.top_pairs(basket.pair_counts(s, c), 10))
     q["association_rules"] = _on_coded(basket.association_rules)
     # basket value
