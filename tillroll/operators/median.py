@@ -13,6 +13,7 @@ only decide where to look, never the answer).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,10 @@ def exact_median(df: DataFrame, col: str, bucket_rows: int = 100_000) -> float |
         probs = [i / buckets for i in range(1, buckets)]
         bounds = counts.agg(
             F.percentile_approx("v", probs, max(10_000, 10 * buckets)).alias("b")).first()["b"]
-        bounds = sorted(set(bounds))
-        bexpr = F.lit(0)
-        for b in bounds:  # bucket id = number of bounds strictly below v
-            bexpr = bexpr + F.when(F.col("v") > F.lit(b), 1).otherwise(0)
-        tagged = counts.withColumn("bucket", bexpr.cast("int"))
+        splits = [float("-inf")] + sorted(set(bounds)) + [float("inf")]
+        # binary search per value (JVM-side), bucket i = [splits[i], splits[i+1])
+        tagged = Bucketizer(splits=splits, inputCol="v", outputCol="_b").transform(counts)
+        tagged = tagged.withColumn("bucket", F.col("_b").cast("int")).drop("_b")
         hist = sorted(tuple(r) for r in tagged.groupBy("bucket").agg(F.sum("f")).collect())
         vals = []
         for r in ranks:
