@@ -28,3 +28,13 @@ def test_insights_report(spark):
     c = ins.churn_counts.first()
     assert c["high_risk_count"] + c["low_risk_count"] > 0
     assert ins.churn_top.count() == 10
+
+
+def test_sql_views(spark):
+    from tillroll.plans.views import register_views
+    t = fixture.load(spark, SF_SMALL)
+    names = register_views(spark, t, prefix="t_")
+    assert names == ["t_households", "t_products", "t_transactions", "t_star"]
+    n = spark.sql("SELECT count(*) AS n FROM t_star WHERE hshd_num = :h", args={"h": 10}).first()["n"]
+    from tillroll.operators.pull import data_pull
+    assert n == data_pull(t, 10, 1000).count()
