@@ -15,10 +15,12 @@ def test_pull_pushes_household_filter(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+MODELS = {"basket_value_gbt", "clv_rf", "clv_holdout", "churn_model", "clv_predict", "clv_top"}
+
+
 def test_no_python_udfs_or_cartesian_products(spark):
     qs = registry.build()
-    for name in ("kpi_totals", "dashboard_series", "household_summary", "basket_summary",
-                 "churn_recency", "pair_counts", "association_rules", "basket_value_label"):
+    for name in sorted(set(qs) - MODELS):
         plan = _plan(qs[name](spark, SF_SMALL))
         for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
                     "BroadcastNestedLoopJoin"):

@@ -59,7 +59,7 @@ def test_stream_ingest_equals_batch_and_is_exactly_once(spark, scratch):
             f.write("\n".join([header, *chunk]) + "\n")
     out = os.path.join(scratch, "stream_out")
     ckpt = os.path.join(scratch, "stream_ckpt")
-    q = ingest_stream(spark, land, out, checkpoint=ckpt)
+    q = ingest_stream(spark, land, out, checkpoint=ckpt, max_files_per_trigger=1)
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     batch = clean_transactions(read_extract(spark, land))

@@ -32,9 +32,10 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return read_extract(spark, path).columns
 
 
-def stream_extract(spark: SparkSession, folder: str, columns) -> DataFrame:
+def stream_extract(spark: SparkSession, folder: str, columns,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of a landing folder; every file carries the header."""
-    return (spark.readStream
-            .schema(raw_schema(columns))
-            .option("header", True)
-            .csv(folder))
+    reader = spark.readStream.schema(raw_schema(columns)).option("header", True)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return reader.csv(folder)

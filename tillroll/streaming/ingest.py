@@ -25,9 +25,14 @@ from tillroll.sources.csv_extracts import stream_extract
 def ingest_stream(spark: SparkSession, landing: str, out: str,
                   checkpoint: str | None = None, columns=RAW_TRANSACTION_COLUMNS,
                   available_now: bool = True,
-                  processing_time: str = "1 minute") -> StreamingQuery:
-    """Start the ingest query; ``available_now`` processes what is there and stops."""
-    raw = stream_extract(spark, landing, columns)
+                  processing_time: str = "1 minute",
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the ingest query; ``available_now`` processes what is there and stops.
+
+    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog is
+    taken in steps (each committed on its own) rather than in one batch.
+    """
+    raw = stream_extract(spark, landing, columns, max_files_per_trigger)
     clean = clean_transactions(raw)
     ckpt = checkpoint or scratch_path(
         spark, "ingest_stream/" + hashlib.sha1(out.encode()).hexdigest()[:16])
