@@ -47,8 +47,13 @@ def _check_unique(df: DataFrame, key: str, table: str) -> None:
 
 
 def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
-                  version: str | None = None, validate: bool = True) -> dict:
-    """Write curated tables as a new version, then publish it in the manifest."""
+                  version: str | None = None, validate: bool = True,
+                  line_files: int | None = None) -> dict:
+    """Write curated tables as a new version, then publish it in the manifest.
+
+    ``line_files`` fixes the number of transaction files (key ranges); by
+    default AQE sizes the range partitions from the data.
+    """
     if validate:
         _check_unique(tables.households, "hshd_num", "households")
         _check_unique(tables.products, "product_num", "products")
@@ -60,8 +65,10 @@ def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
             f"{warehouse}/{name}/v={version}")
         counts[name] = obs.get["rows"]
     obs = Observation("transactions")
-    lines = (tables.transactions
-             .repartitionByRange("hshd_num", "basket_num", "product_num")
+    keys = ("hshd_num", "basket_num", "product_num")
+    ranged = (tables.transactions.repartitionByRange(int(line_files), *keys) if line_files
+              else tables.transactions.repartitionByRange(*keys))
+    lines = (ranged
              .sortWithinPartitions("hshd_num", "basket_num", "product_num"))
     lines.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(
         f"{warehouse}/transactions/v={version}")
