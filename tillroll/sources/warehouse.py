@@ -68,8 +68,7 @@ def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
     keys = ("hshd_num", "basket_num", "product_num")
     ranged = (tables.transactions.repartitionByRange(int(line_files), *keys) if line_files
               else tables.transactions.repartitionByRange(*keys))
-    lines = (ranged
-             .sortWithinPartitions("hshd_num", "basket_num", "product_num"))
+    lines = ranged.sortWithinPartitions(*keys)
     lines.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(
         f"{warehouse}/transactions/v={version}")
     counts["transactions"] = obs.get["rows"]
@@ -93,6 +92,7 @@ def refresh(spark: SparkSession, landing: str, warehouse: str,
 
 
 def current_version(spark: SparkSession, warehouse: str) -> str:
+    """Newest published version (versions are numeric, by default epoch ms)."""
     row = (spark.read.schema("version string").json(f"{warehouse}/{MANIFEST}")
            .agg(F.max(F.col("version").cast("long")).alias("v")).first())
     if row is None or row["v"] is None:
