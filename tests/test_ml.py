@@ -36,3 +36,19 @@ def test_weighted_training_frame_preserves_baskets(s):
     lab = basket_value.basket_value_label(s)
     grouped = basket_value.training_frame(lab)
     assert grouped.agg({"weight": "sum"}).first()[0] == lab.count()
+
+
+def test_weighted_gbt_equals_per_basket_gbt(s):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    lab = basket_value.basket_value_label(s)
+    cols = [c for c, _ in basket_value.FEATURES]
+    va = VectorAssembler(inputCols=cols, outputCol="features")
+    params = dict(labelCol="high_value_basket", checkpointInterval=-1, **basket_value.GBT_PARAMS)
+    per_basket = va.transform(lab.withColumn("weight", F.lit(1.0))).coalesce(1).cache()
+    grouped = va.transform(basket_value.training_frame(lab)).coalesce(1).cache()
+    a = GBTClassifier(weightCol="weight", **params).fit(per_basket).featureImportances.toArray()
+    b = GBTClassifier(weightCol="weight", **params).fit(grouped).featureImportances.toArray()
+    assert list(a) == pytest.approx(list(b), abs=1e-9)
