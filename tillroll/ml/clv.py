@@ -26,8 +26,13 @@ FEATURES = ("total_spend", "total_units", "total_baskets", "active_weeks", "avg_
 CLV_MULTIPLIER = 1.25
 
 
-def clv_features(star: DataFrame) -> DataFrame:
-    hs = household_summary(star)
+def clv_features(star: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+    """Household features; ``rollup`` (``summaries.household_rollup``) lets a
+    caller share one household aggregate with the churn report."""
+    if rollup is not None:
+        hs = rollup.where(F.col("total_baskets") > 0)
+    else:
+        hs = household_summary(star)
     return hs.select(
         "hshd_num", "total_spend", "total_units", "total_baskets", "active_weeks",
         half_even_ratio(F.col("total_spend"), F.col("total_baskets")).alias("avg_basket_value"),
@@ -56,8 +61,8 @@ def clv_fit(feats: DataFrame, cols=None):
     return lr.fit(_assemble(feats, cols)), cols
 
 
-def clv_predict(star: DataFrame) -> DataFrame:
-    feats = materialize(clv_features(star))
+def clv_predict(star: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+    feats = materialize(clv_features(star, rollup))
     model, cols = clv_fit(feats)
     pred = model.transform(_assemble(feats, cols))
     return pred.select(
@@ -67,8 +72,8 @@ def clv_predict(star: DataFrame) -> DataFrame:
     )
 
 
-def clv_top(star: DataFrame, n: int = 10) -> DataFrame:
-    return (clv_predict(star)
+def clv_top(star: DataFrame, n: int = 10, rollup: DataFrame | None = None) -> DataFrame:
+    return (clv_predict(star, rollup)
             .orderBy(F.col("predicted_clv").desc(), F.col("hshd_num").asc())
             .limit(n))
 

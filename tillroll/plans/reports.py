@@ -6,8 +6,9 @@
 
 Each value is a DataFrame (lazy) except where a model must be fitted first.
 Shared inputs are computed once: the star is one logical plan reused by
-every aggregate, and the per-household rollup is materialised once for both
-the CLV and the churn outputs.
+every aggregate, and the per-household rollup (spend, units, baskets, weeks,
+last week) is materialised once and feeds both the CLV features and the
+churn outputs.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def insights(t: RetailTables, top: int = 10) -> Insights:
     longest = recency.orderBy(F.col("weeks_since_last_purchase").desc_nulls_last(),
                               F.col("hshd_num").asc()).limit(top)
     return Insights(
-        top_clv=clv.clv_top(s, top),
+        top_clv=clv.clv_top(s, top, rollup=rollup),
         basket_pairs=basket.top_pairs(basket.pair_counts(s, basket.commodity_codes(coded)), top),
         basket_drivers=basket_value.basket_value_gbt(s),
         churn_counts=counts,
