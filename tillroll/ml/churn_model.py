@@ -20,21 +20,29 @@ FEATURES = ("spend", "units", "baskets", "weeks", "recency")
 
 
 def churn_training_frame(star: DataFrame, horizon: int = 8) -> DataFrame:
-    latest = star.agg(F.max("week_num")).scalar()
-    cutoff = latest - F.lit(horizon)
-    before = star.where(F.col("week_num") <= cutoff)
-    feats = before.groupBy("hshd_num").agg(
-        F.round(F.sum("spend"), 2).alias("spend"),
-        F.sum("units").alias("units"),
-        F.count_distinct("basket_num").cast("double").alias("baskets"),
-        F.count_distinct("week_num").cast("double").alias("weeks"),
-        (cutoff - F.max("week_num")).cast("double").alias("recency"),
+    """Per household with lines up to the cutoff: features over those lines
+    and ``churned`` = 1.0 when it bought nothing after the cutoff.
+
+    The latest week is one scalar (a global max with a partial aggregate);
+    everything else is a single conditional aggregate per household.
+    """
+    latest = star.agg(F.max("week_num").alias("w")).first()["w"]
+    if latest is None:
+        latest = 0
+    cutoff = F.lit(int(latest) - int(horizon))
+    pre = F.col("week_num") <= cutoff
+    g = star.groupBy("hshd_num").agg(
+        F.round(F.sum(F.when(pre, F.col("spend"))), 2).alias("spend"),
+        F.sum(F.when(pre, F.col("units"))).alias("units"),
+        F.count_distinct(F.when(pre, F.col("basket_num"))).cast("double").alias("baskets"),
+        F.count_distinct(F.when(pre, F.col("week_num"))).cast("double").alias("weeks"),
+        (cutoff - F.max(F.when(pre, F.col("week_num")))).cast("double").alias("recency"),
+        F.count_if(pre).alias("n_pre"),
+        F.max("week_num").alias("last_week"),
     )
-    after = (star.where(F.col("week_num") > cutoff).select("hshd_num").distinct()
-             .withColumn("active_after", F.lit(True)))
-    return feats.join(after, "hshd_num", "left").select(
+    return g.where(F.col("n_pre") > 0).select(
         "hshd_num", *FEATURES,
-        F.when(F.col("active_after").isNull(), 1.0).otherwise(0.0).alias("churned"))
+        F.when(F.col("last_week") > cutoff, 0.0).otherwise(1.0).alias("churned"))
 
 
 def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:

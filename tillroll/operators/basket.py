@@ -45,17 +45,21 @@ def dense_codes(values: DataFrame, col: str, code: str = "cid") -> DataFrame:
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     pos = F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1
-    return (tagged.withColumn("_pos", pos)
-            .join(F.broadcast(offsets), "_pid")
-            .select(col, (F.col("_off") + F.col("_pos")).cast("int").alias(code)))
+    return materialize(
+        tagged.withColumn("_pos", pos)
+        .join(F.broadcast(offsets), "_pid")
+        .select(col, (F.col("_off") + F.col("_pos")).cast("int").alias(code)))
 
 
-def code_commodities(products: DataFrame) -> DataFrame:
+def code_commodities(products: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Products with a dense commodity code ``cid`` (NULL commodity -> NULL).
 
-    Codes follow text order, so ``item_1 < item_2`` is ``a < b``.
+    Codes follow text order, so ``item_1 < item_2`` is ``a < b``. The code
+    table (one row per distinct commodity) is materialised once; pass it in
+    to reuse it for the name lookups.
     """
-    return products.join(dense_codes(products, "commodity"), "commodity", "left")
+    codes = codes if codes is not None else dense_codes(products, "commodity")
+    return products.join(codes, "commodity", "left")
 
 
 def commodity_codes(coded_products: DataFrame) -> DataFrame:
@@ -113,7 +117,8 @@ def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -
     are returned, and rare commodities are pruned before the pairing."""
     itemsets = basket_itemsets(coded_star)
     if min_support > 1:
-        itemsets = prune_itemsets(itemsets, min_support)
+        # read twice (supports, then pruning): materialise once
+        itemsets = prune_itemsets(materialize(itemsets), min_support)
     m = cooccurrence(itemsets).where(
         (F.col("a") < F.col("b")) & (F.col("n") >= min_support))
     c1 = codes.select(F.col("cid").alias("a"), F.col("commodity").alias("item_1"))
@@ -138,9 +143,9 @@ def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
                          F.col("item_1").asc(), F.col("item_2").asc()).limit(n)
 
 
-def basket_items(coded_star: DataFrame, codes: DataFrame) -> DataFrame:
+def basket_items(star: DataFrame) -> DataFrame:
     """Per basket: number of distinct commodities and their sorted list as text."""
-    lines = coded_star.where(F.col("commodity").isNotNull())
+    lines = star.where(F.col("commodity").isNotNull())
     return lines.groupBy("basket_num").agg(
         F.count_distinct("commodity").alias("n_items"),
         F.array_join(F.array_sort(F.collect_set("commodity")), "; ").alias("items"))

@@ -37,9 +37,10 @@ def _on_coded(fn) -> Query:
     """Star whose products carry the dense commodity code, plus the codes."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = fixture.load(spark, sf_dir)
-        coded = basket.code_commodities(t.products)
+        codes = basket.dense_codes(t.products, "commodity")
+        coded = basket.code_commodities(t.products, codes)
         s = star(RetailTables(t.households, coded, t.transactions))
-        return fn(s, basket.commodity_codes(coded))
+        return fn(s, codes)
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
@@ -75,7 +76,7 @@ def build() -> dict[str, Query]:
     q["churn_counts"] = _on_star(churn.churn_counts)
     q["churn_top"] = _on_star(churn.churn_top)
     # market baskets
-    q["basket_items"] = _on_coded(basket.basket_items)
+    q["basket_items"] = _on_star(basket.basket_items)
     q["pair_counts"] = _on_coded(basket.pair_counts)
     q["frequent_pairs"] = _on_coded(lambda s, c: basket.pair_counts(s, c, min_support=50))
     q["basket_pairs"] = _on_coded(lambda s, c: basket.top_pairs(basket.pair_counts(s, c), 10))

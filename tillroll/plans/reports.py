@@ -52,7 +52,8 @@ def dashboard(t: RetailTables) -> Dashboard:
 
 
 def insights(t: RetailTables, top: int = 10) -> Insights:
-    coded = basket.code_commodities(t.products)
+    codes = basket.dense_codes(t.products, "commodity")
+    coded = basket.code_commodities(t.products, codes)
     s = star(RetailTables(t.households, coded, t.transactions))
     rollup = materialize(household_rollup(s))
     recency = churn.churn_recency(s, rollup=rollup)
@@ -63,7 +64,7 @@ def insights(t: RetailTables, top: int = 10) -> Insights:
                               F.col("hshd_num").asc()).limit(top)
     return Insights(
         top_clv=clv.clv_top(s, top, rollup=rollup),
-        basket_pairs=basket.top_pairs(basket.pair_counts(s, basket.commodity_codes(coded)), top),
+        basket_pairs=basket.top_pairs(basket.pair_counts(s, codes), top),
         basket_drivers=basket_value.basket_value_gbt(s),
         churn_counts=counts,
         churn_top=longest,
