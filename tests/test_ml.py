@@ -52,3 +52,12 @@ def test_weighted_gbt_equals_per_basket_gbt(s):
     a = GBTClassifier(weightCol="weight", **params).fit(per_basket).featureImportances.toArray()
     b = GBTClassifier(weightCol="weight", **params).fit(grouped).featureImportances.toArray()
     assert list(a) == pytest.approx(list(b), abs=1e-9)
+
+
+def test_approx_median_label_close(s):
+    exact = basket_value.basket_value_label(s)
+    approx = basket_value.basket_value_label(s, approx_median=True)
+    n = exact.count()
+    diff = exact.join(approx.withColumnRenamed("high_value_basket", "h2"), "basket_num") \
+        .where("high_value_basket <> h2").count()
+    assert diff <= max(2, n // 1000)

@@ -41,11 +41,19 @@ IMPORTANCE_SCHEMA = T.StructType([
 ])
 
 
-def basket_value_label(star: DataFrame) -> DataFrame:
+def basket_value_label(star: DataFrame, approx_median: bool = False,
+                       accuracy: int = 10_000) -> DataFrame:
     """Basket summary + high-value label; the summary is materialised once
-    and read by both the median subquery and the labelling pass."""
+    and read by both the median computation and the labelling pass.
+
+    ``approx_median`` swaps the exact median for a one-pass quantile sketch
+    (rank error at most 1/``accuracy`` of the baskets).
+    """
     bs = materialize(basket_summary(star))
-    med = exact_median(bs, "basket_spend")
+    if approx_median:
+        med = bs.agg(F.percentile_approx("basket_spend", 0.5, accuracy).alias("m")).first()["m"]
+    else:
+        med = exact_median(bs, "basket_spend")
     label = (F.col("basket_spend") >= F.lit(med)) if med is not None else F.lit(None)
     return bs.select(
         "basket_num", "n_lines", "n_commodity", "n_department", "basket_spend",
