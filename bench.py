@@ -45,8 +45,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
+    extra_conf = {}
+    log_dir = os.environ.get("BENCH_EVENT_LOG")
+    if log_dir:  # stage/task times for scripts/stage_times.py
+        extra_conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                          app_name="tillroll-bench", driver_memory="16g")
+                          app_name="tillroll-bench", driver_memory="16g", extra=extra_conf)
     qs = registry.build()
     qs["kpi_totals"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
