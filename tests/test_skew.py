@@ -54,3 +54,31 @@ def test_hot_household_is_split_and_exact(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_hot_basket_pairs_and_summary_exact(spark):
+    import itertools
+    from collections import Counter
+
+    from tillroll import schema
+    from tillroll.operators import basket
+
+    d = dt.date(2020, 1, 1)
+    # basket 0 holds a third of all lines, spread over 100 commodities
+    lines = [(0, 1, d, i % 100, 1.0, 1.0, "E", 1, 2020) for i in range(3000)]
+    lines += [(1 + i // 5, 1, d, (i * 7) % 100, 1.0, 1.0, "E", 1, 2020) for i in range(6000)]
+    tx = spark.createDataFrame(lines, schema.TRANSACTIONS).repartition(8)
+    hh = spark.createDataFrame([(1, "Y", "A", "M", "I", "H", "C", "2", "1")], schema.HOUSEHOLDS)
+    pr = spark.createDataFrame([(i, f"D{i % 7}", f"c{i:03d}", "B", "Y") for i in range(100)],
+                               schema.PRODUCTS)
+    t = RetailTables(hh, pr, tx)
+    codes = basket.dense_codes(pr, "commodity")
+    s = star(RetailTables(hh, basket.code_commodities(pr, codes), tx))
+    got = {(r[0], r[1]): r[2] for r in basket.pair_counts(s, codes).collect()}
+    items = {}
+    for b, _, _, p, *_ in lines:
+        items.setdefault(b, set()).add(f"c{p:03d}")
+    want = Counter(pr_ for cs in items.values() for pr_ in itertools.combinations(sorted(cs), 2))
+    assert got == dict(want)
+    bs = {r["basket_num"]: r for r in summaries.basket_summary(star(t)).collect()}
+    assert bs[0]["n_lines"] == 3000 and bs[0]["n_commodity"] == 100 and bs[0]["n_department"] == 7
