@@ -159,7 +159,7 @@ def products_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").selectExpr(*render(PRODUCTS_RAW, "spark"))
 
 
-def _line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_source(spark: SparkSession, sf_dir: str, order_join: str | None = "merge") -> DataFrame:
     """lineitem ⋈ orders ⋈ supplier ⋈ (nation → region name).
 
     orders and supplier grow with the data: each joins as a plain scan so
@@ -174,7 +174,9 @@ def _line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     third of all lines; the basket key (= order key) keeps the join's hash
     partitioning through the broadcast dimension joins, so per-basket
     aggregates need no second shuffle; and an input stored as a few large
-    row groups is still spread over all cores.
+    row groups is still spread over all cores. ``order_join=None`` leaves the
+    choice to the planner, for selective reports (a one-household pull, whose
+    filtered orders side is small) where a broadcast of that side is better.
     """
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -184,27 +186,29 @@ def _line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    return (li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if order_join:
+        orders = orders.hint(order_join)
+    return (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey")))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_source(spark, sf_dir).selectExpr(*render(TRANSACTIONS, "spark"))
+def transactions(spark: SparkSession, sf_dir: str, order_join: str | None = "merge") -> DataFrame:
+    return _line_source(spark, sf_dir, order_join).selectExpr(*render(TRANSACTIONS, "spark"))
 
 
 def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_source(spark, sf_dir).selectExpr(*render(TRANSACTIONS_RAW, "spark"))
 
 
-def load(spark: SparkSession, sf_dir: str) -> RetailTables:
+def load(spark: SparkSession, sf_dir: str, order_join: str | None = "merge") -> RetailTables:
     """Curated retail tables over the driver tables (households cleaned)."""
     from tillroll.operators.cleaning import clean_households
 
     return RetailTables(
         households=clean_households(households_raw(spark, sf_dir)),
         products=products(spark, sf_dir),
-        transactions=transactions(spark, sf_dir),
+        transactions=transactions(spark, sf_dir, order_join),
     )
 
 
