@@ -38,3 +38,13 @@ def test_sql_views(spark):
     n = spark.sql("SELECT count(*) AS n FROM t_star WHERE hshd_num = :h", args={"h": 10}).first()["n"]
     from tillroll.operators.pull import data_pull
     assert n == data_pull(t, 10, 1000).count()
+
+
+def test_output_columns_unique_and_lower_case(spark):
+    models = {"basket_value_gbt", "clv_rf", "clv_holdout", "churn_model", "clv_predict", "clv_top"}
+    for name, fn in entry_module.queries().items():
+        if name in models:
+            continue
+        cols = fn(spark, SF_SMALL).columns
+        assert len(cols) == len(set(cols)), name
+        assert all(c == c.lower() and c.strip() == c for c in cols), (name, cols)
