@@ -9,7 +9,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) >= 4
-      THEN list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')))
+      THEN list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g
   FROM w),
 u AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),

@@ -37,11 +37,11 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 @dataclass(frozen=True)
 class MilSpec:
     bits: int = 18
-    starts: tuple[int, ...] = (5, 6, 7, 8)   # bytes of word beginnings used as features
+    starts: tuple[int, ...] = (3, 4, 5, 6, 7, 8)   # bytes of word beginnings used as features
     per_class: int = 2500
     max_train_words: int = 20_000
     epochs: int = 12
-    rate: float = 0.1
+    rate: float = 0.5
     decay: float = 2e-4
     prior: float = -6.0                       # a sentence without features
     locate: float = 0.3
@@ -102,12 +102,16 @@ def _noisy_or(logits: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(docs, keep, minlength=n))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, spec: MilSpec) -> MilModel:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, spec: MilSpec,
+        weight: np.ndarray | None = None) -> MilModel:
     """Adagrad on the likelihood of document labels under the noisy-or.
 
     bags: (sentence id of each word, features of each word) of a document.
+    weight: of each document; undoes the sampling of classes, so that
+    probabilities keep the labels' own rate.
     """
     y = np.asarray(y, float)
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
         return MilModel(np.zeros(1 << spec.bits, np.float32), spec.prior, float(y[0]) if len(y) else 0.0, spec)
     size = 1 << spec.bits
@@ -136,7 +140,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, spec: MilSpec)
             whole = np.clip(_noisy_or(z, doc, len(at)), 1e-6, 1 - 1e-6)
             t = y[at]
             # d log-likelihood / d z_s = p_s * (t / whole - 1): 0 - p_s for a clean document
-            g = p * (t / whole - 1)[doc] / len(at)
+            g = p * (weight[at] * (t / whole - 1))[doc] / len(at)
             gw = np.bincount(f[f >= 0], np.repeat(g[sent], f.shape[1])[(f >= 0).reshape(-1)],
                              minlength=size + 1)
             hit = np.flatnonzero(gw)
@@ -150,20 +154,20 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, spec: MilSpec)
 
 
 def _bag_rows(spec: MilSpec):
-    schema = pa.schema([("h", pa.int64()), ("toxic", pa.int32()), ("n", pa.int32()),
+    schema = pa.schema([("h", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64()),
                         ("sent", pa.binary()), ("feats", pa.binary())])
 
     def run(batches):
         for batch in batches:
             offsets, data = text_bytes(batch.column(0))
-            h, y = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            h, y, wt = (batch.column(c).to_pylist() for c in (1, 2, 3))
             rows = []
             for a, docs, sent, f, _, _ in features(offsets, data, spec):
                 at = np.searchsorted(docs, np.arange((docs[-1] if len(docs) else -1) + 2))
                 for d in range(len(at) - 1):
                     s, e = int(at[d]), int(at[d + 1])
                     if 0 < e - s <= spec.max_train_words:
-                        rows.append((h[a + d], y[a + d], e - s, (sent[s:e] - sent[s]).astype(np.int32).tobytes(),
+                        rows.append((h[a + d], y[a + d], wt[a + d], (sent[s:e] - sent[s]).astype(np.int32).tobytes(),
                                      f[s:e].astype(np.int32).tobytes()))
             yield pa.record_batch([pa.array([r[c] for r in rows], schema.field(c).type)
                                    for c in range(5)], schema=schema)
@@ -173,25 +177,29 @@ def _bag_rows(spec: MilSpec):
 
 def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
                   spec: MilSpec = MilSpec()) -> DataFrame:
-    """About ``per_class`` (id, 0/1 label) rows of each class, by the hash of the id: safe to broadcast."""
+    """About ``per_class`` (id, 0/1 label, weight) rows of each class, by the hash of the id: safe to broadcast."""
     rows = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, spec.per_class / max(counts.get(1, 0), 1))) \
         .otherwise(min(1.0, spec.per_class / max(counts.get(0, 0), 1)))
-    return rows.where(F.pmod(F.xxhash64(F.lit(spec.seed), id_col), F.lit(1 << 30)) < share * (1 << 30))
+    return rows.where(F.pmod(F.xxhash64(F.lit(spec.seed), id_col), F.lit(1 << 30)) < share * (1 << 30)) \
+        .withColumn("weight", 1 / share)
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
-          spec: MilSpec = MilSpec()) -> MilModel:
-    """Fit on (text, 0/1 label) rows, a bounded sample as ``sample_labels`` gives."""
-    picked = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")) \
+          weight_col: str = "weight", spec: MilSpec = MilSpec()) -> MilModel:
+    """Fit on (text, 0/1 label, weight) rows, a bounded sample as ``sample_labels`` gives."""
+    picked = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
+                             F.col(weight_col).cast("double").alias("weight")) \
         .where("text is not null and y in (0, 1)").withColumn("h", F.xxhash64("text", "y"))
-    got = picked.select("text", "h", "y").mapInArrow(
-        _bag_rows(spec), "h long, toxic int, n int, sent binary, feats binary").toArrow()
+    got = picked.select("text", "h", "y", "weight").mapInArrow(
+        _bag_rows(spec), "h long, toxic int, weight double, sent binary, feats binary").toArrow()
     got = got.sort_by([("h", "ascending"), ("toxic", "ascending")])
     bags = [(np.frombuffer(s, np.int32), np.frombuffer(f, np.int32).reshape(-1, 1 + len(spec.starts)))
             for s, f in zip(got.column("sent").to_pylist(), got.column("feats").to_pylist())]
-    return fit(bags, np.array(got.column("toxic").to_pylist(), float), spec)
+    weight = got.column("weight").to_numpy()
+    return fit(bags, got.column("toxic").to_numpy().astype(float), spec,
+               weight / weight.mean() if len(weight) else None)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
