@@ -102,20 +102,49 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k_": pdf["k_"], "h_": pdf["h_"], "part": take})
 
 
+# A lookup table up to this many rows is broadcast; a larger one is joined as the planner sees fit.
+LOOKUP_ROWS = 500_000
+
+
+def _lookup(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= LOOKUP_ROWS else df
+
+
 class Plan:
-    """Per-source figures (driver, bounded) and the copies of every row."""
+    """Per-source figures (driver, bounded), taken blocks, and the copies of every row."""
 
-    def __init__(self, sources: list[dict], copies: DataFrame, blocks: DataFrame):
-        self.sources, self.copies, self.blocks = sources, copies, blocks
+    def __init__(self, sources: list[dict], small: DataFrame, ranked: DataFrame, part: DataFrame, spec: MixSpec):
+        self.sources, self.small, self.spec = sources, small, spec
+        self.n_blocks = sum(s["n_blocks"] for s in sources)
+        self.ranked, self.part, self.n_part = ranked, part, part.count()
 
+    def tag(self, rows: DataFrame) -> DataFrame:
+        """Adds the source's figures and b_, the block."""
+        return rows.join(F.broadcast(self.small), rows["src_"].eqNullSafe(self.small["src_"])) \
+            .drop(self.small["src_"]).withColumn("b_", _block(self.spec))
 
-def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
-    """Decide how often each row of ``with_sizes`` is taken.
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``with_sizes`` plus k_ (source number), b_, source_size, target and copies (0 .. limit)."""
+        full = _lookup(self.ranked.select("k_", "b_", "full"), self.n_blocks)
+        part = _lookup(self.part, self.n_part)
+        return self.tag(rows).join(full, ["k_", "b_"]).join(part, ["k_", "h_"], "left").withColumn(
+            "copies", F.col("whole") + F.when(F.col("full") | F.coalesce("part", F.lit(False)), 1).otherwise(0))
 
-    ``copies`` has the rows plus k_ (source number), b_ (block), source_size,
-    target and copies (0 .. limit); ``blocks`` has one row per taken block copy.
-    """
+    def blocks(self) -> DataFrame:
+        """k_, b_, pass_ of every taken block copy."""
+        last = F.col("whole") + F.when(F.col("full") | F.col("edge"), 0).otherwise(-1)
+        return self.ranked.where("whole > 0 or full or edge").select(
+            "k_", "b_", F.explode(F.sequence(F.lit(0), last)).alias("pass_"))
+
+
+def _block(spec: MixSpec):
+    return F.pmod(F.xxhash64(F.lit(spec.seed), "h_"), F.col("n_blocks")).cast("int")
+
+
+def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
+    """Decide how often each row of ``with_sizes`` is taken; reads ``rows`` once."""
     spark = rows.sparkSession
+    rows = materialize(rows.select("src_", "h_", "size_"))
     stats = rows.groupBy("src_").agg(F.sum("size_").alias("size"), F.count("*").alias("n")) \
         .limit(spec.max_sources + 1).collect()
     if len(stats) > spec.max_sources:
@@ -131,7 +160,7 @@ def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
     kinds = ("k_ int, src_ string, source_size long, target double, whole int, rest long, n_blocks int")
     small = spark.createDataFrame([tuple(s.values()) for s in sources], kinds)
     tagged = rows.join(F.broadcast(small), rows["src_"].eqNullSafe(small["src_"])).drop(small["src_"]) \
-        .withColumn("b_", F.pmod(F.xxhash64(F.lit(spec.seed), "h_"), F.col("n_blocks")).cast("int"))
+        .withColumn("b_", _block(spec))
     # blocks in hash order with running words; a source has at most max_blocks of them
     sums = tagged.groupBy("k_", "b_").agg(F.sum("size_").alias("w"), F.first("rest").alias("rest"),
                                           F.first("whole").alias("whole"))
@@ -145,12 +174,7 @@ def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
     units = tagged.join(edge, ["k_", "b_"]).groupBy("k_", "h_").agg(
         F.sum("size_").alias("words"), F.first("left").alias("left"))
     part = materialize(units.groupBy("k_").applyInPandas(_fill, "k_ int, h_ long, part boolean"))
-    full = ranked.select("k_", "b_", "full", "edge")
-    copies = tagged.join(full, ["k_", "b_"]).join(part, ["k_", "h_"], "left").withColumn(
-        "copies", F.col("whole") + F.when(F.col("full") | F.coalesce("part", F.lit(False)), 1).otherwise(0))
-    passes = F.explode(F.sequence(F.lit(0), F.col("whole") + F.when(F.col("full") | F.col("edge"), 0).otherwise(-1)))
-    blocks = ranked.where("whole > 0 or full or edge").select("k_", "b_", passes.alias("pass_"))
-    return Plan(sources, copies, blocks)
+    return Plan(sources, small, ranked, part, spec)
 
 
 def split(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +204,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = with_sizes(docs, docs.columns, id_col, text_col, source_col)
     p = plan(rows, spec)
-    taken = materialize(p.blocks)
+    taken = materialize(p.blocks())
     per = {r["k_"]: r["count"] for r in taken.groupBy("k_").count().collect()}
     counts = np.array([per.get(s["k_"], 0) for s in p.sources], np.int64)
     words = sum(s["target"] for s in p.sources)
@@ -191,9 +215,9 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
         "k_", "b_", "pass_", "row_number() over (partition by k_ order by o, pass_, b_) - 1 as spot")
     ranges = leaves.select("shard_", "k_", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("spot"))
     drawn = spots.join(ranges, ["k_", "spot"]).select("k_", "b_", "pass_", "shard_")
-    out = (p.copies.where("copies > 0")
+    out = (p.copies(rows).where("copies > 0")
            .withColumn("pass_", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-           .join(drawn, ["k_", "b_", "pass_"])
+           .join(_lookup(drawn, int(counts.sum())), ["k_", "b_", "pass_"])
            .withColumn("place_", F.xxhash64(F.lit(spec.seed + 3), "h_", "pass_")))
     return out.select("row_", "shard_", "place_").repartition("shard_").sortWithinPartitions("shard_", "place_")
 

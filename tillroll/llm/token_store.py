@@ -23,14 +23,18 @@ one segment.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import row_groups, text_bytes
+
 # Fixed values of the format: ids per word and bits per id of selectors 0..14.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
@@ -108,37 +112,48 @@ class PieceEncoder:
 
     The byte-level splitter starts a new pre-token at a single space between
     visible characters, so a text without runs of white space may be cut
-    there and pieces encoded apart. Pieces recur, so their ids are kept (the
-    store is emptied at ``limit`` pieces). Other texts are encoded whole.
+    there and pieces encoded apart. Pieces recur, so their ids are kept, up
+    to ``limit`` pieces; others are encoded again when they return. Texts
+    with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark gives each task a core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.known.get(piece)
-        if got is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            got = np.array(self.whole(piece), np.uint32).tobytes()
-            if len(piece) <= 64:
-                self.known[piece] = got
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
-        if _SPACE_RUN.search(text):
-            return np.array(self.whole(text), np.uint32)
-        pieces = text.split(" ")
-        known, piece = self.known, self._piece
-        out = [piece(pieces[0])] if pieces[0] else []
-        out += [known.get(p) or piece(p) for p in (" " + q for q in pieces[1:])]
-        return np.frombuffer(b"".join(out), np.uint32)
+        self.limit = limit
+        self.known: dict[str, bytes] = {}      # piece -> ids of a space and the piece
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [bool(_SPACE_RUN.search(t)) for t in texts]
+        pieces = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
+        first = self._ids([p[0] for p in pieces])
+        known = self.known
+        new: set[str] = set()
+        for p in pieces:
+            new.update(p[1:])
+        new.difference_update(known)
+        fresh = sorted(new)
+        found = dict(zip(fresh, self._ids([" " + q for q in fresh])))
+        if len(known) + len(found) <= self.limit:
+            known.update(found)
+            look = known.__getitem__
+        else:
+            look = lambda q: known.get(q) or found[q]
+        return [np.frombuffer(b"".join([f, *map(look, p[1:])]), np.uint32) for f, p in zip(first, pieces)]
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}        # per Python worker, kept over its tasks
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 SEGMENT = ("shard int, seg int, doc_ids array<bigint>, lengths array<bigint>, "
@@ -164,17 +179,19 @@ def _encode(tokenizer: str, end_id: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         seg, docs, parts, held = 0, [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                docs.append(doc)
-                parts.append(np.append(ids, np.uint32(end_id)))
-                held += len(ids) + 1
-                if held >= SEGMENT_IDS:
-                    yield _segment(shard, seg, docs, parts)
-                    seg, docs, parts, held = seg + 1, [], [], 0
+            offsets, _ = text_bytes(batch.column(1))
+            for a, b in row_groups(offsets):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
+                    docs.append(doc)
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    held += len(ids) + 1
+                    if held >= SEGMENT_IDS:
+                        yield _segment(shard, seg, docs, parts)
+                        seg, docs, parts, held = seg + 1, [], [], 0
         if docs:
             yield _segment(shard, seg, docs, parts)
 
