@@ -8,16 +8,21 @@ Read in that order, sets form a trie.
    similarity >= t share a shingle among the first ``n - ceil(t*n) + 1`` of
    each, so each set is sent, as a small row, to the subtrees of those
    shingles. Subtrees with a single set end there.
-2. Inside a subtree, sets are chained to a centre of fitting length; bounds
-   on the remaining length prune pairs before any set is read.
-3. Candidates of one centre are checked together: their ordered sets form a
+2. The pairs of a subtree with few sets are candidates. In a larger one, in blocks
+   of sets of similar size, each set meets the block's medoid (the set
+   nearest to the majority of their sketches) and keeps the medoid it met
+   most. Bounds on the length and the remaining length prune.
+3. Every set has a parity sketch of about one bit per shingle. Two sketches
+   differ in at most as many bits as the sets differ in shingles, so a pair
+   that differs in too many bits is no link: an exact test without the texts.
+4. Candidates of one centre are checked together: their ordered sets form a
    compressed trie (sorted sequences with common-prefix lengths). A walk
    shares the overlap counted on common paths and leaves a subtree as soon
    as the remaining lengths cannot reach the required overlap.
-4. Links give components. A second pass tests all untested pairs of sets
-   in one subtree that lie in *different* components, so every link that
-   can join two components is seen, while a group of thousands of near
-   copies is never expanded into all its pairs.
+5. Links give components. A second pass tests all pairs of sets in one
+   subtree that lie in *different* components (bounds and sketches first,
+   then the trie), so every link that can join two components is seen, while
+   a group of thousands of near copies is never expanded into its pairs.
 
 Equal sets are merged first. Shingles and sets are compared by 64-bit
 hashes of their bytes.
@@ -47,6 +52,9 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 # Slots of the crowding table: its size is fixed, so it may be broadcast.
 CROWD_BITS = 22
 
+# Slots by which texts are filtered before they are fetched: at most so many numbers are broadcast.
+FETCH_SLOTS = 1 << 20
+
 
 @dataclass(frozen=True)
 class JoinSpec:
@@ -56,7 +64,12 @@ class JoinSpec:
     num: int = 85
     den: int = 100
     chunk: int = 256      # candidates of one centre per verification trie
-    block: int = 2048     # sets of one subtree per block of the second pass
+    few: int = 12         # sets of a subtree whose pairs are all candidates
+    block: int = 2048     # sets of a larger subtree per block
+
+    def need(self, n: int, m: int) -> int:
+        """Smallest overlap of a link between sets of n and m shingles."""
+        return -(-(self.num * (n + m)) // (self.num + self.den))
 
     def prefix(self, n: int) -> int:
         return n - (n * self.num + self.den - 1) // self.den + 1
@@ -91,6 +104,21 @@ def set_id(grams: np.ndarray) -> int:
     return int(mix(both ^ np.bitwise_xor.reduce(h)).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parity of the set's shingles in each of 2**b slots, b by the set's size."""
+    size = 1 << max(6, int(len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound on the number of shingles in which two sets differ."""
+    if len(x) < len(y):
+        x, y = y, x
+    a = _fold(int.from_bytes(x, "little"), 8 * len(x), 8 * len(y))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _crowd_slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - CROWD_BITS)).astype(np.int64)
 
@@ -107,19 +135,20 @@ def order_rank(grams: np.ndarray, crowd: np.ndarray) -> np.ndarray:
     return (c << np.uint64(59)) | (grams >> np.uint64(5))
 
 
-_PROFILE = "kind int, doc_id long, th long, n long, sid long"
+_PROFILE = "kind int, doc_id long, th long, n long, sid long, sketch binary"
 _PROFILE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()),
-                            ("n", pa.int64()), ("sid", pa.int64())])
+                            ("n", pa.int64()), ("sid", pa.int64()), ("sketch", pa.binary())])
 
 
 def _profile(spec: JoinSpec):
-    """Per document: set size and set id (kind 0); per crowded slot: count (kind 1)."""
+    """Per document: set size, set id and, once a task, its sketch (kind 0); per crowded slot: count (kind 1)."""
 
     def run(batches):
         counts = np.zeros(1 << CROWD_BITS, np.uint32)
-        total = 0
+        total, seen = 0, set()
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
+            sketches: list[bytes | None] = [None] * batch.num_rows
             n = np.zeros(batch.num_rows, np.int64)
             sid = np.zeros(batch.num_rows, np.int64)
             held = []
@@ -127,6 +156,9 @@ def _profile(spec: JoinSpec):
                 n[i] = len(g)
                 if len(g):
                     sid[i] = set_id(g)
+                    if sid[i] not in seen:
+                        seen.add(sid[i])
+                        sketches[i] = sketch(g)
                     held.append(_crowd_slots(g))
                     total += len(g)
                 if len(held) >= 64:
@@ -135,7 +167,8 @@ def _profile(spec: JoinSpec):
             if held:
                 np.add.at(counts, np.concatenate(held), 1)
             yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column(0),
-                                   batch.column(2), pa.array(n), pa.array(sid, mask=n == 0)], schema=_PROFILE_ARROW)
+                                   batch.column(2), pa.array(n), pa.array(sid, mask=n == 0),
+                                   pa.array(sketches, pa.binary())], schema=_PROFILE_ARROW)
         mean = total / len(counts)
         hot = np.flatnonzero(counts >= max(3, mean + 5 * mean ** 0.5))
         for a in range(0, len(hot), 10_000):
@@ -143,7 +176,8 @@ def _profile(spec: JoinSpec):
             yield pa.record_batch([pa.array(np.ones(len(part), np.int32)), pa.array(part),
                                    pa.nulls(len(part), pa.int64()),
                                    pa.array(counts[part].astype(np.int64)),
-                                   pa.nulls(len(part), pa.int64())], schema=_PROFILE_ARROW)
+                                   pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())],
+                                  schema=_PROFILE_ARROW)
 
     return run
 
@@ -195,11 +229,15 @@ def _post_batch(w, sid, n, pos):
                            schema=_POST_ARROW)
 
 
-def _shared(batches):
-    """Keep the rows of subtrees with two or more sets (input sorted by w, n, sid).
+_SHARED = "w long, sid long, n int, pos int, blk int, other long"
+_SHARED_ARROW = pa.schema([*_POST_ARROW, ("blk", pa.int32()), ("other", pa.int64())])
+
 
-    Repeats of one set (from several tasks) are dropped. The last row waits
-    for the next batch, which may continue its subtree.
+def _shared_rows(batches):
+    """Rows of subtrees with two or more sets, without repeats (input sorted by w, n, sid).
+
+    The last row of a batch waits for the next one, which may continue its
+    subtree.
     """
     cols = ["w", "sid", "n", "pos"]
     last = None  # the pending last row and whether its subtree is known to be shared
@@ -209,82 +247,170 @@ def _shared(batches):
         v = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in cols}
         if last is not None:
             v = {c: np.concatenate([last[0][c], v[c]]) for c in cols}
-        keep_first = np.ones(len(v["w"]), bool)
-        keep_first[1:] = (v["w"][1:] != v["w"][:-1]) | (v["sid"][1:] != v["sid"][:-1])
-        v = {c: x[keep_first] for c, x in v.items()}
+        first = np.ones(len(v["w"]), bool)
+        first[1:] = (v["w"][1:] != v["w"][:-1]) | (v["sid"][1:] != v["sid"][:-1])
+        v = {c: x[first] for c, x in v.items()}
         same = v["w"][1:] == v["w"][:-1]
         shared = np.zeros(len(v["w"]), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        if last is not None and last[1]:
-            shared[0] = True
-        emit = shared[:-1]
+        shared[0] |= last is not None and last[1]
         last = ({c: x[-1:] for c, x in v.items()}, bool(shared[-1]))
-        if len(emit):
-            out = {c: x[:-1][emit] for c, x in v.items()}
-            if len(out["w"]):
-                yield pa.record_batch([pa.array(out[c]) for c in cols], schema=_POST_ARROW)
+        yield zip(*(v[c][:-1][shared[:-1]].tolist() for c in cols))
     if last is not None and last[1]:
-        yield pa.record_batch([pa.array(last[0][c]) for c in cols], schema=_POST_ARROW)
+        yield zip(*(last[0][c].tolist() for c in cols))
+
+
+def _shared(spec: JoinSpec):
+    """Split shared subtrees: the pairs (sid, other) of a small one that the bounds allow, else rows in blocks."""
+
+    def batch_of(out):
+        return pa.record_batch([pa.array([r[c] for r in out], _SHARED_ARROW.field(c).type) for c in range(6)],
+                               schema=_SHARED_ARROW)
+
+    def run(batches):
+        now, begun, count, out, seen = None, [], 0, [], set()
+
+        def close():
+            for i, (w, s, n, p) in enumerate(begun):
+                for _, s2, n2, p2 in begun[:i]:
+                    need = spec.need(n, n2)
+                    pair = (min(s, s2), max(s, s2))
+                    if n2 >= need and min(n - p, n2 - p2) >= need and pair not in seen:
+                        seen.add(pair)
+                        out.append((w, pair[0], n, p, 0, pair[1]))
+
+        for rows in _shared_rows(batches):
+            for row in rows:
+                if row[0] != now:
+                    close()
+                    now, begun, count = row[0], [row], 1
+                    continue
+                count += 1
+                if count <= spec.few:
+                    begun.append(row)
+                else:
+                    out += [(*r, 0, None) for r in begun]
+                    begun = []
+                    out.append((*row, (count - 1) // spec.block, None))
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+            if len(seen) > 500_000:    # only spares repeats
+                seen.clear()
+        close()
+        yield batch_of(out)
+
+    return run
 
 
 _PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _centre_pairs(spec: JoinSpec):
-    """Chain every set of a subtree to the latest centre of fitting length.
+def _fold(x: int, size: int, to: int) -> int:
+    """A parity sketch of ``size`` slots on ``to`` slots."""
+    while size > to:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return x
 
-    Input sorted by (w, n, sid). The first set is the centre; a set too
-    long for it becomes the next centre. Constant memory per subtree.
+
+def medoid(sketches: list[bytes]) -> int:
+    """The set whose sketch is nearest to the bitwise majority of all."""
+    size = min(map(len, sketches))
+    bits = np.stack([np.unpackbits(np.frombuffer(
+        _fold(int.from_bytes(x, "little"), 8 * len(x), 8 * size).to_bytes(size, "little"), np.uint8))
+        for x in sketches])
+    return int((bits != (2 * bits.sum(0) > len(bits))).sum(1).argmin())
+
+
+def _medoid_pairs(spec: JoinSpec):
+    """Each set of a block with the block's medoid, if bounds and sketches allow a link.
+
+    Input sorted by (w, blk, n, sid); a block has at most ``block`` sets.
     """
 
     def run(batches):
-        cw = cs = cn = cp = None
+        key, rows, a, b = None, [], [], []
+
+        def close():
+            if len(rows) < 2:
+                return
+            n, s, p, sk = rows[medoid([r[3] for r in rows])]
+            for n2, s2, p2, sk2 in rows:
+                need = spec.need(n, n2)
+                if s2 != s and min(n, n2) >= need and min(n - p, n2 - p2) >= need \
+                        and differ_at_least(sk, sk2) <= n + n2 - 2 * need:
+                    a.append(s)
+                    b.append(s2)
+
         for batch in batches:
-            a, b, done = [], [], set()
-            for w, s, n, p in zip(*(batch.column(c).to_pylist() for c in ("w", "sid", "n", "pos"))):
-                if w != cw or spec.den * cn < spec.num * n:
-                    cw, cs, cn, cp = w, s, n, p
-                elif s != cs and (cs, s) not in done:
-                    done.add((cs, s))
-                    if min(cn - cp, n - p) >= -(-(spec.num * (cn + n)) // (spec.num + spec.den)):
-                        a.append(cs)
-                        b.append(s)
+            for w, blk, n, s, p, sk in zip(*(batch.column(c).to_pylist()
+                                             for c in ("w", "blk", "n", "sid", "pos", "sketch"))):
+                if (w, blk) != key:
+                    close()
+                    key, rows = (w, blk), []
+                rows.append((n, s, p, sk))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
+            a, b = [], []
+        close()
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
 
     return run
 
 
 def _cross_pairs(spec: JoinSpec):
-    """All fitting pairs of sets of different components within a block pair.
+    """Pairs of sets of different components within a block pair that pass the bounds and sketches.
 
-    Input sorted by (w, i, j, n, sid), with columns blk and root. A block
-    pair holds about ``2 * block`` sets at most.
+    Input sorted by (w, i, j, n, sid), with columns blk, root and sketch. A
+    block pair holds about ``2 * block`` sets at most.
     """
 
     def run(batches):
-        key, held = None, {}
+        key, held, seen = None, {}, set()
         for batch in batches:
             a, b = [], []
             rows = zip(*(batch.column(c).to_pylist()
-                         for c in ("w", "i", "j", "n", "sid", "pos", "blk", "root")))
-            for w, i, j, n, s, p, blk, root in rows:
+                         for c in ("w", "i", "j", "n", "sid", "pos", "blk", "root", "sketch")))
+            for w, i, j, n, s, p, blk, root, sk in rows:
                 if (w, i, j) != key:
                     key, held = (w, i, j), {}
                 for other, sets in held.items():
                     if other == root:
                         continue
-                    for n2, s2, p2, blk2 in sets:
-                        if (i == j or blk2 != blk) and spec.den * n2 >= spec.num * n and \
-                                min(n - p, n2 - p2) >= -(-(spec.num * (n + n2)) // (spec.num + spec.den)):
-                            a.append(min(s, s2))
-                            b.append(max(s, s2))
-                held.setdefault(root, []).append((n, s, p, blk))
+                    for n2, s2, p2, blk2, sk2 in sets:
+                        if (i != j and blk2 == blk) or spec.den * n2 < spec.num * n:
+                            continue
+                        need = spec.need(n, n2)
+                        if min(n - p, n2 - p2) >= need and differ_at_least(sk, sk2) <= n + n2 - 2 * need:
+                            pair = (min(s, s2), max(s, s2))
+                            if pair not in seen:
+                                seen.add(pair)
+                                a.append(pair[0])
+                                b.append(pair[1])
+                held.setdefault(root, []).append((n, s, p, blk, sk))
+                if len(seen) > 1_000_000:
+                    seen.clear()
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
 
     return run
 
 
+def _may_link(spec: JoinSpec):
+    """Keep the pairs whose sketches allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb"))):
+                need = spec.need(n, m)
+                keep.append(min(n, m) >= need and differ_at_least(x, y) <= n + m - 2 * need)
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([part.column("a"), part.column("b")], schema=_PAIR_ARROW)
+
+    return run
+
+
 def trie_overlaps(centre: np.ndarray, members: list[np.ndarray], need: list[int]) -> list[int]:
     """Overlap of ``centre`` with each member, or -1 once it cannot reach ``need``.
 
@@ -326,7 +452,7 @@ def _verify(spec: JoinSpec, crowd):
         offsets, data = text_bytes(pa.array([centre[1]] + [t for _, t in rows], pa.large_string()))
         sets = [np.sort(order_rank(g, crowd.value)) for _, g in shingle_sets(offsets, data, spec.k)]
         head, rest = sets[0], sets[1:]
-        need = [-(-(spec.num * (len(head) + len(x))) // (spec.num + spec.den)) for x in rest]
+        need = [spec.need(len(head), len(x)) for x in rest]
         return [sid for (sid, _), o in zip(rows, trie_overlaps(head, rest, need)) if o >= 0]
 
     def run(batches):
@@ -357,8 +483,9 @@ def _verify(spec: JoinSpec, crowd):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, spec: JoinSpec, crowd) -> DataFrame:
-    """Verified links among candidate pairs (a, b); texts: one (sid, text) per set."""
+def _links(pairs: DataFrame, base: DataFrame, sets: DataFrame, spec: JoinSpec, crowd) -> DataFrame:
+    """Verified links among candidate pairs (a, b)."""
+    texts = _texts(base, sets, pairs)
     parts = pairs.select(F.col("a").alias("centre"), F.col("b").alias("sid"))
     sizes = parts.groupBy("centre").agg(F.count("*").alias("m"))
     chunks = F.ceil(F.col("m") / spec.chunk).cast("int")
@@ -408,40 +535,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = materialize(base.mapInArrow(_profile(spec), _PROFILE))
     crowd = spark.sparkContext.broadcast(_crowd_table(profile))
     rows = profile.where("kind = 0").drop("kind")
+    # one row per set: its size, a document that has it, its sketch
+    sets = materialize(
+        rows.where("sid is not null and doc_id is not null").groupBy("sid")
+        .agg(F.min(F.struct("doc_id", "th")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+        .select("sid", "n", "d.doc_id", "d.th", "sketch"))
 
     # first levels of the trie, kept where two or more sets meet
-    posts = base.where("doc_id is not null").select("text").mapInArrow(_postings(spec, crowd), "w long, sid long, n int, pos int")
+    posts = base.where("doc_id is not null").select("text").mapInArrow(
+        _postings(spec, crowd), "w long, sid long, n int, pos int")
     posts = posts.repartition("w").sortWithinPartitions("w", "n", "sid")
-    shared = materialize(posts.mapInArrow(_shared, "w long, sid long, n int, pos int"))
-
-    tested = materialize(
-        # the checkpoint keeps the partitions and their order
-        shared.mapInArrow(_centre_pairs(spec), "a long, b long").distinct())
-
-    first = materialize(_links(tested, _one_text(base, rows, tested), spec, crowd))
+    shared = materialize(posts.mapInArrow(_shared(spec), _SHARED))
+    sides = [sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"x{c}"))
+             for c in "ab"]
+    pairs = shared.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct() \
+        .join(sides[0], "a").join(sides[1], "b").mapInArrow(_may_link(spec), "a long, b long")
+    held = materialize(shared.where("other is null").drop("other").join(sets.select("sid", "sketch"), "sid")
+                       .repartition("w", "blk").sortWithinPartitions("w", "blk", "n", "sid"))
+    met = held.mapInArrow(_medoid_pairs(spec), "a long, b long").groupBy("a", "b").count()
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    first = materialize(pairs.union(best))
+    first = materialize(_links(first, base, sets, spec, crowd))
     roots = components(first)
 
-    # untested pairs that could join two components
-    tagged = (shared.join(roots, "sid", "left")
-              .withColumn("root", F.coalesce("root", "sid")))
-    sizes = (shared.groupBy("w").agg(F.count("*").alias("m")).where("m > 2")
-             .withColumn("nb", F.ceil(F.col("m") / spec.block).cast("int")))
-    mixed = tagged.groupBy("w").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    blocks = (tagged.join(sizes.join(mixed.select("w"), "w"), "w")
-              .withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    # pairs that could join two components
+    tagged = held.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    groups = tagged.groupBy("w").agg(F.max("blk").alias("top"), F.min("root").alias("lo"),
+                                     F.max("root").alias("hi")).where("lo <> hi").select("w", "top")
+    blocks = (tagged.join(groups, "w").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("top"))))
               .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")))
-    cross = (blocks.select("w", "i", "j", "n", "sid", "pos", "blk", "root")
+    cross = (blocks.select("w", "i", "j", "n", "sid", "pos", "blk", "root", "sketch")
              .repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "n", "sid")
              .mapInArrow(_cross_pairs(spec), "a long, b long").distinct())
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(cross.join(done, ["a", "b"], "left_anti"))
-    second = materialize(_links(rest, _one_text(base, rows, rest), spec, crowd))
+    second = materialize(_links(materialize(cross), base, sets, spec, crowd))
     roots = components(first.union(second))
 
-    reps = (rows.where("sid is not null and doc_id is not null")
-            .groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    members = reps.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    members = sets.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     comps = members.join(smallest, "root").select("sid", "component_id")
     return (rows.join(comps, "sid", "left")
@@ -450,9 +579,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     .alias("component_id")))
 
 
-def _one_text(base: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text) of one document for each set that occurs in ``pairs``."""
+def _texts(base: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, text) of one document for each set that occurs in ``pairs``.
+
+    Texts are filtered by the slots of the wanted ids before they move.
+    """
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    pick = (rows.where("doc_id is not null").join(wanted, "sid").groupBy("sid")
-            .agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sid", "d.doc_id", "d.th"))
-    return base.join(pick, ["doc_id", "th"]).select("sid", "text")
+    pick = sets.join(wanted, "sid").select("sid", "doc_id", "th")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_SLOTS)).alias("slot")
+    slots = F.broadcast(pick.select(slot).distinct())      # at most FETCH_SLOTS numbers
+    near = base.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
+    return near.join(pick, ["doc_id", "th"]).select("sid", "text")
