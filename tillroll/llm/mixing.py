@@ -5,7 +5,7 @@
    needs a part of the source.
 2. A source's rows fall into blocks by a seeded hash. In a seeded order of
    blocks, whole blocks are taken while they fit; inside the first block that
-   doesn't, rows are taken in hash order while they fit. Blocks hold about
+   doesn't, rows are taken in a seeded order while they fit. Blocks hold about
    ``block_rows`` rows, or a ``1 / max_blocks`` part of a large source.
 3. The taken block copies are the balls of an urn, one colour per source. A
    binary tree over the output shards splits them exactly: each node draws
@@ -92,14 +92,25 @@ def with_sizes(docs: DataFrame, keep: list[str], id_col: str, text_col: str, sou
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Take units in hash order while they fit the rest of the target."""
+    """Take units in a seeded order while they fit; of some orders the one that leaves least.
+
+    The rest is smaller than every unit left out.
+    """
     pdf = pdf.sort_values("h_")
-    left, take = int(pdf["left"].iloc[0]), []
-    for n in pdf["words"].tolist():
-        fits = 0 < n <= left
-        left -= n if fits else 0
-        take.append(fits)
-    return pd.DataFrame({"k_": pdf["k_"], "h_": pdf["h_"], "part": take})
+    words, rest = pdf["words"].to_numpy(), int(pdf["left"].iloc[0])
+    best, least = np.zeros(len(words), bool), rest
+    for trial in range(64):
+        order = np.random.default_rng([trial, len(words)]).permutation(len(words))
+        left, take = rest, np.zeros(len(words), bool)
+        for i, n in zip(order.tolist(), words[order].tolist()):
+            if 0 < n <= left:
+                left -= n
+                take[i] = True
+        if trial == 0 or left < least:
+            best, least = take, left
+        if least <= words.sum() // 1000:
+            break
+    return pd.DataFrame({"k_": pdf["k_"], "h_": pdf["h_"], "part": best})
 
 
 # A lookup table up to this many rows is broadcast; a larger one is joined as the planner sees fit.
