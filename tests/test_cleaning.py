@@ -76,3 +76,25 @@ def test_transactions(spark, scratch):
     assert rows[4]["purchase_date"] == dt.date(1995, 1, 13)  # two-digit year pivot
     assert rows[0]["store_r"] == "EAST "
     assert df.schema["week_num"].dataType.simpleString() == "int"
+
+
+def test_real_file_inputs(spark, scratch):
+    """Doubled quotes, a trailing backslash, exact long keys, suffixes, over-long weeks, dates, wide blanks."""
+    from tillroll.functions.cleaning import clean_text, coerce_key, parse_date, to_number
+    from tillroll.sources.csv_extracts import read_extract
+
+    path = f"{scratch}/p.csv"
+    with open(path, "w") as f:
+        f.write('A,B,C\n1,"6"" TORTILLA, CORN",x\n2,"A\\",y\n')
+    rows = [tuple(r) for r in read_extract(spark, path).collect()]
+    assert rows == [("1", '6" TORTILLA, CORN', "x"), ("2", "A\\", "y")]
+    v = ["9007199254740993", "1234567890123456789", "10.7", "10d", "7F", "0x1p3", "3000000000", "abc", "99999999999999999999"]
+    df = spark.createDataFrame([(x,) for x in v], "v string")
+    got = df.select(coerce_key(df.v).alias("k"), to_number(df.v, "int").alias("i")).collect()
+    assert [r["k"] for r in got] == [9007199254740993, 1234567890123456789, 10, None, None, None, 3000000000, None, None]
+    assert [r["i"] for r in got][2] == 10 and got[6]["i"] is None
+    d = ["3-JAN-18", "1/3/18", "2018-1-3", "2018-01-03T00:00:00", "20180103"]
+    df = spark.createDataFrame([(x,) for x in d], "v string")
+    assert {str(r[0]) for r in df.select(parse_date(df.v)).collect()} == {"2018-01-03"}
+    df = spark.createDataFrame([("\u00a0\u2003x\u00a0",)], "v string")
+    assert df.select(clean_text(df.v)).first()[0] == "x"

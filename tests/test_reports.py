@@ -149,18 +149,6 @@ def test_dashboard_report(tables):
         "department", "week", "income", "children", "brand", "organic"}
 
 
-def test_opt_in_line_cap_and_sample(tables):
-    s = star(tables)
-    capped = basket.capped_lines(s, 2).collect()
-    assert [(r["basket_num"], r["product_num"]) for r in capped] == [(100, 10), (100, 11)]
-    lab = basket_value.basket_value_label(s)
-    assert basket_value.sample_baskets(lab, 2).count() == 2
-    assert basket_value.sample_baskets(lab, 100).count() == lab.count()
-    a = sorted(r["basket_num"] for r in basket_value.sample_baskets(lab, 2).collect())
-    b = sorted(r["basket_num"] for r in basket_value.sample_baskets(lab, 2).collect())
-    assert a == b  # seeded: stable membership
-
-
 def test_approx_baskets_close(tables):
     s = star(tables)
     exact = kpi.kpi_totals(s).first()

@@ -40,18 +40,22 @@ MISSING_TOKENS = (
 # each with the text shape it applies to. ``dd-MMM-yy`` also takes upper-case
 # month names (13-JAN-18).
 DATE_LAYOUTS = (
-    ("dd-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
-    ("dd-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
     ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
     ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("MM/dd/yy", r"^\d{2}/\d{2}/\d{2}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
     ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
 )
 DATE_FORMATS = tuple(f for f, _ in DATE_LAYOUTS)
 
-_EDGE_SPACE = r"^\s+|\s+$"
+_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Plain decimal numbers: no type suffix, no hexadecimal.
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def missing_to_null(c: Column) -> Column:
@@ -78,19 +82,26 @@ def category(c: Column, width: int = 128) -> Column:
 def coerce_key(c: Column) -> Column:
     """Text -> integral key: numeric parse (bad -> NULL), then truncate.
 
-    Going through double lets '10.7' become 10 (a direct integer cast of
-    that text is NULL); infinities and NaN are treated as bad keys.
+    Whole numbers are read exactly, whatever their length; '10.7' becomes 10
+    by way of double; anything else is a bad key.
     """
-    d = c.try_cast("double")
-    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < F.lit(9.2e18))
-    return F.when(finite, d.cast("bigint"))
+    d = _double(c)
+    whole = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("bigint"))
+    return F.coalesce(whole, F.when(F.abs(d) < F.lit(9.2e18), d.cast("bigint")))
+
+
+def _double(c: Column) -> Column:
+    """Text of a plain number as double, else NULL."""
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
 def to_number(c: Column, target: str = "double") -> Column:
     """Numeric text -> number, bad text -> NULL, NaN -> NULL."""
-    d = c.try_cast("double")
-    d = F.when(~F.isnan(d), d)
-    return d if target == "double" else F.when(F.abs(d) < F.lit(9.2e18), d.cast(target))
+    if target == "double":
+        return _double(c)
+    if target == "bigint":
+        return coerce_key(c)
+    return coerce_key(c).try_cast(target)    # out of range -> NULL
 
 
 def parse_date(c: Column, layouts=DATE_LAYOUTS) -> Column:

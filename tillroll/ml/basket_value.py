@@ -69,14 +69,6 @@ def basket_value_median(star: DataFrame) -> DataFrame:
         F.round(F.lit(med).cast("double"), 4).alias("median_basket_spend"))
 
 
-def sample_baskets(labelled: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Opt-in: a fixed-size pseudo-random sample of baskets (only when above
-    ``n``), ranked by a seeded hash so the membership is stable across runs.
-    Not needed by the weighted training frame, which uses every basket.
-    """
-    return labelled.orderBy(F.xxhash64("basket_num", F.lit(seed)), "basket_num").limit(int(n))
-
-
 def training_frame(labelled: DataFrame) -> DataFrame:
     """Baskets grouped to (features, label) with a basket-count weight."""
     cols = [name for name, _ in FEATURES]

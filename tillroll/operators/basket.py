@@ -127,16 +127,6 @@ def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -
             .select("item_1", "item_2", F.col("n").alias("times_bought_together")))
 
 
-def capped_lines(star: DataFrame, cap_lines: int) -> DataFrame:
-    """Opt-in: only the first ``cap_lines`` lines by (basket, product).
-
-    This is the reference's way of bounding its single-process pair count;
-    it can cut the last basket in half and favours low basket numbers. No
-    registered query uses it (the default operators read every line).
-    """
-    return star.orderBy("basket_num", "product_num").limit(int(cap_lines))
-
-
 def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` most frequent pairs (ties by item names)."""
     return pairs.orderBy(F.col("times_bought_together").desc(),

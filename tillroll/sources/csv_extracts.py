@@ -24,6 +24,8 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
             .option("header", True)
             .option("inferSchema", False)
             .option("mode", "PERMISSIVE")
+            .option("escape", '"')            # the files double their quotes
+            .option("enforceSchema", False)   # a file with another column order fails instead of shifting
             .csv(path))
 
 
@@ -35,7 +37,8 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def stream_extract(spark: SparkSession, folder: str, columns,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of a landing folder; every file carries the header."""
-    reader = spark.readStream.schema(raw_schema(columns)).option("header", True)
+    reader = spark.readStream.schema(raw_schema(columns)).option("header", True) \
+        .option("escape", '"').option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     return reader.csv(folder)

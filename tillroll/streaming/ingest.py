@@ -11,14 +11,11 @@ replacing the whole data set is ``warehouse.refresh``.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.operators.cleaning import clean_transactions
 from tillroll.schema import RAW_TRANSACTION_COLUMNS
-from tillroll.session import scratch_path
 from tillroll.sources.csv_extracts import stream_extract
 
 
@@ -34,8 +31,8 @@ def ingest_stream(spark: SparkSession, landing: str, out: str,
     """
     raw = stream_extract(spark, landing, columns, max_files_per_trigger)
     clean = clean_transactions(raw)
-    ckpt = checkpoint or scratch_path(
-        spark, "ingest_stream/" + hashlib.sha1(out.encode()).hexdigest()[:16])
+    # beside the output: a restart finds it, whatever the process
+    ckpt = checkpoint or out.rstrip("/") + "/_checkpoint"
     writer = (clean.writeStream.format("parquet")
               .option("path", out)
               .option("checkpointLocation", ckpt)
