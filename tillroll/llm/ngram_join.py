@@ -550,9 +550,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              for c in "ab"]
     pairs = shared.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct() \
         .join(sides[0], "a").join(sides[1], "b").mapInArrow(_may_link(spec), "a long, b long")
-    held = materialize(shared.where("other is null").drop("other").join(sets.select("sid", "sketch"), "sid")
-                       .repartition("w", "blk").sortWithinPartitions("w", "blk", "n", "sid"))
-    met = held.mapInArrow(_medoid_pairs(spec), "a long, b long").groupBy("a", "b").count()
+    # rows of larger subtrees; sketches join them last, where they are compared
+    held, sketches = shared.where("other is null").drop("other"), sets.select("sid", "sketch")
+    met = (held.join(sketches, "sid").repartition("w", "blk").sortWithinPartitions("w", "blk", "n", "sid")
+           .mapInArrow(_medoid_pairs(spec), "a long, b long").groupBy("a", "b").count())
     best = met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
     first = materialize(pairs.union(best))
     first = materialize(_links(first, base, sets, spec, crowd))
@@ -564,7 +565,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                      F.max("root").alias("hi")).where("lo <> hi").select("w", "top")
     blocks = (tagged.join(groups, "w").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("top"))))
               .withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")))
-    cross = (blocks.select("w", "i", "j", "n", "sid", "pos", "blk", "root", "sketch")
+    cross = (blocks.select("w", "i", "j", "n", "sid", "pos", "blk", "root").join(sketches, "sid")
              .repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "n", "sid")
              .mapInArrow(_cross_pairs(spec), "a long, b long").distinct())
     second = materialize(_links(materialize(cross), base, sets, spec, crowd))
