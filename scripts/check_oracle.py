@@ -42,7 +42,7 @@ def rows_of(cols, records):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", 8, driver_memory="8g")
     con = duckdb.connect()
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"

@@ -33,7 +33,7 @@ BAD = r"(BatchEvalPython|ArrowEvalPython|CartesianProduct|BroadcastNestedLoopJoi
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", 16)
+    spark = build_session("local[8]", 16, driver_memory="8g")
     qs = registry.build()
     print("# Physical plan summary\n")
     print(f"Generated by `scripts/plan_summary.py` over `{sf_dir}` (planned physical plan, before AQE "

@@ -8,7 +8,7 @@ from tillroll.functions.cleaning import (
     parse_date,
     py_strip,
 )
-from tillroll.functions.rounding import half_even_ratio, money
+from tillroll.functions.rounding import half_even_ratio, money_sum
 
 __all__ = [
     "MISSING_TOKENS",
@@ -16,7 +16,7 @@ __all__ = [
     "coerce_key",
     "half_even_ratio",
     "missing_to_null",
-    "money",
+    "money_sum",
     "parse_date",
     "py_strip",
 ]

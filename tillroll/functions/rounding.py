@@ -1,8 +1,9 @@
 """Money arithmetic with the rounding the reports promise.
 
-Summed doubles differ in their last bits between engines and between
-partitionings, so reported money is rounded to cents, and averages are
-rounded half-to-even in integer cents (no binary-fraction ties).
+Sums of doubles depend on the order of addition, so money is summed in whole
+cents as 64-bit integers: exact and the same under every partitioning up to
+9.2e16 currency units, and an overflow is an error. Averages are rounded
+half-to-even in integer cents (no binary-fraction ties).
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(c: Column) -> Column:
-    """Round a summed amount to cents (output type double)."""
-    return F.round(c, 2)
+def money_sum(amount: Column) -> Column:
+    """Exact sum of amounts, each rounded to cents (output type double).
+
+    NULL and non-finite amounts do not count; NULL when nothing counts.
+    """
+    return F.sum(F.round(amount.cast("double") * 100).try_cast("bigint")) / F.lit(100.0)
 
 
 def half_even_ratio(total: Column, n: Column) -> Column:

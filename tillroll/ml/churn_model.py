@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.rounding import money_sum
+from tillroll.operators.summaries import household_baskets
 from tillroll.session import materialize
 
 FEATURES = ("spend", "units", "baskets", "weeks", "recency")
@@ -23,19 +25,20 @@ def churn_training_frame(star: DataFrame, horizon: int = 8) -> DataFrame:
     """Per household with lines up to the cutoff: features over those lines
     and ``churned`` = 1.0 when it bought nothing after the cutoff.
 
-    The latest week is one scalar (a global max with a partial aggregate);
-    everything else is a single conditional aggregate per household.
+    The lines are read once, into the (household, basket, week) table; the
+    latest week and the conditional aggregates per household read that.
     """
-    latest = star.agg(F.max("week_num").alias("w")).first()["w"]
+    baskets = materialize(household_baskets(star))
+    latest = baskets.agg(F.max("week_num").alias("w")).first()["w"]
     if latest is None:
         latest = 0
     cutoff = F.lit(int(latest) - int(horizon))
     pre = F.col("week_num") <= cutoff
-    g = star.groupBy("hshd_num").agg(
-        F.round(F.sum(F.when(pre, F.col("spend"))), 2).alias("spend"),
+    g = baskets.groupBy("hshd_num").agg(
+        money_sum(F.when(pre, F.col("spend"))).alias("spend"),
         F.sum(F.when(pre, F.col("units"))).alias("units"),
         F.count_distinct(F.when(pre, F.col("basket_num"))).cast("double").alias("baskets"),
-        F.count_distinct(F.when(pre, F.col("week_num"))).cast("double").alias("weeks"),
+        F.size(F.collect_set(F.when(pre, F.col("week_num")))).cast("double").alias("weeks"),
         (cutoff - F.max(F.when(pre, F.col("week_num")))).cast("double").alias("recency"),
         F.count_if(pre).alias("n_pre"),
         F.max("week_num").alias("last_week"),
@@ -49,9 +52,13 @@ def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:
     """Per household: the churn label and the fitted churn probability.
 
     The training frame (one row per household) is materialised once; the
-    scaler fit, the optimiser's passes and the scoring all read it.
+    scaler fit, the optimiser's passes and the scoring all read it. Without
+    households the result is empty.
     """
     data = materialize(churn_training_frame(star, horizon))
+    if data.isEmpty():
+        return data.select("hshd_num", F.col("churned").cast("int").alias("churned"),
+                           F.lit(0.0).alias("churn_probability"))
     vec = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(data)
     scaled = StandardScaler(inputCol="raw", outputCol="features").fit(vec).transform(vec)
     model = LogisticRegression(featuresCol="features", labelCol="churned",

@@ -62,9 +62,13 @@ def clv_fit(feats: DataFrame, cols=None):
 
 
 def clv_predict(star: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+    """Predicted CLV per household; empty without households."""
     feats = materialize(clv_features(star, rollup))
-    model, cols = clv_fit(feats)
-    pred = model.transform(_assemble(feats, cols))
+    if feats.isEmpty():
+        pred = feats.withColumn("prediction", F.lit(0.0))
+    else:
+        model, cols = clv_fit(feats)
+        pred = model.transform(_assemble(feats, cols))
     return pred.select(
         "hshd_num", "total_spend", "estimated_future_clv",
         F.bround("prediction", 2).alias("predicted_clv"),
@@ -79,8 +83,10 @@ def clv_top(star: DataFrame, n: int = 10, rollup: DataFrame | None = None) -> Da
 
 
 def clv_rf(star: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int = 42) -> DataFrame:
-    """Extension: random-forest CLV predictions per household."""
+    """Extension: random-forest CLV predictions per household; empty without households."""
     feats = materialize(clv_features(star))
+    if feats.isEmpty():
+        return feats.select("hshd_num", "estimated_future_clv", F.lit(0.0).alias("rf_predicted_clv"))
     data = _assemble(feats, FEATURES)
     model = RandomForestRegressor(featuresCol="features", labelCol="estimated_future_clv",
                                   numTrees=num_trees, maxDepth=max_depth, seed=seed).fit(data)
@@ -89,16 +95,22 @@ def clv_rf(star: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int =
 
 
 def clv_holdout(star: DataFrame, test_buckets: int = 5) -> DataFrame:
-    """Extension: fit on 4/5 of households (stable hash split), score the rest."""
+    """Extension: fit on 4/5 of households (stable hash split), score the rest.
+
+    With no household on either side the metrics are NULL.
+    """
     feats = materialize(clv_features(star))
     bucket = F.pmod(F.xxhash64("hshd_num"), F.lit(test_buckets))
     train = feats.where(bucket != 0)
     test = feats.where(bucket == 0)
+    counts = feats.agg(F.count_if(bucket != 0).alias("n_train"), F.count_if(bucket == 0).alias("n_test"))
+    if train.isEmpty() or test.isEmpty():
+        none = F.lit(None).cast("double")
+        return counts.select("n_train", "n_test", none.alias("rmse"), none.alias("r2"))
     model, cols = clv_fit(train)
     scored = model.transform(_assemble(test, cols))
     ev = RegressionEvaluator(labelCol="estimated_future_clv", predictionCol="prediction")
     rmse = ev.evaluate(scored, {ev.metricName: "rmse"})
     r2 = ev.evaluate(scored, {ev.metricName: "r2"})
-    counts = feats.agg(F.count_if(bucket != 0).alias("n_train"), F.count_if(bucket == 0).alias("n_test"))
     return counts.select("n_train", "n_test", F.lit(float(rmse)).alias("rmse"),
                          F.lit(float(r2)).alias("r2"))

@@ -9,10 +9,11 @@ product instead of a per-basket pair expansion:
    (``collect_set`` has a partial aggregate, so a giant basket is reduced to
    at most C codes per task before its shuffle).
 3. Each (item a, word j) of a basket becomes one row carrying the word's
-   mask; ``groupBy(a, j)`` sums the 64 bits of the masks. Rows per basket =
+   mask, without the bits below a; ``groupBy(a, j)`` sums the 64 bits of the masks. Rows per basket =
    items × non-empty words, i.e. linear in basket width while C <= 64, and
    each word packs 64 partners. The partial aggregate runs before the
-   shuffle, so only C × C/64 counter rows per task cross the network.
+   shuffle, so only C × C/64 counter rows per task cross the network. The
+   words are built once per basket, before its items are exploded.
 4. Counter (a, j, bit) is the number of baskets holding both a and
    b = 64·j + bit; the diagonal a = b is the number of baskets holding a.
 """
@@ -83,9 +84,14 @@ def _words(items_col: str):
 
 def cooccurrence(itemsets: DataFrame) -> DataFrame:
     """Upper triangle (a <= b) of the basket co-occurrence matrix: (a, b, n)."""
-    per_item = itemsets.select(F.explode("items").alias("a"), _words("items").alias("words"))
-    per_word = per_item.select("a", F.explode("words").alias("w")).select(
+    # the outer form infers no filter, which would build the words again
+    per_item = (itemsets.select("items", _words("items").alias("words"))
+                .select(F.explode_outer("items").alias("a"), "words"))
+    per_word = per_item.select("a", F.explode_outer("words").alias("w")).select(
         "a", F.col("w.j").alias("j"), F.col("w.mask").alias("mask"))
+    home = F.shiftright("a", 6)
+    per_word = per_word.where(F.col("j") >= home).withColumn(
+        "mask", F.when(F.col("j") == home, F.expr("mask & shiftleft(-1L, a & 63)")).otherwise(F.col("mask")))
     bits = [F.sum(F.shiftright("mask", b).bitwiseAND(1)).alias(f"c{b}") for b in range(WORD_BITS)]
     counters = per_word.groupBy("a", "j").agg(*bits)
     cells = counters.select(
@@ -95,18 +101,22 @@ def cooccurrence(itemsets: DataFrame) -> DataFrame:
             .where((F.col("n") > 0) & (F.col("b") >= F.col("a"))))
 
 
-def prune_itemsets(itemsets: DataFrame, min_support: int) -> DataFrame:
+def item_support(itemsets: DataFrame) -> DataFrame:
+    """(cid, n_item): number of baskets holding each commodity."""
+    return (itemsets.select(F.explode("items").alias("cid")).groupBy("cid")
+            .agg(F.count(F.lit(1)).alias("n_item")))
+
+
+def prune_itemsets(itemsets: DataFrame, support: DataFrame, min_support: int) -> DataFrame:
     """Apriori pruning: drop commodities held by fewer than ``min_support``
     baskets from every itemset. Exact for all pairs counted ``min_support``
-    times or more (a pair never outnumbers either of its items). The
-    frequent codes (at most C) reach each row as one scalar-subquery array.
+    times or more (a pair never outnumbers either of its items). A semi-join
+    keeps the frequent codes; baskets left with one code have no pair.
     """
-    support = (itemsets.select(F.explode("items").alias("cid")).groupBy("cid")
-               .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support))
-    frequent = support.agg(F.collect_list("cid")).scalar()
-    kept = F.filter(F.col("items"), lambda x: F.array_contains(F.col("_frequent"), x))
-    return (itemsets.withColumn("_frequent", frequent)
-            .select("basket_num", kept.alias("items"))
+    frequent = support.where(F.col("n_item") >= min_support).select("cid")
+    return (itemsets.select("basket_num", F.explode("items").alias("cid"))
+            .join(frequent, "cid", "left_semi")
+            .groupBy("basket_num").agg(F.collect_set("cid").alias("items"))
             .where(F.size("items") >= 2))
 
 
@@ -118,7 +128,8 @@ def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -
     itemsets = basket_itemsets(coded_star)
     if min_support > 1:
         # read twice (supports, then pruning): materialise once
-        itemsets = prune_itemsets(materialize(itemsets), min_support)
+        itemsets = materialize(itemsets)
+        itemsets = prune_itemsets(itemsets, item_support(itemsets), min_support)
     m = cooccurrence(itemsets).where(
         (F.col("a") < F.col("b")) & (F.col("n") >= min_support))
     c1 = codes.select(F.col("cid").alias("a"), F.col("commodity").alias("item_1"))
@@ -146,21 +157,22 @@ def association_rules(coded_star: DataFrame, codes: DataFrame,
     """Pair rules in both directions with support, confidence and lift.
 
     support = n(a,b)/N, confidence = n(a,b)/n(a), lift = n(a,b)·N/(n(a)·n(b)),
-    N = baskets with at least one commodity. Item supports are the diagonal
-    of the same co-occurrence matrix; N is a scalar subquery. The itemsets
-    (one row per basket) and the matrix (at most C·(C+1)/2 cells, bounded by
-    the commodity dimension) are each materialised once, so the four reads
-    of the matrix below do not recompute it.
+    N = baskets with at least one commodity, a scalar subquery. The itemsets
+    (one row per basket) and the item supports (one row per commodity) are
+    each materialised once; the matrix is read once, each cell giving both
+    directions. With ``min_together`` > 1 commodities held by fewer baskets
+    are pruned before the matrix; supports and N still count every basket.
     """
     itemsets = materialize(basket_itemsets(coded_star))
-    m = materialize(cooccurrence(itemsets))
+    support = materialize(item_support(itemsets))
     total = itemsets.agg(F.count(F.lit(1))).scalar()
-    diag = m.where(F.col("a") == F.col("b")).select(F.col("a").alias("cid"), F.col("n").alias("n_item"))
-    off = m.where((F.col("a") < F.col("b")) & (F.col("n") >= min_together))
-    both = off.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").unionByName(
-        off.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
-    dx = diag.select(F.col("cid").alias("x"), F.col("n_item").alias("n_x"))
-    dy = diag.select(F.col("cid").alias("y"), F.col("n_item").alias("n_y"))
+    paired = prune_itemsets(itemsets, support, min_together) if min_together > 1 else itemsets
+    both = (cooccurrence(paired).where((F.col("a") < F.col("b")) & (F.col("n") >= min_together))
+            .select("n", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
+                                           F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))
+            .select("p.x", "p.y", "n"))
+    dx = support.select(F.col("cid").alias("x"), F.col("n_item").alias("n_x"))
+    dy = support.select(F.col("cid").alias("y"), F.col("n_item").alias("n_y"))
     names_x = codes.select(F.col("cid").alias("x"), F.col("commodity").alias("antecedent"))
     names_y = codes.select(F.col("cid").alias("y"), F.col("commodity").alias("consequent"))
     j = both.join(dx, "x").join(dy, "y").join(names_x, "x").join(names_y, "y")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.cleaning import category
-from tillroll.functions.rounding import money
+from tillroll.functions.rounding import money_sum
 
 # The six dashboard series, their grouping label and how many
 # top groups each shows (None = all groups, in key order).
@@ -28,7 +28,7 @@ SERIES = (
 
 
 def _sum_spend() -> Column:
-    return money(F.sum(F.col("spend").cast("double")))
+    return money_sum(F.col("spend"))
 
 
 def kpi_totals(star: DataFrame, approx_baskets: bool = False) -> DataFrame:

@@ -13,6 +13,9 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot basket of the order join even though the basket aggregate
+    # then needs its own shuffle (of partial sums)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -23,17 +26,25 @@ BASE_CONF = {
 
 
 def build_session(
-    master: str = "local[*]",
-    shuffle_partitions: int = 8,
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
     app_name: str = "tillroll",
-    driver_memory: str = "8g",
+    driver_memory: str | None = None,
     extra: dict | None = None,
 ) -> SparkSession:
-    """Create (or reuse) a session configured for the library's plans."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """Create (or reuse) a session configured for the library's plans.
+
+    Master, memory and partition count are set only when given, so what
+    spark-submit or the cluster configures stands.
+    """
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = driver_memory
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -46,9 +57,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Order: the directory the SparkContext already uses, else the session's
-    ``spark.checkpoint.dir`` setting. Only when neither is set (local tests)
-    do we pick a scratch folder, so lineage cuts always land where every
-    executor can read them.
+    ``spark.checkpoint.dir`` setting. Only in local mode, with neither set,
+    do we pick a scratch folder; on a cluster that is an error, because the
+    executors would each write to their own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -125,8 +125,7 @@ class RetailTables:
 
 
 # Schemas of the driver tables (declared, so reads skip schema
-# inference; only the columns the mapping uses are listed, the rest of each
-# file is never read).
+# inference; columns the mapping does not use are never read).
 DRIVER_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -170,11 +169,13 @@ def _line_source(spark: SparkSession, sf_dir: str, order_join: str | None = "mer
 
     Lines join orders as a sort-merge join on the order key (the hint only
     fixes what the planner picks anyway once orders outgrows a broadcast).
-    Its exchanges are the planner's own, so AQE can split a basket holding a
-    third of all lines; the basket key (= order key) keeps the join's hash
-    partitioning through the broadcast dimension joins, so per-basket
-    aggregates need no second shuffle; and an input stored as a few large
-    row groups is still spread over all cores. ``order_join=None`` leaves the
+    Its exchanges are the planner's own. The basket key (= order key) keeps the
+    join's hash partitioning through the broadcast dimension joins, so
+    per-basket aggregates need no second shuffle. AQE splits a basket
+    holding a third of all lines only with
+    ``spark.sql.adaptive.forceOptimizeSkewedJoin`` (set by ``build_session``),
+    because the aggregate then needs one. An input stored as a few large row
+    groups is still spread over all cores. ``order_join=None`` leaves the
     choice to the planner, for selective reports (a one-household pull, whose
     filtered orders side is small) where a broadcast of that side is better.
     """
