@@ -24,9 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType
 
 from tillroll.llm.common import text_bytes
 
@@ -194,14 +196,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return fit(x, y, labels, spec)
 
 
-def _score(net: ByteCnn, schema: pa.Schema, block: int = 192):
-    """Score every window of every text; a long text is scored block by block."""
+def _score(net: ByteCnn, schema: pa.Schema, inside: str | None, block: int = 192):
+    """Score every window of every text (field ``inside`` of row_, if named); a long text is scored block by block."""
 
     def run(batches):
         plan = net.pair_tables()
         size, k = net.spec.window, len(net.labels)
         for batch in batches:
-            offsets, data = text_bytes(batch.column("text"))
+            row = batch.column("row_")
+            offsets, data = text_bytes(pc.struct_field(row, inside) if inside else batch.column("text"))
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             n = np.where(letters, np.maximum(-(-np.diff(offsets) // size), 1), 0)
             sums = np.zeros((batch.num_rows, k))
@@ -232,7 +235,7 @@ def _score(net: ByteCnn, schema: pa.Schema, block: int = 192):
             best = mean.argmax(1)
             names = [net.labels[b] if n[r] else UNKNOWN for r, b in enumerate(best)]
             score = np.where(n > 0, np.clip(mean[np.arange(len(n)), best], 0, 1), 0.0)
-            yield pa.record_batch([batch.column("row_"), pa.array(names, pa.string()), pa.array(score)],
+            yield pa.record_batch([row, pa.array(names, pa.string()), pa.array(score)],
                                   schema=schema)
 
     return run
@@ -246,5 +249,8 @@ def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str], text_col: str
     if net is None:
         return out
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return base.select("row_", "text", letters).mapInArrow(
-        _score(net, to_arrow_schema(out.schema)), out.schema)
+    # a text among the kept columns is sent once
+    inside = text_col if text_col in keep and isinstance(docs.schema[text_col].dataType, StringType) else None
+    sent = [c for c in ("row_", "text") if c != "text" or not inside]
+    return base.select(*sent, letters).mapInArrow(
+        _score(net, to_arrow_schema(out.schema), inside), out.schema)
