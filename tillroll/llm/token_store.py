@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import row_groups, text_bytes
+from tillroll.llm.common import bounded, row_groups, text_bytes
 
 # Fixed values of the format: ids per word and bits per id of selectors 0..14.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -112,38 +112,43 @@ class PieceEncoder:
 
     The byte-level splitter starts a new pre-token at a single space between
     visible characters, so a text without runs of white space may be cut
-    there and pieces encoded apart. Pieces recur, so their ids are kept, up
-    to ``limit`` pieces; others are encoded again when they return. Texts
+    there and pieces encoded apart. Pieces recur, so their ids are kept in
+    two generations: a piece in use moves to the younger one, and when that
+    holds ``limit`` pieces it becomes the older one, whose pieces go. Texts
     with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 60_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark gives each task a core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {}      # piece -> ids of a space and the piece
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # some at a time: an encoding holds far more than its ids
+        return [array("I", e.ids).tobytes() for a in range(0, len(texts), 4096)
+                for e in self.tok.encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [bool(_SPACE_RUN.search(t)) for t in texts]
         pieces = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
         first = self._ids([p[0] for p in pieces])
-        known = self.known
+        known, older = self.known, self.older
         new: set[str] = set()
         for p in pieces:
             new.update(p[1:])
         new.difference_update(known)
-        fresh = sorted(new)
-        found = dict(zip(fresh, self._ids([" " + q for q in fresh])))
-        if len(known) + len(found) <= self.limit:
-            known.update(found)
-            look = known.__getitem__
-        else:
-            look = lambda q: known.get(q) or found[q]
+        again = new.intersection(older)
+        new.difference_update(again)
+        known.update((q, older[q]) for q in again)
+        fresh = list(new)
+        known.update(zip(fresh, self._ids([" " + q for q in fresh])))
+        if len(known) >= self.limit:
+            self.known, self.older = {}, known
+        look = known.__getitem__
         return [np.frombuffer(b"".join([f, *map(look, p[1:])]), np.uint32) for f, p in zip(first, pieces)]
 
 
@@ -201,7 +206,7 @@ def _encode(tokenizer: str, end_id: int):
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> None:
     """Tokenize ``docs`` and write the store to ``path`` (a folder all executors share)."""
-    (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    (bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
      .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(_encode(tokenizer, end_id), SEGMENT).write.parquet(path))
 
@@ -237,7 +242,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ``start`` adds the ids of earlier shards, of earlier segments of the
     shard and of earlier documents of the segment; only small totals move.
     """
-    store = spark.read.schema(SEGMENT).parquet(path)
+    store = bounded(spark.read.schema(SEGMENT).parquet(path))
     totals = store.select("shard", "seg", F.aggregate(
         "lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("t"))
     shards = totals.groupBy("shard").agg(F.sum("t").alias("t")).selectExpr(
