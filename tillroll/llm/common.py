@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tillroll.session import checkpoint_dir
 
 PIECE = 1 << 20
+BATCH_BYTES = 4 * PIECE
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # ASCII white space \x20 and \x09-\x0D separates words.
 _SPACES = np.zeros(256, bool)
@@ -44,6 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """Sends texts to Python in batches of about ``BATCH_BYTES``, unless the session names another size.
+
+    Spark's default of 64 MB a batch is held several times over in the executor and in each worker.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return docs
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared checkpoint folder and cut the lineage."""
     checkpoint_dir(df.sparkSession)

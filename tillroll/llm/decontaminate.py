@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.common import ALNUM_WORDS, LOWER, Words, materialize, mix, row_groups, text_bytes, words
+from tillroll.llm.common import ALNUM_WORDS, LOWER, Words, bounded, materialize, mix, row_groups, text_bytes, words
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,7 +222,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_
     patterns = materialize(pattern_table(items, item_id, item_text, spec))
     blocks = max(-(-patterns.count() // spec.max_patterns), 1)
     kept = F.struct(*[F.col(f"`{c}`") for c in keep])
-    base = docs.select(kept.alias("row_"), F.col(text_col).alias("text_"), F.lit(0).cast("long").alias("n_words_"),
+    base = bounded(docs).select(kept.alias("row_"), F.col(text_col).alias("text_"), F.lit(0).cast("long").alias("n_words_"),
                        F.array().cast(_SPANS).alias("spans_"), F.array().cast("array<string>").alias("items_"))
     schema = to_arrow_schema(base.schema)
     for k in range(blocks):

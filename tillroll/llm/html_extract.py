@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import bounded
+
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!(?:[^>]*)>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
     re.S)
@@ -435,7 +437,7 @@ def _sample_rows(spec: GbtSpec):
 
 def train(pages: DataFrame, html_col: str = "html", spec: GbtSpec = GbtSpec()) -> Gbt | None:
     """Fit on a bounded sample of pages; None if there is no page."""
-    rows = pages.select(F.col(html_col).alias("html")).where("html is not null and html <> ''")
+    rows = bounded(pages).select(F.col(html_col).alias("html")).where("html is not null and html <> ''")
     n = rows.count()
     if not n:
         return None
@@ -454,7 +456,7 @@ def train(pages: DataFrame, html_col: str = "html", spec: GbtSpec = GbtSpec()) -
 def extract_pages(pages: DataFrame, model: Gbt | None, id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
+    base = bounded(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.col(html_col).alias("html"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tillroll.llm.common import text_bytes
+from tillroll.llm.common import bounded, text_bytes
 
 UNKNOWN = "und"
 
@@ -173,7 +173,7 @@ def _sample_windows(spec: CnnSpec):
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
           spec: CnnSpec = CnnSpec()) -> ByteCnn | None:
     """Fit on a bounded sample of (text, lang) rows; None without labelled rows."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
+    rows = bounded(labelled).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
         .where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count().limit(spec.max_languages + 1).collect()
     if len(counts) > spec.max_languages:
@@ -244,7 +244,7 @@ def _score(net: ByteCnn, schema: pa.Schema, inside: str | None, block: int = 192
 def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Every row's ``keep`` columns (struct row_) with lang_pred and score."""
     kept = F.struct(*[F.col(f"`{c}`") for c in keep])
-    base = docs.select(kept.alias("row_"), F.col(text_col).alias("text"))
+    base = bounded(docs).select(kept.alias("row_"), F.col(text_col).alias("text"))
     out = base.select("row_", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     if net is None:
         return out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import ALNUM_WORDS, mix, row_groups, text_bytes, words
+from tillroll.llm.common import ALNUM_WORDS, bounded, mix, row_groups, text_bytes, words
 
 UNKNOWN = "unknown"
 
@@ -219,7 +219,7 @@ def fit(ordinary: list[str], spec: LicenseSpec) -> LicenseModel:
 
 def train(docs: DataFrame, text_col: str = "text", spec: LicenseSpec = LicenseSpec()) -> LicenseModel:
     """Ordinary paragraphs: a bounded hash sample of one paragraph per document without licence words."""
-    rows = docs.select(F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
+    rows = bounded(docs).select(F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
     n = rows.count()
     if not n:
         return fit([], spec)
@@ -280,6 +280,6 @@ def _apply(model: LicenseModel):
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its surest licence (null: none), and every licensed paragraph (code points)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _apply(model), "doc_id long, license string, score double, n_paragraphs long, n_licensed long, "
                        "found array<struct<family: string, start: bigint, end: bigint, p: double>>")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.common import SPACE_WORDS, materialize, text_bytes, word_counts
+from tillroll.llm.common import SPACE_WORDS, bounded, materialize, text_bytes, word_counts
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ def targets(sizes: dict[str | None, int], spec: MixSpec = MixSpec()) -> dict[str
 def with_sizes(docs: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``keep`` columns in a struct row_, plus id_, src_, size_ (words) and h_ (row hash)."""
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
-    base = docs.select(kept.alias("row_"), F.col(id_col).cast("long").alias("id_"), F.col(source_col).alias("src_"),
+    base = bounded(docs).select(kept.alias("row_"), F.col(id_col).cast("long").alias("id_"), F.col(source_col).alias("src_"),
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h_"),
                        F.lit(0).cast("long").alias("size_"), F.col(text_col).alias("text_"))
     schema = to_arrow_schema(base.drop("text_").schema)

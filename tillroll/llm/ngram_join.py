@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE_WORDS, materialize, mix, row_groups, text_bytes, words
+from tillroll.llm.common import SPACE_WORDS, bounded, materialize, mix, row_groups, text_bytes, words
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
@@ -530,7 +530,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        spec: JoinSpec = JoinSpec()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see the module text)."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     profile = materialize(base.mapInArrow(_profile(spec), _PROFILE))
     crowd = spark.sparkContext.broadcast(_crowd_table(profile))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 
@@ -260,7 +262,7 @@ def _votes_rows(spec: PiiSpec):
 
 def train(docs: DataFrame, text_col: str = "text", spec: PiiSpec = PiiSpec()) -> SpanModel | None:
     """Fit on a bounded sample of the documents that hold a digit or an at sign."""
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(r"[0-9@]|(?i)[(\[{]at[)\]}]"))
+    rows = bounded(docs).select(F.col(text_col).alias("text")).where(F.col("text").rlike(r"[0-9@]|(?i)[(\[{]at[)\]}]"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     n = rows.count()
     if not n:
@@ -319,5 +321,5 @@ def scan(docs: DataFrame, model: SpanModel | None, id_col: str = "doc_id", text_
             yield pa.record_batch([batch.column(0), *[pa.array([r[c] for r in rows], _SCHEMA.field(c + 1).type)
                                                       for c in range(7)]], schema=_SCHEMA)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")) \
         .mapInArrow(run, _COLS)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import ALNUM_WORDS, LOWER, mix, row_groups, text_bytes, words
+from tillroll.llm.common import ALNUM_WORDS, LOWER, bounded, mix, row_groups, text_bytes, words
 
 # A line end or one of these marks before white space closes a sentence.
 _MARKS = np.zeros(256, bool)
@@ -189,7 +189,7 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
           weight_col: str = "weight", spec: MilSpec = MilSpec()) -> MilModel:
     """Fit on (text, 0/1 label, weight) rows, a bounded sample as ``sample_labels`` gives."""
-    picked = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
+    picked = bounded(labelled).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
                              F.col(weight_col).cast("double").alias("weight")) \
         .where("text is not null and y in (0, 1)").withColumn("h", F.xxhash64("text", "y"))
     got = picked.select("text", "h", "y", "weight").mapInArrow(
@@ -246,6 +246,6 @@ def _apply(model: MilModel):
 
 def score(docs: DataFrame, model: MilModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, score, n_sentences and the located sentences (code points)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _apply(model), "doc_id long, score double, n_sentences long, "
                        "offences array<struct<start: bigint, end: bigint, p: double>>")
