@@ -18,6 +18,9 @@ from tillroll.llm.queries import END_ID, TOKENIZER, shared_folder
 # A text whose best language has less than this mean probability is no text of a known language.
 LANGUAGE_AT = 0.4
 
+# Token pieces that a worker keeps a generation: workers are shared with the other stages, so fewer than the default.
+PIECES = 60_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts of no known language."""
@@ -51,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token store; its index, read back from the files."""
     path = shared_folder(spark, "tokens")
-    token_store.write_store(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
+    token_store.write_store(docs, path, public_tokenizers.path(TOKENIZER), END_ID, pieces=PIECES)
     return token_store.read_documents(spark, path)
 
 

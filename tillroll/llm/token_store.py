@@ -41,6 +41,7 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 15
 BLOCK = 256
 SEGMENT_IDS = 1 << 18
+PIECES = 250_000               # kept pieces of a generation
 _SPACE_RUN = re.compile(r"\s\s")
 
 
@@ -118,7 +119,7 @@ class PieceEncoder:
     with runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 60_000):
+    def __init__(self, path: str, limit: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark gives each task a core
         from tokenizers import Tokenizer
 
@@ -152,13 +153,13 @@ class PieceEncoder:
         return [np.frombuffer(b"".join([f, *map(look, p[1:])]), np.uint32) for f, p in zip(first, pieces)]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}        # per Python worker, kept over its tasks
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}        # per Python worker, kept over its tasks
 
 
-def encoder_of(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder_of(path: str, pieces: int = PIECES) -> PieceEncoder:
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
 SEGMENT = ("shard int, seg int, doc_ids array<bigint>, lengths array<bigint>, "
@@ -179,12 +180,12 @@ def _segment(shard, seg, docs, parts):
         pa.array([escapes.astype("<u8").tobytes()], pa.binary())], schema=_SEGMENT_ARROW)
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, pieces: int):
     def run(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, pieces)
         seg, docs, parts, held = 0, [], [], 0
         for batch in batches:
             offsets, _ = text_bytes(batch.column(1))
@@ -204,11 +205,14 @@ def _encode(tokenizer: str, end_id: int):
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
-                text_col: str = "text") -> None:
-    """Tokenize ``docs`` and write the store to ``path`` (a folder all executors share)."""
+                text_col: str = "text", pieces: int = PIECES) -> None:
+    """Tokenize ``docs`` and write the store to ``path`` (a folder all executors share).
+
+    ``pieces`` trades a worker's memory for speed; the ids do not depend on it.
+    """
     (bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
      .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_encode(tokenizer, end_id), SEGMENT).write.parquet(path))
+     .mapInArrow(_encode(tokenizer, end_id, pieces), SEGMENT).write.parquet(path))
 
 
 _DOC = "shard int, seg int, doc_id long, within long, n_tokens long, ids_crc32 long"
