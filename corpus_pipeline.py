@@ -21,6 +21,9 @@ LANGUAGE_AT = 0.4
 # Token pieces that a worker keeps a generation: workers are shared with the other stages, so fewer than the default.
 PIECES = 60_000
 
+# Near copies share four fifths of their five-word shingles; the width and threshold of op1's contract bind op1 alone.
+NEAR = ngram_join.JoinSpec(k=5, num=80, den=100)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without letters and texts of no known language."""
@@ -31,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component; a repeated row stays once."""
-    found = ngram_join.jaccard_components(docs)
+    found = ngram_join.jaccard_components(docs, spec=NEAR)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")

@@ -155,3 +155,33 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(6):
+        base = [f"w{i}" for i in rng.integers(0, 9000, 400)]
+        texts.append(base)
+        for scattered in (2, 6, 8, 9, 12, 30):
+            copy = list(base)
+            for at in np.linspace(5, 390, scattered).astype(int):
+                copy[at] = f"new{rng.integers(0, 10 ** 9)}"
+            texts.append(copy)
+        for passage in (20, 38, 60):
+            texts.append(base[:100] + [f"p{i}" for i in rng.integers(0, 10 ** 9, passage)] + base[100 + passage:])
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root, between = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            either = len(sets[a]) + len(sets[b]) - both
+            between += 80 * either <= 100 * both < 85 * either
+            if 100 * both >= 80 * either:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert between >= 6 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
