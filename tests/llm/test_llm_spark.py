@@ -185,3 +185,22 @@ def test_near_duplicates_against_brute_force(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert between >= 6 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_mixing_carries_the_rest_into_other_blocks(spark):
+    rows = [(i, "w " * 400, "a") for i in range(640)] + [(640, "w " * 200_000, "a")]
+    rows += [(1000 + i, "w " * (1 + i % 90), "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for seed in (11, 12):
+        spec = mixing.MixSpec(weights=(15, 1), seed=seed)
+        sized = mixing.with_sizes(docs, ["doc_id"], "doc_id", "text", "source")
+        p = mixing.plan(sized, spec)
+        got = p.copies(sized).select("row_.doc_id", "src_", "size_", "whole", "copies", "target").toPandas()
+        assert max(s["n_blocks"] for s in p.sources) >= 5
+        for _, g in got.groupby("src_"):
+            miss = g["target"].iloc[0] - (g["size_"] * g["copies"]).sum()
+            free = g["size_"][g["copies"] == g["whole"]]
+            assert 0 <= miss < free.min() + 1, (seed, miss)
+        dealt = mixing.mix(docs, spec).groupBy("row_.doc_id").count().toPandas()
+        assert dict(zip(dealt["doc_id"], dealt["count"])) == \
+            {d: c for d, c in zip(got["doc_id"], got["copies"]) if c}

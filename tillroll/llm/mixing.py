@@ -5,7 +5,10 @@
    needs a part of the source.
 2. A source's rows fall into blocks by a seeded hash. In a seeded order of
    blocks, whole blocks are taken while they fit; inside the first block that
-   doesn't, rows are taken in a seeded order while they fit. Blocks hold about
+   doesn't, rows are taken in a seeded order while they fit. What is left goes
+   on to the rows of other blocks that are no longer than it, in the same
+   way, until no row left out of the source fits: each such round leaves less
+   than the smallest row left out of its last block. Blocks hold about
    ``block_rows`` rows, or a ``1 / max_blocks`` part of a large source.
 3. The taken block copies are the balls of an urn, one colour per source. A
    binary tree over the output shards splits them exactly: each node draws
@@ -94,7 +97,7 @@ def with_sizes(docs: DataFrame, keep: list[str], id_col: str, text_col: str, sou
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     """Take units in a seeded order while they fit; of some orders the one that leaves least.
 
-    The rest is smaller than every unit left out.
+    The rest is smaller than every unit of the block left out.
     """
     pdf = pdf.sort_values("h_")
     words, rest = pdf["words"].to_numpy(), int(pdf["left"].iloc[0])
@@ -110,7 +113,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
             best, least = take, left
         if least <= words.sum() // 1000:
             break
-    return pd.DataFrame({"k_": pdf["k_"], "h_": pdf["h_"], "part": best})
+    return pdf.loc[best, ["k_", "b_", "h_", "words"]]
 
 
 # A lookup table up to this many rows is broadcast; a larger one is joined as the planner sees fit.
@@ -182,12 +185,61 @@ def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
         "k_", "b_", "whole", "w", "run <= rest as full", "run > rest and run - w < rest as edge",
         "rest - (run - w) as left"))
     edge = ranked.where("edge").select("k_", "b_", "left")
-    units = tagged.join(edge, ["k_", "b_"]).groupBy("k_", "h_").agg(
+    units = tagged.join(edge, ["k_", "b_"]).groupBy("k_", "b_", "h_").agg(
         F.sum("size_").alias("words"), F.first("left").alias("left"))
-    part = materialize(units.groupBy("k_").applyInPandas(_fill, "k_ int, h_ long, part boolean"))
+    part = materialize(_filled(units))
+    part = _carry(tagged, ranked, part, order, {s["k_"]: s["rest"] for s in sources})
+    more = part.groupBy("k_", "b_").agg(F.lit(True).alias("more"))
+    ranked = materialize(ranked.join(more, ["k_", "b_"], "left").select(
+        "k_", "b_", "whole", "full", (F.col("edge") | F.coalesce("more", F.lit(False))).alias("edge")))
+    part = part.select("k_", "h_", F.lit(True).alias("part"))
     return Plan(sources, small, ranked, part, spec)
 
 
+_PART = "k_ int, b_ int, h_ long, words long"
+
+
+def _filled(units: DataFrame) -> DataFrame:
+    """The units that ``_fill`` takes; a source has one block here."""
+    return units.groupBy("k_").applyInPandas(_fill, _PART)
+
+
+def _carry(tagged: DataFrame, ranked: DataFrame, part: DataFrame, order, rests: dict[int, int]) -> DataFrame:
+    """``part`` and what else is taken of the other blocks until no row left out of a source fits.
+
+    A round gives what a source has left to its units that are no longer: all units of the blocks that fit in the
+    seeded order, then ``_fill`` in the first block that doesn't.
+    """
+    spark, blocks = tagged.sparkSession, ranked.count()
+    taken = ranked.where("full").select("k_", F.col("w").alias("words"))
+    for r in taken.union(part.select("k_", "words")).groupBy("k_").agg(F.sum("words").alias("words")).collect():
+        rests[r["k_"]] -= r["words"]
+    open_blocks = _lookup(ranked.where("not full").select("k_", "b_"), blocks)
+    while rests := {k: n for k, n in rests.items() if n > 0}:
+        left = F.broadcast(spark.createDataFrame(list(rests.items()), "k_ int, left long"))
+        fit = tagged.join(left, "k_").where("size_ > 0 and size_ <= left").join(open_blocks, ["k_", "b_"], "left_semi") \
+            .groupBy("k_", "b_", "h_").agg(F.sum("size_").alias("words"), F.first("left").alias("left")) \
+            .where("words <= left").join(part.select("k_", "h_"), ["k_", "h_"], "left_anti")
+        fit = materialize(fit)
+        sums = fit.groupBy("k_", "b_").agg(F.sum("words").alias("w"), F.first("left").alias("left"))
+        runs = materialize(sums.withColumn("o", order).selectExpr(
+            "k_", "b_", "w", "left",
+            "sum(w) over (partition by k_ order by o, b_ rows between unbounded preceding and current row) as run"))
+        n_runs = runs.count()
+        if not n_runs:
+            break
+        whole = _lookup(runs.where("run <= left").select("k_", "b_"), n_runs)
+        edge = _lookup(runs.where("run > left and run - w < left")
+                       .select("k_", "b_", (F.col("left") - (F.col("run") - F.col("w"))).alias("left")), n_runs)
+        got = materialize(fit.join(whole, ["k_", "b_"], "left_semi").select("k_", "b_", "h_", "words")
+                          .union(_filled(fit.drop("left").join(edge, ["k_", "b_"]))))
+        spent = {r["k_"]: r["words"] for r in got.groupBy("k_").agg(F.sum("words").alias("words")).collect()}
+        open_ = {r["k_"] for r in runs.select("k_").distinct().collect()}
+        rests = {k: n - spent.get(k, 0) for k, n in rests.items() if k in open_}
+        part = materialize(part.union(got))
+    return part
+
+
 def split(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(offset, quota) per colour of one leaf of the splitting tree over ``shards`` leaves."""
     lo, hi = 0, shards
