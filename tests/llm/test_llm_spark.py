@@ -204,3 +204,16 @@ def test_mixing_carries_the_rest_into_other_blocks(spark):
         dealt = mixing.mix(docs, spec).groupBy("row_.doc_id").count().toPandas()
         assert dict(zip(dealt["doc_id"], dealt["count"])) == \
             {d: c for d, c in zip(got["doc_id"], got["copies"]) if c}
+
+
+def test_op9_counts_the_mixture(spark, odd, monkeypatch):
+    from tillroll.llm import queries
+
+    rows = mixing.with_sizes(table(spark, SF, "documents"), ["doc_id"], "doc_id", "text", "source")
+    want = sorted((r["row_"]["doc_id"], r["size_"] * r["copies"]) for r in mixing.plan(rows).copies(rows).collect())
+    assert sorted((r["doc_id"], r["taken"]) for r in queries.op9_mixing(spark, SF).collect()) == want
+    assert mixing.taken(odd, odd.columns).select("row_.*").count() == odd.count()
+    deal = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: deal(*a, **k).where("pmod(h_, 7) <> 0"))
+    with pytest.raises(Exception, match="differs from its plan"):
+        queries.op9_mixing(spark, SF).collect()

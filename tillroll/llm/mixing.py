@@ -259,14 +259,15 @@ def split(counts: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.nd
 
 
 def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """The mixture: every row of ``docs`` (struct row_) as often as it is taken, with shard_ and place_.
+        source_col: str = "source", planned: Plan | None = None) -> DataFrame:
+    """The mixture: every row of ``docs`` (struct row_) as often as it is taken, with k_, h_, shard_ and place_.
 
-    Rows are partitioned by shard and locally shuffled (ordered by place_).
+    Rows are partitioned by shard and locally shuffled (ordered by place_). ``planned`` is their plan, if there is one.
     """
     spark = docs.sparkSession
     rows = with_sizes(docs, docs.columns, id_col, text_col, source_col)
-    p = plan(rows, spec)
+    p = planned or plan(rows, spec)
+    spec = p.spec
     taken = materialize(p.blocks())
     per = {r["k_"]: r["count"] for r in taken.groupBy("k_").count().collect()}
     counts = np.array([per.get(s["k_"], 0) for s in p.sources], np.int64)
@@ -282,7 +283,26 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
            .withColumn("pass_", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
            .join(_lookup(drawn, int(counts.sum())), ["k_", "b_", "pass_"])
            .withColumn("place_", F.xxhash64(F.lit(spec.seed + 3), "h_", "pass_")))
-    return out.select("row_", "shard_", "place_").repartition("shard_").sortWithinPartitions("shard_", "place_")
+    return out.select("row_", "k_", "h_", "shard_", "place_").repartition("shard_") \
+        .sortWithinPartitions("shard_", "place_")
+
+
+def taken(docs: DataFrame, keep: list[str], spec: MixSpec = MixSpec(), id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """Every row of ``docs`` (``keep`` columns in row_) with size_, source_size, target and taken, its words in ``mix``.
+
+    The rows of the mixture are counted; a count that differs from the plan's copies is an error.
+    """
+    rows = materialize(with_sizes(docs, keep, id_col, text_col, source_col))
+    p = plan(rows, spec)
+    dealt = materialize(mix(docs, spec, id_col, text_col, source_col, p).groupBy("k_", "h_").agg(F.count("*").alias("dealt")))
+    copies = p.copies(rows)
+    # equal rows share a hash
+    equal = copies.groupBy("k_", "h_").agg(F.count("*").alias("equal")).join(dealt, ["k_", "h_"], "left") \
+        .withColumn("dealt", F.coalesce("dealt", F.lit(0)))
+    wrong = F.raise_error(F.lit("the mixture differs from its plan")).cast("long")
+    return copies.join(equal, ["k_", "h_"]).withColumn("taken", F.when(
+        F.col("equal") * F.col("copies") == F.col("dealt"), F.expr("size_ * (dealt div equal)")).otherwise(wrong))
 
 
 def _leaves(counts: np.ndarray, shards: int, seed: int):

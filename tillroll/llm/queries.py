@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import (ann, decontaminate, html_extract, language_id, license_scan, mixing, ngram_join, pii,
                           token_store, toxicity)
-from tillroll.llm.common import fold, materialize, table
+from tillroll.llm.common import fold, table
 from tillroll.session import checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,10 +74,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(mixing.with_sizes(table(spark, sf_dir, "documents"), ["doc_id"], "doc_id", "text", "source"))
-    return mixing.plan(rows).copies(rows).select(
-        F.col("row_.doc_id").alias("doc_id"), F.col("size_").alias("size"), "source_size", "target",
-        (F.col("size_") * F.col("copies")).alias("taken"))
+    return mixing.taken(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        F.col("row_.doc_id").alias("doc_id"), F.col("size_").alias("size"), "source_size", "target", "taken")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
