@@ -100,6 +100,29 @@ def test_nearest(spark):
     assert ann.nearest(empty(df), empty(df)).count() == 0
 
 
+def recall(x, got, queries, k=10):
+    """Share of the exact neighbours found; every query has k rows."""
+    hit = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        mine = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        assert len(mine) == k, q
+        hit += sum(s <= np.sort(d)[k - 1] + 1e-9 for s in mine.values())
+    return hit / (k * len(queries))
+
+
+def test_nearest_with_many_dims_and_bucket_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = list(range(0, 12_000, 400))
+    for block in (65_536, 500):
+        spec = ann.LshSpec(bucket_rows=4, bucket_block=block)
+        assert ann.build_hasher(ann.clean_vectors(df), spec).dims >= 7
+        assert recall(x, ann.nearest(df, df.where("vec_id % 400 = 0"), spec).collect(), queries) >= 0.9
+
+
 def test_decontaminate(spark, odd):
     items = spark.createDataFrame([(7, " ".join(f"W{i}" for i in range(5, 17))), (8, "two three"), (None, "zzz"), (9, None)],
                                   "item_id long, text string")

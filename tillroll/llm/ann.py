@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 ``tables`` hash tables each cut ``dims`` Gaussian projections into slots of
-width ``w``. A query visits perturbed buckets in order of estimated success:
-if a neighbour lies at distance r, its projection differs by a normal step
-of deviation r, so every slot has a probability and a bucket the product.
-Buckets are visited until the tables together reach ``target`` probability;
-r is the distance of the k-th neighbour in a bounded sample. The number of
-buckets follows the number of vectors.
+width ``w``. If a neighbour lies at distance r, its projection differs from
+the query's by a normal step of deviation r, so every slot has a probability
+and a bucket the product. A query visits the occupied buckets in order of
+that product until it has its share of their sum, so that the tables together
+reach ``target``; buckets are ranked in blocks of ``bucket_block``, each to
+its share. r is first the distance of the k-th neighbour in a bounded sample.
 
 Every vector is indexed. A (table, bucket) holds its vectors in parts of
 about ``part`` rows, so a crowded bucket spreads over many tasks; queries go
@@ -24,7 +24,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -45,13 +44,13 @@ class LshSpec:
     max_dims: int = 16
     part: int = 4096
     query_block: int = 1024
+    bucket_block: int = 65_536
     sample: int = 2000
-    max_probes: int = 100_000
     seed: int = 17
 
 
 class Hasher:
-    """Projections of every table and the order in which a query visits buckets."""
+    """Projections of every table and the buckets that a query visits."""
 
     def __init__(self, size: int, n: int, radius: float, spread: float, spec: LshSpec):
         self.spec, self.radius = spec, max(radius, 1e-12)
@@ -69,39 +68,39 @@ class Hasher:
         slots = np.floor(self.project(x, t)).astype(np.int64)
         return [",".join(map(str, row)) for row in slots.tolist()]
 
-    def probes(self, q: np.ndarray, t: int) -> list[str]:
-        """Buckets in order of estimated success until the table's share of the target is reached."""
-        y = self.project(q[None, :], t)[0]
-        home = np.floor(y)
-        reach = max(1, math.ceil(4 * self.radius / self.width))
-        steps = np.arange(-reach, reach + 1)
-        scale = self.radius / self.width
-        cdf = lambda z: 0.5 * (1 + math.erf(z / (scale * math.sqrt(2))))
-        order, prob = [], []
+    def success(self, q: np.ndarray, radius: np.ndarray, slots: np.ndarray, t: int) -> np.ndarray:
+        """Log probability that a neighbour at distance ``radius`` of each query lies in each bucket (slot numbers)."""
+        y, scale = self.project(q, t), (np.maximum(radius, 1e-12) / self.width)[:, None]
+        out = np.zeros((len(q), len(slots)))
         for i in range(self.dims):
-            p = [cdf(home[i] + s + 1 - y[i]) - cdf(home[i] + s - y[i]) for s in steps]
-            best = sorted(range(len(steps)), key=lambda j: -p[j])
-            order.append([int(home[i] + steps[j]) for j in best])
-            prob.append([p[j] for j in best])
+            each, at = np.unique(slots[:, i], return_inverse=True)
+            lo = (each[None, :] - y[:, i, None]) / scale
+            hi = lo + 1 / scale
+            # the tail farther from the query, so that small probabilities keep their digits
+            lo, hi = np.where(lo + hi < 0, -hi, lo), np.where(lo + hi < 0, -lo, hi)
+            with np.errstate(divide="ignore"):
+                out += np.log(_tail(lo) - _tail(hi))[:, at.reshape(-1)]
+        return out
+
+    def visited(self, q: np.ndarray, radius: np.ndarray, slots: np.ndarray, t: int) -> list[np.ndarray]:
+        """Per query the buckets, by success, that make up the table's share of what all these have."""
         need = 1 - (1 - self.spec.target) ** (1 / self.spec.tables)
-        start = (0,) * self.dims
-        heap = [(-math.prod(p[0] for p in prob), start)]
-        seen, out, total = {start}, [], 0.0
-        while heap and total < need and len(out) < self.spec.max_probes:
-            neg, at = heapq.heappop(heap)
-            if neg == 0:
-                break
-            out.append(",".join(str(order[i][j]) for i, j in enumerate(at)))
-            total -= neg
-            for i in range(self.dims):
-                if at[i] + 1 < len(steps):
-                    nxt = at[:i] + (at[i] + 1,) + at[i + 1:]
-                    if nxt not in seen:
-                        seen.add(nxt)
-                        heapq.heappush(heap, (neg / prob[i][at[i]] * prob[i][at[i] + 1] if prob[i][at[i]] else 0.0, nxt))
+        out = []
+        for a in range(0, len(q), 16):
+            for row in self.success(q[a:a + 16], radius[a:a + 16], slots, t):
+                top = row.max()
+                if top == -np.inf:
+                    out.append(np.zeros(0, np.int64))
+                    continue
+                order = np.argsort(-row, kind="stable")
+                total = np.cumsum(np.exp(row[order] - top))
+                out.append(order[:int(np.searchsorted(total, need * total[-1])) + 1])
         return out
 
 
+_tail = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), otypes=[float])
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.array(col.to_pylist(), np.float64).reshape(len(col), -1)
 
@@ -117,7 +116,7 @@ def clean_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
 
 def build_hasher(rows: DataFrame, spec: LshSpec) -> Hasher | None:
-    """Radius and spread from a bounded sample: its k-th neighbour distance, shrunk to the full size."""
+    """Radius and spread from a bounded sample: its k-th neighbour distance, no less than the full size has."""
     stats = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if stats is None:
         return None
@@ -160,27 +159,45 @@ _PROBE = pa.schema([("t", pa.int32()), ("bucket", pa.string()), ("qb", pa.int64(
 
 
 def _probe(hasher: Hasher):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            for t in range(hasher.spec.tables):
-                buckets = [hasher.probes(q, t) for q in x]
-                n = [len(b) for b in buckets]
-                yield pa.record_batch([
-                    pa.array(np.full(sum(n), t, np.int32)), pa.array([b for c in buckets for b in c], pa.string()),
-                    pa.array(np.repeat(batch.column(2).to_numpy(), n)),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), n))], schema=_PROBE)
+    """Join of a block of a table's occupied buckets with a block of queries."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _PROBE.empty_table()
+        t = left.column("t")[0].as_py()
+        names = np.array(left.column("bucket").to_pylist(), object)
+        slots = np.array([b.split(",") for b in names]).astype(np.int64)
+        seen = hasher.visited(_matrix(right.column("q").combine_chunks()), right.column("radius").to_numpy(), slots, t)
+        n = [len(b) for b in seen]
+        return pa.table([pa.array(np.full(sum(n), t, np.int32)), pa.array(names[np.concatenate(seen)], pa.string()),
+                         pa.array(np.repeat(right.column("qb").to_numpy(), n)),
+                         pa.array(np.repeat(right.column("query_id").to_numpy(), n))], schema=_PROBE)
 
     return run
 
 
+def _visits(hasher: Hasher, counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """t, bucket, qb, query_id of the occupied buckets that each of ``asked`` (query_id, q, qb, radius) visits."""
+    spec = hasher.spec
+    blocks = -(-counts.count() // spec.bucket_block)
+    groups = -(-asked.count() // spec.query_block)
+    if not blocks or not groups:
+        return counts.sparkSession.createDataFrame([], "t int, bucket string, qb long, query_id long")
+    buckets = counts.select("t", "bucket", F.pmod(F.xxhash64("bucket"), F.lit(blocks)).alias("bb"),
+                            F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    every = asked.withColumn("group", F.pmod("qb", F.lit(groups)).cast("int")) \
+        .withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(spec.tables - 1)))) \
+        .withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    key = ["t", "bb", "group"]
+    return buckets.groupBy(*key).cogroup(every.groupBy(*key)).applyInArrow(
+        _probe(hasher), "t int, bucket string, qb long, query_id long")
+
+
 _BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def best_of(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
-    """The k nearest rows of v for each query, by exact distance, ties to the smaller id."""
+def best_of(qid: np.ndarray, q: np.ndarray, limit: np.ndarray, vid: np.ndarray, v: np.ndarray, k: int):
+    """The k nearest rows of v within each query's limit, by exact distance, ties to the smaller id."""
     approx = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
     approx[qid[:, None] == vid[None, :]] = np.inf
     out_q, out_v, out_s = [], [], []
@@ -193,6 +210,8 @@ def best_of(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray, k: i
             at = np.arange(len(row))
         at = at[(vid[at] != qid[i])]
         d = np.sqrt(((v[at] - q[i]) ** 2).sum(1))
+        near = d <= limit[i]
+        at, d = at[near], d[near]
         order = np.lexsort((vid[at], d))[:k]
         out_q.append(np.full(len(order), qid[i]))
         out_v.append(vid[at][order])
@@ -210,7 +229,8 @@ def _rank(spec: LshSpec):
         v = _matrix(left.column("v").combine_chunks())
         qid = right.column("query_id").to_numpy()
         q = _matrix(right.column("q").combine_chunks())
-        parts = [best_of(qid[a:a + 256], q[a:a + 256], vid, v, spec.k) for a in range(0, len(qid), 256)]
+        limit = right.column("limit").to_numpy()
+        parts = [best_of(qid[a:a + 256], q[a:a + 256], limit[a:a + 256], vid, v, spec.k) for a in range(0, len(qid), 256)]
         return pa.table([np.concatenate([p[c] for p in parts]) for c in range(3)], schema=_BEST)
 
     return run
@@ -227,27 +247,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, spec: LshSpec = LshSpec(), i
         return spark.createDataFrame([], out)
     size = hasher.a.shape[2]
     rows = rows.where(F.size("v") == size)
-    asked = clean_vectors(queries, id_col, vec_col).where(F.size("v") == size) \
-        .withColumn("qb", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)))
+    asked = materialize(clean_vectors(queries, id_col, vec_col).where(F.size("v") == size).select(
+        F.col("vec_id").alias("query_id"), F.col("v").alias("q"),
+        F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 20)).alias("qb"), F.lit(float("inf")).alias("limit")))
     entries = rows.mapInArrow(_index(hasher), "t int, bucket string, vec_id long, v array<double>")
     counts = materialize(entries.groupBy("t", "bucket").agg(F.count("*").alias("m"))
                          .select("t", "bucket", F.ceil(F.col("m") / spec.part).cast("int").alias("parts")))
+    first = asked.withColumn("radius", F.lit(hasher.radius))
+    best = materialize(_merge(_meet(entries, counts, _visits(hasher, counts, first), asked, spec), spec))
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(entries: DataFrame, counts: DataFrame, visits: DataFrame, asked: DataFrame, spec: LshSpec) -> DataFrame:
+    """query_id, vec_id, score: the k nearest of each visited bucket's parts."""
     parted = entries.join(counts, ["t", "bucket"]).withColumn(
         "part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    visits = asked.mapInArrow(_probe(hasher), "t int, bucket string, qb long, query_id long") \
-        .join(counts, ["t", "bucket"])
+    visits = visits.join(counts, ["t", "bucket"])
     # queries of a bucket in blocks: a block meets every part
     many = visits.groupBy("t", "bucket").agg(F.ceil(F.count("*") / spec.query_block).cast("int").alias("blocks"))
     visits = visits.join(many, ["t", "bucket"]).withColumn("block", F.pmod("qb", F.col("blocks")).cast("int")) \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id") \
-        .select("t", "bucket", "part", "block", "query_id", "q")
+        .join(asked.select("query_id", "q", "limit"), "query_id") \
+        .select("t", "bucket", "part", "block", "query_id", "q", "limit")
     held = parted.join(many, ["t", "bucket"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     key = ["t", "bucket", "part", "block"]
-    found = held.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(
+    return held.groupBy(*key).cogroup(visits.groupBy(*key)).applyInArrow(
         _rank(spec), "query_id long, vec_id long, score double")
+
+
+def _merge(found: DataFrame, spec: LshSpec) -> DataFrame:
+    """The k best of the parts' lists, with their rank."""
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.selectExpr("query_id", "vec_id", "score",
                            "row_number() over (partition by query_id order by score, vec_id) as rank") \
-        .where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
+        .where(F.col("rank") <= spec.k)
