@@ -112,6 +112,18 @@ def recall(x, got, queries, k=10):
     return hit / (k * len(queries))
 
 
+def test_nearest_of_isolated_queries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 8))
+    x[:3000] = x[0]                             # most rows are equal copies
+    x[3000:3010] *= 40                          # far from all others and from each other
+    x[3010:3400] = x[3010:3400] * 6             # a thin part
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = [0, 2999, *range(3000, 3010), *range(3010, 3400, 30), *range(3400, 4000, 40)]
+    got = ann.nearest(df, df.where(F.col("vec_id").isin(queries)), ann.LshSpec(bucket_rows=40)).collect()
+    assert recall(x, got, queries) >= 0.9
+
+
 def test_nearest_with_many_dims_and_bucket_blocks(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(12_000, 24))

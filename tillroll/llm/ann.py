@@ -8,6 +8,10 @@ that product until it has its share of their sum, so that the tables together
 reach ``target``; buckets are ranked in blocks of ``bucket_block``, each to
 its share. r is first the distance of the k-th neighbour in a bounded sample.
 
+A query whose found k-th neighbour lies farther than that visits buckets again
+with this distance, which no true neighbour exceeds. A query that found fewer
+than k is compared with all vectors.
+
 Every vector is indexed. A (table, bucket) holds its vectors in parts of
 about ``part`` rows, so a crowded bucket spreads over many tasks; queries go
 to all parts of the buckets they visit, in blocks of ``query_block``. Each part ranks its candidates by exact
@@ -255,6 +259,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, spec: LshSpec = LshSpec(), i
                          .select("t", "bucket", F.ceil(F.col("m") / spec.part).cast("int").alias("parts")))
     first = asked.withColumn("radius", F.lit(hasher.radius))
     best = materialize(_merge(_meet(entries, counts, _visits(hasher, counts, first), asked, spec), spec))
+    # queries with fewer than k, or whose k-th lies farther than the radius they were sent out with
+    reach = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("radius"))
+    late = materialize(asked.join(reach, "query_id", "left").where(
+        (F.coalesce("n", F.lit(0)) < spec.k) | (F.col("radius") > hasher.radius)))
+    if late.first() is not None:
+        far = late.where(F.col("n") >= spec.k).drop("n")
+        few = late.where(F.coalesce("n", F.lit(0)) < spec.k)
+        one = (F.lit(-1).alias("t"), F.lit("").alias("bucket"))
+        whole = spark.range(1).select(*one, F.lit(-(-rows.count() // spec.part)).cast("int").alias("parts"))
+        # k rows are known within the radius: only what is no farther can replace one (a margin far above rounding)
+        near = far.withColumn("limit", F.col("radius") * (1 + 1e-9))
+        again = _meet(entries, counts, _visits(hasher, counts, far), near, spec)
+        every = _meet(rows.select(*one, "vec_id", "v"), whole, few.select(*one, "qb", "query_id"), asked, spec)
+        best = _merge(best.select("query_id", "vec_id", "score").union(again).union(every), spec)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
