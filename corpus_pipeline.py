@@ -33,10 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component; a repeated row stays once."""
-    found = ngram_join.jaccard_components(docs, spec=NEAR)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """Keep the row with the smallest id (then text hash) of each component; a repeated row stays once."""
+    found = ngram_join.rows_with_first(docs, spec=NEAR)
+    gone = found.where("first.doc_id <> doc_id or first.th <> th").select(F.col("doc_id").alias("gone_id"), "th").distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     once = kept.join(twice, "doc_id", "left_anti")
     repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

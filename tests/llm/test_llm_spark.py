@@ -252,3 +252,15 @@ def test_op9_counts_the_mixture(spark, odd, monkeypatch):
     monkeypatch.setattr(mixing, "mix", lambda *a, **k: deal(*a, **k).where("pmod(h_, 7) <> 0"))
     with pytest.raises(Exception, match="differs from its plan"):
         queries.op9_mixing(spark, SF).collect()
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    rows = [(1, text("a")), (5, text("a") + " more"), (5, text("b")), (6, text("c")), (6, text("c") + " more"),
+            (7, text("c") + " end"), (8, text("d")), (8, text("d")), (9, None), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or " ")[0]) for r in kept) == \
+        [(0, "a"), (1, "a"), (5, "b"), (6, "c"), (8, "d"), (9, " ")]

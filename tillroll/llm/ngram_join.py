@@ -529,6 +529,17 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        spec: JoinSpec = JoinSpec()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (see the module text)."""
+    return rows_with_first(docs, id_col, text_col, spec).select(
+        "doc_id", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("component_id"))
+
+
+def rows_with_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """One row per document: doc_id, th (xxhash64 of the text), n_shingles, first: (doc_id, th) of the component's least row.
+
+    ``first`` is null for rows without shingles or id.
+    """
     spark = docs.sparkSession
     base = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
@@ -571,13 +582,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     second = materialize(_links(materialize(cross), base, sets, spec, crowd))
     roots = components(first.union(second))
 
-    members = sets.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    comps = members.join(smallest, "root").select("sid", "component_id")
+    members = sets.select("sid", "doc_id", "th").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    smallest = members.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    comps = members.join(smallest, "root").select("sid", "first")
     return (rows.join(comps, "sid", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-                    .alias("component_id")))
+            .select("doc_id", "th", F.col("n").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")))
 
 
 def _texts(base: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
