@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (ann, decontaminate, html_extract, language_id, license_scan, mixing, ngram_join, pii,
-                          token_store, toxicity)
+from tillroll.llm import (alignment, ann, decontaminate, html_extract, language_id, license_scan, mixing, ngram_join,
+                          packing, pii, resample, token_store, toxicity)
 from tillroll.llm.common import fold, table
 from tillroll.session import checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
+WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 TOXIC_AT = 0.3
 
@@ -84,6 +86,30 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = alignment.AlignSpec(public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+    tokens = alignment.encode(table(spark, sf_dir, "documents"), spec, ["doc_id"])
+    return alignment.report(tokens, spec).select(F.col("row_.doc_id").alias("doc_id"), "n_a", "n_b", "n_groups",
+                                                 "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = resample.ResampleSpec()
+    docs = table(spark, sf_dir, "documents")
+    gain = resample.gains(resample.bucket_counts(docs, spec),
+                          resample.bucket_counts(table(spark, sf_dir, "benchmark"), spec))
+    return resample.resample(resample.weigh(docs, gain, spec, ["doc_id"]), spec).select(
+        F.col("row_.doc_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = packing.PackSpec(public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), spec, ["doc_id"]).select(
+        F.col("row_.doc_id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_language_id, op3_pii, op4_html_extract, op5_toxicity, op6_ann,
-                                    op7_decontaminate, op8_license_scan, op9_mixing, op10_token_store)}
+                                    op7_decontaminate, op8_license_scan, op9_mixing, op10_token_store,
+                                    op11_token_alignment, op12_resample, op13_packing)}
