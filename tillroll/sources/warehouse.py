@@ -1,13 +1,17 @@
-"""Curated retail tables on shared storage, replaced atomically.
+"""Curated retail tables on shared storage: replaced as a whole, extended by streams.
 
 ``refresh`` reads a full data drop (three extracts), cleans and validates
 all of it before writing anything, writes each table into a new version
-folder, and only then appends one manifest record naming that version.
-Readers resolve the newest manifest record, so they see either the old or
-the new data set, never a half-written one; a job that dies midway leaves
-the previous version current and its partial folder unreferenced. Every
+folder, and only then publishes one commit naming that version
+(``sources.commits``). ``append_lines`` adds a batch of cleaned lines the
+same way. Readers resolve the newest refresh and the appends after it, so
+they see either the old or the new data, never a half-written state; a job
+that dies midway leaves its folder unreferenced. A refresh fails with
+``CommitConflict`` when anything was published since it began, because it
+would hide that change; an append takes the next free number instead. Every
 step is a Spark job (task retries after an executor loss are safe: Spark's
-output committer only publishes each file once).
+output committer only publishes each file once). ``retain`` deletes folders
+that only older commits name.
 
 Layout choices for scale: transaction lines are range-partitioned and
 sorted on (hshd_num, basket_num, product_num), so Parquet min/max
@@ -22,7 +26,10 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll import schema
 from tillroll.operators.cleaning import clean_households, clean_products, clean_transactions
+from tillroll.sources import commits
+from tillroll.sources.commits import CommitConflict
 from tillroll.sources.csv_extracts import (
     HOUSEHOLDS_FILE,
     PRODUCTS_FILE,
@@ -31,8 +38,6 @@ from tillroll.sources.csv_extracts import (
 )
 from tillroll.sources.fixture import RetailTables
 
-MANIFEST = "_manifest"
-
 
 class DuplicateKeyError(ValueError):
     """A dimension key appears more than once (it would multiply lines)."""
@@ -46,38 +51,41 @@ def _check_unique(df: DataFrame, key: str, table: str) -> None:
         raise DuplicateKeyError(f"{table}: duplicate {key} values, e.g. {keys}")
 
 
+def _write(df: DataFrame, path: str, name: str, mode: str = "error") -> int:
+    """Write ``df`` and return its number of rows, counted on the way."""
+    seen = Observation(name)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    return seen.get["rows"]
+
+
+def _ranged(lines: DataFrame, files: int | None = None) -> DataFrame:
+    keys = ("hshd_num", "basket_num", "product_num")
+    ranged = lines.repartitionByRange(int(files), *keys) if files else lines.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
+
+
 def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
                   version: str | None = None, validate: bool = True,
-                  line_files: int | None = None) -> dict:
-    """Write curated tables as a new version, then publish it in the manifest.
+                  line_files: int | None = None, facts: dict | None = None) -> dict:
+    """Write curated tables as a new version, then publish it.
 
     ``line_files`` fixes the number of transaction files (key ranges); by
-    default AQE sizes the range partitions from the data.
+    default AQE sizes the range partitions from the data. ``facts`` go into
+    the commit as they are.
     """
+    log = commits.commits(spark, warehouse)
+    number = log[-1]["commit"] + 1 if log else 1
     if validate:
         _check_unique(tables.households, "hshd_num", "households")
         _check_unique(tables.products, "product_num", "products")
     version = version or str(int(time.time() * 1000))
-    counts = {}
-    for name, df in (("households", tables.households), ("products", tables.products)):
-        obs = Observation(name)
-        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(
-            f"{warehouse}/{name}/v={version}")
-        counts[name] = obs.get["rows"]
-    obs = Observation("transactions")
-    keys = ("hshd_num", "basket_num", "product_num")
-    ranged = (tables.transactions.repartitionByRange(int(line_files), *keys) if line_files
-              else tables.transactions.repartitionByRange(*keys))
-    lines = ranged.sortWithinPartitions(*keys)
-    lines.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("error").parquet(
-        f"{warehouse}/transactions/v={version}")
-    counts["transactions"] = obs.get["rows"]
-    record = spark.createDataFrame(
-        [(version, counts["households"], counts["products"], counts["transactions"],
-          int(time.time()))],
-        "version string, households long, products long, transactions long, published long")
-    record.coalesce(1).write.mode("append").json(f"{warehouse}/{MANIFEST}")
-    return {"version": version, **counts}
+    counts = {
+        "households": _write(tables.households, f"{warehouse}/households/v={version}", "households"),
+        "products": _write(tables.products, f"{warehouse}/products/v={version}", "products"),
+        "transactions": _write(_ranged(tables.transactions, line_files),
+                               f"{warehouse}/transactions/v={version}", "transactions")}
+    commits.publish(spark, warehouse, number, {"kind": "refresh", "version": version, **counts, **(facts or {})})
+    return {"version": version, "commit": number, **counts}
 
 
 def refresh(spark: SparkSession, landing: str, warehouse: str,
@@ -91,19 +99,86 @@ def refresh(spark: SparkSession, landing: str, warehouse: str,
     return write_version(spark, tables, warehouse, version)
 
 
-def current_version(spark: SparkSession, warehouse: str) -> str:
-    """Newest published version (versions are numeric, by default epoch ms)."""
-    row = (spark.read.schema("version string").json(f"{warehouse}/{MANIFEST}")
-           .agg(F.max(F.col("version").cast("long")).alias("v")).first())
-    if row is None or row["v"] is None:
+def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream: str, batch: int) -> dict | None:
+    """Add a batch of cleaned lines; None when this batch of the stream was added before.
+
+    A replay first finds its commit in the log. One that died before its
+    commit overwrites its own folder. A number taken by another writer is
+    tried again with the next one: appends do not depend on what they follow.
+    """
+    folder = f"transactions/stream={stream}/batch={batch}"
+    rows = None
+    while True:
+        log = commits.commits(spark, warehouse)
+        if any(c.get("stream") == stream and c.get("batch") == batch for c in log):
+            return None
+        if not commits.since_refresh(log):
+            raise FileNotFoundError(f"no refresh was published under {warehouse}")
+        if rows is None:
+            rows = _write(_ranged(lines), f"{warehouse}/{folder}", "lines", mode="overwrite")
+        try:
+            return commits.publish(spark, warehouse, log[-1]["commit"] + 1,
+                                   {"kind": "append", "stream": stream, "batch": batch, "folder": folder,
+                                    "transactions": rows})
+        except CommitConflict:
+            continue
+
+
+def current(spark: SparkSession, warehouse: str) -> list[dict]:
+    """The newest refresh and the appends after it."""
+    live = commits.since_refresh(commits.commits(spark, warehouse))
+    if not live:
         raise FileNotFoundError(f"no published version under {warehouse}")
-    return str(row["v"])
+    return live
 
 
-def read_current(spark: SparkSession, warehouse: str) -> RetailTables:
-    v = current_version(spark, warehouse)
+def current_version(spark: SparkSession, warehouse: str) -> str:
+    """Version of the newest refresh."""
+    return current(spark, warehouse)[0]["version"]
+
+
+def line_folder(warehouse: str, commit: dict) -> str:
+    """Folder of the transaction lines that a commit brought."""
+    return f"{warehouse}/" + (commit["folder"] if commit["kind"] == "append" else f"transactions/v={commit['version']}")
+
+
+def read_lines(spark: SparkSession, warehouse: str, live: list[dict]) -> DataFrame:
+    """One scan over the lines of some commits."""
+    return spark.read.schema(schema.TRANSACTIONS).parquet(*[line_folder(warehouse, c) for c in live])
+
+
+def read_commits(spark: SparkSession, warehouse: str, live: list[dict], lines: list[dict]) -> RetailTables:
+    """Dimensions of the refresh that leads ``live``, with the lines of the commits ``lines``."""
+    v = live[0]["version"]
     return RetailTables(
-        households=spark.read.parquet(f"{warehouse}/households/v={v}"),
-        products=spark.read.parquet(f"{warehouse}/products/v={v}"),
-        transactions=spark.read.parquet(f"{warehouse}/transactions/v={v}"),
-    )
+        households=spark.read.schema(schema.HOUSEHOLDS).parquet(f"{warehouse}/households/v={v}"),
+        products=spark.read.schema(schema.PRODUCTS).parquet(f"{warehouse}/products/v={v}"),
+        transactions=read_lines(spark, warehouse, lines))
+
+
+def read_current(spark: SparkSession, warehouse: str) -> RetailTables:
+    live = current(spark, warehouse)
+    return read_commits(spark, warehouse, live, live)
+
+
+def retain(spark: SparkSession, warehouse: str, versions: int = 2) -> list[str]:
+    """Delete folders that only commits before the newest ``versions`` refreshes name; returns them.
+
+    Readers that resolved an older refresh lose its files, so keep as many
+    versions as a refresh may happen during the longest read. Folders that no
+    commit names stay: their writer may still be at work.
+    """
+    log = commits.commits(spark, warehouse)
+    starts = [i for i, c in enumerate(log) if c["kind"] == "refresh"]
+    old = log[:starts[-versions]] if len(starts) > versions else []
+    gone = []
+    for c in old:
+        folders = [line_folder(warehouse, c)]
+        if c["kind"] == "refresh":
+            folders += [f"{warehouse}/{t}/v={c['version']}" for t in ("households", "products")]
+        for folder in folders:
+            fs, path = commits.file_system(spark, folder)
+            if fs.exists(path):
+                fs.delete(path, True)
+                gone.append(folder)
+    return gone

@@ -7,6 +7,11 @@ ingested exactly once, a restarted query resumes where it stopped, and a
 rerun over the same folder adds nothing. Deliveries must land under new
 names (a file source ignores a file rewritten under a name it has seen);
 replacing the whole data set is ``warehouse.refresh``.
+
+``stream_into_warehouse`` brings the lines to the reports: each micro-batch
+becomes one append commit of the warehouse, keyed by the stream's name and
+the batch id. A batch that ran before but whose checkpoint was not written
+runs again under the same id, finds its commit and adds nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.operators.cleaning import clean_transactions
 from tillroll.schema import RAW_TRANSACTION_COLUMNS
+from tillroll.sources import warehouse as store
 from tillroll.sources.csv_extracts import stream_extract
 
 
@@ -42,3 +48,22 @@ def ingest_stream(spark: SparkSession, landing: str, out: str,
     else:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def stream_into_warehouse(spark: SparkSession, landing: str, warehouse: str, stream: str = "lines",
+                          checkpoint: str | None = None, columns=RAW_TRANSACTION_COLUMNS,
+                          available_now: bool = True, processing_time: str = "1 minute",
+                          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Append the cleaned lines of each micro-batch to the warehouse; ``read_current`` then holds them.
+
+    ``stream`` names the source in the commit log. Its checkpoint lies beside
+    the warehouse's tables unless another place is given.
+    """
+    def add(batch, batch_id: int) -> None:
+        store.append_lines(batch.sparkSession, clean_transactions(batch), warehouse, stream, int(batch_id))
+
+    writer = (stream_extract(spark, landing, columns, max_files_per_trigger).writeStream
+              .foreachBatch(add).queryName(f"warehouse-{stream}")
+              .option("checkpointLocation", checkpoint or f"{warehouse}/_streams/{stream}"))
+    trigger = {"availableNow": True} if available_now else {"processingTime": processing_time}
+    return writer.trigger(**trigger).start()
