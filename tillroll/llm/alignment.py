@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import bounded, materialize
-from tillroll.llm.pieces import PIECES, pattern_encoder, sentence_encoder
+from tillroll.llm.pieces import pattern_encoder, sentence_encoder
 from tillroll.session import checkpoint_dir
 
 
@@ -43,7 +43,7 @@ class AlignSpec:
 
     a_path: str                  # byte-level BPE of the tokenizers library
     b_path: str                  # sentence pieces
-    pieces: int = PIECES         # kept pieces of a generation
+    pieces: int = 60_000         # kept pieces of a generation, of each tokenizer
     sent: int = 2_000_000        # id pairs whose counts are sent to the workers
     held: int = 500_000          # distinct pairs that a task holds before it passes them on
 
@@ -71,6 +71,7 @@ class _Side:
         self.encoder = encoder
         self.bytes = pa.array(entries, pa.large_binary())
         self.lengths = np.array([len(e) for e in entries], np.int64)
+        self.width = np.dtype("<u2" if len(entries) <= 1 << 16 else "<u4")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Ids, offsets of each text's ids, and the joined token bytes of each text."""
@@ -93,16 +94,18 @@ def sides(spec: AlignSpec) -> tuple[_Side, _Side]:
     return _SIDES[spec]
 
 
-def _lists(flat: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> pa.Array:
+def _packed(flat: np.ndarray, ends: np.ndarray, keep: np.ndarray, width: np.dtype) -> pa.Array:
+    """Ids of each text as little-endian bytes."""
     counts = np.diff(ends)
     if not keep.all():
         flat, counts = flat[np.repeat(keep, counts)], np.where(keep, counts, 0)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+    offsets = (np.concatenate([[0], np.cumsum(counts)]) * width.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets),
+                                                                  pa.py_buffer(flat.astype(width))])
 
 
-def token_lists(texts: pa.Array, spec: AlignSpec) -> tuple[pa.Array, pa.Array]:
-    """Ids of both tokenizers; none where a tokenizer loses or changes bytes of the text."""
+def packed_tokens(texts: pa.Array, spec: AlignSpec) -> tuple[pa.Array, pa.Array]:
+    """Packed ids of both tokenizers; none where a tokenizer loses or changes bytes of the text."""
     texts = texts.cast(pa.large_string())
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts, ""),
                                          pa.scalar("", pa.large_string()))
@@ -110,22 +113,29 @@ def token_lists(texts: pa.Array, spec: AlignSpec) -> tuple[pa.Array, pa.Array]:
     a, b = (side.encode(spaced) for side in sides(spec))
     keep = pc.and_(pc.greater(pc.binary_length(raw), 1), pc.and_(pc.equal(a[2], raw), pc.equal(b[2], raw)))
     keep = keep.to_numpy(zero_copy_only=False)
-    return _lists(a[0], a[1], keep), _lists(b[0], b[1], keep)
+    return tuple(_packed(x[0], x[1], keep, side.width) for x, side in zip((a, b), sides(spec)))
+
+
+def id_lists(col: pa.Array, width: np.dtype) -> pa.Array:
+    """A column of packed ids as lists, over the same buffers."""
+    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1] // width.itemsize
+    ids = np.frombuffer(col.buffers()[2] or b"", width)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flattened values of a list column and the offsets of its rows."""
     offsets = col.offsets.to_numpy()
-    return col.flatten().to_numpy(), offsets.astype(np.int64) - offsets[0]
+    return col.flatten().to_numpy().astype(np.int64), offsets.astype(np.int64) - offsets[0]
 
 
 class Aligned:
-    """Links and groups of some documents, given the token lists of both sides."""
+    """Links and groups of some documents, given the packed tokens of both sides."""
 
     def __init__(self, a: pa.Array, b: pa.Array, spec: AlignSpec):
         left, right = sides(spec)
-        self.a, self.a_rows = _flat(a)
-        self.b, self.b_rows = _flat(b)
+        self.a, self.a_rows = _flat(id_lists(a, left.width))
+        self.b, self.b_rows = _flat(id_lists(b, right.width))
         # both sides cover the same bytes, so running sums over the batch agree at each document's end
         self.a_ends, self.b_ends = np.cumsum(left.lengths[self.a]), np.cumsum(right.lengths[self.b])
         size = int(self.a_ends[-1]) if len(self.a_ends) else 0
@@ -138,7 +148,7 @@ class Aligned:
         self.link_b = (np.cumsum(at_b) - at_b)[ends]
         bytes_to = np.concatenate([[0], self.a_ends])[self.a_rows]
         self.link_rows = np.searchsorted(ends, bytes_to, side="right")
-        self.pairs = (self.a[self.link_a].astype(np.int64) << 32) | self.b[self.link_b]
+        self.pairs = (self.a[self.link_a] << 32) | self.b[self.link_b]
 
     def cuts(self) -> np.ndarray:
         """Ends that both sides share, ascending; a group closes at each."""
@@ -201,25 +211,25 @@ def _digits(spec: AlignSpec) -> _Digits:
 
 
 def encode(docs: DataFrame, spec: AlignSpec, columns: list[str], text_col: str = "text") -> DataFrame:
-    """row_ (the named columns), key_, a and b (lists of ids) of every row, read back from the shared folder."""
+    """row_ (the named columns), key_, a and b (packed ids) of every row, read back from the shared folder."""
     spark = docs.sparkSession
     rows = bounded(docs).select(F.struct(*columns).alias("row_"), F.col(text_col).alias("text_"))
     kept = rows.schema["row_"].dataType.simpleString()
-    schema = f"row_ {kept}, key_ long, a array<int>, b array<int>"
+    schema = f"row_ {kept}, key_ long, a binary, b binary"
 
     def run(batches):
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            a, b = token_lists(batch.column(1), spec)
+            a, b = packed_tokens(batch.column(1), spec)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(key, key + n)), a, b],
                                              ["row_", "key_", "a", "b"])
             key += n
 
     path = f"{checkpoint_dir(spark)}/aligned-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, schema).write.parquet(path)
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
     return bounded(spark.read.parquet(path))
 
 
@@ -347,13 +357,13 @@ def _with_rare(out: DataFrame, tokens: DataFrame, rare: DataFrame, sent, spec: A
 
 
 def align(tokens: DataFrame, spec: AlignSpec) -> DataFrame:
-    """row_, a, b, and the group of each A token and of each B token within its document."""
+    """row_, lists of ids a and b, and the group of each A token and of each B token within its document."""
     kept = tokens.schema["row_"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(1), batch.column(2)
-            found = Aligned(a, b, spec)
+            found = Aligned(batch.column(1), batch.column(2), spec)
+            a, b = (id_lists(col, side.width) for col, side in zip(batch.columns[1:], sides(spec)))
             group_a, group_b, group_rows = found.groups()
             lists = [pa.ListArray.from_arrays(rows.astype(np.int32), pa.array(
                 (group - np.repeat(group_rows[:-1], np.diff(rows))).astype(np.int32)))

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tillroll.llm.common import row_groups, text_bytes
+from tillroll.llm.common import PIECE, row_groups, text_bytes
 
 PIECES = 250_000               # kept pieces of a generation
 _AT_ONCE = 4096                # an encoding holds far more than its ids
@@ -143,8 +143,8 @@ class SentencePieces:
 class PieceEncoder:
     """Ids of texts by way of their distinct pieces."""
 
-    def __init__(self, tokenizer: PatternTokenizer | SentencePieces, limit: int = PIECES):
-        self.tokenizer, self.limit = tokenizer, limit
+    def __init__(self, tokenizer: PatternTokenizer | SentencePieces, limit: int = PIECES, group: int = PIECE):
+        self.tokenizer, self.limit, self.group = tokenizer, limit, group
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -172,7 +172,7 @@ class PieceEncoder:
         offsets, data = text_bytes(col)
         n = len(offsets) - 1
         counts, parts = np.zeros(n, np.int64), []
-        for a, b in row_groups(offsets):
+        for a, b in row_groups(offsets, self.group):
             flat, ends = self._encode(offsets[a:b + 1], data, self.tokenizer.whole(col.slice(a, b - a)))
             counts[a:b] = np.diff(ends)
             parts.append(flat)
