@@ -344,3 +344,17 @@ def test_copies_spread_over_groups(spark):
     assert len(groups) == 10 and max(groups.values()) < 100
     fills = check_packing([(i, "word " * 1_100) for i in range(200)], got)
     assert sum(n < 2048 for n in fills) <= 10
+
+
+# --- token store ------------------------------------------------------------
+
+def test_store_reads_back_the_ids_of_all_documents(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in table(spark, SF, "documents").collect())
+    tok = Tokenizer.from_file(BYTE)
+    want, at = [], 0
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = queries.op10_token_store(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want

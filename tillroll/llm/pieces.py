@@ -27,6 +27,7 @@ Null and empty texts have no ids.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -36,7 +37,9 @@ import pyarrow.compute as pc
 from tillroll.llm.common import PIECE, row_groups, text_bytes
 
 PIECES = 250_000               # kept pieces of a generation
+LONG = 64                      # characters from which a piece hardly recurs and is not kept
 _AT_ONCE = 4096                # an encoding holds far more than its ids
+_JOINED = 256                  # pieces encoded as one text
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -82,8 +85,12 @@ class PatternTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain_special
-        self.special = [] if plain_special else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = plain_special
+        found = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
+        self.special = list(found)
+        self.search = re.compile("|".join(map(re.escape, found)) or "(?!)").search
+        # one special token closes a piece where many are encoded as one text
+        self.mark, self.mark_id = next(iter(found.items()), (None, None))
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         return _pattern_cuts(data)
@@ -91,14 +98,40 @@ class PatternTokenizer:
     def whole(self, texts: pa.Array) -> np.ndarray:
         """Texts that must not be cut."""
         out = np.zeros(len(texts), bool)
-        for s in self.special:
+        for s in self.special if not self.plain else []:
             out |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
         return out
 
     def ids(self, pieces: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return self._one_by_one(pieces)
+        # pieces that hold a special token's text go alone
+        search = self.search
+        alone = [i for i, p in enumerate(pieces) if search(p)]
+        out = self._marked([p for i, p in enumerate(pieces) if i not in set(alone)] if alone else pieces)
+        for i, ids in zip(alone, self._one_by_one([pieces[i] for i in alone])):
+            out.insert(i, ids)
+        return out
+
+    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
+        self.tok.encode_special_tokens = self.plain
         return [array("I", e.ids).tobytes() for a in range(0, len(pieces), _AT_ONCE)
                 for e in self.tok.encode_batch_fast(pieces[a:a + _AT_ONCE], add_special_tokens=False)]
 
+    def _marked(self, pieces: list[str]) -> list[bytes]:
+        self.tok.encode_special_tokens = False
+        texts = [self.mark.join([*pieces[a:a + _JOINED], ""]) for a in range(0, len(pieces), _JOINED)]
+        out = []
+        for a in range(0, len(texts), 16):
+            for e in self.tok.encode_batch_fast(texts[a:a + 16], add_special_tokens=False):
+                ids = array("I", e.ids)
+                ends = np.flatnonzero(np.frombuffer(ids, np.uint32) == self.mark_id)
+                raw, begin = ids.tobytes(), 0
+                for end in (4 * ends).tolist():
+                    out.append(raw[begin:end])
+                    begin = end + 4
+        return out
+
 
 class SentencePieces:
     """A sentence-piece BPE model. Pieces hold the text behind the model's own leading space."""
@@ -150,19 +183,14 @@ class PieceEncoder:
 
     def _look(self, pieces: list[str]) -> list[bytes]:
         known, older = self.known, self.older
-        out = list(map(known.get, pieces))
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        fresh = []
-        for i in missing:
-            ids = older.get(pieces[i])
-            if ids is None:
-                fresh.append(i)
-            else:
-                known[pieces[i]] = out[i] = ids
-        for i, ids in zip(fresh, self.tokenizer.ids([pieces[i] for i in fresh])):
-            out[i] = ids
-            if len(pieces[i]) <= 64:           # a long piece hardly recurs
-                known[pieces[i]] = ids
+        new = [p for p in pieces if p not in known]
+        known.update((p, older[p]) for p in new if p in older)
+        fresh = [p for p in new if p not in older]
+        known.update(zip(fresh, self.tokenizer.ids(fresh)))
+        out = list(map(known.__getitem__, pieces))
+        for p in fresh:
+            if len(p) > LONG:
+                del known[p]
         if len(known) >= self.limit:
             self.known, self.older = {}, known
         return out

@@ -23,10 +23,7 @@ one segment.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import bounded, row_groups, text_bytes
+from tillroll.llm.pieces import PIECES, pattern_encoder
 
 # Fixed values of the format: ids per word and bits per id of selectors 0..14.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -41,8 +39,6 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 15
 BLOCK = 256
 SEGMENT_IDS = 1 << 18
-PIECES = 250_000               # kept pieces of a generation
-_SPACE_RUN = re.compile(r"\s\s")
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,60 +104,6 @@ def decode_ids(code: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-class PieceEncoder:
-    """Token ids of texts through the tokenizers library, one distinct piece at a time.
-
-    The byte-level splitter starts a new pre-token at a single space between
-    visible characters, so a text without runs of white space may be cut
-    there and pieces encoded apart. Pieces recur, so their ids are kept in
-    two generations: a piece in use moves to the younger one, and when that
-    holds ``limit`` pieces it becomes the older one, whose pieces go. Texts
-    with runs of white space are encoded whole.
-    """
-
-    def __init__(self, path: str, limit: int = PIECES):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark gives each task a core
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}      # piece -> ids of a space and the piece
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        # some at a time: an encoding holds far more than its ids
-        return [array("I", e.ids).tobytes() for a in range(0, len(texts), 4096)
-                for e in self.tok.encode_batch_fast(texts[a:a + 4096], add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(_SPACE_RUN.search(t)) for t in texts]
-        pieces = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
-        first = self._ids([p[0] for p in pieces])
-        known, older = self.known, self.older
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p[1:])
-        new.difference_update(known)
-        again = new.intersection(older)
-        new.difference_update(again)
-        known.update((q, older[q]) for q in again)
-        fresh = list(new)
-        known.update(zip(fresh, self._ids([" " + q for q in fresh])))
-        if len(known) >= self.limit:
-            self.known, self.older = {}, known
-        look = known.__getitem__
-        return [np.frombuffer(b"".join([f, *map(look, p[1:])]), np.uint32) for f, p in zip(first, pieces)]
-
-
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}        # per Python worker, kept over its tasks
-
-
-def encoder_of(path: str, pieces: int = PIECES) -> PieceEncoder:
-    if (path, pieces) not in _ENCODERS:
-        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
-    return _ENCODERS[path, pieces]
-
-
 SEGMENT = ("shard int, seg int, doc_ids array<bigint>, lengths array<bigint>, "
            "words binary, block_ends binary, escapes binary")
 _SEGMENT_ARROW = pa.schema([
@@ -185,16 +127,18 @@ def _encode(tokenizer: str, end_id: int, pieces: int):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = encoder_of(tokenizer, pieces)
+        encoder = pattern_encoder(tokenizer, pieces)
         seg, docs, parts, held = 0, [], [], 0
         for batch in batches:
             offsets, _ = text_bytes(batch.column(1))
             for a, b in row_groups(offsets):
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
+                flat, ends = encoder.encode(batch.column(1).slice(a, b - a))
+                ids = np.insert(flat, ends[1:], np.uint32(end_id))
+                ends = ends + np.arange(len(ends))
+                for doc, i, j in zip(batch.column(0).slice(a, b - a).to_pylist(), ends.tolist(), ends[1:].tolist()):
                     docs.append(doc)
-                    parts.append(np.append(ids, np.uint32(end_id)))
-                    held += len(ids) + 1
+                    parts.append(ids[i:j])
+                    held += j - i
                     if held >= SEGMENT_IDS:
                         yield _segment(shard, seg, docs, parts)
                         seg, docs, parts, held = seg + 1, [], [], 0
@@ -211,7 +155,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     ``pieces`` trades a worker's memory for speed; the ids do not depend on it.
     """
     (bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-     .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+     .repartitionByRange("doc_id", F.xxhash64("text"), F.spark_partition_id())      # rows of one id may be split
+     .sortWithinPartitions("doc_id", "text")
      .mapInArrow(_encode(tokenizer, end_id, pieces), SEGMENT).write.parquet(path))
 
 
