@@ -264,3 +264,32 @@ def test_near_duplicates_of_repeated_ids(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0, (r["text"] or " ")[0]) for r in kept) == \
         [(0, "a"), (1, "a"), (5, "b"), (6, "c"), (8, "d"), (9, " ")]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        rows = stage(spark, odd, SF)
+        if name != "tokens":
+            assert rows.columns == odd.columns
+        if name in ("near_duplicates", "decontaminate"):
+            # null, empty and blank texts, and rows without id, are no copies and hold no benchmark window
+            ids = [r["doc_id"] for r in rows.collect()]
+            assert {4, 5, 6, None} <= set(ids), name
+    near = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
+    assert sorted(r["doc_id"] or 0 for r in near.collect()) == [0, 1, 4, 5, 6, 7, 10]
+    assert corpus_pipeline.identify_language(spark, odd.limit(0), SF).count() == 0
+    assert corpus_pipeline.identify_language(spark, odd, SF).columns == odd.columns
+    assert corpus_pipeline.write_tokens(spark, odd, SF).agg(F.sum("n_tokens")).first()[0] > odd.count()
+
+
+def test_near_duplicates_drop_repeated_rows_however_many(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"t{i}" for i in range(80))
+    docs = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.range(600).select((F.col("id") + 100).alias("doc_id"), F.lit(text + " x").alias("text")))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == [(7, text)]

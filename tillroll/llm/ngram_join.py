@@ -483,9 +483,9 @@ def _verify(spec: JoinSpec, crowd):
     return run
 
 
-def _links(pairs: DataFrame, base: DataFrame, sets: DataFrame, spec: JoinSpec, crowd) -> DataFrame:
+def _links(pairs: DataFrame, base: DataFrame, sets: DataFrame, spec: JoinSpec, crowd, repeated: bool) -> DataFrame:
     """Verified links among candidate pairs (a, b)."""
-    texts = _texts(base, sets, pairs)
+    texts = _texts(base, sets, pairs, repeated)
     parts = pairs.select(F.col("a").alias("centre"), F.col("b").alias("sid"))
     sizes = parts.groupBy("centre").agg(F.count("*").alias("m"))
     chunks = F.ceil(F.col("m") / spec.chunk).cast("int")
@@ -546,6 +546,7 @@ def rows_with_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = materialize(base.mapInArrow(_profile(spec), _PROFILE))
     crowd = spark.sparkContext.broadcast(_crowd_table(profile))
     rows = profile.where("kind = 0").drop("kind")
+    repeated = not rows.groupBy("doc_id", "th").count().where("count > 1 and doc_id is not null").isEmpty()
     # one row per set: its size, a document that has it, its sketch
     sets = materialize(
         rows.where("sid is not null and doc_id is not null").groupBy("sid")
@@ -567,7 +568,7 @@ def rows_with_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
            .mapInArrow(_medoid_pairs(spec), "a long, b long").groupBy("a", "b").count())
     best = met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
     first = materialize(pairs.union(best))
-    first = materialize(_links(first, base, sets, spec, crowd))
+    first = materialize(_links(first, base, sets, spec, crowd, repeated))
     roots = components(first)
 
     # pairs that could join two components
@@ -579,7 +580,7 @@ def rows_with_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = (blocks.select("w", "i", "j", "n", "sid", "pos", "blk", "root").join(sketches, "sid")
              .repartition("w", "i", "j").sortWithinPartitions("w", "i", "j", "n", "sid")
              .mapInArrow(_cross_pairs(spec), "a long, b long").distinct())
-    second = materialize(_links(materialize(cross), base, sets, spec, crowd))
+    second = materialize(_links(materialize(cross), base, sets, spec, crowd, repeated))
     roots = components(first.union(second))
 
     members = sets.select("sid", "doc_id", "th").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -590,8 +591,35 @@ def rows_with_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first")))
 
 
-def _texts(base: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text) of one document for each set that occurs in ``pairs``.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                spec: JoinSpec = JoinSpec()) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the least id (then text hash) stays.
+
+    A row that occurs several times with one id and text stays once. Rows
+    without shingles stay, as do all rows without id. Decisions are made on
+    ids and text hashes alone. At most ``FETCH_SLOTS`` slots of doubtful ids
+    are broadcast; a row outside them stays where it is, and only the others'
+    texts move to meet the decisions.
+    """
+    found = rows_with_first(docs, id_col, text_col, spec)
+    known = found.where("doc_id is not null").groupBy("doc_id", "th").agg(
+        F.bool_or(F.expr("first.doc_id <> doc_id or first.th <> th")).alias("gone"), F.count("*").alias("n"))
+    doubt = materialize(known.where("gone or n > 1").select(
+        F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.coalesce("gone", F.lit(False)).alias("gone_")))
+    key, th = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    slot = F.pmod(F.xxhash64(key), F.lit(FETCH_SLOTS))
+    slots = F.broadcast(doubt.select(F.pmod(F.xxhash64("id_"), F.lit(FETCH_SLOTS)).alias("slot_")).distinct())
+    here = (key.isNotNull()) & (slot == slots["slot_"])
+    sure = docs.join(slots, here, "left_anti")
+    maybe = docs.join(slots, here, "left_semi").withColumns({"key_": key, "hash_": th})
+    met = maybe.join(doubt, (F.col("key_") == F.col("id_")) & (F.col("hash_") == F.col("th_")), "left")
+    once = met.where("gone_ is null").select(*docs.columns)
+    many = met.where("not gone_").dropDuplicates(["key_", "hash_"]).select(*docs.columns)
+    return sure.unionByName(once).unionByName(many)
+
+
+def _texts(base: DataFrame, sets: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """(sid, text) of one document for each set that occurs in ``pairs``; ``repeated``: some rows occur again.
 
     Texts are filtered by the slots of the wanted ids before they move.
     """
@@ -600,4 +628,6 @@ def _texts(base: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FETCH_SLOTS)).alias("slot")
     slots = F.broadcast(pick.select(slot).distinct())      # at most FETCH_SLOTS numbers
     near = base.withColumn("slot", slot).join(slots, "slot", "left_semi").drop("slot")
-    return near.join(pick, ["doc_id", "th"]).select("sid", "text")
+    texts = near.join(pick, ["doc_id", "th"]).select("sid", "text")
+    # a row that occurs again brings its text again; where none does, nothing is to be dropped
+    return texts.dropDuplicates(["sid"]) if repeated else texts
