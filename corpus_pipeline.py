@@ -2,7 +2,9 @@
 
 Each stage takes the documents its predecessor kept and returns documents
 (the last one returns the token store's index). ``run`` writes every stage
-as Parquet in the shared folder and reads it again.
+as Parquet in the shared folder and reads it again. Every stage takes an
+empty table, null and empty texts, repeated rows and null ids; each says
+below what becomes of them.
 """
 
 from __future__ import annotations
@@ -26,36 +28,48 @@ NEAR = ngram_join.JoinSpec(k=5, num=80, den=100)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without letters and texts of no known language."""
+    """Drop texts without letters and texts of no known language.
+
+    Null and empty texts go; repeated rows and null ids are kept as their
+    text says; an empty table, or one without languages to learn, leaves none.
+    """
     net = language_id.train(docs.where(fold() != 2))
     scored = language_id.predict(docs, net, docs.columns)
     return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_AT)).select("row_.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id (then text hash) of each component; a repeated row stays once."""
-    found = ngram_join.rows_with_first(docs, spec=NEAR)
-    gone = found.where("first.doc_id <> doc_id or first.th <> th").select(F.col("doc_id").alias("gone_id"), "th").distinct()
-    kept = docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti")
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).select(*docs.columns)
+    """Keep the row with the smallest id (then text hash) of each group of near copies; a repeated row stays once.
+
+    Null and empty texts and rows without id stay; an empty table stays empty.
+    """
+    return ngram_join.drop_copies(docs, spec=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay; an empty benchmark drops nothing.
+    """
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), docs.columns)
     return found.where(F.size("spans_") == 0).select("row_.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources meet their target weights; shards are shuffled."""
+    """Repeat or leave out documents so that sources meet their target weights; shards are shuffled.
+
+    Null and empty texts have no words and are not taken; rows without a
+    source are a source of their own; an empty table gives an empty mixture.
+    """
     return mixing.mix(docs).select("row_.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token store; its index, read back from the files."""
+    """Write the token store; its index, read back from the files.
+
+    Null and empty texts are just the end id; repeated rows are documents of
+    their own; null ids come first; an empty table gives an empty index.
+    """
     path = shared_folder(spark, "tokens")
     token_store.write_store(docs, path, public_tokenizers.path(TOKENIZER), END_ID, pieces=PIECES)
     return token_store.read_documents(spark, path)
