@@ -41,40 +41,47 @@ LONG = 64                      # characters from which a piece hardly recurs and
 _AT_ONCE = 4096                # an encoding holds far more than its ids
 _JOINED = 256                  # pieces encoded as one text
 
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-_PUNCT = _VISIBLE & ~_ALNUM
-_BREAK = np.zeros(256, bool)
-_BREAK[[0x20, 0x0A]] = True
+_VISIBLE = set(range(0x21, 0x7F))
+_ALNUM = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)}
+_BREAK = {0x20, 0x0A}
 # First bytes under which Unicode has white space: a neighbour under one of them is taken for white space.
-_WIDE_SPACE = np.zeros(256, bool)
-_WIDE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_STARTS_VISIBLE = _VISIBLE.copy()
-_STARTS_VISIBLE[0xC3:] = True
-_STARTS_VISIBLE &= ~_WIDE_SPACE
+_WIDE_SPACE = {0xC2, 0xE1, 0xE2, 0xE3}
+
+
+def _flags() -> np.ndarray:
+    """Classes of each byte as bits."""
+    out = np.zeros(256, np.uint8)
+    for bit, members in ((ALNUM, _ALNUM), (PUNCT, _VISIBLE - _ALNUM), (VISIBLE, _VISIBLE), (INNER, range(0x80, 0xC0)),
+                         (WIDE, _WIDE_SPACE), (BREAK, _BREAK), (STARTS, _VISIBLE | set(range(0xC3, 0x100)) - _WIDE_SPACE),
+                         (FEED, {0x0A})):
+        out[list(members)] |= bit
+    return out
+
+
+ALNUM, PUNCT, VISIBLE, INNER, WIDE, BREAK, STARTS, FEED = (1 << i for i in range(8))
+_FLAGS = _flags()
 
 
 def _pattern_cuts(d: np.ndarray) -> np.ndarray:
     """Places (mask over bytes) before which a text may be cut for pattern-splitting tokenizers."""
     n = len(d)
-    cut = np.zeros(n, bool)
-    if n < 2:
-        return cut
-    cut[1:] = _PUNCT[d[1:]] & _ALNUM[d[:-1]]
-    # a break byte with a visible character on both sides
-    ends_visible = _VISIBLE[d]
-    wide = d >= 0x80
-    if wide.any():
-        wide[1:] &= ~_WIDE_SPACE[d[:-1]]
-        wide[2:] &= ~_WIDE_SPACE[d[:-2]]
-        ends_visible |= wide & (d < 0xC0)
-    alone = np.zeros(n, bool)
-    alone[1:-1] = _BREAK[d[1:-1]] & ends_visible[:-2] & _STARTS_VISIBLE[d[2:]]
-    cut |= alone
-    cut[1:] |= alone[:-1] & (d[:-1] == 0x0A)
-    return cut
+    if n < 3:
+        return np.zeros(n, bool)
+    f = _FLAGS[d]
+    cut = np.zeros(n, np.uint8)
+    cut[1:] = f[1:] & (f[:-1] << 1) & PUNCT                # a mark after a letter or digit
+    # a break byte with a visible character on both sides; of that on the left the last byte is seen
+    ends = f & VISIBLE
+    inner = f & INNER
+    if inner.any():
+        wide = (f & WIDE) != 0
+        inner[1:][wide[:-1]] = 0
+        inner[2:][wide[:-2]] = 0
+        ends |= inner
+    alone = (ends[:-2] != 0) & ((f[1:-1] & BREAK) != 0) & ((f[2:] & STARTS) != 0)
+    cut[1:-1] |= alone
+    cut[2:] |= alone & ((f[1:-1] & FEED) != 0)
+    return cut != 0
 
 
 class PatternTokenizer:
@@ -147,7 +154,7 @@ class SentencePieces:
                 b = np.frombuffer(b, np.uint8)
                 joined[b[:-1], b[1:]] = True
         starts = np.zeros(256, bool)
-        starts[_BREAK | _PUNCT] = True
+        starts[list(_BREAK | _VISIBLE - _ALNUM)] = True
         self.apart = ~joined & starts[None, :]
         if joined[0x0A].any():
             raise ValueError("a vocabulary entry joins a line feed with what follows")
@@ -220,7 +227,7 @@ class PieceEncoder:
         bounds = np.append(at, hi)
         pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
-        ids = self._look(coded.dictionary.to_pylist())
+        ids = self._look(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         store = np.frombuffer(b"".join(ids), np.uint32)
         lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lens)]), pa.array(store))
