@@ -86,7 +86,7 @@ def test_real_file_inputs(spark, scratch):
     path = f"{scratch}/p.csv"
     with open(path, "w") as f:
         f.write('A,B,C\n1,"6"" TORTILLA, CORN",x\n2,"A\\",y\n')
-    rows = [tuple(r) for r in read_extract(spark, path).collect()]
+    rows = [tuple(r) for r in read_extract(spark, path).select("A", "B", "C").collect()]
     assert rows == [("1", '6" TORTILLA, CORN', "x"), ("2", "A\\", "y")]
     v = ["9007199254740993", "1234567890123456789", "10.7", "10d", "7F", "0x1p3", "3000000000", "abc", "99999999999999999999"]
     df = spark.createDataFrame([(x,) for x in v], "v string")

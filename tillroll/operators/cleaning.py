@@ -5,6 +5,11 @@ integer (unparseable keys dropped, '10.7' -> 10), every text field
 null-preserving stripped (a blank field becomes '' and stays distinct from
 NULL). Products and transactions: missing tokens -> NULL, no stripping,
 numbers parsed leniently, purchase date parsed from several layouts.
+
+``checked`` cleans and says of each raw row what is wrong with it: a record
+that does not fit its header or a household without a usable key is not kept;
+a line or product with a bad key, or a date in no known layout, is kept with
+a NULL there, as before, but no longer unnoticed.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll import schema
 from tillroll.functions.cleaning import (
     clean_text,
     coerce_key,
@@ -43,11 +49,11 @@ def _columns(raw: DataFrame, needed, renames=None) -> dict[str, Column]:
     return cols
 
 
-def clean_households(raw: DataFrame) -> DataFrame:
+def _households(raw: DataFrame) -> list[Column]:
     c = _columns(raw, ["HSHD_NUM", "LOYALTY_FLAG", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
                        "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN"],
                  {"L": "LOYALTY_FLAG"})
-    out = raw.select(
+    return [
         coerce_key(c["HSHD_NUM"]).alias("hshd_num"),
         clean_text(c["LOYALTY_FLAG"]).alias("loyalty_flag"),
         clean_text(c["AGE_RANGE"]).alias("age_range"),
@@ -57,8 +63,11 @@ def clean_households(raw: DataFrame) -> DataFrame:
         clean_text(c["HSHD_COMPOSITION"]).alias("hshd_composition"),
         clean_text(c["HH_SIZE"]).alias("hh_size"),
         clean_text(c["CHILDREN"]).alias("children"),
-    )
-    return out.filter(F.col("hshd_num").isNotNull())
+    ]
+
+
+def clean_households(raw: DataFrame) -> DataFrame:
+    return raw.select(*_households(raw)).filter(F.col("hshd_num").isNotNull())
 
 
 def _long(c: Column) -> Column:
@@ -69,23 +78,27 @@ def _int(c: Column) -> Column:
     return to_number(missing_to_null(c), "int")
 
 
-def clean_products(raw: DataFrame) -> DataFrame:
+def _products(raw: DataFrame) -> list[Column]:
     c = _columns(raw, ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY", "BRAND_TY",
                        "NATURAL_ORGANIC_FLAG"])
-    return raw.select(
+    return [
         _long(c["PRODUCT_NUM"]).alias("product_num"),
         missing_to_null(c["DEPARTMENT"]).alias("department"),
         missing_to_null(c["COMMODITY"]).alias("commodity"),
         missing_to_null(c["BRAND_TY"]).alias("brand_ty"),
         missing_to_null(c["NATURAL_ORGANIC_FLAG"]).alias("natural_organic_flag"),
-    )
+    ]
 
 
-def clean_transactions(raw: DataFrame) -> DataFrame:
+def clean_products(raw: DataFrame) -> DataFrame:
+    return raw.select(*_products(raw))
+
+
+def _transactions(raw: DataFrame) -> list[Column]:
     c = _columns(raw, ["BASKET_NUM", "HSHD_NUM", "PURCHASE_DATE", "PRODUCT_NUM", "SPEND",
                        "UNITS", "STORE_R", "WEEK_NUM", "YEAR"],
                  {"PURCHASE_": "PURCHASE_DATE"})
-    return raw.select(
+    return [
         _long(c["BASKET_NUM"]).alias("basket_num"),
         _long(c["HSHD_NUM"]).alias("hshd_num"),
         parse_date(c["PURCHASE_DATE"]).alias("purchase_date"),
@@ -95,4 +108,56 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
         missing_to_null(c["STORE_R"]).alias("store_r"),
         _int(c["WEEK_NUM"]).alias("week_num"),
         _int(c["YEAR"]).alias("year"),
-    )
+    ]
+
+
+def clean_transactions(raw: DataFrame) -> DataFrame:
+    return raw.select(*_transactions(raw))
+
+
+# What may be wrong with a raw row, most serious first.
+REASONS = ("malformed", "bad_key", "bad_date")
+_PARSED = {"households": _households, "products": _products, "transactions": _transactions}
+_CURATED = {"households": schema.HOUSEHOLDS, "products": schema.PRODUCTS, "transactions": schema.TRANSACTIONS}
+_KEYS = {"households": {"HSHD_NUM": "hshd_num"}, "products": {"PRODUCT_NUM": "product_num"},
+         "transactions": {"BASKET_NUM": "basket_num", "HSHD_NUM": "hshd_num", "PRODUCT_NUM": "product_num"}}
+
+
+def checked(raw: DataFrame, table: str) -> DataFrame:
+    """Curated columns of every raw row, with kept_, reason_ (NULL when all is well), record_ and file_.
+
+    ``raw`` comes from ``read_extract``. Each value is parsed once; whether
+    it is bad shows from the parsed value beside its text.
+    """
+    named = _columns(raw, [])
+    whole = F.col("_malformed").isNull()
+    texts = {f"t_{k}": named[k] for k in _KEYS[table]}
+    date = named.get("PURCHASE_", named.get("PURCHASE_DATE")) if table == "transactions" else None
+    record = F.coalesce("_malformed", F.to_json(F.struct(
+        *[c.alias(k) for k, c in named.items() if not k.startswith("_")])))
+    extra = {**texts, "t_date": date if date is not None else F.lit(None).cast("string"),
+             "whole_": whole, "record_": record, "file_": F.col("_file")}
+    parsed = raw.select(*_PARSED[table](raw), *[c.alias(name) for name, c in extra.items()])
+    bad_key = F.lit(False)
+    for text, column in _KEYS[table].items():
+        # an empty household key is as useless as a bad one; elsewhere a missing key is just missing
+        missing = F.lit(True) if table == "households" else missing_to_null(F.col(f"t_{text}")).isNotNull()
+        bad_key = bad_key | (F.col(column).isNull() & missing)
+    bad_date = F.col("purchase_date").isNull() & missing_to_null(F.trim("t_date")).isNotNull() \
+        if table == "transactions" else F.lit(False)
+    reason = F.when(~F.col("whole_"), "malformed").when(bad_key, "bad_key").when(bad_date, "bad_date")
+    kept = F.col("whole_") & (F.col("hshd_num").isNotNull() if table == "households" else F.lit(True))
+    return parsed.select(*_CURATED[table].fieldNames(), kept.alias("kept_"), reason.alias("reason_"),
+                         "record_", "file_")
+
+
+def kept(rows: DataFrame, table: str) -> DataFrame:
+    """The curated table of checked rows."""
+    return rows.where("kept_").select(*_CURATED[table].fieldNames())
+
+
+def rejected(rows: DataFrame, table: str) -> DataFrame:
+    """What was wrong, by row: table, reason, whether the row was kept, its file and its text."""
+    return rows.where("reason_ is not null").select(
+        F.lit(table).alias("source"), F.col("reason_").alias("reason"), F.col("kept_").alias("kept"),
+        F.col("file_").alias("file"), F.col("record_").alias("record"))

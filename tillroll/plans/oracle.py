@@ -166,6 +166,13 @@ def build() -> dict[str, str]:
         f"{_dbl('spend')} AS spend, {_dbl('UNITS')} AS units, {_nullify('STORE_R')} AS store_r, "
         f"{_num('WEEK_NUM', 'INTEGER')} AS week_num, {_num('YEAR', 'INTEGER')} AS year "
         "FROM transactions_raw")
+    for table in ("households", "products", "transactions"):
+        q[f"clean_{table}_csv"] = q[f"clean_{table}"]
+    q["ingest_rejects"] = v + (
+        "SELECT * FROM (SELECT 'households' AS source, 'bad_key' AS reason, false AS kept, count(*) AS n_rows "
+        "FROM households_raw WHERE NOT coalesce(isfinite(try_cast(HSHD_NUM AS DOUBLE)), false) UNION ALL "
+        "SELECT 'transactions', 'bad_date', true, count(*) FROM transactions_raw "
+        f"WHERE {_date('PURCHASE_')} IS NULL AND {_nullify('PURCHASE_')} IS NOT NULL) r WHERE n_rows > 0")
     q["star_join"] = v + "SELECT * FROM star"
     q["data_pull"] = v + _PULL + " LIMIT 100"
     q["data_pull_sql"] = v + _PULL + " LIMIT 100"

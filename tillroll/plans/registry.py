@@ -6,14 +6,18 @@ runs one report or operator over the whole of them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.ml import basket_value, churn_model, clv
 from tillroll.operators import basket, churn, cleaning, kpi, pull, summaries
 from tillroll.operators.star import star
+from tillroll.session import checkpoint_dir
 from tillroll.sources import fixture
+from tillroll.sources.csv_extracts import read_extract
 from tillroll.sources.fixture import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +57,33 @@ def _on_coded(fn) -> Query:
     return run
 
 
+def _read_back(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table's raw rows written as CSV, read by name and checked."""
+    path = fixture.write_csv_drop(spark, sf_dir, table, f"{checkpoint_dir(spark)}/csv-{table}-{uuid.uuid4().hex}")
+    return cleaning.checked(read_extract(spark, path), table)
+
+
+def _from_csv(table: str) -> Query:
+    return lambda spark, sf_dir: cleaning.kept(_read_back(spark, sf_dir, table), table)
+
+
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each extract that ingest rejects or keeps with a bad value, by reason."""
+    rows = [cleaning.rejected(_read_back(spark, sf_dir, t), t).groupBy("source", "reason", "kept")
+            .agg(F.count(F.lit(1)).alias("n_rows")) for t in ("households", "products", "transactions")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {}
     # ingest / cleaning
     q["clean_households"] = lambda s, d: cleaning.clean_households(fixture.households_raw(s, d))
     q["clean_products"] = lambda s, d: cleaning.clean_products(fixture.products_raw(s, d))
     q["clean_transactions"] = lambda s, d: cleaning.clean_transactions(fixture.transactions_raw(s, d))
+    q["clean_households_csv"] = _from_csv("households")
+    q["clean_products_csv"] = _from_csv("products")
+    q["clean_transactions_csv"] = _from_csv("transactions")
+    q["ingest_rejects"] = ingest_rejects
     q["star_join"] = _on_tables(star)
     # household pull
     q["data_pull"] = _selective(lambda t: pull.data_pull(t, 10, 100))

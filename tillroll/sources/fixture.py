@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import materialize
+
 # (output column, expression). ``{S}`` is the text type of the dialect.
 HOUSEHOLDS_RAW = (
     ("HSHD_NUM", "case when c_custkey % 97 = 96 then 'bad' else cast(c_custkey as {S}) end"),
@@ -202,6 +204,25 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_source(spark, sf_dir).selectExpr(*render(TRANSACTIONS_RAW, "spark"))
 
 
+RAW = {"households": households_raw, "products": products_raw, "transactions": transactions_raw}
+
+
+def write_csv_drop(spark: SparkSession, sf_dir: str, table: str, path: str) -> str:
+    """The raw rows of a table as delivered files: CSV with headers, in two column orders.
+
+    One half of the rows has the columns in order, the other in reverse with
+    an extra column whose text holds commas and doubled quotes.
+    """
+    raw = materialize(RAW[table](spark, sf_dir))
+    half = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]), F.lit(2))
+    note = F.concat(F.lit('a "note", on '), F.coalesce(F.col(f"`{raw.columns[0]}`"), F.lit("none"))).alias("Note")
+    columns = [F.col(f"`{c}`") for c in raw.columns]
+    for i, order in enumerate((columns, [note, *reversed(columns)])):
+        (raw.where(half == i).select(*order).write.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/order={i}"))
+    return path
+
+
 def load(spark: SparkSession, sf_dir: str, order_join: str | None = "merge") -> RetailTables:
     """Curated retail tables over the driver tables (households cleaned)."""
     from tillroll.operators.cleaning import clean_households

@@ -1,7 +1,10 @@
 """Curated retail tables on shared storage: replaced as a whole, extended by streams.
 
 ``refresh`` reads a full data drop (three extracts), cleans and validates
-all of it before writing anything, writes each table into a new version
+all of it before publishing anything: the raw files are parsed once, into a
+staging folder with what was wrong with each row (``cleaning.checked``); the
+counts of malformed records, bad keys and bad dates go into the commit and
+the rows themselves into the ``quarantine`` table. It writes each table into a new version
 folder, and only then publishes one commit naming that version
 (``sources.commits``). ``append_lines`` adds a batch of cleaned lines the
 same way. Readers resolve the newest refresh and the appends after it, so
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll import schema
-from tillroll.operators.cleaning import clean_households, clean_products, clean_transactions
+from tillroll.operators import cleaning
 from tillroll.sources import commits
 from tillroll.sources.commits import CommitConflict
 from tillroll.sources.csv_extracts import (
@@ -88,18 +91,75 @@ def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
     return {"version": version, "commit": number, **counts}
 
 
-def refresh(spark: SparkSession, landing: str, warehouse: str,
-            version: str | None = None) -> dict:
-    """Full replace of the curated tables from a landing folder's three files."""
-    tables = RetailTables(
-        households=clean_households(read_extract(spark, f"{landing}/{HOUSEHOLDS_FILE}")),
-        products=clean_products(read_extract(spark, f"{landing}/{PRODUCTS_FILE}")),
-        transactions=clean_transactions(read_extract(spark, f"{landing}/{TRANSACTIONS_FILE}")),
-    )
-    return write_version(spark, tables, warehouse, version)
+def _staged(spark: SparkSession, raw: DataFrame, table: str, path: str) -> tuple[DataFrame, dict]:
+    """Checked rows, written once, and how many there were of each kind."""
+    seen = Observation(table)
+    counts = [F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col("reason_") == r).alias(r) for r in cleaning.REASONS)]
+    cleaning.checked(raw, table).observe(seen, *counts).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), dict(seen.get)
+
+
+def _quarantine(rows: dict[str, DataFrame], facts: dict[str, dict], path: str) -> None:
+    """Write the rows with a reason, table by table; tables without one are not read again."""
+    for table, df in rows.items():
+        if any(facts[table][r] for r in cleaning.REASONS):
+            cleaning.rejected(df, table).write.mode("append").parquet(path)
 
 
-def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream: str, batch: int) -> dict | None:
+def refresh(spark: SparkSession, landing: str, warehouse: str,
+            version: str | None = None) -> dict:
+    """Full replace of the curated tables from a landing folder's three extracts (files or folders)."""
+    version = version or str(int(time.time() * 1000))
+    staging = f"{warehouse}/_staging/{version}"
+    rows, facts = {}, {}
+    try:
+        for table, name in (("households", HOUSEHOLDS_FILE), ("products", PRODUCTS_FILE),
+                            ("transactions", TRANSACTIONS_FILE)):
+            rows[table], facts[table] = _staged(spark, read_extract(spark, f"{landing}/{name}"), table,
+                                                f"{staging}/{table}")
+        tables = RetailTables(**{t: cleaning.kept(df, t) for t, df in rows.items()})
+        _quarantine(rows, facts, f"{warehouse}/quarantine/v={version}")
+        return write_version(spark, tables, warehouse, version, facts={"ingested": facts})
+    finally:
+        fs, path = commits.file_system(spark, staging)
+        fs.delete(path, True)
+
+
+def append_files(spark: SparkSession, files: list[str], warehouse: str, stream: str, batch: int) -> dict | None:
+    """Add the lines of some extract files, whatever the order of their columns; see ``append_lines``."""
+    if _published(commits.commits(spark, warehouse), stream, batch):
+        return None
+    staging = f"{warehouse}/_staging/{stream}-{batch}"
+    try:
+        rows, facts = _staged(spark, read_extract(spark, *files), "transactions", staging)
+        _quarantine({"transactions": rows}, {"transactions": facts},
+                    f"{warehouse}/quarantine/stream={stream}/batch={batch}")
+        return append_lines(spark, cleaning.kept(rows, "transactions"), warehouse, stream, batch,
+                            facts={"ingested": {"transactions": facts}})
+    finally:
+        fs, path = commits.file_system(spark, staging)
+        fs.delete(path, True)
+
+
+def quarantine(spark: SparkSession, warehouse: str) -> DataFrame:
+    """Rows that were rejected, or kept with a bad value, by the current refresh and the appends after it."""
+    names = [f"v={c['version']}" if c["kind"] == "refresh" else f"stream={c['stream']}/batch={c['batch']}"
+             for c in current(spark, warehouse)]
+    found = []
+    for name in names:
+        fs, path = commits.file_system(spark, f"{warehouse}/quarantine/{name}")
+        if fs.exists(path):
+            found.append(f"{warehouse}/quarantine/{name}")
+    schema_ = "source string, reason string, kept boolean, file string, record string"
+    return spark.read.schema(schema_).parquet(*found) if found else spark.createDataFrame([], schema_)
+
+
+def _published(log: list[dict], stream: str, batch: int) -> bool:
+    return any(c.get("stream") == stream and c.get("batch") == batch for c in log)
+
+
+def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream: str, batch: int,
+                 facts: dict | None = None) -> dict | None:
     """Add a batch of cleaned lines; None when this batch of the stream was added before.
 
     A replay first finds its commit in the log. One that died before its
@@ -110,7 +170,7 @@ def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream:
     rows = None
     while True:
         log = commits.commits(spark, warehouse)
-        if any(c.get("stream") == stream and c.get("batch") == batch for c in log):
+        if _published(log, stream, batch):
             return None
         if not commits.since_refresh(log):
             raise FileNotFoundError(f"no refresh was published under {warehouse}")
@@ -119,7 +179,7 @@ def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream:
         try:
             return commits.publish(spark, warehouse, log[-1]["commit"] + 1,
                                    {"kind": "append", "stream": stream, "batch": batch, "folder": folder,
-                                    "transactions": rows})
+                                    "transactions": rows, **(facts or {})})
         except CommitConflict:
             continue
 
@@ -175,7 +235,9 @@ def retain(spark: SparkSession, warehouse: str, versions: int = 2) -> list[str]:
     for c in old:
         folders = [line_folder(warehouse, c)]
         if c["kind"] == "refresh":
-            folders += [f"{warehouse}/{t}/v={c['version']}" for t in ("households", "products")]
+            folders += [f"{warehouse}/{t}/v={c['version']}" for t in ("households", "products", "quarantine")]
+        else:
+            folders.append(f"{warehouse}/quarantine/stream={c['stream']}/batch={c['batch']}")
         for folder in folders:
             fs, path = commits.file_system(spark, folder)
             if fs.exists(path):
