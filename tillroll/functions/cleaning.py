@@ -6,8 +6,6 @@ projection inside whole-stage codegen.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,22 +34,10 @@ MISSING_TOKENS = (
     "null",
 )
 
-# Date layouts accepted for the purchase date, tried in order,
-# each with the text shape it applies to. ``dd-MMM-yy`` also takes upper-case
-# month names (13-JAN-18).
-DATE_LAYOUTS = (
-    ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
-    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyyMMdd", r"^\d{8}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
-    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
-    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
-)
-DATE_FORMATS = tuple(f for f, _ in DATE_LAYOUTS)
+# Months as text of the purchase date, in order, three letters each.
+MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+# Fixed value: two-digit years from here on are of the 1900s, below of the 2000s.
+PIVOT = "69"
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 # Plain decimal numbers: no type suffix, no hexadecimal.
@@ -83,16 +69,23 @@ def coerce_key(c: Column) -> Column:
     """Text -> integral key: numeric parse (bad -> NULL), then truncate.
 
     Whole numbers are read exactly, whatever their length; '10.7' becomes 10
-    by way of double; anything else is a bad key.
+    by way of double; anything else is a bad key. Nearly every cell ends at
+    the first cast.
     """
     d = _double(c)
-    whole = F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("bigint"))
-    return F.coalesce(whole, F.when(F.abs(d) < F.lit(9.2e18), d.cast("bigint")))
+    return F.coalesce(c.try_cast("bigint"), F.when(F.abs(d) < F.lit(9.2e18), d.cast("bigint")))
 
 
 def _double(c: Column) -> Column:
-    """Text of a plain number as double, else NULL."""
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    """Text of a plain number as double, else NULL.
+
+    The cast also takes type suffixes, hexadecimal, infinities and NaN. Text
+    that ends in a digit or a point and has no ``x`` is none of these; the
+    pattern is tried on other text only.
+    """
+    d, last = c.try_cast("double"), F.right(c, F.lit(1))
+    plain = (last.between("0", "9") | (last == ".")) & ~c.contains("x") & ~c.contains("X")
+    return F.when(plain, d).when(d.isNotNull() & c.rlike(_NUMBER), d)
 
 
 def to_number(c: Column, target: str = "double") -> Column:
@@ -104,18 +97,47 @@ def to_number(c: Column, target: str = "double") -> Column:
     return coerce_key(c).try_cast(target)    # out of range -> NULL
 
 
-def parse_date(c: Column, layouts=DATE_LAYOUTS) -> Column:
-    """Text -> date; the first layout that parses wins, unparseable -> NULL.
-
-    A layout is only tried on text of its shape (a regex test is far cheaper
-    than a failed parse). Two-digit years follow the common pivot:
-    69-99 -> 1969-1999, 00-68 -> 2000-2068.
+def _from_parts(year: Column, month: Column, day: Column) -> Column:
+    """Date of a four- or two-digit year and one- or two-digit month and day, as text; else NULL."""
+    long = F.when(F.length(year) == 4, year).when(
+        F.length(year) == 2, F.concat(F.when(year >= PIVOT, "19").otherwise("20"), year))
+    short = F.length(month).between(1, 2) & F.length(day).between(1, 2) & day.try_cast("int").isNotNull()
+    return F.when(short, F.concat_ws("-", long, month, day).try_cast("date"))
+
+
+def _parse_date(t: Column) -> Column:
+    """Date in one of the accepted layouts (d-MMM-y, M/d/y, yyyy-M-d, yyyy/MM/dd, yyyyMMdd, ISO with a time)."""
+    n, fifth = F.length(t), F.substring(t, 5, 1)
+
+    def part(mark: str, i: int) -> Column:
+        return F.split_part(t, F.lit(mark), F.lit(i))
+
+    def three(mark: str) -> Column:
+        return F.length(part(mark, 1)) + F.length(part(mark, 2)) + F.length(part(mark, 3)) + 2 == n
+
+    name = F.upper(part("-", 2))
+    at = F.instr(F.lit(MONTHS), name)
+    month = F.when((F.length(name) == 3) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
+    iso_time = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
+    by_shape = (
+        F.when((fifth == "-") & n.between(8, 10), t.try_cast("date"))
+        .when((fifth == "-") & (n == 19) & t.rlike(iso_time), t.try_cast("timestamp_ntz").cast("date"))
+        .when((fifth == "/") & (F.substring(t, 8, 1) == "/") & (n == 10), F.replace(t, F.lit("/"), F.lit("-")).try_cast("date"))
+        .when(t.contains("/") & n.between(6, 10), F.when(three("/"), _from_parts(part("/", 3), part("/", 1), part("/", 2))))
+        .when(t.contains("-") & n.between(8, 11),
+              F.when(three("-"), _from_parts(part("-", 3), month, part("-", 1))))
+        .when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
+              .try_cast("date")))
+    # the cast to date ignores what follows a blank or a T and takes signs before a year
+    odd = t.contains(" ") | t.contains("T") & (fifth == "-") | t.startswith("-") | t.startswith("+")
+    return F.when((n == 19) | ~odd, by_shape)
+
+
+def parse_date(c: Column) -> Column:
+    """Text -> date; unparseable -> NULL. The text is stripped only when it does not parse as it is.
+
+    Layouts are told apart by length and separators, and read by one cast of
+    rearranged text. Two-digit years follow the common pivot: 69-99 ->
+    1969-1999, 00-68 -> 2000-2068.
     """
-    text = py_strip(missing_to_null(c))
-    tries = []
-    for f, shape in layouts:
-        ts = F.try_to_timestamp(text, F.lit(f))
-        if "yyyy" not in f:
-            ts = F.when(F.year(ts) >= 2069, F.add_months(ts, -1200)).otherwise(ts.cast("date"))
-        tries.append(F.when(text.rlike(shape), ts.cast("date")))
-    return reduce(lambda a, b: F.coalesce(a, b), tries)
+    return F.coalesce(_parse_date(c), _parse_date(clean_text(c)))

@@ -71,7 +71,7 @@ def _dbl(x: str) -> str:
     return f"CASE WHEN NOT isnan({d}) THEN {d} END"
 
 
-# strftime layouts equal to tillroll.functions.cleaning.DATE_FORMATS
+# strftime layouts of the dates that tillroll.functions.cleaning.parse_date takes
 _DATE_LAYOUTS = ("%d-%b-%y", "%d-%b-%Y", "%Y-%m-%d", "%Y-%m-%d %H:%M:%S",
                  "%m/%d/%Y", "%m/%d/%y", "%m/%d/%Y", "%Y/%m/%d")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from tillroll.operators.star import star
 from tillroll.session import checkpoint_dir
 from tillroll.sources import fixture
 from tillroll.sources.csv_extracts import read_extract
-from tillroll.sources.fixture import RetailTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,7 @@ def _on_coded(fn) -> Query:
         t = fixture.load(spark, sf_dir)
         codes = basket.dense_codes(t.products, "commodity")
         coded = basket.code_commodities(t.products, codes)
-        s = star(RetailTables(t.households, coded, t.transactions))
+        s = star(replace(t, products=coded))
         return fn(s, codes)
     run.__name__ = getattr(fn, "__name__", "query")
     return run

@@ -13,7 +13,7 @@ churn outputs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ def dashboard(t: RetailTables) -> Dashboard:
 def insights(t: RetailTables, top: int = 10) -> Insights:
     codes = basket.dense_codes(t.products, "commodity")
     coded = basket.code_commodities(t.products, codes)
-    s = star(RetailTables(t.households, coded, t.transactions))
+    s = star(replace(t, products=coded))
     rollup = materialize(household_rollup(s))
     recency = churn.churn_recency(s, rollup=rollup)
     counts = recency.agg(

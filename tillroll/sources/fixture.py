@@ -11,11 +11,12 @@ the cleaning step is exercised over whole tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.heavy import can_be_hot, heavy_keys, split_join
 from tillroll.session import materialize
 
 # (output column, expression). ``{S}`` is the text type of the dialect.
@@ -124,6 +125,8 @@ class RetailTables:
     households: DataFrame
     products: DataFrame
     transactions: DataFrame
+    # keys with a large share of the lines, by column; results don't depend on them
+    heavy: dict[str, list] = field(default_factory=dict)
 
 
 # Schemas of the driver tables (declared, so reads skip schema
@@ -173,13 +176,14 @@ def _line_source(spark: SparkSession, sf_dir: str, order_join: str | None = "mer
     fixes what the planner picks anyway once orders outgrows a broadcast).
     Its exchanges are the planner's own. The basket key (= order key) keeps the
     join's hash partitioning through the broadcast dimension joins, so
-    per-basket aggregates need no second shuffle. AQE splits a basket
-    holding a third of all lines only with
-    ``spark.sql.adaptive.forceOptimizeSkewedJoin`` (set by ``build_session``),
-    because the aggregate then needs one. An input stored as a few large row
-    groups is still spread over all cores. ``order_join=None`` leaves the
-    choice to the planner, for selective reports (a one-household pull, whose
-    filtered orders side is small) where a broadcast of that side is better.
+    per-basket aggregates need no second shuffle. Where the lines are large
+    enough for a hot task, a sketch looks for orders with a large share of
+    them; if there are any, their lines do not take part in the shuffle
+    (``heavy.split_join``), and per-basket aggregates shuffle partial rows.
+    An input stored as a few large row groups is still spread over all cores.
+    ``order_join=None`` leaves the choice to the planner, for selective
+    reports (a one-household pull, whose filtered orders side is small) where
+    a broadcast of that side is better.
     """
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -189,9 +193,10 @@ def _line_source(spark: SparkSession, sf_dir: str, order_join: str | None = "mer
     region = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = (nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    if order_join:
-        orders = orders.hint(order_join)
-    return (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    hot = []
+    if order_join and can_be_hot(spark, f"{sf_dir}/lineitem.parquet"):
+        hot = heavy_keys(li, ["l_orderkey"])["l_orderkey"]
+    return (split_join(li, orders, "l_orderkey", "o_orderkey", hot, order_join)
               .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey")))
 

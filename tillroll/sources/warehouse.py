@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schema
 from tillroll.operators import cleaning
+from tillroll.operators.heavy import heavy_keys
 from tillroll.sources import commits
 from tillroll.sources.commits import CommitConflict
 from tillroll.sources.csv_extracts import (
@@ -67,6 +68,11 @@ def _ranged(lines: DataFrame, files: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions(*keys)
 
 
+def _heavy(spark: SparkSession, path: str) -> dict[str, list]:
+    """Keys with a large share of the written lines; two columns are read, once, and reports use them ever after."""
+    return heavy_keys(spark.read.schema(schema.TRANSACTIONS).parquet(path), ["hshd_num", "basket_num"])
+
+
 def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
                   version: str | None = None, validate: bool = True,
                   line_files: int | None = None, facts: dict | None = None) -> dict:
@@ -87,7 +93,9 @@ def write_version(spark: SparkSession, tables: RetailTables, warehouse: str,
         "products": _write(tables.products, f"{warehouse}/products/v={version}", "products"),
         "transactions": _write(_ranged(tables.transactions, line_files),
                                f"{warehouse}/transactions/v={version}", "transactions")}
-    commits.publish(spark, warehouse, number, {"kind": "refresh", "version": version, **counts, **(facts or {})})
+    commits.publish(spark, warehouse, number, {
+        "kind": "refresh", "version": version, **counts, **(facts or {}),
+        "heavy": _heavy(spark, f"{warehouse}/transactions/v={version}")})
     return {"version": version, "commit": number, **counts}
 
 
@@ -179,7 +187,8 @@ def append_lines(spark: SparkSession, lines: DataFrame, warehouse: str, stream:
         try:
             return commits.publish(spark, warehouse, log[-1]["commit"] + 1,
                                    {"kind": "append", "stream": stream, "batch": batch, "folder": folder,
-                                    "transactions": rows, **(facts or {})})
+                                    "transactions": rows, **(facts or {}),
+                                    "heavy": _heavy(spark, f"{warehouse}/{folder}")})
         except CommitConflict:
             continue
 
@@ -213,7 +222,8 @@ def read_commits(spark: SparkSession, warehouse: str, live: list[dict], lines: l
     return RetailTables(
         households=spark.read.schema(schema.HOUSEHOLDS).parquet(f"{warehouse}/households/v={v}"),
         products=spark.read.schema(schema.PRODUCTS).parquet(f"{warehouse}/products/v={v}"),
-        transactions=read_lines(spark, warehouse, lines))
+        transactions=read_lines(spark, warehouse, lines),
+        heavy={c: sorted({k for x in lines for k in x.get("heavy", {}).get(c, [])}) for c in ("hshd_num", "basket_num")})
 
 
 def read_current(spark: SparkSession, warehouse: str) -> RetailTables:
