@@ -82,3 +82,47 @@ def test_hot_basket_pairs_and_summary_exact(spark):
     assert got == dict(want)
     bs = {r["basket_num"]: r for r in summaries.basket_summary(star(t)).collect()}
     assert bs[0]["n_lines"] == 3000 and bs[0]["n_commodity"] == 100 and bs[0]["n_department"] == 7
+
+
+def test_pairs_of_a_large_assortment(spark):
+    """20,000 commodities, most baskets small, some wide and close together: exact, counters only where dense."""
+    import itertools
+    import random
+    from collections import Counter
+
+    from tillroll.operators import basket
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(20_000), rng.randrange(1, 9))) for _ in range(2_000)]
+    sets += [list(range(640, 1_240)), list(range(0, 20_000, 70)), sorted(rng.sample(range(700, 1_000), 120))]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "basket_num long, items array<int>").repartition(4)
+    want = Counter(p for s in sets for p in itertools.combinations_with_replacement(s, 2))
+    for dense_from in (basket.DENSE_FROM, 1, 1_000):
+        got = {(r["a"], r["b"]): r["n"] for r in basket.cooccurrence(df, dense_from).collect()}
+        assert got == dict(want)
+    blocks = basket._blocks(df)
+    dense = blocks.where(F.size("ids") >= basket.DENSE_FROM).select("a", "j").distinct().count()
+    every = blocks.select("a", "j").distinct().count()
+    assert dense < 0.3 * every      # 64 counters for these only
+
+
+def test_itemsets_against_brute_force(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    from tillroll.operators import basket
+
+    rng = random.Random(8)
+    names = [f"n{i:02d}" for i in range(12)]
+    sets = [sorted(rng.sample(range(12), rng.randrange(1, 7))) for _ in range(300)] + [list(range(12))]
+    star_ = spark.createDataFrame([(b, c) for b, s in enumerate(sets) for c in s + s[:1]] + [(900, None)],
+                                  "basket_num long, cid int")
+    codes = spark.createDataFrame(list(enumerate(names)), "cid int, commodity string")
+    for one_in, size in ((40, 3), (100, 2), (10_000, 4)):
+        least = max(1, -(-len(sets) // one_in))
+        count = Counter(c for s in sets for k in range(size, len(s) + 1) for c in itertools.combinations(s, k))
+        want = {("; ".join(names[i] for i in c), len(c), n) for c, n in count.items() if n >= least}
+        got = basket.frequent_itemsets(star_, codes, one_in, size).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert basket.frequent_itemsets(star_.limit(0), codes).count() == 0

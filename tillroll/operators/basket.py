@@ -1,31 +1,40 @@
-"""Market-basket mining: commodity co-occurrence, top pairs, association rules.
+"""Market-basket mining: commodity co-occurrence, top pairs, itemsets, association rules.
 
-Exact counts over every basket, computed as a bit-sliced sparse matrix
-product instead of a per-basket pair expansion:
+Exact counts over every basket, computed as a sparse matrix product in
+blocks, dense or sparse as the data are, instead of a per-basket pair
+expansion:
 
 1. Commodities get dense codes 0..C-1 in text order (from the product
    dimension, so the code table is bounded by the dimension, not the lines).
-2. Per basket, the distinct codes are folded into 64-bit words
+2. Per basket, the distinct codes are folded into words of 64 codes
    (``collect_set`` has a partial aggregate, so a giant basket is reduced to
    at most C codes per task before its shuffle).
-3. Each (item a, word j) of a basket becomes one row carrying the word's
-   mask, without the bits below a; ``groupBy(a, j)`` sums the 64 bits of the masks. Rows per basket =
-   items × non-empty words, i.e. linear in basket width while C <= 64, and
-   each word packs 64 partners. The partial aggregate runs before the
-   shuffle, so only C × C/64 counter rows per task cross the network. The
-   words are built once per basket, before its items are exploded.
-4. Counter (a, j, bit) is the number of baskets holding both a and
-   b = 64·j + bit; the diagonal a = b is the number of baskets holding a.
+3. Each (item a, word j) of a basket is one block. A block with many of the
+   word's codes is one row with the word's bit mask, without the bits below
+   a; ``groupBy(a, j)`` sums the 64 bits of the masks. A block with few is a
+   row per code b, and ``groupBy(a, b)`` counts them. So a wide basket costs
+   a row per 64 partners, and a large assortment of which baskets hold
+   little costs no counters for pairs that never meet. Both aggregates run
+   partially before their shuffle.
+4. Counter (a, j, bit) and count (a, b) add up to the number of baskets
+   holding both a and b = 64·j + bit; the diagonal a = b is the number of
+   baskets holding a.
+
+Sets of three and more commodities are mined from the same itemsets by
+Spark's parallel FP-growth.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import materialize
 
 WORD_BITS = 64
+# Codes of a word from which one mask row with 64 counters is cheaper than a row per code.
+DENSE_FROM = 16
 
 
 def dense_codes(values: DataFrame, col: str, code: str = "cid") -> DataFrame:
@@ -74,24 +83,27 @@ def basket_itemsets(coded_star: DataFrame) -> DataFrame:
 
 
 def _words(items_col: str):
-    """Per basket: [{j, mask}] for each non-empty 64-bit word of its codes."""
+    """Per basket: [{j, ids, mask}] for each non-empty 64-bit word of its codes."""
     return F.expr(
         f"transform(array_distinct(transform({items_col}, x -> shiftright(x, 6))), "
-        f"j -> named_struct('j', j, 'mask', "
+        f"j -> named_struct('j', j, 'ids', filter({items_col}, x -> shiftright(x, 6) = j), 'mask', "
         f"aggregate(filter({items_col}, x -> shiftright(x, 6) = j), 0L, "
         f"(acc, x) -> acc | shiftleft(1L, x & 63))))")
 
 
-def cooccurrence(itemsets: DataFrame) -> DataFrame:
-    """Upper triangle (a <= b) of the basket co-occurrence matrix: (a, b, n)."""
+def _blocks(itemsets: DataFrame) -> DataFrame:
+    """(a, j, ids, mask): for each item of a basket the words from its own upwards."""
     # the outer form infers no filter, which would build the words again
     per_item = (itemsets.select("items", _words("items").alias("words"))
                 .select(F.explode_outer("items").alias("a"), "words"))
-    per_word = per_item.select("a", F.explode_outer("words").alias("w")).select(
-        "a", F.col("w.j").alias("j"), F.col("w.mask").alias("mask"))
+    return (per_item.select("a", F.explode_outer("words").alias("w")).select("a", "w.j", "w.ids", "w.mask")
+            .where(F.col("j") >= F.shiftright("a", 6)))
+
+
+def _dense_cells(blocks: DataFrame) -> DataFrame:
     home = F.shiftright("a", 6)
-    per_word = per_word.where(F.col("j") >= home).withColumn(
-        "mask", F.when(F.col("j") == home, F.expr("mask & shiftleft(-1L, a & 63)")).otherwise(F.col("mask")))
+    per_word = blocks.select("a", "j", F.when(
+        F.col("j") == home, F.expr("mask & shiftleft(-1L, a & 63)")).otherwise(F.col("mask")).alias("mask"))
     bits = [F.sum(F.shiftright("mask", b).bitwiseAND(1)).alias(f"c{b}") for b in range(WORD_BITS)]
     counters = per_word.groupBy("a", "j").agg(*bits)
     cells = counters.select(
@@ -101,6 +113,22 @@ def cooccurrence(itemsets: DataFrame) -> DataFrame:
             .where((F.col("n") > 0) & (F.col("b") >= F.col("a"))))
 
 
+def _sparse_cells(blocks: DataFrame) -> DataFrame:
+    above = blocks.select("a", F.explode(F.filter("ids", lambda x: x >= F.col("a"))).alias("b"))
+    return above.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cooccurrence(itemsets: DataFrame, dense_from: int = DENSE_FROM) -> DataFrame:
+    """Upper triangle (a <= b) of the basket co-occurrence matrix: (a, b, n).
+
+    Words with ``dense_from`` codes of a basket and more are counted by bits,
+    others by code. ``itemsets`` is read by both sides: materialise it.
+    """
+    blocks, full = _blocks(itemsets), F.size("ids") >= dense_from
+    sparse, dense = _sparse_cells(blocks.where(~full)), _dense_cells(blocks.where(full))
+    return sparse.unionByName(dense).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def item_support(itemsets: DataFrame) -> DataFrame:
     """(cid, n_item): number of baskets holding each commodity."""
     return (itemsets.select(F.explode("items").alias("cid")).groupBy("cid")
@@ -125,11 +153,10 @@ def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -
     (item_1 < item_2, times_bought_together = number of such baskets).
     With ``min_support`` > 1 only pairs bought together at least that often
     are returned, and rare commodities are pruned before the pairing."""
-    itemsets = basket_itemsets(coded_star)
+    # read twice (dense and sparse blocks, or supports and pruning): materialise once
+    itemsets = materialize(basket_itemsets(coded_star))
     if min_support > 1:
-        # read twice (supports, then pruning): materialise once
-        itemsets = materialize(itemsets)
-        itemsets = prune_itemsets(itemsets, item_support(itemsets), min_support)
+        itemsets = materialize(prune_itemsets(itemsets, item_support(itemsets), min_support))
     m = cooccurrence(itemsets).where(
         (F.col("a") < F.col("b")) & (F.col("n") >= min_support))
     c1 = codes.select(F.col("cid").alias("a"), F.col("commodity").alias("item_1"))
@@ -144,6 +171,30 @@ def top_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
                          F.col("item_1").asc(), F.col("item_2").asc()).limit(n)
 
 
+def frequent_itemsets(coded_star: DataFrame, codes: DataFrame, one_in: int = 3_000, min_size: int = 3) -> DataFrame:
+    """Sets of ``min_size`` and more commodities that at least one in ``one_in`` baskets holds.
+
+    Columns: items (names in order, '; ' between them), n_items, n_baskets.
+    Parallel FP-growth: commodities below the support are dropped first, and
+    each reducer mines the conditional baskets of its share of commodities.
+    """
+    itemsets = materialize(basket_itemsets(coded_star))
+    total = itemsets.count()
+    least = max(1, -(-total // one_in))
+    # half a basket below the count: the share is not rounded past it
+    growth = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(total, 1))
+    if not total:
+        found = itemsets.select("items", F.lit(0).cast("long").alias("freq"))
+    else:
+        found = growth.fit(itemsets).freqItemsets
+    found = found.where(F.size("items") >= min_size).select(
+        F.array_sort("items").alias("cids"), F.col("freq").alias("n_baskets"))
+    names = (found.select("cids", "n_baskets", F.posexplode("cids").alias("at", "cid")).join(codes, "cid")
+             .groupBy("cids", "n_baskets").agg(F.array_sort(F.collect_list(F.struct("at", "commodity"))).alias("named")))
+    return names.select(F.array_join(F.col("named.commodity"), "; ").alias("items"),
+                        F.size("cids").alias("n_items"), "n_baskets")
+
+
 def basket_items(star: DataFrame) -> DataFrame:
     """Per basket: number of distinct commodities and their sorted list as text."""
     lines = star.where(F.col("commodity").isNotNull())
@@ -166,7 +217,7 @@ def association_rules(coded_star: DataFrame, codes: DataFrame,
     itemsets = materialize(basket_itemsets(coded_star))
     support = materialize(item_support(itemsets))
     total = itemsets.agg(F.count(F.lit(1))).scalar()
-    paired = prune_itemsets(itemsets, support, min_together) if min_together > 1 else itemsets
+    paired = materialize(prune_itemsets(itemsets, support, min_together)) if min_together > 1 else itemsets
     both = (cooccurrence(paired).where((F.col("a") < F.col("b")) & (F.col("n") >= min_together))
             .select("n", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
                                            F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"))

@@ -215,6 +215,16 @@ def build() -> dict[str, str]:
         "round(cast(n AS DOUBLE) * total / (cast(ix.n_item AS DOUBLE) * iy.n_item), 6) AS lift "
         "FROM pair JOIN item ix ON ix.commodity = x JOIN item iy ON iy.commodity = y CROSS JOIN tot")
 
+    # every set of three and more commodities of every basket, in order
+    q["frequent_itemsets"] = with_views(
+        _BC, "tot AS (SELECT count(DISTINCT basket_num) AS total FROM bc)",
+        "grown AS (SELECT basket_num, commodity AS items, commodity AS last, 1 AS n_items FROM bc UNION ALL "
+        "SELECT g.basket_num, g.items || '; ' || b.commodity, b.commodity, g.n_items + 1 FROM grown g "
+        "JOIN bc b ON b.basket_num = g.basket_num AND b.commodity > g.last)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        "SELECT items, n_items, count(*) AS n_baskets FROM grown WHERE n_items >= 3 GROUP BY 1, 2 "
+        "HAVING count(*) >= (SELECT greatest(1, ceil(total / 3000.0)) FROM tot)")
+
     vbs = with_views(_BS)
     q["basket_value_median"] = vbs + "SELECT round(median(basket_spend), 4) AS median_basket_spend FROM bs"
     q["basket_value_label"] = vbs + (

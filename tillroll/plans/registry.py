@@ -114,6 +114,7 @@ def build() -> dict[str, Query]:
     q["frequent_pairs"] = _on_coded(lambda s, c: basket.pair_counts(s, c, min_support=50))
     q["basket_pairs"] = _on_coded(lambda s, c: basket.top_pairs(basket.pair_counts(s, c), 10))
     q["association_rules"] = _on_coded(basket.association_rules)
+    q["frequent_itemsets"] = _on_coded(basket.frequent_itemsets)
     # basket value
     q["basket_value_median"] = _on_star(basket_value.basket_value_median)
     q["basket_value_label"] = _on_star(basket_value.basket_value_label)
