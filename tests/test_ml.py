@@ -3,7 +3,9 @@
 import pytest
 
 from tests.conftest import SF_SMALL
-from tillroll.ml import basket_value, clv
+from pyspark.sql import functions as F
+
+from tillroll.ml import basket_value, churn_model, clv, least_squares
 from tillroll.operators.star import star
 from tillroll.sources import fixture
 
@@ -15,13 +17,68 @@ def s(spark):
 
 def test_clv_recovers_multiplier(s):
     feats = clv.clv_features(s)
-    model, cols = clv.clv_fit(feats)
-    coef = dict(zip(cols, model.coefficients.toArray()))
-    assert coef["total_spend"] == pytest.approx(1.25, abs=1e-6)
-    for c, v in coef.items():
-        if c != "total_spend":
-            assert abs(v) < 1e-4
+    model = clv.clv_fit(feats)
+    assert model.slope["total_spend"] == pytest.approx(1.25, abs=1e-12)
+    assert all(abs(v) < 1e-6 for c, v in model.slope.items() if c != "total_spend") and abs(model.intercept) < 1e-6
     assert clv.clv_predict(s).where("NOT clv_ok").count() == 0
+    assert clv.clv_fit(feats.limit(0)) is None and clv.clv_predict(s.limit(0)).count() == 0
+
+
+def test_collinear_and_constant_columns_are_dropped(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(50, 9, 400), rng.normal(-3, 2, 400)
+    rows = [(float(x), float(x) * 2 + 1, float(y), float(y) + float(x), 7.0, 3 * float(x) - 2 * float(y) + 11) for x, y in zip(a, b)]
+    df = spark.createDataFrame(rows, "a double, twice_a double, b double, a_and_b double, seven double, y double")
+    fit = least_squares.fit(df, ["a", "twice_a", "b", "a_and_b", "seven"], "y")
+    assert fit.dropped["seven"] == "constant" and sorted(fit.dropped.values()) == ["collinear"] * 2 + ["constant"]
+    assert len(fit.slope) == 2
+    off = df.select((F.col("y") - fit.predict()).alias("d")).agg(F.max(F.abs("d"))).first()[0]
+    assert off < 1e-9
+    noisy = df.withColumn("y", F.col("y") + F.randn(3))
+    got = least_squares.fit(noisy, ["a", "b"], "y")
+    y = np.array([r["y"] for r in noisy.orderBy("a").collect()])
+    order = np.argsort(a)
+    want = np.linalg.lstsq(np.column_stack([a[order], b[order], np.ones(400)]), y, rcond=None)[0]
+    assert [got.slope["a"], got.slope["b"], got.intercept] == pytest.approx(list(want), rel=1e-9)
+    assert least_squares.fit(df, ["seven"], "y").slope == {}
+
+
+def test_first_split_is_the_models(s):
+    cuts = basket_value.gbt_first_split(s).orderBy("rank_").collect()
+    lab = basket_value.basket_value_label(s)
+    names = [c for c, _ in basket_value.FEATURES]
+    from pyspark.ml.feature import VectorAssembler
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(basket_value.training_frame(lab)).coalesce(1)
+    root = basket_value._classifier(64).fit(data).trees[0].toDebugString.split("\n")[1].strip()
+    best = cuts[0]
+    assert root == f"If (feature {names.index(best['feature'])} <= {best['cut']})"
+    assert best["gain"] > 0 and best["n_left"] + best["n_right"] == lab.count()
+
+
+def test_untrained_model_gives_its_reason(s, spark):
+    rows = basket_value.basket_value_gbt(s.limit(3)).collect()
+    assert [(r["feature"], r["importance_pct"]) for r in rows] == [(None, None)] and "fewer than 40" in rows[0]["reason"]
+    same = s.withColumn("spend", F.lit(1.0)).dropDuplicates(["basket_num"])
+    assert "same spend" in basket_value.basket_value_gbt(same).first()["reason"]
+
+
+def test_backtest_against_brute_force(s):
+    got = {r["cutoff_week"]: r for r in churn_model.churn_backtest(s, horizon=6, origins=3).collect()}
+    bought = {}
+    for r in s.select("hshd_num", "week_num").distinct().collect():
+        bought.setdefault(r[0], set()).add(r[1])
+    latest = max(max(w) for w in bought.values())
+    for i in range(1, 4):
+        c = latest - 6 * i
+        known = [(c - max(x for x in w if x <= c), not any(c < x <= c + 6 for x in w))
+                 for w in bought.values() if min(w) <= c]
+        gone, stayed = [r for r, g in known if g], [r for r, g in known if not g]
+        auc = sum((x > y) + (x == y) / 2 for x in gone for y in stayed) / (len(gone) * len(stayed))
+        assert (got[c]["n_households"], got[c]["n_churned"]) == (len(known), len(gone))
+        assert got[c]["auc_recency"] == pytest.approx(auc, abs=1e-6)
+    assert churn_model.churn_backtest(s.limit(0)).count() == 0
 
 
 def test_gbt_importances(s):

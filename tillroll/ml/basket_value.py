@@ -8,13 +8,16 @@ Model: gradient-boosted trees on (lines, distinct commodities, distinct
 departments). The three features are small integers, so baskets are first
 grouped to (features, label) -> weight; the fit then reads a table bounded
 by the feature domain instead of one row per basket, with identical splits.
+A cut may lie between any two neighbouring values of a feature (``maxBins``
+follows the data). ``gbt_first_split`` lists every cut of the first tree's
+root with its gain, so that the model's first decision can be checked.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,7 @@ MIN_BASKETS = 40
 IMPORTANCE_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()),
     T.StructField("importance_pct", T.DoubleType()),
+    T.StructField("reason", T.StringType()),
 ])
 
 
@@ -76,11 +80,48 @@ def training_frame(labelled: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def gbt_first_split(star: DataFrame, digits: int = 9) -> DataFrame:
+    """Every cut at the root of the first boosted tree, best first.
+
+    Columns: feature, cut (midpoint of neighbouring values), n_left, n_right
+    (baskets), gain, rank_. The first tree fits labels -1 and 1 with variance
+    impurity: the gain is the impurity of all baskets less that of both
+    sides, each weighted by its share. Values of a feature are few, so the
+    running sums are over a bounded table.
+    """
+    grouped = training_frame(basket_value_label(star))
+    names = [name for name, _ in FEATURES]
+    by_value = (grouped.unpivot(["high_value_basket", "weight"], names, "feature", "value")
+                .groupBy("feature", "value").agg(
+                    F.sum("weight").alias("w"),
+                    F.sum(F.when(F.col("high_value_basket") == 1, F.col("weight")).otherwise(-F.col("weight"))).alias("s")))
+    order = Window.partitionBy("feature").orderBy("value")
+    every = Window.partitionBy("feature")
+    sums = by_value.select(
+        "feature", "value", F.lead("value").over(order).alias("next"),
+        F.sum("w").over(order).alias("wl"), F.sum("s").over(order).alias("sl"),
+        F.sum("w").over(every).alias("w"), F.sum("s").over(every).alias("s"))
+
+    def impurity(s, w):
+        return 1 - (s / w) * (s / w)
+
+    wr, sr = F.col("w") - F.col("wl"), F.col("s") - F.col("sl")
+    gain = impurity(F.col("s"), F.col("w")) - (F.col("wl") / F.col("w")) * impurity(F.col("sl"), F.col("wl")) \
+        - (wr / F.col("w")) * impurity(sr, wr)
+    cuts = sums.where("next is not null").select(
+        "feature", ((F.col("value") + F.col("next")) / 2).alias("cut"),
+        F.col("wl").cast("bigint").alias("n_left"), wr.cast("bigint").alias("n_right"),
+        F.round(gain, digits).alias("gain"))
+    best = Window.orderBy(F.col("gain").desc(), "feature", "cut")         # a row a cut
+    return cuts.withColumn("rank_", F.row_number().over(best))
+
+
 def basket_value_gbt(star: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
-    """Feature importances (percent, 2 decimals) of the boosted-tree model.
+    """Feature importances (percent, 2 decimals) of the boosted-tree model, with the reason when there is none.
 
-    Empty when fewer than 40 baskets, a single spend value or a single label
-    (the model is not trainable then). The guard is one global aggregate
+    Columns: feature, importance_pct, reason. Without a trainable model
+    (fewer than 40 baskets, a single spend value or a single label) there is
+    one row that has only a reason. The guard is one global aggregate
     (min < max stands for "more than one distinct value", no distinct
     shuffle). The grouped training table is sized to its row count before
     caching: each boosting iteration runs several small jobs over it, so
@@ -93,22 +134,27 @@ def basket_value_gbt(star: DataFrame, rows_per_partition: int = 200_000) -> Data
         (F.min("basket_spend") < F.max("basket_spend")).alias("spend_varies"),
         (F.min("high_value_basket") < F.max("high_value_basket")).alias("label_varies"),
     ).first()
-    if guard is None or guard["n"] < MIN_BASKETS or not guard["spend_varies"] \
-            or not guard["label_varies"]:
-        return spark.createDataFrame([], IMPORTANCE_SCHEMA)
+    reason = (f"fewer than {MIN_BASKETS} baskets" if guard["n"] < MIN_BASKETS
+              else "all baskets have the same spend" if not guard["spend_varies"]
+              else "all baskets have the same label" if not guard["label_varies"] else None)
+    if reason:
+        return spark.createDataFrame([(None, None, reason)], IMPORTANCE_SCHEMA)
     grouped = materialize(training_frame(labelled))
-    parts = 1 + grouped.count() // rows_per_partition
+    sizes = grouped.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(name).alias(name) for name, _ in FEATURES]).first()
     assembled = VectorAssembler(
         inputCols=[name for name, _ in FEATURES], outputCol="features"
     ).transform(grouped).select("features", "high_value_basket", "weight")
-    assembled = assembled.coalesce(parts).cache()
+    assembled = assembled.coalesce(1 + sizes["rows"] // rows_per_partition).cache()
     try:
-        model = GBTClassifier(
-            featuresCol="features", labelCol="high_value_basket", weightCol="weight",
-            checkpointInterval=GBT_CHECKPOINT_INTERVAL, **GBT_PARAMS,
-        ).fit(assembled)
+        model = _classifier(max(sizes[name] for name, _ in FEATURES)).fit(assembled)
     finally:
         assembled.unpersist()
     imps = model.featureImportances.toArray()
-    rows = [(label, round(float(v) * 100, 2)) for (_, label), v in zip(FEATURES, imps)]
+    rows = [(label, round(float(v) * 100, 2), None) for (_, label), v in zip(FEATURES, imps)]
     return spark.createDataFrame(rows, IMPORTANCE_SCHEMA)
+
+
+def _classifier(values: int) -> GBTClassifier:
+    """The model; with more bins than a feature has values, every cut between two values is tried."""
+    return GBTClassifier(featuresCol="features", labelCol="high_value_basket", weightCol="weight",
+                         checkpointInterval=GBT_CHECKPOINT_INTERVAL, maxBins=max(32, values + 1), **GBT_PARAMS)

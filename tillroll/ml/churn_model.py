@@ -4,6 +4,9 @@ Households are described by their lines up to a cutoff week (latest week
 minus ``horizon``); the label says whether they bought nothing after the
 cutoff. The label therefore comes from future behaviour, not from the
 recency rule it is meant to improve on.
+
+``churn_backtest`` asks how well plain recency foretold that, from several
+earlier weeks on: features and label as they would have been at each.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.rounding import money_sum
@@ -66,3 +69,35 @@ def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:
     return model.transform(scaled).select(
         "hshd_num", F.col("churned").cast("int").alias("churned"),
         F.round(vector_to_array("probability")[1], 4).alias("churn_probability"))
+
+
+def churn_backtest(star: DataFrame, horizon: int = 8, origins: int = 4) -> DataFrame:
+    """Per cutoff week: households known by then, how many churned, and the AUC of their recency.
+
+    Cutoffs lie one horizon apart, the last one horizon before the latest
+    week. A household is known when it bought by the cutoff, and churned when
+    it bought nothing in the ``horizon`` weeks after it. All cutoffs are
+    conditional aggregates of one pass. The AUC is the chance that a churned
+    household was away longer than one that stayed, ties counting half; it is
+    summed over the distinct recencies (weeks, a calendar-bounded domain) and NULL when
+    there is only one kind.
+    """
+    weeks = materialize(household_baskets(star).select("hshd_num", "week_num").distinct())
+    latest = weeks.agg(F.max("week_num").alias("w")).first()["w"] or 0
+    cutoffs = [int(latest) - horizon * (i + 1) for i in range(origins)]
+    week = F.col("week_num")
+    per_household = weeks.groupBy("hshd_num").agg(
+        *[F.max(F.when(week <= c, week)).alias(f"last_{i}") for i, c in enumerate(cutoffs)],
+        *[F.count_if((week > c) & (week <= c + horizon)).alias(f"after_{i}") for i, c in enumerate(cutoffs)])
+    rows = per_household.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("cutoff_week"), (F.lit(c) - F.col(f"last_{i}")).alias("recency"),
+                 (F.col(f"after_{i}") == 0).alias("churned")) for i, c in enumerate(cutoffs)])).alias("r")).select("r.*")
+    by_recency = rows.where("recency is not null").groupBy("cutoff_week", "recency").agg(
+        F.count_if("churned").alias("gone"), F.count_if(~F.col("churned")).alias("stayed"))
+    shorter = Window.partitionBy("cutoff_week").orderBy("recency").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("gone") * (F.coalesce(F.sum("stayed").over(shorter), F.lit(0)) + F.col("stayed") / 2)
+    sums = by_recency.withColumn("wins", wins).groupBy("cutoff_week").agg(
+        F.sum(F.col("gone") + F.col("stayed")).alias("n_households"), F.sum("gone").alias("n_churned"),
+        F.sum("wins").alias("wins"), F.sum("stayed").alias("n_stayed"))
+    pairs = F.nullif(F.col("n_churned").cast("double") * F.col("n_stayed"), F.lit(0.0))
+    return sums.select("cutoff_week", "n_households", "n_churned", F.round(F.col("wins") / pairs, 6).alias("auc_recency"))

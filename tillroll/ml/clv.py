@@ -2,22 +2,22 @@
 
 Target: estimated_future_clv = 1.25 × total_spend. Features: total spend,
 units, baskets, active weeks and average basket value (half-even cents).
-The fit uses Spark's normal-equation solver: one distributed pass builds the
-(small) Gram matrix, the solve is local. Because the target is an exact
-multiple of one feature, a correct fit predicts 1.25 × spend; ``clv_ok``
+The fit (``ml.least_squares``) leaves out columns that others determine, such
+as weeks where every basket fell into its own week. Because the target is an
+exact multiple of one feature, a correct fit predicts 1.25 × spend; ``clv_ok``
 reports that per household. The feature table (one row per household) is
-materialised once; the rank check, the fit and the scoring all read it.
+materialised once; the fit and the scoring both read it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.rounding import half_even_ratio
+from tillroll.ml import least_squares
 from tillroll.operators.summaries import household_summary
 from tillroll.session import materialize
 
@@ -40,38 +40,28 @@ def clv_features(star: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     )
 
 
-def independent_features(feats: DataFrame) -> list[str]:
-    """Drop ``active_weeks`` when it equals ``total_baskets`` on every row
-    (exactly collinear columns make the normal equations singular)."""
-    same = feats.agg(F.count_if(F.col("active_weeks") != F.col("total_baskets")).alias("d")).first()
-    cols = list(FEATURES)
-    if same is not None and same["d"] == 0:
-        cols.remove("active_weeks")
-    return cols
-
-
 def _assemble(feats: DataFrame, cols) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(feats)
 
 
-def clv_fit(feats: DataFrame, cols=None):
-    cols = cols or independent_features(feats)
-    lr = LinearRegression(featuresCol="features", labelCol="estimated_future_clv",
-                          solver="normal", regParam=0.0, fitIntercept=True)
-    return lr.fit(_assemble(feats, cols)), cols
+def clv_fit(feats: DataFrame) -> least_squares.LeastSquares | None:
+    """The regression; None without households. Its ``dropped`` names the columns left out, and why."""
+    return least_squares.fit(feats, FEATURES, "estimated_future_clv")
 
 
 def clv_predict(star: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
-    """Predicted CLV per household; empty without households."""
+    """Predicted CLV per household; empty without households.
+
+    The prediction is rounded half-even to cents. A target of whole cents
+    times 1.25 has four decimals at most, so the fit's own rounding error is
+    taken off there first and cannot tip a tie.
+    """
     feats = materialize(clv_features(star, rollup))
-    if feats.isEmpty():
-        pred = feats.withColumn("prediction", F.lit(0.0))
-    else:
-        model, cols = clv_fit(feats)
-        pred = model.transform(_assemble(feats, cols))
-    return pred.select(
+    model = clv_fit(feats)
+    prediction = model.predict() if model else F.lit(0.0)
+    return feats.withColumn("prediction", prediction).select(
         "hshd_num", "total_spend", "estimated_future_clv",
-        F.bround("prediction", 2).alias("predicted_clv"),
+        F.bround(F.round("prediction", 4), 2).alias("predicted_clv"),
         (F.abs(F.col("prediction") - F.col("estimated_future_clv")) < 0.01).alias("clv_ok"),
     )
 
@@ -94,23 +84,24 @@ def clv_rf(star: DataFrame, num_trees: int = 20, max_depth: int = 5, seed: int =
         "hshd_num", "estimated_future_clv", F.round("prediction", 2).alias("rf_predicted_clv"))
 
 
-def clv_holdout(star: DataFrame, test_buckets: int = 5) -> DataFrame:
-    """Extension: fit on 4/5 of households (stable hash split), score the rest.
+def clv_holdout(star: DataFrame, test_one_in: int = 5) -> DataFrame:
+    """Extension: fit without every fifth household number, score those.
 
-    With no household on either side the metrics are NULL.
+    One row: households on each side, root mean squared error (cents) and R²
+    (6 decimals) on the held-out ones; NULL metrics with no household on
+    either side.
     """
     feats = materialize(clv_features(star))
-    bucket = F.pmod(F.xxhash64("hshd_num"), F.lit(test_buckets))
-    train = feats.where(bucket != 0)
-    test = feats.where(bucket == 0)
-    counts = feats.agg(F.count_if(bucket != 0).alias("n_train"), F.count_if(bucket == 0).alias("n_test"))
-    if train.isEmpty() or test.isEmpty():
-        none = F.lit(None).cast("double")
-        return counts.select("n_train", "n_test", none.alias("rmse"), none.alias("r2"))
-    model, cols = clv_fit(train)
-    scored = model.transform(_assemble(test, cols))
-    ev = RegressionEvaluator(labelCol="estimated_future_clv", predictionCol="prediction")
-    rmse = ev.evaluate(scored, {ev.metricName: "rmse"})
-    r2 = ev.evaluate(scored, {ev.metricName: "r2"})
-    return counts.select("n_train", "n_test", F.lit(float(rmse)).alias("rmse"),
-                         F.lit(float(r2)).alias("r2"))
+    held = F.pmod("hshd_num", F.lit(test_one_in)) == 0
+    model = clv_fit(feats.where(~held))
+    prediction = model.predict() if model else F.lit(None).cast("double")
+    y = F.col("estimated_future_clv")
+    scored = feats.select(held.alias("held"), y.alias("y"), (y - prediction).alias("off"))
+    mean = scored.where("held").agg(F.avg("y")).scalar()
+    on_held = lambda c: F.when(F.col("held"), c)
+    sums = scored.withColumn("mean", mean).agg(
+        F.count_if(~F.col("held")).alias("n_train"), F.count_if("held").alias("n_test"),
+        F.avg(on_held(F.col("off") * F.col("off"))).alias("mse"),
+        F.avg(on_held((F.col("y") - F.col("mean")) * (F.col("y") - F.col("mean")))).alias("var"))
+    return sums.select("n_train", "n_test", F.round(F.sqrt("mse"), 2).alias("rmse"),
+                       F.round(1 - F.col("mse") / F.nullif(F.col("var"), F.lit(0.0)), 6).alias("r2"))

@@ -250,8 +250,38 @@ def build() -> dict[str, str]:
     q["clv_features"] = vclv + (
         "SELECT hshd_num, total_spend, total_units, total_baskets, active_weeks, "
         f"cast({_AVG} AS DOUBLE) AS avg_basket_value, estimated_future_clv FROM clv")
-    q["clv_predict"] = vclv + "SELECT hshd_num, total_spend, estimated_future_clv, true AS clv_ok FROM clv"
-    q["clv_top"] = vclv + (
-        "SELECT hshd_num, total_spend, estimated_future_clv, true AS clv_ok FROM clv "
-        "ORDER BY estimated_future_clv DESC, hshd_num LIMIT 10")
+    # 1.25 x spend in quarter cents, rounded half-even to cents
+    clv = ("pred AS (SELECT *, (5 * cents // 4 + CASE WHEN 5 * cents % 4 > 2 OR "
+           "(5 * cents % 4 = 2 AND 5 * cents // 4 % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS predicted_clv FROM clv)")
+    vpred = with_views(_HH, _CLV, clv)
+    top = "SELECT hshd_num, total_spend, estimated_future_clv, predicted_clv, true AS clv_ok FROM pred"
+    q["clv_predict"] = vpred + top
+    q["clv_top"] = vpred + top + " ORDER BY predicted_clv DESC, hshd_num LIMIT 10"
+    q["clv_holdout"] = vclv + (
+        "SELECT count(*) FILTER (hshd_num % 5 <> 0) AS n_train, count(*) FILTER (hshd_num % 5 = 0) AS n_test, "
+        "cast(0 AS DOUBLE) AS rmse, cast(1 AS DOUBLE) AS r2 FROM clv")
+    labelled = ("labelled AS (SELECT *, CASE WHEN basket_spend >= (SELECT median(basket_spend) FROM bs) "
+                "THEN 1 ELSE -1 END AS y FROM bs)")
+    one = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, cast(count(*) AS DOUBLE) AS w, "
+                             f"cast(sum(y) AS DOUBLE) AS s FROM labelled GROUP BY 2"
+                             for f in ("n_lines", "n_commodity", "n_department"))
+    q["gbt_first_split"] = with_views(
+        _BS, labelled, f"v AS ({one})",
+        "r AS (SELECT feature, value, lead(value) OVER o AS nxt, sum(w) OVER o AS wl, sum(s) OVER o AS sl, "
+        "sum(w) OVER (PARTITION BY feature) AS w, sum(s) OVER (PARTITION BY feature) AS s FROM v "
+        "WINDOW o AS (PARTITION BY feature ORDER BY value))",
+        "g AS (SELECT feature, (value + nxt) / 2.0 AS cut, cast(wl AS BIGINT) AS n_left, cast(w - wl AS BIGINT) AS n_right, "
+        "round((1 - (s / w) * (s / w)) - (wl / w) * (1 - (sl / wl) * (sl / wl)) "
+        "- ((w - wl) / w) * (1 - ((s - sl) / (w - wl)) * ((s - sl) / (w - wl))), 9) AS gain FROM r WHERE nxt IS NOT NULL)",
+    ) + ("SELECT *, cast(row_number() OVER (ORDER BY gain DESC, feature, cut) AS INTEGER) AS rank_ FROM g")
+    q["churn_backtest"] = with_views(
+        "hw AS (SELECT DISTINCT hshd_num, week_num FROM star)",
+        "cuts AS (SELECT (SELECT max(week_num) FROM star) - 8 * i AS c FROM range(1, 5) t(i))",
+        "h AS (SELECT c, hshd_num, c - max(week_num) FILTER (week_num <= c) AS recency, "
+        "count(*) FILTER (week_num > c AND week_num <= c + 8) = 0 AS churned FROM hw, cuts GROUP BY 1, 2)",
+        "k AS (SELECT * FROM h WHERE recency IS NOT NULL)",
+        "p AS (SELECT a.c, sum(CASE WHEN a.recency > b.recency THEN 1.0 WHEN a.recency = b.recency THEN 0.5 ELSE 0 END) AS wins, "
+        "count(*) AS pairs FROM k a JOIN k b ON a.c = b.c AND a.churned AND NOT b.churned GROUP BY 1)",
+    ) + ("SELECT cast(c AS INTEGER) AS cutoff_week, count(*) AS n_households, count(*) FILTER (churned) AS n_churned, "
+         "any_value(round(cast(wins AS DOUBLE) / pairs, 6)) AS auc_recency FROM k LEFT JOIN p USING (c) GROUP BY 1")
     return q

@@ -121,14 +121,14 @@ def build() -> dict[str, Query]:
     q["basket_value_training"] = _on_star(
         lambda s: basket_value.training_frame(basket_value.basket_value_label(s)))
     q["basket_value_gbt"] = _on_star(basket_value.basket_value_gbt)
+    q["gbt_first_split"] = _on_star(basket_value.gbt_first_split)
     # lifetime value
     q["clv_features"] = _on_star(clv.clv_features)
-    q["clv_predict"] = _on_star(
-        lambda s: clv.clv_predict(s).select("hshd_num", "total_spend", "estimated_future_clv", "clv_ok"))
-    q["clv_top"] = _on_star(
-        lambda s: clv.clv_top(s).select("hshd_num", "total_spend", "estimated_future_clv", "clv_ok"))
+    q["clv_predict"] = _on_star(clv.clv_predict)
+    q["clv_top"] = _on_star(clv.clv_top)
     q["clv_rf"] = _on_star(clv.clv_rf)
     q["clv_holdout"] = _on_star(clv.clv_holdout)
     q["churn_features"] = _on_star(churn_model.churn_training_frame)
+    q["churn_backtest"] = _on_star(churn_model.churn_backtest)
     q["churn_model"] = _on_star(churn_model.churn_model)
     return q
