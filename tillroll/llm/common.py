@@ -7,6 +7,7 @@ word, never on the batch or on the longest document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run):
+    """A task's function that gives its free memory back at the end: workers live on and serve other stages."""
+    def leaner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):      # a C library without it
+            pass
+
+    return leaner
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

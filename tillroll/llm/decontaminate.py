@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.common import ALNUM_WORDS, LOWER, Words, bounded, materialize, mix, row_groups, text_bytes, words
+from tillroll.llm.common import ALNUM_WORDS, LOWER, Words, bounded, lean, materialize, mix, row_groups, text_bytes, words
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +70,7 @@ def _item_windows(spec: SearchSpec):
                 yield pa.record_batch([pa.array(out_i, pa.string()), pa.array(out_w, pa.binary())],
                                       schema=schema)
 
-    return run
+    return lean(run)
 
 
 def pattern_table(items: DataFrame, id_col: str, text_col: str, spec: SearchSpec) -> DataFrame:
@@ -200,7 +200,7 @@ def _scan(tables, spec: SearchSpec, schema: pa.Schema):
             cols["items_"] = pa.array([sorted(v) for v in items], pa.list_(pa.string()))
             yield pa.record_batch([cols[f.name] for f in schema], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

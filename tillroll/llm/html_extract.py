@@ -1,6 +1,7 @@
 """Main-text extraction from HTML: boosted trees over DOM nodes, decoded over the tree.
 
-A tolerant parser builds the element tree in document order. Each element
+A tolerant parser builds the element tree in document order, in time linear
+in the page, however many tags stay open. Each element
 gets features: subtree text, text and link density, attribute tokens, depth,
 sibling statistics, tag and section context. Gradient-boosted trees (numpy,
 logistic loss, histogram splits) give the log-odds that the element belongs
@@ -15,7 +16,8 @@ and position. The sample is bounded: about ``train_pages`` pages.
 
 Edge cases: null or empty html gives an empty text; text without any markup
 is one block of a page without article and is kept when nothing else is; an
-unclosed or stray tag never fails; repeated rows get equal results; an empty
+unclosed or stray tag never fails, and an unclosed comment, quote, script or
+the like loses no text behind it; repeated rows get equal results; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -32,15 +34,15 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import bounded
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!(?:[^>]*)>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>",
-    re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/><]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 # HTML element groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title iframe".split())         # their content is no markup
+FOREIGN = frozenset({"svg", "math"})                                  # elements in them may close themselves
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary "
@@ -103,14 +105,69 @@ def _says(tag: str, attrs: str) -> int:
     return bits
 
 
+class _Scanner:
+    """Finds the ends of tags in one pass: what once was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True           # whether attribute values may hide a >
+        self.endless: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that closes a tag whose name ends at ``at``; -1 if none does."""
+        if self.quotes:
+            end = self._behind_values(at)
+            if end >= 0:
+                return end
+            self.quotes = False      # a value that is never closed: from here on any > closes
+        return self.find(">", at)
+
+    def _behind_values(self, at: int) -> int:
+        page = self.page
+        while True:
+            m = _MARK.search(page, at)
+            if m is None:
+                return -1
+            i, mark = m.start(), m.group()
+            if mark == ">":
+                return i
+            at, j = i + 1, i - 1
+            while page[j].isspace():
+                j -= 1
+            if page[j] == "=":       # a value; one that swallows markup up to the next value's quote is none
+                close = self.find(mark, i + 1)
+                if close >= 0 and ("<" not in page[i + 1:close] or page[close + 1:close + 2] in ("", ">", "/")
+                                   or page[close + 1].isspace()):
+                    at = close + 1
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.endless:
+            return -1
+        end = self.page.find(what, at)
+        if end < 0:
+            self.endless.add(what)
+        return end
+
+    def raw_end(self, tag: str, at: int) -> re.Match | None:
+        """End tag of an element whose content is no markup."""
+        if tag in self.endless:
+            return None
+        m = _RAW_END[tag].search(self.page, at)
+        if m is None:
+            self.endless.add(tag)
+        return m
+
+
 def parse(page: str, t: Forest) -> None:
-    """Add a page to the forest."""
+    """Add a page to the forest, in time linear in its length."""
     stack: list[int] = []
-    links = 0
+    places: dict[str, list[int]] = {}        # depths of the open elements of each tag
+    blocks: list[int] = []                   # depths of the open block elements
     block = 0
     runs: list[tuple[int, int, str]] = []
     t.roots.append(len(t.tag))
     t.runs.append(runs)
+    links = places.setdefault("a", [])
 
     def open_(tag, says):
         i = len(t.tag)
@@ -131,19 +188,25 @@ def parse(page: str, t: Forest) -> None:
         t.own.append(0)
         t.link.append(0)
         t.stops.append(0)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
         stack.append(i)
 
     def close(k):
-        nonlocal links
         while len(stack) > k:
             i = stack.pop()
             t.end[i] = len(t.tag)
-            links -= t.tag[i] == "a"
+            tag = t.tag[i]
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
 
     def text(s):
-        if not s or s.isspace():
-            return
         i = stack[-1]
+        if s.isspace():              # parts words, and is no text of its own
+            runs.append((i, block, " "))
+            return
         n = len(s)
         t.own[i] += n
         if links:
@@ -152,59 +215,63 @@ def parse(page: str, t: Forest) -> None:
         runs.append((i, block, s))
 
     open_("#root", 0)
+    scan = _Scanner(page)
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             text(page[at:])
             break
-        text(page[at:m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        if start > at:
+            text(page[at:start])
+        if page.startswith(("<!", "<?"), start):
+            end = scan.find("-->", start + 2) if page.startswith("<!--", start) else -1
+            if end >= 0:
+                at = end + 3
+                continue
+            end = scan.find(">", start)      # a comment that is never closed ends here, too
+            if end < 0:
+                break
+            at = end + 1
             continue
-        tag = tag.lower()
-        if m.group(1):
-            if tag in BLOCK:
-                block += 1
-            for k in range(len(stack) - 1, max(0, len(stack) - 512), -1):
-                if t.tag[stack[k]] == tag:
-                    close(k)
-                    break
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            text("<")
+            at = start + 1
             continue
+        end = scan.tag_end(m.end())
+        if end < 0:
+            text(page[start:])
+            break
+        at = end + 1
+        tag = m.group(2).lower()
         if tag in BLOCK:
             block += 1
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                    name = t.tag[stack[k]]
-                    if name == "p":
-                        close(k)
-                        break
-                    if name in BLOCK:
-                        break
-            if tag in SAME:
-                for k in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                    name = t.tag[stack[k]]
-                    if name in SAME[tag]:
-                        close(k)
-                        break
-                    if name in BLOCK and name != "p":
-                        break
+        if m.group(1):
+            if places.get(tag):
+                close(places[tag][-1])
+            continue
+        if blocks and tag in CLOSES_P and t.tag[stack[blocks[-1]]] == "p":
+            close(blocks[-1])
+        if tag in SAME:
+            k = len(blocks) - 1
+            while k >= 0 and t.tag[stack[blocks[k]]] == "p":
+                k -= 1
+            if k >= 0 and t.tag[stack[blocks[k]]] in SAME[tag]:
+                close(blocks[k])
         if tag == "br":
-            if stack:
-                runs.append((stack[-1], block, " "))
+            runs.append((stack[-1], block, " "))
             continue
-        attrs = m.group(3)
         if tag in VOID:
             continue
+        attrs = page[m.end():end]
+        raw = scan.raw_end(tag, at) if tag in RAW else None
         open_(tag, _says(tag, attrs))
-        links += tag == "a"
-        if attrs.endswith("/") and tag in ("svg", "iframe"):
+        if raw:
             close(len(stack) - 1)
-        elif tag in RAW:
-            stop = _RAW_END[tag].search(page, at)
+            at = raw.end()
+        elif attrs.endswith("/") and (tag in FOREIGN or places.get("svg") or places.get("math")):
             close(len(stack) - 1)
-            at = stop.end() if stop else n
     close(0)
 
 
@@ -245,20 +312,42 @@ def features(t: Forest) -> np.ndarray:
     return x
 
 
+def article_marks(t: Forest) -> np.ndarray:
+    """Elements that are an article by the page's markup.
+
+    ``article`` and ``main`` first; without them elements with an article's
+    words; without those the element with most text in paragraphs of its own.
+    """
+    says = np.array(t.says)
+    out = np.array(t.path) & (OUT_TAG | OUT_WORD) > 0
+    for bit in (ARTICLE, IN_WORD):
+        found = (says & bit > 0) & ~((says & OUT_TAG > 0) if bit == ARTICLE else out)
+        if found.any():
+            return found
+    parent = np.array(t.parent)
+    is_p = np.array([g == "p" for g in t.tag]) & (parent >= 0) & ~out
+    found = np.zeros(len(parent), bool)
+    if is_p.any():
+        held = np.bincount(parent[is_p], np.array(t.own, float)[is_p], minlength=len(parent))
+        found[int(held.argmax())] = held.max() > 0
+    return found
+
+
 def silver_labels(t: Forest) -> np.ndarray:
     """1: article or an element that holds it; 0: page furniture, by the page's own markup."""
     n = len(t.tag)
-    out, holds = [False] * n, [False] * n
+    marks = article_marks(t)
+    out, holds, inside = [False] * n, [False] * n, [False] * n
     for i in range(n):
-        p, says, inside = t.parent[i], t.says[i], t.path[i] & ARTICLE
-        bad = not says & ARTICLE and (says & (OUT_TAG | OUT_WORD) or (says & HEADER and not inside))
+        p, says = t.parent[i], t.says[i]
+        inside[i] = bool(marks[i]) or (p >= 0 and inside[p])
+        bad = not marks[i] and (says & (OUT_TAG | OUT_WORD) or (says & HEADER and not inside[i]))
         out[i] = bool(bad) or (p >= 0 and out[p])
-        if says & ARTICLE:
+        if marks[i]:
             while p >= 0 and not holds[p]:
                 holds[p] = True
                 p = t.parent[p]
-    inside = np.array(t.path) & ARTICLE > 0
-    return ((inside | np.array(holds)) & ~np.array(out)).astype(np.int8)
+    return ((np.array(inside) | np.array(holds)) & ~np.array(out)).astype(np.int8)
 
 
 @dataclass(frozen=True)

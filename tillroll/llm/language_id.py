@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType
 
-from tillroll.llm.common import bounded, text_bytes
+from tillroll.llm.common import bounded, lean, text_bytes
 
 UNKNOWN = "und"
 
@@ -167,7 +167,7 @@ def _sample_windows(spec: CnnSpec):
             yield pa.record_batch([pa.array([q[c] for q in rows], schema.field(c).type)
                                    for c in range(4)], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -238,7 +238,7 @@ def _score(net: ByteCnn, schema: pa.Schema, inside: str | None, block: int = 192
             yield pa.record_batch([row, pa.array(names, pa.string()), pa.array(score)],
                                   schema=schema)
 
-    return run
+    return lean(run)
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.common import SPACE_WORDS, bounded, materialize, text_bytes, word_counts
+from tillroll.llm.common import SPACE_WORDS, bounded, lean, materialize, text_bytes, word_counts
 
 
 @dataclass(frozen=True)
@@ -91,7 +91,7 @@ def with_sizes(docs: DataFrame, keep: list[str], id_col: str, text_col: str, sou
             yield pa.record_batch([n if f.name == "size_" else batch.column(f.name) for f in schema],
                                   schema=schema)
 
-    return base.mapInArrow(run, base.drop("text_").schema)
+    return base.mapInArrow(lean(run), base.drop("text_").schema)
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -316,4 +316,4 @@ def _leaves(counts: np.ndarray, shards: int, seed: int):
                 yield pa.record_batch([pa.array(np.full(len(k), shard, np.int32)), pa.array(k.astype(np.int32)),
                                        pa.array(lo[k]), pa.array(lo[k] + n[k])], schema=schema)
 
-    return run
+    return lean(run)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import SPACE_WORDS, bounded, materialize, mix, row_groups, text_bytes, words
+from tillroll.llm.common import SPACE_WORDS, bounded, lean, materialize, mix, row_groups, text_bytes, words
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
@@ -179,7 +179,7 @@ def _profile(spec: JoinSpec):
                                    pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary())],
                                   schema=_PROFILE_ARROW)
 
-    return run
+    return lean(run)
 
 
 def _crowd_table(profile: DataFrame) -> np.ndarray:
@@ -220,7 +220,7 @@ def _postings(spec: JoinSpec, crowd):
             if held:
                 yield _post_batch(w, sid, n, pos)
 
-    return run
+    return lean(run)
 
 
 def _post_batch(w, sid, n, pos):
@@ -301,7 +301,7 @@ def _shared(spec: JoinSpec):
         close()
         yield batch_of(out)
 
-    return run
+    return lean(run)
 
 
 _PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -356,7 +356,7 @@ def _medoid_pairs(spec: JoinSpec):
         close()
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
 
-    return run
+    return lean(run)
 
 
 def _cross_pairs(spec: JoinSpec):
@@ -393,7 +393,7 @@ def _cross_pairs(spec: JoinSpec):
                     seen.clear()
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_ARROW)
 
-    return run
+    return lean(run)
 
 
 def _may_link(spec: JoinSpec):
@@ -408,7 +408,7 @@ def _may_link(spec: JoinSpec):
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.record_batch([part.column("a"), part.column("b")], schema=_PAIR_ARROW)
 
-    return run
+    return lean(run)
 
 
 def trie_overlaps(centre: np.ndarray, members: list[np.ndarray], need: list[int]) -> list[int]:
@@ -480,7 +480,7 @@ def _verify(spec: JoinSpec, crowd):
             yield pa.record_batch([pa.array([key[0]] * len(found), pa.int64()),
                                    pa.array(found, pa.int64())], schema=_PAIR_ARROW)
 
-    return run
+    return lean(run)
 
 
 def _links(pairs: DataFrame, base: DataFrame, sets: DataFrame, spec: JoinSpec, crowd, repeated: bool) -> DataFrame:

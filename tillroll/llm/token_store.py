@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import bounded, row_groups, text_bytes
+from tillroll.llm.common import bounded, lean, row_groups, text_bytes
 from tillroll.llm.pieces import PIECES, pattern_encoder
 
 # Fixed values of the format: ids per word and bits per id of selectors 0..14.
@@ -145,7 +145,7 @@ def _encode(tokenizer: str, end_id: int, pieces: int):
         if docs:
             yield _segment(shard, seg, docs, parts)
 
-    return run
+    return lean(run)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
@@ -201,7 +201,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "shard", "seg", "coalesce(sum(t) over (partition by shard order by seg rows between unbounded "
                         "preceding and 1 preceding), 0) as seg_start")
     starts = segments.join(shards, "shard")
-    docs = store.select("shard", "seg", "doc_ids", "lengths", "words", "escapes").mapInArrow(_read, _DOC)
+    docs = store.select("shard", "seg", "doc_ids", "lengths", "words", "escapes").mapInArrow(lean(_read), _DOC)
     return docs.join(starts, ["shard", "seg"]).select(
         "doc_id", (F.col("shard_start") + F.col("seg_start") + F.col("within")).alias("start"),
         "n_tokens", "ids_crc32")
