@@ -21,7 +21,7 @@ from tillroll.llm.queries import END_ID, TOKENIZER, shared_folder
 LANGUAGE_AT = 0.4
 
 # Token pieces that a worker keeps a generation: workers are shared with the other stages, so fewer than the default.
-PIECES = 60_000
+PIECES = 30_000
 
 # Near copies share four fifths of their five-word shingles; the width and threshold of op1's contract bind op1 alone.
 NEAR = ngram_join.JoinSpec(k=5, num=80, den=100)
