@@ -77,23 +77,40 @@ def test_pairs_beyond_one_word(spark):
     assert got == dict(want)
 
 
-def test_exact_median_small_and_bucketed(spark):
+def test_exact_median_small_and_narrowed(spark):
     import random
     import statistics
 
     from tillroll.operators.median import exact_median
-    random.seed(7)
-    for n in (1, 2, 5, 1000, 1001):
-        vals = [round(random.uniform(0, 500), 2) for _ in range(n)]
-        vals += [42.0] * (n // 3)  # a value holding a third of the rows
-        df = spark.createDataFrame([(v,) for v in vals], "x double")
-        want = statistics.median(vals)
+
+    rng = random.Random(11)
+    cases = [[3.0], [1.0, 2.0], [5.0] * 9 + [1.0], [rng.uniform(-1e6, 1e6) for _ in range(801)],
+             [rng.choice([1.5, 2.5, 7.0]) for _ in range(400)], [1e-300, 1.0, 1e300, -1e300, 5.0, 6.0],
+             [10.0 ** rng.uniform(-300, 300) for _ in range(500)], [1.7e308, -1.7e308, 0.0, 2.0, 4.0, 4.0],
+             [7.0] * 300 + [float(i) for i in range(200)]]
+    for xs in cases:
+        df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double").repartition(5)
+        want = statistics.median(xs)
         assert exact_median(df, "x") == pytest.approx(want, rel=1e-12)
-        # forced bucketed path
-        assert exact_median(df, "x", bucket_rows=7) == pytest.approx(want, rel=1e-12)
+        assert exact_median(df, "x", few=3, bins=5) == pytest.approx(want, rel=1e-12)
     assert exact_median(spark.createDataFrame([], "x double"), "x") is None
 
 
+def test_median_takes_few_jobs_over_the_counts(spark):
+    from tillroll.operators.median import exact_median
+
+    df = spark.range(60_000).selectExpr("cast((id * 7919) % 60013 as double) / 100 as x")
+    spark.sparkContext.setJobGroup("median", "")
+    try:
+        value = exact_median(df, "x", few=50)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("median"))
+    xs = sorted((i * 7919) % 60013 / 100 for i in range(60_000))
+    assert value == pytest.approx((xs[29_999] + xs[30_000]) / 2)
+    assert jobs <= 10       # the counts and their checkpoint, range, histogram, bin; AQE runs each shuffle as a job
+
+
 def test_dense_codes_across_partitions(spark):
     from tillroll.operators.basket import dense_codes
     names = [f"n{i:04d}" for i in range(500)] * 2 + [None]

@@ -12,12 +12,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Cents beyond this do not fit in 64 bits.
+_MOST = 9.2e18
+
+
+def cents(amount: Column) -> Column:
+    """Amount in whole cents; NULL for NULL and non-finite amounts, an error for one out of range."""
+    c = F.round(amount.cast("double") * 100)
+    return F.when(F.abs(c) < _MOST, c.cast("bigint")).when(
+        F.abs(c) < float("inf"), F.raise_error(F.concat(F.lit("amount out of range: "), amount.cast("string"))).cast("bigint"))
+
+
 def money_sum(amount: Column) -> Column:
     """Exact sum of amounts, each rounded to cents (output type double).
 
     NULL and non-finite amounts do not count; NULL when nothing counts.
     """
-    return F.sum(F.round(amount.cast("double") * 100).try_cast("bigint")) / F.lit(100.0)
+    return F.sum(cents(amount)) / F.lit(100.0)
 
 
 def half_even_ratio(total: Column, n: Column) -> Column:

@@ -45,15 +45,16 @@ IMPORTANCE_SCHEMA = T.StructType([
 ])
 
 
-def basket_value_label(star: DataFrame, approx_median: bool = False,
-                       accuracy: int = 10_000) -> DataFrame:
+def basket_value_label(star: DataFrame | None, approx_median: bool = False,
+                       accuracy: int = 10_000, summary: DataFrame | None = None) -> DataFrame:
     """Basket summary + high-value label; the summary is materialised once
     and read by both the median computation and the labelling pass.
 
     ``approx_median`` swaps the exact median for a one-pass quantile sketch
-    (rank error at most 1/``accuracy`` of the baskets).
+    (rank error at most 1/``accuracy`` of the baskets). ``summary`` lets a
+    caller share one materialised basket summary.
     """
-    bs = materialize(basket_summary(star))
+    bs = summary if summary is not None else materialize(basket_summary(star))
     if approx_median:
         med = bs.agg(F.percentile_approx("basket_spend", 0.5, accuracy).alias("m")).first()["m"]
     else:
@@ -116,7 +117,8 @@ def gbt_first_split(star: DataFrame, digits: int = 9) -> DataFrame:
     return cuts.withColumn("rank_", F.row_number().over(best))
 
 
-def basket_value_gbt(star: DataFrame, rows_per_partition: int = 200_000) -> DataFrame:
+def basket_value_gbt(star: DataFrame, rows_per_partition: int = 200_000,
+                     summary: DataFrame | None = None) -> DataFrame:
     """Feature importances (percent, 2 decimals) of the boosted-tree model, with the reason when there is none.
 
     Columns: feature, importance_pct, reason. Without a trainable model
@@ -128,7 +130,7 @@ def basket_value_gbt(star: DataFrame, rows_per_partition: int = 200_000) -> Data
     it should not be spread over more partitions than its size needs.
     """
     spark = star.sparkSession
-    labelled = basket_value_label(star)
+    labelled = basket_value_label(star, summary=summary)
     guard = labelled.agg(
         F.count(F.lit(1)).alias("n"),
         (F.min("basket_spend") < F.max("basket_spend")).alias("spend_varies"),

@@ -149,12 +149,15 @@ def prune_itemsets(itemsets: DataFrame, support: DataFrame, min_support: int) ->
 
 
 def pair_counts(coded_star: DataFrame, codes: DataFrame, min_support: int = 1) -> DataFrame:
+    """``pairs_of`` the baskets of a star, which are written once: dense and sparse blocks both read them."""
+    return pairs_of(materialize(basket_itemsets(coded_star)), codes, min_support)
+
+
+def pairs_of(itemsets: DataFrame, codes: DataFrame, min_support: int = 1) -> DataFrame:
     """Every unordered pair of distinct commodities bought in the same basket:
     (item_1 < item_2, times_bought_together = number of such baskets).
     With ``min_support`` > 1 only pairs bought together at least that often
     are returned, and rare commodities are pruned before the pairing."""
-    # read twice (dense and sparse blocks, or supports and pruning): materialise once
-    itemsets = materialize(basket_itemsets(coded_star))
     if min_support > 1:
         itemsets = materialize(prune_itemsets(itemsets, item_support(itemsets), min_support))
     m = cooccurrence(itemsets).where(

@@ -2,8 +2,11 @@
 
 Each ranking is ``groupBy -> sum -> top-N`` (Spark plans a partial
 aggregate before the shuffle and a TakeOrderedAndProject at the end). The
-``dashboard_series`` report computes all six in a single pass over the star
-with GROUPING SETS instead of re-running the join per series.
+``dashboard_sums`` report computes all six in a single pass over the star
+with GROUPING SETS instead of re-running the join per series, and on request
+the distinct baskets in the same pass, as one more grouping set. Its sums
+are whole cents, so those of several parts of the lines add up to those of
+the whole (``plans.maintained``).
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.cleaning import category
-from tillroll.functions.rounding import money_sum
+from tillroll.functions.rounding import cents, money_sum
 
 # The six dashboard series, their grouping label and how many
 # top groups each shows (None = all groups, in key order).
@@ -41,10 +44,11 @@ def kpi_totals(star: DataFrame, approx_baskets: bool = False) -> DataFrame:
     """
     baskets = (F.approx_count_distinct("basket_num", 0.01) if approx_baskets
                else F.count_distinct("basket_num"))
-    agg = star.agg(
-        F.coalesce(_sum_spend(), F.lit(0.0)).alias("total_spend"),
-        baskets.alias("total_transactions"),
-    )
+    return _totals(star.agg(F.coalesce(_sum_spend(), F.lit(0.0)).alias("total_spend"),
+                            baskets.alias("total_transactions")))
+
+
+def _totals(agg: DataFrame) -> DataFrame:
     return agg.select(
         "total_spend", "total_transactions",
         ((F.col("total_transactions") > 0) | (F.col("total_spend") > 0)).alias("has_data"),
@@ -94,39 +98,69 @@ def spend_by_store_region(star: DataFrame, n: int | None = None) -> DataFrame:
     return spend_by(star, category(F.col("store_r"), 128), "cat", n)
 
 
-def dashboard_series(star: DataFrame) -> DataFrame:
-    """All six series in one aggregate pass, long format.
+BASKETS = "baskets"
 
-    Columns: series, label (text; the department label may be NULL), spend,
-    rank (1 = first bar). GROUPING SETS expands each line once per set inside
-    the scan stage, the partial aggregate collapses it to at most the number
-    of labels per task, and only those partial rows cross the shuffle.
+
+def dashboard_sums(star: DataFrame, baskets: bool = False) -> DataFrame:
+    """(series, label, week_num, cents, n): spend of every label of the six series, in one pass.
+
+    GROUPING SETS expands each line once per set inside the scan stage, the
+    partial aggregate collapses it to at most the number of labels per task,
+    and only those partial rows cross the shuffle. With ``baskets`` a seventh
+    set has a group per basket, which a second aggregate turns into one row:
+    n is then the number of distinct baskets.
     """
-    keys = []
-    for name, src, width, _ in SERIES:
-        c = F.col(src) if width is None else category(F.col(src), width)
-        keys.append(c.alias(f"k_{name}"))
-    base = star.select(*keys, F.col("spend"))
-    sets = [[f"k_{name}"] for name, *_ in SERIES]
-    agg = base.groupingSets(sets, *[f"k_{name}" for name, *_ in SERIES]).agg(
-        _sum_spend().alias("spend"),
-        *[F.grouping(f"k_{name}").alias(f"g_{name}") for name, *_ in SERIES],
-    )
-    series = F.lit(None).cast("string")
-    label = F.lit(None).cast("string")
-    for name, *_ in reversed(SERIES):
+    names = [name for name, *_ in SERIES]
+    keys = [(F.col(src) if width is None else category(F.col(src), width)).alias(f"k_{name}")
+            for name, src, width, _ in SERIES]
+    if baskets:
+        names.append(BASKETS)
+        keys.append(F.col("basket_num").alias(f"k_{BASKETS}"))
+    base = star.select(*keys, cents(F.col("spend")).alias("cents"))
+    agg = base.groupingSets([[f"k_{n}"] for n in names], *[f"k_{n}" for n in names]).agg(
+        F.sum("cents").alias("cents"), *[F.grouping(f"k_{n}").alias(f"g_{n}") for n in names])
+    series, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name in reversed(names):
         hit = F.col(f"g_{name}") == 0
         series = F.when(hit, F.lit(name)).otherwise(series)
-        label = F.when(hit, F.col(f"k_{name}").cast("string")).otherwise(label)
-    long = agg.select(series.alias("series"), label.alias("label"),
-                      F.col("k_week").alias("week_num"), F.col("spend"))
+        if name != BASKETS:
+            label = F.when(hit, F.col(f"k_{name}").cast("string")).otherwise(label)
+    if not baskets:
+        return agg.select(series.alias("series"), label.alias("label"), F.col("k_week").alias("week_num"), "cents",
+                          F.lit(None).cast("bigint").alias("n"))
+    long = agg.select(series.alias("series"), label.alias("label"), F.col("k_week").alias("week_num"), "cents",
+                      F.col(f"k_{BASKETS}").isNotNull().alias("counts"))
+    return long.groupBy("series", "label", "week_num").agg(
+        F.sum("cents").alias("cents"), F.count_if("counts").alias("n"))
+
+
+def series_of(sums: DataFrame) -> DataFrame:
+    """The dashboard's series from ``dashboard_sums`` (of all lines, or added up from parts)."""
+    spend = F.col("cents") / F.lit(100.0)
     w = Window.partitionBy("series").orderBy(
         F.when(F.col("series") == "week", F.col("week_num")).asc_nulls_first(),
         F.col("spend").desc(), F.col("label").asc_nulls_first())
-    ranked = long.withColumn("rank", F.row_number().over(w))
+    ranked = (sums.where(F.col("series") != BASKETS)
+              .select("series", "label", "week_num", spend.alias("spend")).withColumn("rank", F.row_number().over(w)))
     limits = F.lit(None).cast("int")
     for name, _, _, n in SERIES:
         if n is not None:
             limits = F.when(F.col("series") == name, F.lit(n)).otherwise(limits)
     keep = limits.isNull() | (F.col("rank") <= limits)
     return ranked.filter(keep).select("series", "label", "spend", "rank")
+
+
+def totals_of(sums: DataFrame) -> DataFrame:
+    """The KPI row from ``dashboard_sums`` with baskets."""
+    of = F.col("series") == BASKETS
+    return _totals(sums.agg(F.coalesce(F.sum(F.when(of, F.col("cents"))) / F.lit(100.0), F.lit(0.0)).alias("total_spend"),
+                            F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)).alias("total_transactions")))
+
+
+def dashboard_series(star: DataFrame) -> DataFrame:
+    """All six series in one aggregate pass, long format.
+
+    Columns: series, label (text; the department label may be NULL), spend,
+    rank (1 = first bar).
+    """
+    return series_of(dashboard_sums(star))

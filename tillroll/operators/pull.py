@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators.star import star
 from tillroll.sources.fixture import RetailTables
 
 # Output columns of the pull, in order, with their sources.
@@ -53,30 +54,13 @@ def data_pull(t: RetailTables, hshd_num: int = 10, n: int = 100) -> DataFrame:
     return out.orderBy(*order).limit(int(n))
 
 
-# The pull as one parameterised SQL statement (named markers bind the
-# household and the row count; the three tables are bound as DataFrames).
-PULL_SQL = """
-SELECT t.hshd_num, t.basket_num, t.purchase_date AS date, t.product_num,
-       p.department, p.commodity, t.spend, t.units, t.store_r AS store_region,
-       t.week_num, t.year, h.loyalty_flag, h.age_range, h.marital_status,
-       h.income_range, h.homeowner_desc, h.hshd_composition, h.hh_size AS hshd_size,
-       h.children
-FROM {transactions} t
-JOIN {households} h ON t.hshd_num = h.hshd_num
-JOIN {products} p ON t.product_num = p.product_num
-WHERE t.hshd_num = :hid
-ORDER BY t.hshd_num, t.basket_num, t.purchase_date, t.product_num, p.department,
-         p.commodity, t.spend, t.units, t.store_r
-LIMIT :n
-"""
-
-
 def data_pull_sql(t: RetailTables, hshd_num: int = 10, n: int = 100) -> DataFrame:
-    """``data_pull`` written as parameterised Spark SQL (same plan, same rows)."""
-    spark = t.transactions.sparkSession
-    return spark.sql(PULL_SQL, args={"hid": int(hshd_num), "n": int(n)},
-                     transactions=t.transactions, households=t.households,
-                     products=t.products)
+    """``data_pull`` as parameterised Spark SQL over the star (same rows)."""
+    columns = ", ".join(f"{source} AS {name}" for name, source in PULL_COLUMNS)
+    keys = ", ".join(f"{k} ASC NULLS FIRST" for k in SORT_KEYS + _TIEBREAK)
+    statement = f"SELECT {columns} FROM {{lines}} WHERE hshd_num = :household ORDER BY {keys} LIMIT :rows"
+    return t.transactions.sparkSession.sql(
+        statement, args={"household": int(hshd_num), "rows": int(n)}, lines=star(t))
 
 
 def data_pull_sorted(t: RetailTables, hshd_num: int = 10, n: int = 100,

@@ -7,6 +7,10 @@ spreads a household holding a third of all lines over many reducers and
 keeps the basket partitioning of the order join; the household then counts
 its baskets with one distinct aggregate and its weeks, a calendar-bounded
 domain, as a set. No line is expanded.
+
+``basket_facts`` keeps everything the insights need of a (household, basket,
+week), so that one pass over the star serves the household rollup, the basket
+summary and the itemsets.
 """
 
 from __future__ import annotations
@@ -24,8 +28,39 @@ def household_baskets(star: DataFrame) -> DataFrame:
         F.sum(F.col("units").cast("double")).alias("units"))
 
 
+def basket_facts(coded_star: DataFrame) -> DataFrame:
+    """(household, basket, week) with its spend, units, lines, commodity codes and departments."""
+    return coded_star.groupBy("hshd_num", "basket_num", "week_num").agg(
+        money_sum(F.col("spend")).alias("spend"),
+        F.sum(F.col("units").cast("double")).alias("units"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.collect_set("cid").alias("items"),
+        F.collect_set("department").alias("departments"))
+
+
+def summary_of_facts(facts: DataFrame) -> DataFrame:
+    """``basket_summary`` from ``basket_facts``: a basket's parts differ in household or week only, so they are few."""
+    def distinct(c: str):
+        return F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("bigint")
+
+    return facts.groupBy("basket_num").agg(
+        F.sum("n_lines").alias("n_lines"), distinct("items").alias("n_commodity"),
+        distinct("departments").alias("n_department"), money_sum(F.col("spend")).alias("basket_spend"))
+
+
+def itemsets_of_facts(facts: DataFrame) -> DataFrame:
+    """(basket_num, items) of baskets with a commodity, from ``basket_facts``."""
+    return facts.groupBy("basket_num").agg(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).where(F.size("items") > 0)
+
+
 def household_rollup(star: DataFrame) -> DataFrame:
-    return household_baskets(star).groupBy("hshd_num").agg(
+    return rollup_of_facts(household_baskets(star))
+
+
+def rollup_of_facts(facts: DataFrame) -> DataFrame:
+    """Household figures from (household, basket, week) rows."""
+    return facts.groupBy("hshd_num").agg(
         money_sum(F.col("spend")).alias("total_spend"),
         F.sum("units").alias("total_units"),
         F.count_distinct("basket_num").alias("total_baskets"),
