@@ -175,3 +175,41 @@ def test_cnn_separates_alphabets_and_pads():
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(pii.span_text([]).encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def test_perturbed_buckets_come_best_first():
+    import itertools
+    import math
+
+    from tillroll.llm import ann
+
+    rng = np.random.default_rng(3)
+    hasher = ann.Hasher(6, 12_000, 1.0, 2.0, ann.LshSpec(bucket_rows=400))
+    assert hasher.dims == 3
+    for radius in (0.02, 0.7, 2.5):
+        y = rng.normal(size=3) * 2
+        got = hasher.perturbed(y, radius, 10_000)
+        slots, chance = hasher.slot_chances(y, radius)
+        every = sorted(((chance[0, a] + chance[1, b] + chance[2, c], (slots[0, a], slots[1, b], slots[2, c]))
+                        for a, b, c in itertools.product(range(slots.shape[1]), repeat=3)), reverse=True)
+        mass = np.cumsum([math.exp(p) for p, _ in every])
+        need = int(np.searchsorted(mass, hasher.share)) + 1
+        assert len(got) == need and len({tuple(r) for r in got.tolist()}) == need
+        by = {s: p for p, s in every}
+        assert np.allclose([by[tuple(r)] for r in got.tolist()], [p for p, _ in every[:need]], rtol=1e-9)
+        assert tuple(got[0]) == tuple(np.floor(y).astype(int))
+        assert need == 1 or hasher.perturbed(y, radius, need - 1) is None
+    z = np.linspace(-12, 37, 5_000)
+    want = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+    assert np.allclose(ann._tail(z), want, rtol=3e-6, atol=0)
+
+
+def test_rows_out_of_the_search_follow_the_queries():
+    from tillroll.llm import ann
+
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    q, limit = x[:3], np.array([np.inf, 0.4, 0.0])
+    qid, vid, score = ann.best_of(np.arange(3), q, limit, np.arange(300), x, 10)
+    assert (np.bincount(qid, minlength=3)[0], np.bincount(qid, minlength=3)[2]) == (10, 0)
+    d = np.sqrt(((x - x[1]) ** 2).sum(1))
+    assert set(vid[qid == 1]) == set([i for i in np.argsort(d) if i != 1 and d[i] <= 0.4][:10])

@@ -3,14 +3,22 @@
 ``tables`` hash tables each cut ``dims`` Gaussian projections into slots of
 width ``w``. If a neighbour lies at distance r, its projection differs from
 the query's by a normal step of deviation r, so every slot has a probability
-and a bucket the product. A query visits the occupied buckets in order of
-that product until it has its share of their sum, so that the tables together
-reach ``target``; buckets are ranked in blocks of ``bucket_block``, each to
-its share. r is first the distance of the k-th neighbour in a bounded sample.
-
-A query whose found k-th neighbour lies farther than that visits buckets again
-with this distance, which no true neighbour exceeds. A query that found fewer
-than k is compared with all vectors.
+and a bucket the product.
+
+1. A query's own bucket of each table gives its k nearest there. The k-th of
+   them bounds the distance of what can still matter.
+2. The query then visits perturbed buckets, best first: a heap over the
+   slots' probabilities makes them in order of their estimated success, until
+   their sum is the table's share, so that the tables together reach
+   ``target``. r is the distance of the k-th neighbour in a bounded sample.
+   Only candidates within the bound come back, so the rows made follow the
+   number of queries and not of the buckets visited.
+3. A query that would visit more buckets than a table has occupied ones ranks
+   the occupied buckets by the same probabilities instead, in blocks of
+   ``bucket_block``, each to its share: no query's probing is cut off.
+4. A query whose found k-th neighbour lies farther than r visits again with
+   this distance, which no true neighbour exceeds. A query that found fewer
+   than k is compared with all vectors.
 
 Every vector is indexed. A (table, bucket) holds its vectors in parts of
 about ``part`` rows, so a crowded bucket spreads over many tasks; queries go
@@ -28,6 +36,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -72,23 +81,53 @@ class Hasher:
         slots = np.floor(self.project(x, t)).astype(np.int64)
         return [",".join(map(str, row)) for row in slots.tolist()]
 
+    @property
+    def share(self) -> float:
+        """What each table must cover for all together to reach the target."""
+        return 1 - (1 - self.spec.target) ** (1 / self.spec.tables)
+
+    def slot_chances(self, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Slots around a projected query and the log probability of each, by projection."""
+        scale = max(radius, 1e-12) / self.width
+        reach = 2 + int(min(6 * scale, 1 << 12))
+        near = np.floor(y)[:, None] + np.arange(-reach, reach + 1)
+        return near.astype(np.int64), _log_between((near - y[:, None]) / scale, 1 / scale)
+
+    def perturbed(self, y: np.ndarray, radius: float, most: int) -> np.ndarray | None:
+        """Slots of the buckets to visit, best first, up to the table's share; None if these are more than ``most``."""
+        slots, chance = self.slot_chances(y, radius)
+        order = np.argsort(-chance, 1, kind="stable")
+        slots, chance = np.take_along_axis(slots, order, 1), np.take_along_axis(chance, order, 1)
+        steps = chance.tolist()
+        # a bucket is the rank of its slot in each projection; each is made once, from the one with its last
+        # raised rank lowered
+        heap = [(-float(chance[:, 0].sum()), (0,) * self.dims, 0)]
+        found, covered = [], 0.0
+        while heap:
+            worst, ranks, last = heapq.heappop(heap)
+            found.append(ranks)
+            covered += math.exp(-worst)
+            if covered >= self.share:
+                return np.take_along_axis(slots.T, np.array(found), 0)
+            if len(found) >= most:
+                return None
+            for i in range(last, self.dims):
+                r, row = ranks[i], steps[i]
+                if r + 1 < len(row) and row[r + 1] > -math.inf:
+                    heapq.heappush(heap, (worst + row[r] - row[r + 1], ranks[:i] + (r + 1,) + ranks[i + 1:], i))
+        return None
+
     def success(self, q: np.ndarray, radius: np.ndarray, slots: np.ndarray, t: int) -> np.ndarray:
         """Log probability that a neighbour at distance ``radius`` of each query lies in each bucket (slot numbers)."""
         y, scale = self.project(q, t), (np.maximum(radius, 1e-12) / self.width)[:, None]
         out = np.zeros((len(q), len(slots)))
         for i in range(self.dims):
             each, at = np.unique(slots[:, i], return_inverse=True)
-            lo = (each[None, :] - y[:, i, None]) / scale
-            hi = lo + 1 / scale
-            # the tail farther from the query, so that small probabilities keep their digits
-            lo, hi = np.where(lo + hi < 0, -hi, lo), np.where(lo + hi < 0, -lo, hi)
-            with np.errstate(divide="ignore"):
-                out += np.log(_tail(lo) - _tail(hi))[:, at.reshape(-1)]
+            out += _log_between((each[None, :] - y[:, i, None]) / scale, 1 / scale)[:, at.reshape(-1)]
         return out
 
     def visited(self, q: np.ndarray, radius: np.ndarray, slots: np.ndarray, t: int) -> list[np.ndarray]:
         """Per query the buckets, by success, that make up the table's share of what all these have."""
-        need = 1 - (1 - self.spec.target) ** (1 / self.spec.tables)
         out = []
         for a in range(0, len(q), 16):
             for row in self.success(q[a:a + 16], radius[a:a + 16], slots, t):
@@ -98,11 +137,30 @@ class Hasher:
                     continue
                 order = np.argsort(-row, kind="stable")
                 total = np.cumsum(np.exp(row[order] - top))
-                out.append(order[:int(np.searchsorted(total, need * total[-1])) + 1])
+                out.append(order[:int(np.searchsorted(total, self.share * total[-1])) + 1])
         return out
 
 
-_tail = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), otypes=[float])
+# Logarithm of the normal tail, interpolated: its second derivative lies between -1 and 0, so the error is
+# below step**2 / 8 = 1.3e-6.
+_GRID = np.arange(0, 38, 1 / 320)
+_LOG_TAIL = np.array([math.log(0.5 * math.erfc(z / math.sqrt(2))) for z in _GRID.tolist()])
+
+
+def _tail(z: np.ndarray) -> np.ndarray:
+    """Normal tail of z; 0 from 38 on, where doubles end."""
+    near = np.exp(np.interp(np.abs(z), _GRID, _LOG_TAIL))
+    near = np.where(np.abs(z) >= _GRID[-1], 0.0, near)
+    return np.where(z < 0, 1 - near, near)
+
+
+def _log_between(lo: np.ndarray, length) -> np.ndarray:
+    """Log probability of a normal step from ``lo`` to ``lo + length``."""
+    hi = lo + length
+    # the tail farther from the query, so that small probabilities keep their digits
+    lo, hi = np.where(lo + hi < 0, -hi, lo), np.where(lo + hi < 0, -lo, hi)
+    with np.errstate(divide="ignore"):
+        return np.log(np.maximum(_tail(lo) - _tail(hi), 0))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -162,6 +220,59 @@ def _index(hasher: Hasher):
 _PROBE = pa.schema([("t", pa.int32()), ("bucket", pa.string()), ("qb", pa.int64()), ("query_id", pa.int64())])
 
 
+def _sequences(hasher: Hasher, most: int):
+    """Buckets that each query visits, without its own one; a null bucket where they are too many."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q, radius = _matrix(batch.column(1)), batch.column(3).to_numpy()
+            for t in range(hasher.spec.tables):
+                y, own = hasher.project(q, t), hasher.keys(q, t)
+                names, of = [], []
+                for i in range(len(q)):
+                    found = hasher.perturbed(y[i], float(radius[i]), most)
+                    keys = [None] if found is None else [
+                        k for k in (",".join(map(str, row)) for row in found.tolist()) if k != own[i]]
+                    names += keys
+                    of += [i] * len(keys)
+                take = pa.array(of, pa.int64())
+                yield pa.record_batch([pa.array(np.full(len(of), t, np.int32)), pa.array(names, pa.string()),
+                                       batch.column(2).take(take), batch.column(0).take(take)], schema=_PROBE)
+
+    return run
+
+
+def _own(hasher: Hasher):
+    """Each query's own bucket of every table."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = _matrix(batch.column(1))
+            for t in range(hasher.spec.tables):
+                yield pa.record_batch([pa.array(np.full(len(q), t, np.int32)), pa.array(hasher.keys(q, t)),
+                                       batch.column(2), batch.column(0)], schema=_PROBE)
+
+    return run
+
+
+_VISITS = "t int, bucket string, qb long, query_id long"
+
+
+def _visits(hasher: Hasher, counts: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """t, bucket, qb, query_id of the occupied buckets, but for its own ones, that each of ``asked`` visits."""
+    made = materialize(asked.select("query_id", "q", "qb", "radius").mapInArrow(_sequences(hasher, most), _VISITS))
+    seen = made.where("bucket is not null").join(counts.select("t", "bucket"), ["t", "bucket"], "left_semi")
+    many = made.where("bucket is null").select("query_id").distinct()
+    if many.isEmpty():
+        return seen.select("t", "bucket", "qb", "query_id")
+    ranked = _ranked(hasher, counts, materialize(asked.join(many, "query_id")))
+    return seen.join(many, "query_id", "left_anti").select("t", "bucket", "qb", "query_id").unionByName(ranked)
+
+
 def _probe(hasher: Hasher):
     """Join of a block of a table's occupied buckets with a block of queries."""
 
@@ -180,13 +291,13 @@ def _probe(hasher: Hasher):
     return run
 
 
-def _visits(hasher: Hasher, counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """t, bucket, qb, query_id of the occupied buckets that each of ``asked`` (query_id, q, qb, radius) visits."""
+def _ranked(hasher: Hasher, counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """t, bucket, qb, query_id of the occupied buckets that each of ``asked`` visits, by ranking all of them."""
     spec = hasher.spec
     blocks = -(-counts.count() // spec.bucket_block)
     groups = -(-asked.count() // spec.query_block)
     if not blocks or not groups:
-        return counts.sparkSession.createDataFrame([], "t int, bucket string, qb long, query_id long")
+        return counts.sparkSession.createDataFrame([], _VISITS)
     buckets = counts.select("t", "bucket", F.pmod(F.xxhash64("bucket"), F.lit(blocks)).alias("bb"),
                             F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     every = asked.withColumn("group", F.pmod("qb", F.lit(groups)).cast("int")) \
@@ -194,7 +305,7 @@ def _visits(hasher: Hasher, counts: DataFrame, asked: DataFrame) -> DataFrame:
         .withColumn("bb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     key = ["t", "bb", "group"]
     return buckets.groupBy(*key).cogroup(every.groupBy(*key)).applyInArrow(
-        _probe(hasher), "t int, bucket string, qb long, query_id long")
+        _probe(hasher), _VISITS)
 
 
 _BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -257,8 +368,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, spec: LshSpec = LshSpec(), i
     entries = rows.mapInArrow(_index(hasher), "t int, bucket string, vec_id long, v array<double>")
     counts = materialize(entries.groupBy("t", "bucket").agg(F.count("*").alias("m"))
                          .select("t", "bucket", F.ceil(F.col("m") / spec.part).cast("int").alias("parts")))
-    first = asked.withColumn("radius", F.lit(hasher.radius))
-    best = materialize(_merge(_meet(entries, counts, _visits(hasher, counts, first), asked, spec), spec))
+    most = counts.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    own = asked.select("query_id", "q", "qb").mapInArrow(_own(hasher), _VISITS)
+    home = materialize(_merge(_meet(entries, counts, own, asked, spec), spec))
+    # no farther than the k-th found so far (a margin far above rounding), if there are k
+    bound = home.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("far")).where(F.col("n") >= spec.k)
+    first = materialize(asked.drop("limit").join(bound, "query_id", "left").select(
+        "query_id", "q", "qb", F.lit(hasher.radius).alias("radius"),
+        F.coalesce(F.col("far") * (1 + 1e-9), F.lit(float("inf"))).alias("limit")))
+    more = _meet(entries, counts, _visits(hasher, counts, first, most), first, spec)
+    best = materialize(_merge(home.select("query_id", "vec_id", "score").union(more), spec))
     # queries with fewer than k, or whose k-th lies farther than the radius they were sent out with
     reach = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("radius"))
     late = materialize(asked.join(reach, "query_id", "left").where(
@@ -270,7 +389,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, spec: LshSpec = LshSpec(), i
         whole = spark.range(1).select(*one, F.lit(-(-rows.count() // spec.part)).cast("int").alias("parts"))
         # k rows are known within the radius: only what is no farther can replace one (a margin far above rounding)
         near = far.withColumn("limit", F.col("radius") * (1 + 1e-9))
-        again = _meet(entries, counts, _visits(hasher, counts, far), near, spec)
+        again = _meet(entries, counts, _visits(hasher, counts, far, most), near, spec)
         every = _meet(rows.select(*one, "vec_id", "v"), whole, few.select(*one, "qb", "query_id"), asked, spec)
         best = _merge(best.select("query_id", "vec_id", "score").union(again).union(every), spec)
     return best.select("query_id", "rank", "vec_id", "score")
