@@ -118,24 +118,8 @@ _AVG = ("(((cents - ((cents % total_baskets) + total_baskets) % total_baskets) /
         "THEN 1 ELSE 0 END) / 100.0")
 
 
-def build() -> dict[str, str]:
-    q: dict[str, str] = {}
-    v = with_views()
-    q["clean_households"] = v + "SELECT * FROM households"
-    q["kpi_totals"] = v + (
-        "SELECT coalesce(round(sum(spend), 2), 0.0) AS total_spend, "
-        "count(DISTINCT basket_num) AS total_transactions, "
-        "(count(DISTINCT basket_num) > 0 OR coalesce(round(sum(spend), 2), 0.0) > 0) AS has_data, "
-        "format('{:,.2f}', coalesce(round(sum(spend), 2), 0.0)) AS total_spend_text "
-        "FROM star")
-    q["spend_by_department"] = v + top_spend("department", "department", 5)
-    q["spend_by_week"] = v + top_spend("week_num", "week_num", None)
-    q["spend_by_income"] = v + top_spend(cat("income_range", 256), "cat", 12)
-    q["spend_by_children"] = v + top_spend(cat("children"), "cat", 10)
-    q["spend_by_brand"] = v + top_spend(cat("brand_ty"), "cat", 14)
-    q["spend_by_organic"] = v + top_spend(cat("natural_organic_flag"), "cat", 8)
-    q["spend_by_hh_size"] = v + top_spend(cat("hh_size"), "cat", None)
-    q["spend_by_store_region"] = v + top_spend(cat("store_r"), "cat", None)
+def _dashboard() -> str:
+    """The six series over ``star``."""
     parts = []
     for name, key, n in (
         ("department", "department", 5),
@@ -153,19 +137,44 @@ def build() -> dict[str, str]:
         if n is not None:
             sub = f"SELECT * FROM ({sub}) r WHERE rank <= {n}"
         parts.append(sub)
-    q["dashboard_series"] = v + "\nUNION ALL\n".join(parts)
+    return "\nUNION ALL\n".join(parts)
+
+
+def build() -> dict[str, str]:
+    q: dict[str, str] = {}
+    v = with_views()
+    q["clean_households"] = v + "SELECT * FROM households"
+    totals = (
+        "SELECT coalesce(round(sum(spend), 2), 0.0) AS total_spend, "
+        "count(DISTINCT basket_num) AS total_transactions, "
+        "(count(DISTINCT basket_num) > 0 OR coalesce(round(sum(spend), 2), 0.0) > 0) AS has_data, "
+        "format('{:,.2f}', coalesce(round(sum(spend), 2), 0.0)) AS total_spend_text "
+        "FROM star")
+    q["kpi_totals"] = v + totals
+    q["spend_by_department"] = v + top_spend("department", "department", 5)
+    q["spend_by_week"] = v + top_spend("week_num", "week_num", None)
+    q["spend_by_income"] = v + top_spend(cat("income_range", 256), "cat", 12)
+    q["spend_by_children"] = v + top_spend(cat("children"), "cat", 10)
+    q["spend_by_brand"] = v + top_spend(cat("brand_ty"), "cat", 14)
+    q["spend_by_organic"] = v + top_spend(cat("natural_organic_flag"), "cat", 8)
+    q["spend_by_hh_size"] = v + top_spend(cat("hh_size"), "cat", None)
+    q["spend_by_store_region"] = v + top_spend(cat("store_r"), "cat", None)
+    series = _dashboard()
+    q["dashboard_series"] = v + series
 
     pnum, dept, comm, hnum = '" product_num"', '"DEPARTMENT "', '"Commodity"', '" hshd_num "'
-    q["clean_products"] = v + (
+    clean_pr = (
         f"SELECT {_num(pnum)} AS product_num, {_nullify(dept)} AS department, "
         f"{_nullify(comm)} AS commodity, {_nullify('BRAND_TY')} AS brand_ty, "
         f"{_nullify('natural_organic_flag')} AS natural_organic_flag FROM products_raw")
-    q["clean_transactions"] = v + (
+    q["clean_products"] = v + clean_pr
+    clean_tx = (
         f"SELECT {_num('BASKET_NUM')} AS basket_num, {_num(hnum)} AS hshd_num, "
         f"{_date('PURCHASE_')} AS purchase_date, {_num('PRODUCT_NUM')} AS product_num, "
         f"{_dbl('spend')} AS spend, {_dbl('UNITS')} AS units, {_nullify('STORE_R')} AS store_r, "
         f"{_num('WEEK_NUM', 'INTEGER')} AS week_num, {_num('YEAR', 'INTEGER')} AS year "
         "FROM transactions_raw")
+    q["clean_transactions"] = v + clean_tx
     for table in ("households", "products", "transactions"):
         q[f"clean_{table}_csv"] = q[f"clean_{table}"]
     q["ingest_rejects"] = v + (
@@ -173,6 +182,11 @@ def build() -> dict[str, str]:
         "FROM households_raw WHERE NOT coalesce(isfinite(try_cast(HSHD_NUM AS DOUBLE)), false) UNION ALL "
         "SELECT 'transactions', 'bad_date', true, count(*) FROM transactions_raw "
         f"WHERE {_date('PURCHASE_')} IS NULL AND {_nullify('PURCHASE_')} IS NOT NULL) r WHERE n_rows > 0")
+    # the star over the raw rows as delivered, cleaned
+    delivered = with_views().replace(_STAR, "tx AS (" + clean_tx + "),\npr AS (" + clean_pr + "),\n" + _STAR.replace(
+        "FROM transactions t", "FROM tx t").replace("JOIN products p", "JOIN pr p"))
+    q["streamed_kpi_totals"] = delivered + totals
+    q["maintained_dashboard"] = delivered + series
     q["star_join"] = v + "SELECT * FROM star"
     q["data_pull"] = v + _PULL + " LIMIT 100"
     q["data_pull_sql"] = v + _PULL + " LIMIT 100"

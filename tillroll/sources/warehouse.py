@@ -115,16 +115,19 @@ def _quarantine(rows: dict[str, DataFrame], facts: dict[str, dict], path: str) -
 
 
 def refresh(spark: SparkSession, landing: str, warehouse: str,
-            version: str | None = None) -> dict:
-    """Full replace of the curated tables from a landing folder's three extracts (files or folders)."""
+            version: str | None = None, lines: str | None = None) -> dict:
+    """Full replace of the curated tables from a landing folder's three extracts (files or folders).
+
+    ``lines`` names the transaction extract where it lies elsewhere.
+    """
     version = version or str(int(time.time() * 1000))
     staging = f"{warehouse}/_staging/{version}"
     rows, facts = {}, {}
     try:
         for table, name in (("households", HOUSEHOLDS_FILE), ("products", PRODUCTS_FILE),
                             ("transactions", TRANSACTIONS_FILE)):
-            rows[table], facts[table] = _staged(spark, read_extract(spark, f"{landing}/{name}"), table,
-                                                f"{staging}/{table}")
+            path = lines if lines and table == "transactions" else f"{landing}/{name}"
+            rows[table], facts[table] = _staged(spark, read_extract(spark, path), table, f"{staging}/{table}")
         tables = RetailTables(**{t: cleaning.kept(df, t) for t, df in rows.items()})
         _quarantine(rows, facts, f"{warehouse}/quarantine/v={version}")
         return write_version(spark, tables, warehouse, version, facts={"ingested": facts})
