@@ -98,3 +98,41 @@ def test_real_file_inputs(spark, scratch):
     assert {str(r[0]) for r in df.select(parse_date(df.v)).collect()} == {"2018-01-03"}
     df = spark.createDataFrame([("\u00a0\u2003x\u00a0",)], "v string")
     assert df.select(clean_text(df.v)).first()[0] == "x"
+
+
+def test_dates_equal_a_plain_parser(spark):
+    """Accepted layouts, told apart by their shape; text one edit away from them mostly parses as nothing."""
+    import random
+    import re
+
+    from tillroll.functions.cleaning import parse_date
+
+    layouts = (("%d-%b-%y", r"\d{1,2}-[A-Za-z]{3}-\d{2}"), ("%d-%b-%Y", r"\d{1,2}-[A-Za-z]{3}-\d{4}"),
+               ("%Y-%m-%d", r"\d{4}-\d{1,2}-\d{1,2}"), ("%Y%m%d", r"\d{8}"),
+               ("%Y-%m-%dT%H:%M:%S", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"),
+               ("%Y-%m-%d %H:%M:%S", r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"),
+               ("%m/%d/%y", r"\d{1,2}/\d{1,2}/\d{2}"), ("%m/%d/%Y", r"\d{1,2}/\d{1,2}/\d{4}"),
+               ("%Y/%m/%d", r"\d{4}/\d{1,2}/\d{1,2}"))
+
+    def plain(text):
+        text = text.strip()
+        for layout, shape in layouts:
+            if re.fullmatch(shape, text, re.A):
+                try:
+                    return dt.datetime.strptime(text, layout).date()
+                except ValueError:
+                    return None
+
+    rng = random.Random(3)
+    good = ["13-JAN-18", "3-jan-95", "03-Jan-1995", "2018-1-3", "2018-01-03T00:00:00", "2018-01-03 10:11:12", "20180103",
+            "1/3/18", "01/20/2018", "2018/01/03", " 2018-01-03 ", "\t1/3/18 ", "29-FEB-00", "13-OCT-69"]
+    texts = good + ["", "junk", "2018-01-03T25:00:00", "20181303", "2018-01-", "1-FOO-18", "1-ANF-18", "+018-01-3", "1/3/2018/"]
+    for _ in range(3_000):
+        t = list(rng.choice(good))
+        for _ in range(rng.randrange(1, 3)):
+            t[rng.randrange(len(t))] = rng.choice("0123456789-/ TJANFEBMAR:")
+        texts.append("".join(t))
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for r in df.select("v", parse_date(df.v).alias("d")).collect():
+        assert r["d"] == plain(r["v"]), r["v"]
+    assert all(plain(t) for t in good)

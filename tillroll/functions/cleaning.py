@@ -77,19 +77,12 @@ def coerce_key(c: Column) -> Column:
 
 
 def _double(c: Column) -> Column:
-    """Text of a plain number as double, else NULL.
-
-    The cast also takes type suffixes, hexadecimal, infinities and NaN. Text
-    that ends in a digit or a point and has no ``x`` is none of these; the
-    pattern is tried on other text only.
-    """
-    d, last = c.try_cast("double"), F.right(c, F.lit(1))
-    plain = (last.between("0", "9") | (last == ".")) & ~c.contains("x") & ~c.contains("X")
-    return F.when(plain, d).when(d.isNotNull() & c.rlike(_NUMBER), d)
+    """Text of a plain number as double, else NULL (the cast alone also takes suffixes, hexadecimal and NaN)."""
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
 def to_number(c: Column, target: str = "double") -> Column:
-    """Numeric text -> number, bad text -> NULL, NaN -> NULL."""
+    """Numeric text -> number; bad text, NaN and the missing tokens, none of which is a plain number, -> NULL."""
     if target == "double":
         return _double(c)
     if target == "bigint":
@@ -97,47 +90,31 @@ def to_number(c: Column, target: str = "double") -> Column:
     return coerce_key(c).try_cast(target)    # out of range -> NULL
 
 
-def _from_parts(year: Column, month: Column, day: Column) -> Column:
-    """Date of a four- or two-digit year and one- or two-digit month and day, as text; else NULL."""
-    long = F.when(F.length(year) == 4, year).when(
-        F.length(year) == 2, F.concat(F.when(year >= PIVOT, "19").otherwise("20"), year))
-    short = F.length(month).between(1, 2) & F.length(day).between(1, 2) & day.try_cast("int").isNotNull()
-    return F.when(short, F.concat_ws("-", long, month, day).try_cast("date"))
-
-
-def _parse_date(t: Column) -> Column:
-    """Date in one of the accepted layouts (d-MMM-y, M/d/y, yyyy-M-d, yyyy/MM/dd, yyyyMMdd, ISO with a time)."""
-    n, fifth = F.length(t), F.substring(t, 5, 1)
-
-    def part(mark: str, i: int) -> Column:
-        return F.split_part(t, F.lit(mark), F.lit(i))
-
-    def three(mark: str) -> Column:
-        return F.length(part(mark, 1)) + F.length(part(mark, 2)) + F.length(part(mark, 3)) + 2 == n
-
-    name = F.upper(part("-", 2))
-    at = F.instr(F.lit(MONTHS), name)
-    month = F.when((F.length(name) == 3) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
-    iso_time = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
-    by_shape = (
-        F.when((fifth == "-") & n.between(8, 10), t.try_cast("date"))
-        .when((fifth == "-") & (n == 19) & t.rlike(iso_time), t.try_cast("timestamp_ntz").cast("date"))
-        .when((fifth == "/") & (F.substring(t, 8, 1) == "/") & (n == 10), F.replace(t, F.lit("/"), F.lit("-")).try_cast("date"))
-        .when(t.contains("/") & n.between(6, 10), F.when(three("/"), _from_parts(part("/", 3), part("/", 1), part("/", 2))))
-        .when(t.contains("-") & n.between(8, 11),
-              F.when(three("-"), _from_parts(part("-", 3), month, part("-", 1))))
-        .when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
-              .try_cast("date")))
-    # the cast to date ignores what follows a blank or a T and takes signs before a year
-    odd = t.contains(" ") | t.contains("T") & (fifth == "-") | t.startswith("-") | t.startswith("+")
-    return F.when((n == 19) | ~odd, by_shape)
+def _plain_date_text(c: Column) -> Column:
+    """Date text without edge space, time of day, and with marks between its parts."""
+    t = F.when(c.rlike(r"(?U)^\s|\s$"), py_strip(c)).otherwise(c)
+    time = r"^\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+    return F.when((F.length(t) == 19) & t.rlike(time), F.substring(t, 1, 10)).when(
+        (F.length(t) == 8) & t.rlike(r"^\d+$"), F.regexp_replace(t, r"^(....)(..)(..)$", "$1-$2-$3")).otherwise(t)
 
 
 def parse_date(c: Column) -> Column:
-    """Text -> date; unparseable -> NULL. The text is stripped only when it does not parse as it is.
+    """Text -> date (d-MMM-y, M/d/y, yyyy-M-d, yyyy/M/d, yyyyMMdd, ISO with a time); unparseable -> NULL.
 
-    Layouts are told apart by length and separators, and read by one cast of
-    rearranged text. Two-digit years follow the common pivot: 69-99 ->
-    1969-1999, 00-68 -> 2000-2068.
+    The three parts are put in order and read by one cast. Two-digit years
+    follow the common pivot: 69-99 -> 1969-1999, 00-68 -> 2000-2068.
     """
-    return F.coalesce(_parse_date(c), _parse_date(clean_text(c)))
+    text = _plain_date_text(c)
+    slash = text.contains("/")
+    part = F.split(text, F.when(slash, F.lit("/")).otherwise("-"))
+    first, second, third = (F.get(part, F.lit(i)) for i in range(3))
+    leads = F.length(first) == 4                                  # the year comes first
+    at = F.instr(F.lit(MONTHS), F.upper(second))
+    name = F.when((F.length(second) == 3) & (at % 3 == 1), F.shiftright((at + 2) * 21846, 16).cast("string"))
+    year = F.when(leads, first).otherwise(third)
+    month = F.when(leads, second).when(slash, first).otherwise(name)
+    day = F.when(leads, third).when(slash, second).otherwise(first)
+    year = F.when(F.length(year) == 2, F.concat(F.when(year >= PIVOT, "19").otherwise("20"), year)).otherwise(year)
+    plain = F.concat(year, F.lit("-"), month, F.lit("-"), day)
+    # the cast alone would also take a sign, a time or a year of another length
+    return F.when((F.size(part) == 3) & plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), plain.try_cast("date"))

@@ -71,11 +71,11 @@ def clean_households(raw: DataFrame) -> DataFrame:
 
 
 def _long(c: Column) -> Column:
-    return to_number(missing_to_null(c), "bigint")
+    return to_number(c, "bigint")
 
 
 def _int(c: Column) -> Column:
-    return to_number(missing_to_null(c), "int")
+    return to_number(c, "int")
 
 
 def _products(raw: DataFrame) -> list[Column]:
@@ -103,8 +103,8 @@ def _transactions(raw: DataFrame) -> list[Column]:
         _long(c["HSHD_NUM"]).alias("hshd_num"),
         parse_date(c["PURCHASE_DATE"]).alias("purchase_date"),
         _long(c["PRODUCT_NUM"]).alias("product_num"),
-        to_number(missing_to_null(c["SPEND"])).alias("spend"),
-        to_number(missing_to_null(c["UNITS"])).alias("units"),
+        to_number(c["SPEND"]).alias("spend"),
+        to_number(c["UNITS"]).alias("units"),
         missing_to_null(c["STORE_R"]).alias("store_r"),
         _int(c["WEEK_NUM"]).alias("week_num"),
         _int(c["YEAR"]).alias("year"),
