@@ -213,3 +213,49 @@ def test_rows_out_of_the_search_follow_the_queries():
     assert (np.bincount(qid, minlength=3)[0], np.bincount(qid, minlength=3)[2]) == (10, 0)
     d = np.sqrt(((x - x[1]) ** 2).sum(1))
     assert set(vid[qid == 1]) == set([i for i in np.argsort(d) if i != 1 and d[i] <= 0.4][:10])
+
+
+def test_spans_meet_like_a_plain_search():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 8), rng.integers(1, 6, 8))]
+        union = pii.Spans(spans)
+        kept = []
+        free = pii.Spans()
+        for s, e in [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 20), rng.integers(1, 6, 20))]:
+            assert union.meets(s, e) == any(a < e and s < b for a, b in spans)
+            assert free.meets(s, e) == any(a < e and s < b for a, b in kept)
+            if not free.meets(s, e):
+                free.add(s, e)
+                kept.append((s, e))
+
+
+def test_pii_time_is_linear():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.org (0{i % 10}) 555 {1000 + i}" for i in range(n))
+        begin = time.process_time()
+        pii.candidates(text)
+        return time.process_time() - begin
+
+    assert seconds(20_000) < 25 * max(seconds(2_000), 0.01)
+
+
+def test_shift_table_grows_with_the_patterns():
+    rng = np.random.default_rng(2)
+    patterns = {b" ".join(b"w%d" % x for x in row): [0] for row in rng.integers(0, 10 ** 6, (20_000, 10))}
+    search = decontaminate.WuManber(patterns, 10, decontaminate.SearchSpec())
+    assert len(search.shift) >= 4 * 20_000 * 9 and (search.shift == 0).mean() < 0.05 and search.shift.max() == 9
+    text = "x y " + next(iter(patterns)).decode() + " z"
+    off, data = text_bytes(pa.array([text]))
+    assert [last for last, _ in search.matches(words(off, data, ALNUM_WORDS), data)] == [11]
+
+
+def test_license_phrasings_that_training_did_not_see():
+    from tillroll.llm import license_scan
+
+    ordinary = [f"the {a} of this {b} was found near the {c}" for a in ("sea", "house", "road", "wood") for b in ("day", "text", "war")
+                for c in ("river", "old gate", "hill")]
+    model = license_scan.fit(ordinary, license_scan.LicenseSpec(copies=20, epochs=16))
+    assert model.held_out["precision"] >= 0.8 and model.held_out["recall"] >= 0.5

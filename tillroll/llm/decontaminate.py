@@ -44,7 +44,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 class SearchSpec:
     width: int = 10
     block: int = 2                 # words per block of the shift table
-    table_bits: int = 16
+    table_bits: int = 16           # slots of the shift table at least; it grows with the patterns
     segment: int = 128             # words per cursor
     max_patterns: int = 300_000    # (pattern, item) rows broadcast at once
 
@@ -92,10 +92,11 @@ class WuManber:
         ends = np.cumsum([len(t) + 1 for t in texts])
         w = words(np.concatenate([[0], ends[:-1], [len(joined)]]).astype(np.int64), data, ALNUM_WORDS)
         h = w.hashes.reshape(len(texts), m)
-        size = 1 << spec.table_bits
-        self.shift = np.full(size, m - self.b + 1, np.int64)
+        # four slots a pattern block, so that few foreign blocks fall on a used slot and stop the skipping
+        self.bits = max(spec.table_bits, int(4 * len(texts) * (m - self.b + 1)).bit_length())
+        self.shift = np.full(1 << self.bits, m - self.b + 1, np.uint8 if m < 256 else np.int64)
         for j in range(m - self.b + 1):     # block ends at word j + b - 1 of the pattern
-            np.minimum.at(self.shift, self._slot(h[:, j:j + self.b]), m - self.b - j)
+            np.minimum.at(self.shift, self._slot(h[:, j:j + self.b]), self.shift.dtype.type(m - self.b - j))
         # buckets: sorted hashes of the whole window, found through its suffix hash
         suffix = self._suffix(h)
         order = np.argsort(suffix, kind="stable")
@@ -107,7 +108,7 @@ class WuManber:
         h = blocks[:, 0].copy()
         for j in range(1, blocks.shape[1]):
             h = mix(h * _K + blocks[:, j])
-        return (h >> np.uint64(64 - self.spec.table_bits)).astype(np.int64)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _suffix(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.uint64)
@@ -130,7 +131,7 @@ class WuManber:
         live = cur < stop
         cur, stop = cur[live], stop[live]
         while len(cur):
-            s = self.shift[self._slot(hashes[cur[:, None] - lag])]
+            s = self.shift[self._slot(hashes[cur[:, None] - lag])].astype(np.int64)
             at = cur[s == 0]
             if len(at):
                 at = at[docs[at] == docs[at - (m - 1)]]

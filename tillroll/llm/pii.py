@@ -21,6 +21,7 @@ the base patterns apply; a null id is kept; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -132,14 +133,38 @@ class Candidate:
     valid: bool      # a base match that passes its test
 
 
+class Spans:
+    """A union of spans that is asked, in logarithmic time, whether another span meets it."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect.bisect_right(self.ends, s)        # the first that ends behind s
+        return i < len(self.starts) and self.starts[i] < e
+
+    def add(self, s: int, e: int) -> None:
+        """Adds a span that meets none."""
+        i = bisect.bisect_right(self.ends, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
+
 def candidates(text: str) -> list[Candidate]:
     """Base matches (also failing ones) and wider matches that overlap no base match."""
     out = [Candidate(k, s, e, True, ok) for k, s, e, ok in base_matches(text)]
-    taken = sorted((c.start, c.end) for c in out if c.valid)
+    taken = Spans((c.start, c.end) for c in out if c.valid)
     for name, pattern in _WIDE:
         for m in pattern.finditer(text):
             s, e = m.span()
-            if not any(a < e and s < b for a, b in taken):
+            if not taken.meets(s, e):
                 out.append(Candidate(KINDS.index(name), s, e, False, False))
     return out
 
@@ -251,7 +276,9 @@ def _votes_rows(spec: PiiSpec):
         for batch in batches:
             rows = []
             for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, c in enumerate(candidates(text)[:spec.per_doc]):
+                found = candidates(text)
+                pick = np.random.default_rng([abs(h)]).permutation(len(found))[:spec.per_doc]     # of all patterns
+                for i, c in enumerate(found[j] for j in sorted(pick.tolist())):
                     rows.append((h, i, np.array(votes(text, c), np.int8).tobytes(),
                                  span_features(text, c, spec.feature_bits).tobytes()))
             yield pa.record_batch([pa.array([r[c] for r in rows], schema.field(c).type) for c in range(4)],
@@ -268,6 +295,7 @@ def train(docs: DataFrame, text_col: str = "text", spec: PiiSpec = PiiSpec()) ->
     if not n:
         return None
     got = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(min(1.0, spec.sample / n) * (1 << 30))) \
+        .dropDuplicates(["h"]).select("text", "h") \
         .mapInArrow(_votes_rows(spec), "h long, i int, v binary, f binary").toArrow()
     if not got.num_rows:
         return None
@@ -288,10 +316,11 @@ def find_spans(text: str, model: SpanModel | None) -> tuple[list[tuple[int, int,
         return base, []
     p = model.probabilities(np.stack([span_features(text, c, model.spec.feature_bits) for c in wide]))
     added: list[tuple[int, int, int]] = []
+    taken = Spans()
     for c, q in sorted(zip(wide, p), key=lambda x: -x[1].max()):
         k = int(q.argmax())
-        if k == c.kind and q[k] >= model.spec.sure and votes(text, c)[1] == k \
-                and not any(s < c.end and c.start < e for s, _, e in added):
+        if k == c.kind and q[k] >= model.spec.sure and votes(text, c)[1] == k and not taken.meets(c.start, c.end):
+            taken.add(c.start, c.end)
             added.append((c.start, k, c.end))
     return base, sorted(added)
 

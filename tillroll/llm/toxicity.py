@@ -40,6 +40,7 @@ class MilSpec:
     starts: tuple[int, ...] = (3, 4, 5, 6, 7, 8)   # bytes of word beginnings used as features
     per_class: int = 2500
     max_train_words: int = 20_000
+    train_chars: int = 12_000_000   # of a class, expected: bounds what is sent to the driver
     epochs: int = 12
     rate: float = 0.5
     decay: float = 2e-4
@@ -192,6 +193,12 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     picked = bounded(labelled).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y"),
                              F.col(weight_col).cast("double").alias("weight")) \
         .where("text is not null and y in (0, 1)").withColumn("h", F.xxhash64("text", "y"))
+    # a class with more text than its budget is thinned, by document, with its weight made up for
+    chars = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.sum(F.length("text")).alias("n")).collect()}
+    share = {y: min(1.0, spec.train_chars / max(chars.get(y) or 0, 1)) for y in (0, 1)}
+    kept = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
+    picked = picked.where(F.pmod(F.xxhash64(F.lit(spec.seed + 1), "h"), F.lit(1 << 30)) < kept * (1 << 30)) \
+        .withColumn("weight", F.col("weight") / kept)
     got = picked.select("text", "h", "y", "weight").mapInArrow(
         _bag_rows(spec), "h long, toxic int, weight double, sent binary, feats binary").toArrow()
     got = got.sort_by([("h", "ascending"), ("toxic", "ascending")])
@@ -213,7 +220,7 @@ def _apply(model: MilModel):
         for batch in batches:
             offsets, data = text_bytes(batch.column(1))
             n = batch.num_rows
-            score = np.zeros(n)
+            score = np.zeros(n) if model.constant is None else np.full(n, model.constant)
             sentences = np.zeros(n, np.int64)
             spans: list[list[dict]] = [[] for _ in range(n)]
             for a, docs, sent, f, starts, ends in features(offsets, data, spec):
@@ -226,8 +233,6 @@ def _apply(model: MilModel):
                 owner = docs[first]
                 if model.constant is None:
                     score[a:a + m] = _noisy_or(z, owner, m)
-                else:
-                    score[a:a + m] = model.constant
                 sentences[a:a + m] = np.bincount(owner, minlength=m)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 for s in np.flatnonzero(p >= spec.locate):
