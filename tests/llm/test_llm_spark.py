@@ -130,8 +130,8 @@ def test_nearest_with_many_dims_and_bucket_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     queries = list(range(0, 12_000, 400))
     for block in (65_536, 500):
-        spec = ann.LshSpec(bucket_rows=4, bucket_block=block)
-        assert ann.build_hasher(ann.clean_vectors(df), spec).dims >= 7
+        spec = ann.LshSpec(bucket_rows=4, bucket_block=block, visits=100_000)
+        assert ann.build_hasher(ann.clean_vectors(df), spec).dims >= 7 and spec.visits > 1_000
         assert recall(x, ann.nearest(df, df.where("vec_id % 400 = 0"), spec).collect(), queries) >= 0.9
 
 

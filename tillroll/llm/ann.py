@@ -20,6 +20,10 @@ and a bucket the product.
    this distance, which no true neighbour exceeds. A query that found fewer
    than k is compared with all vectors.
 
+There are as many projections as keep buckets at about ``bucket_rows``
+vectors, but no more than let a query visit ``visits`` buckets of a table on
+average; where neighbours lie far apart, buckets are larger instead.
+
 Every vector is indexed. A (table, bucket) holds its vectors in parts of
 about ``part`` rows, so a crowded bucket spreads over many tasks; queries go
 to all parts of the buckets they visit, in blocks of ``query_block``. Each part ranks its candidates by exact
@@ -55,6 +59,7 @@ class LshSpec:
     target: float = 0.97
     bucket_rows: int = 400       # vectors per occupied bucket aimed at
     max_dims: int = 16
+    visits: int = 32             # buckets of a table that a query visits, on average, at most
     part: int = 4096
     query_block: int = 1024
     bucket_block: int = 65_536
@@ -65,10 +70,10 @@ class LshSpec:
 class Hasher:
     """Projections of every table and the buckets that a query visits."""
 
-    def __init__(self, size: int, n: int, radius: float, spread: float, spec: LshSpec):
+    def __init__(self, size: int, n: int, radius: float, spread: float, spec: LshSpec, dims: int | None = None):
         self.spec, self.radius = spec, max(radius, 1e-12)
         # about 3 crowded slots per projection of width = spread
-        self.dims = max(1, min(spec.max_dims, round(math.log(max(n / spec.bucket_rows, 1.0), 3))))
+        self.dims = dims or max(1, min(spec.max_dims, round(math.log(max(n / spec.bucket_rows, 1.0), 3))))
         self.width = max(spread, 1e-12)
         rng = np.random.default_rng(spec.seed)
         self.a = rng.normal(size=(spec.tables, self.dims, size))
@@ -198,7 +203,18 @@ def build_hasher(rows: DataFrame, spec: LshSpec) -> Hasher | None:
     radius = float(np.quantile(near, 0.75)) if len(near) else 1.0
     spread = float((x - x.mean(0)).std() * math.sqrt(1)) * math.sqrt(d)
     spread = spread if spread > 0 else max(radius, 1.0)
-    return Hasher(d, n, radius, spread, spec)
+    # fewer, larger buckets where neighbours lie far apart: else a query's visits would grow with the table
+    hasher = Hasher(d, n, radius, spread, spec)
+    while hasher.dims > 1 and _visits_of(hasher, x[:200]) > spec.visits:
+        hasher = Hasher(d, n, radius, spread, spec, hasher.dims - 1)
+    return hasher
+
+
+def _visits_of(hasher: Hasher, x: np.ndarray) -> float:
+    """Mean number of buckets of a table that some vectors would visit."""
+    most = 8 * hasher.spec.visits
+    found = [hasher.perturbed(y, hasher.radius, most) for y in hasher.project(x, 0)]
+    return float(np.mean([most if f is None else len(f) for f in found]))
 
 
 _ENTRY = pa.schema([("t", pa.int32()), ("bucket", pa.string()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
