@@ -14,8 +14,9 @@ segments, one cursor per segment, and one numpy step moves all cursors.
 Patterns of another length (short items) have tables of their own.
 
 Patterns go to the executors in blocks of at most ``max_patterns`` (pattern,
-item) rows, so the broadcast is bounded whatever the size of the benchmark;
-documents are read once per block.
+item) rows, so the broadcast is bounded whatever the size of the benchmark.
+With several blocks the texts are written once, with a number for each row;
+they are read once per block, and only numbers, spans and items move.
 
 Edge cases: null and empty texts have no words; repeated rows are separate
 rows with equal results; equal windows count for each of their items; an
@@ -174,16 +175,19 @@ def build_tables(rows: list[tuple[str, bytes]], spec: SearchSpec) -> tuple[list[
 _SPANS = "array<struct<s: bigint, e: bigint>>"
 
 
-def _scan(tables, spec: SearchSpec, schema: pa.Schema):
-    """Add this block's occurrences to the spans and items carried by each row."""
+def _scan(tables, spec: SearchSpec, schema: pa.Schema, every: bool = True):
+    """Words, hit spans and items of each row in this block of patterns; without ``every`` of rows with a hit only.
+
+    The first column stays as it is, the second is the text.
+    """
 
     def run(batches):
         names, searches = tables.value
         for batch in batches:
-            offsets, data = text_bytes(batch.column("text_"))
+            offsets, data = text_bytes(batch.column(1))
             n_words = np.zeros(batch.num_rows, np.int64)
-            spans = [list(map(tuple, ((x["s"], x["e"]) for x in v))) for v in batch.column("spans_").to_pylist()]
-            items = [set(v) for v in batch.column("items_").to_pylist()]
+            spans: list[list] = [[] for _ in range(batch.num_rows)]
+            items: list[set] = [set() for _ in range(batch.num_rows)]
             for a, b in row_groups(offsets):
                 w = words(offsets[a:b + 1], data, ALNUM_WORDS)
                 n_words[a:b] = np.bincount(w.docs, minlength=b - a)
@@ -194,12 +198,26 @@ def _scan(tables, spec: SearchSpec, schema: pa.Schema):
                         e = int(last - first[d]) + 1
                         spans[a + d].append((e - search.m, e))
                         items[a + d].update(names[i] for i in ids)
-            cols = {f: batch.column(f) for f in batch.schema.names}
-            cols["n_words_"] = pa.array(n_words)
-            cols["spans_"] = pa.array([[{"s": s, "e": e} for s, e in _merge(v)] for v in spans],
-                                      schema.field("spans_").type)
-            cols["items_"] = pa.array([sorted(v) for v in items], pa.list_(pa.string()))
-            yield pa.record_batch([cols[f.name] for f in schema], schema=schema)
+            out = pa.record_batch([
+                batch.column(0), pa.array(n_words),
+                pa.array([[{"s": s, "e": e} for s, e in _merge(v)] for v in spans], schema.field("spans_").type),
+                pa.array([sorted(v) for v in items], pa.list_(pa.string()))], schema=schema)
+            yield out if every else out.filter(pa.array([bool(v) for v in spans], pa.bool_()))
+
+    return lean(run)
+
+
+def _together(schema: pa.Schema):
+    """One row of the spans and items that several blocks found."""
+
+    def run(batches):
+        for batch in batches:
+            spans = [_merge([(x["s"], x["e"]) for part in v for x in part]) for v in batch.column("spans_").to_pylist()]
+            items = [sorted({x for part in v for x in part}) for v in batch.column("items_").to_pylist()]
+            yield pa.record_batch([
+                batch.column("key_"), batch.column("n_words_"),
+                pa.array([[{"s": s, "e": e} for s, e in v] for v in spans], schema.field("spans_").type),
+                pa.array(items, pa.list_(pa.string()))], schema=schema)
 
     return lean(run)
 
@@ -223,19 +241,33 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text_
     patterns = materialize(pattern_table(items, item_id, item_text, spec))
     blocks = max(-(-patterns.count() // spec.max_patterns), 1)
     kept = F.struct(*[F.col(f"`{c}`") for c in keep])
-    base = bounded(docs).select(kept.alias("row_"), F.col(text_col).alias("text_"), F.lit(0).cast("long").alias("n_words_"),
-                       F.array().cast(_SPANS).alias("spans_"), F.array().cast("array<string>").alias("items_"))
-    schema = to_arrow_schema(base.schema)
-    for k in range(blocks):
-        part = patterns if blocks == 1 else patterns.where(
-            F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == k)
+    base = bounded(docs).select(kept.alias("row_"), F.col(text_col).alias("text_"))
+
+    def tables(k: int):
+        part = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == k)
         rows = part.toArrow()
-        tables = spark.sparkContext.broadcast(build_tables(
+        return spark.sparkContext.broadcast(build_tables(
             list(zip(rows.column("item").to_pylist(), rows.column("window").to_pylist())), spec))
-        base = base.mapInArrow(_scan(tables, spec, schema), base.schema)
-        if k + 1 < blocks:
-            base = materialize(base)
-    return base.drop("text_")
+
+    found = f"n_words_ long, spans_ {_SPANS}, items_ array<string>"
+    if blocks == 1:
+        out = base.select("row_", F.lit(0).cast("long").alias("n_words_"), F.array().cast(_SPANS).alias("spans_"),
+                          F.array().cast("array<string>").alias("items_"))
+        return base.mapInArrow(_scan(tables(0), spec, to_arrow_schema(out.schema)), out.schema)
+    rows = materialize(base.withColumn("key_", F.monotonically_increasing_id()))
+    parts = None
+    for k in range(blocks):
+        empty = spark.createDataFrame([], f"key_ long, {found}")
+        sent = tables(k)
+        # the first block has a row for every text, with its number of words
+        part = materialize(rows.select("key_", "text_").mapInArrow(
+            _scan(sent, spec, to_arrow_schema(empty.schema), every=k == 0), empty.schema))
+        sent.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    merged = parts.groupBy("key_").agg(F.max("n_words_").alias("n_words_"), F.collect_list("spans_").alias("spans_"),
+                                       F.collect_list("items_").alias("items_"))
+    return rows.select("key_", "row_").join(
+        merged.mapInArrow(_together(to_arrow_schema(empty.schema)), empty.schema), "key_").drop("key_")
 
 
 def report(found: DataFrame) -> DataFrame:
