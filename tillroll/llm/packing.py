@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import bounded, row_groups, text_bytes
+from tillroll.llm.common import PIECE, bounded, row_groups, text_bytes
 from tillroll.llm.pieces import PIECES, pattern_encoder
 from tillroll.session import checkpoint_dir
 
@@ -43,6 +43,7 @@ class PackSpec:
     waste: float = 0.005         # share of padding that cuts documents instead
     seed: int = 7
     pieces: int = PIECES         # kept pieces of the tokenizer's generations
+    text_bytes: int = 4 * PIECE  # text whose pieces are looked up together
 
 
 FULL = 1 << 62                   # ids of sequences that are one full piece start here
@@ -135,7 +136,7 @@ def cut_documents(docs: DataFrame, spec: PackSpec, columns: list[str], text_col:
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 33
-        encoder = pattern_encoder(spec.tokenizer, spec.pieces)
+        encoder = pattern_encoder(spec.tokenizer, spec.pieces, group=spec.text_bytes)
         for batch in batches:
             offsets, _ = text_bytes(batch.column(1))
             for a, b in row_groups(offsets):

@@ -239,10 +239,11 @@ class PieceEncoder:
 _ENCODERS: dict[tuple, PieceEncoder] = {}        # per Python worker, kept over its tasks
 
 
-def pattern_encoder(path: str, limit: int = PIECES, plain_special: bool = False) -> PieceEncoder:
-    key = (path, limit, plain_special)
+def pattern_encoder(path: str, limit: int = PIECES, plain_special: bool = False, group: int = PIECE) -> PieceEncoder:
+    """``group``: bytes of text whose pieces are looked up together; more is faster and takes more memory."""
+    key = (path, limit, plain_special, group)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(PatternTokenizer(path, plain_special), limit)
+        _ENCODERS[key] = PieceEncoder(PatternTokenizer(path, plain_special), limit, group)
     return _ENCODERS[key]
 
 
