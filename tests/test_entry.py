@@ -41,9 +41,10 @@ def test_sql_views(spark):
 
 
 def test_output_columns_unique_and_lower_case(spark):
-    models = {"basket_value_gbt", "clv_rf", "clv_holdout", "churn_model", "clv_predict", "clv_top"}
+    # fitted, or run as a whole in tests of their own, which look at their columns
+    elsewhere = {"basket_value_gbt", "clv_rf", "churn_model", "streamed_kpi_totals", "maintained_dashboard", "pipeline"}
     for name, fn in entry_module.queries().items():
-        if name in models:
+        if name in elsewhere:
             continue
         cols = fn(spark, SF_SMALL).columns
         assert len(cols) == len(set(cols)), name

@@ -43,16 +43,14 @@ def _columns(raw: DataFrame, needed, renames=None) -> dict[str, Column]:
     for c in raw.columns:
         key = c.strip().upper()
         cols[renames.get(key, key)] = F.col("`" + c.replace("`", "``") + "`")
-    missing = [c for c in needed if c not in cols]
+    missing = [c for c in needed if renames.get(c, c) not in cols]
     if missing:
         raise ValueError(f"raw extract lacks columns {missing}; has {raw.columns}")
     return cols
 
 
 def _households(raw: DataFrame) -> list[Column]:
-    c = _columns(raw, ["HSHD_NUM", "LOYALTY_FLAG", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
-                       "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN"],
-                 {"L": "LOYALTY_FLAG"})
+    c = _columns(raw, schema.RAW_HOUSEHOLD_COLUMNS, {"L": "LOYALTY_FLAG"})
     return [
         coerce_key(c["HSHD_NUM"]).alias("hshd_num"),
         clean_text(c["LOYALTY_FLAG"]).alias("loyalty_flag"),
@@ -79,8 +77,7 @@ def _int(c: Column) -> Column:
 
 
 def _products(raw: DataFrame) -> list[Column]:
-    c = _columns(raw, ["PRODUCT_NUM", "DEPARTMENT", "COMMODITY", "BRAND_TY",
-                       "NATURAL_ORGANIC_FLAG"])
+    c = _columns(raw, schema.RAW_PRODUCT_COLUMNS)
     return [
         _long(c["PRODUCT_NUM"]).alias("product_num"),
         missing_to_null(c["DEPARTMENT"]).alias("department"),
@@ -95,9 +92,7 @@ def clean_products(raw: DataFrame) -> DataFrame:
 
 
 def _transactions(raw: DataFrame) -> list[Column]:
-    c = _columns(raw, ["BASKET_NUM", "HSHD_NUM", "PURCHASE_DATE", "PRODUCT_NUM", "SPEND",
-                       "UNITS", "STORE_R", "WEEK_NUM", "YEAR"],
-                 {"PURCHASE_": "PURCHASE_DATE"})
+    c = _columns(raw, schema.RAW_TRANSACTION_COLUMNS, {"PURCHASE_": "PURCHASE_DATE"})
     return [
         _long(c["BASKET_NUM"]).alias("basket_num"),
         _long(c["HSHD_NUM"]).alias("hshd_num"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Raw CSV extracts are read as text only; typing happens in the cleaning step.
+# The columns that the extracts deliver. They are read as text only; typing happens in the cleaning step.
 RAW_HOUSEHOLD_COLUMNS = (
     "HSHD_NUM", "L", "AGE_RANGE", "MARITAL", "INCOME_RANGE",
     "HOMEOWNER", "HSHD_COMPOSITION", "HH_SIZE", "CHILDREN",
@@ -17,6 +17,7 @@ RAW_TRANSACTION_COLUMNS = (
     "UNITS", "STORE_R", "WEEK_NUM", "YEAR",
 )
 
+# Names and types of the curated tables.
 HOUSEHOLDS = T.StructType([
     T.StructField("hshd_num", T.LongType(), False),
     T.StructField("loyalty_flag", T.StringType()),
