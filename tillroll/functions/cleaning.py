@@ -72,8 +72,8 @@ def coerce_key(c: Column) -> Column:
     by way of double; anything else is a bad key. Nearly every cell ends at
     the first cast.
     """
-    d = _double(c)
-    return F.coalesce(c.try_cast("bigint"), F.when(F.abs(d) < F.lit(9.2e18), d.cast("bigint")))
+    d = c.try_cast("double")
+    return F.coalesce(c.try_cast("bigint"), F.when(c.rlike(_NUMBER) & (F.abs(d) < F.lit(9.2e18)), d.cast("bigint")))
 
 
 def _double(c: Column) -> Column:
@@ -93,9 +93,10 @@ def to_number(c: Column, target: str = "double") -> Column:
 def _plain_date_text(c: Column) -> Column:
     """Date text without edge space, time of day, and with marks between its parts."""
     t = F.when(c.rlike(r"(?U)^\s|\s$"), py_strip(c)).otherwise(c)
-    time = r"^\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
-    return F.when((F.length(t) == 19) & t.rlike(time), F.substring(t, 1, 10)).when(
-        (F.length(t) == 8) & t.rlike(r"^\d+$"), F.regexp_replace(t, r"^(....)(..)(..)$", "$1-$2-$3")).otherwise(t)
+    time = r"^(\d{4}-\d{2}-\d{2})[T ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+    # a text that does not fit the pattern stays as it is
+    return F.when(F.length(t) == 19, F.regexp_replace(t, time, "$1")).when(
+        F.length(t) == 8, F.regexp_replace(t, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3")).otherwise(t)
 
 
 def parse_date(c: Column) -> Column:

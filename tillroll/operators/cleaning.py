@@ -14,11 +14,15 @@ a NULL there, as before, but no longer unnoticed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import schema
 from tillroll.functions.cleaning import (
+    MISSING_TOKENS,
     clean_text,
     coerce_key,
     missing_to_null,
@@ -119,31 +123,39 @@ _KEYS = {"households": {"HSHD_NUM": "hshd_num"}, "products": {"PRODUCT_NUM": "pr
 
 
 def checked(raw: DataFrame, table: str) -> DataFrame:
-    """Curated columns of every raw row, with kept_, reason_ (NULL when all is well), record_ and file_.
+    """Curated columns of every raw row, with kept_, reason_ (NULL when all is well), record_ (NULL without a reason) and file_.
 
     ``raw`` comes from ``read_extract``. Each value is parsed once; whether
-    it is bad shows from the parsed value beside its text.
+    it is bad shows from the parsed value beside its text. The JIT leaves
+    methods of more than 8,000 bytes alone and the parsing of a line is close
+    to that, so what only a bad row needs stays out of it: the texts of its
+    keys are looked at by a lambda, and no other row's record is written.
     """
     named = _columns(raw, [])
-    whole = F.col("_malformed").isNull()
-    texts = {f"t_{k}": named[k] for k in _KEYS[table]}
-    date = named.get("PURCHASE_", named.get("PURCHASE_DATE")) if table == "transactions" else None
-    record = F.coalesce("_malformed", F.to_json(F.struct(
-        *[c.alias(k) for k, c in named.items() if not k.startswith("_")])))
-    extra = {**texts, "t_date": date if date is not None else F.lit(None).cast("string"),
-             "whole_": whole, "record_": record, "file_": F.col("_file")}
-    parsed = raw.select(*_PARSED[table](raw), *[c.alias(name) for name, c in extra.items()])
-    bad_key = F.lit(False)
-    for text, column in _KEYS[table].items():
-        # an empty household key is as useless as a bad one; elsewhere a missing key is just missing
-        missing = F.lit(True) if table == "households" else missing_to_null(F.col(f"t_{text}")).isNotNull()
-        bad_key = bad_key | (F.col(column).isNull() & missing)
-    bad_date = F.col("purchase_date").isNull() & missing_to_null(F.trim("t_date")).isNotNull() \
-        if table == "transactions" else F.lit(False)
-    reason = F.when(~F.col("whole_"), "malformed").when(bad_key, "bad_key").when(bad_date, "bad_date")
-    kept = F.col("whole_") & (F.col("hshd_num").isNotNull() if table == "households" else F.lit(True))
-    return parsed.select(*_CURATED[table].fieldNames(), kept.alias("kept_"), reason.alias("reason_"),
-                         "record_", "file_")
+    texts = {k: f"r_{k}" for k in named if not k.startswith("_")}
+    text = {k: F.col("`" + t.replace("`", "``") + "`") for k, t in texts.items()}
+    parsed = raw.select(*_PARSED[table](raw), *[named[k].alias(t) for k, t in texts.items()],
+                        F.col("_malformed").alias("malformed_"), F.col("_file").alias("file_"))
+    whole = F.col("malformed_").isNull()
+    no_key = reduce(or_, [F.col(column).isNull() for column in _KEYS[table].values()])
+    # an empty household key is as useless as a bad one; elsewhere a missing key is just missing
+    bad_key = no_key if table == "households" else no_key & F.exists(
+        F.array(*[F.when(F.col(column).isNull(), text[k]) for k, column in _KEYS[table].items()]), _given)
+    bad_date = F.lit(False)
+    if table == "transactions":
+        date = text["PURCHASE_" if "PURCHASE_" in text else "PURCHASE_DATE"]
+        bad_date = F.col("purchase_date").isNull() & _given(F.trim(date))
+    reason = F.when(~whole, "malformed").when(bad_key, "bad_key").when(bad_date, "bad_date")
+    kept = whole & (F.col("hshd_num").isNotNull() if table == "households" else F.lit(True))
+    record = F.coalesce("malformed_", F.to_json(F.struct(*[c.alias(k) for k, c in text.items()])))
+    return parsed.withColumns({"kept_": kept, "reason_": reason}).select(
+        *_CURATED[table].fieldNames(), "kept_", "reason_", F.when(F.col("reason_").isNotNull(), record).alias("record_"),
+        "file_")
+
+
+def _given(text: Column) -> Column:
+    """Whether there is a text and it is none of the missing tokens."""
+    return ~F.coalesce(text.isin(*MISSING_TOKENS), F.lit(True))
 
 
 def kept(rows: DataFrame, table: str) -> DataFrame:
@@ -156,3 +168,15 @@ def rejected(rows: DataFrame, table: str) -> DataFrame:
     return rows.where("reason_ is not null").select(
         F.lit(table).alias("source"), F.col("reason_").alias("reason"), F.col("kept_").alias("kept"),
         F.col("file_").alias("file"), F.col("record_").alias("record"))
+
+
+def reject_counts(rows: DataFrame, table: str) -> DataFrame:
+    """``rejected`` by source, reason and whether kept, with the number of rows.
+
+    Counted before the rows without a reason go: a filter on the reason
+    would be pushed below the parsing and parse each value again, in code
+    too large to compile.
+    """
+    counts = rows.groupBy(F.col("reason_").alias("reason"), F.col("kept_").alias("kept")).agg(
+        F.count("reason_").alias("n_rows")).where("n_rows > 0")
+    return counts.select(F.lit(table).alias("source"), "reason", "kept", "n_rows")

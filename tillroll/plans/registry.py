@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillroll.ml import basket_value, churn_model, clv
 from tillroll.operators import basket, churn, cleaning, kpi, pull, summaries
@@ -71,8 +70,7 @@ def _from_csv(table: str) -> Query:
 
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each extract that ingest rejects or keeps with a bad value, by reason."""
-    rows = [cleaning.rejected(_read_back(spark, sf_dir, t), t).groupBy("source", "reason", "kept")
-            .agg(F.count(F.lit(1)).alias("n_rows")) for t in ("households", "products", "transactions")]
+    rows = [cleaning.reject_counts(_read_back(spark, sf_dir, t), t) for t in ("households", "products", "transactions")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
