@@ -1,13 +1,17 @@
-"""Work per row at size: parsing compiles, rows are parsed once."""
+"""Work per row at size: parsing compiles, rows are parsed once, staged rows are columnar, mined baskets are few."""
 
+import itertools
 import os
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tillroll.operators import cleaning
-from tillroll.sources import fixture
+from tillroll.operators import basket, cleaning
+from tillroll.plans import maintained
+from tillroll.sources import fixture, warehouse
 from tillroll.sources.csv_extracts import read_extract
 
 
@@ -44,3 +48,41 @@ def test_only_bad_rows_have_a_record(spark, scratch):
     rows = cleaning.checked(_read_back(spark, scratch, "transactions"), "transactions")
     got = {tuple(r) for r in rows.groupBy(F.isnull("reason_"), F.isnull("record_")).count().select(F.expr("* except (count)")).collect()}
     assert got == {(True, True), (False, False)}
+
+
+def test_raw_rows_are_staged_as_columns(spark, scratch, monkeypatch):
+    staged, write = [], fixture.written
+    monkeypatch.setattr(fixture, "written", lambda df, name: staged.append(write(df, name)) or staged[-1])
+    fixture.write_csv_drop(spark, SF_SMALL, "transactions", os.path.join(scratch, "drop"))
+    assert all(f.endswith(".parquet") for f in staged[0].inputFiles())
+    assert staged[0].count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+
+
+def test_three_passes_over_the_lines_of_a_commit(spark, scratch):
+    wh = os.path.join(scratch, "wh")
+    warehouse.write_version(spark, fixture.load(spark, SF_SMALL), wh, version="1")
+    maintained.maintain(spark, wh)
+    live = warehouse.current(spark, wh)
+    kept = spark.read.parquet(maintained._folder(wh, live[0], live[0], "sketch")).first()
+    sums = spark.read.parquet(maintained._folder(wh, live[0], live[0], "sums"))
+    assert kept["cents"] == sums.where("series = 'baskets'").first()["cents"] == sums.where(
+        "series = 'week'").agg(F.sum("cents")).first()[0]
+
+
+def test_triple_baskets_keep_every_frequent_set(spark):
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(30), rng.randrange(1, 8))) for _ in range(400)]
+    sets += [sorted([1, 2, 3, 4, *rng.sample(range(5, 30), 2)]) for _ in range(12)]
+    sets += [sorted(rng.sample(range(30), 20)) for _ in range(5)]
+    df = spark.createDataFrame([(i, rng.sample(s, len(s))) for i, s in enumerate(sets)], "basket_num long, items array<int>")
+    least = 10
+
+    def frequent(baskets):
+        count = Counter(c for s in baskets for k in (3, 4) for c in itertools.combinations(sorted(s), k))
+        return {c: n for c, n in count.items() if n >= least}
+
+    for narrow in (basket.NARROW, 4, 2):
+        got = [r["items"] for r in basket.triple_baskets(df, least, narrow).collect()]
+        assert frequent(got) == frequent(sets) and (1, 2, 3, 4) in frequent(got)
+    few = basket.triple_baskets(df, least).collect()
+    assert len(few) < 0.5 * len(sets) and len({r["basket_num"] for r in few}) == len(few)
