@@ -50,12 +50,14 @@ def maintain(spark: SparkSession, root: str, exact_baskets: bool = True) -> list
             if before:
                 keys = keys.join(spark.read.schema("basket_num bigint").parquet(*before), "basket_num", "left_anti")
             keys.write.mode("overwrite").parquet(_folder(root, first, commit, "baskets"))
-        lines.agg(F.hll_sketch_agg("basket_num").alias("sketch")).write.mode("overwrite").parquet(
-            _folder(root, first, commit, "sketch"))
+        # the lines are as many as a join of the delivery: one pass for the sketch and the total
+        sketch = _folder(root, first, commit, "sketch")
+        lines.agg(F.hll_sketch_agg("basket_num").alias("sketch"), F.sum(kpi.cents(F.col("spend"))).alias("cents")
+                  ).write.mode("overwrite").parquet(sketch)
         series = kpi.dashboard_sums(lines)
-        total = lines.agg(F.lit(kpi.BASKETS).alias("series"), F.lit(None).cast("string").alias("label"),
-                          F.lit(None).cast("int").alias("week_num"), F.sum(kpi.cents(F.col("spend"))).alias("cents"),
-                          F.lit(None).cast("bigint").alias("n"))
+        total = spark.read.schema("cents bigint").parquet(sketch).select(
+            F.lit(kpi.BASKETS).alias("series"), F.lit(None).cast("string").alias("label"),
+            F.lit(None).cast("int").alias("week_num"), "cents", F.lit(None).cast("bigint").alias("n"))
         # last, and in one write: its success mark says that the commit is done
         series.unionByName(total).coalesce(1).write.mode("overwrite").parquet(sums)
         made.append(commit["commit"])

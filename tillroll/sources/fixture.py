@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.heavy import can_be_hot, heavy_keys, split_join
-from tillroll.session import materialize
+from tillroll.session import written
 
 # (output column, expression). ``{S}`` is the text type of the dialect.
 HOUSEHOLDS_RAW = (
@@ -218,10 +218,11 @@ def write_csv_drop(spark: SparkSession, sf_dir: str, table: str, path: str) -> s
     One half of the rows has the columns in order, the other in reverse with
     an extra column whose text holds commas and doubled quotes.
     """
-    raw = materialize(RAW[table](spark, sf_dir))
-    half = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]), F.lit(2))
-    note = F.concat(F.lit('a "note", on '), F.coalesce(F.col(f"`{raw.columns[0]}`"), F.lit("none"))).alias("Note")
-    columns = [F.col(f"`{c}`") for c in raw.columns]
+    rows = RAW[table](spark, sf_dir)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    half = F.col("_half")
+    raw = written(rows.withColumn("_half", F.pmod(F.xxhash64(*columns), F.lit(2))), f"raw-{table}")
+    note = F.concat(F.lit('a "note", on '), F.coalesce(columns[0], F.lit("none"))).alias("Note")
     for i, order in enumerate((columns, [note, *reversed(columns)])):
         (raw.where(half == i).select(*order).write.option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/order={i}"))
