@@ -9,7 +9,9 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from tillroll.ml import churn_model
 from tillroll.operators import basket, cleaning
+from tillroll.operators.star import star
 from tillroll.plans import maintained
 from tillroll.sources import fixture, warehouse
 from tillroll.sources.csv_extracts import read_extract
@@ -86,3 +88,23 @@ def test_triple_baskets_keep_every_frequent_set(spark):
         assert frequent(got) == frequent(sets) and (1, 2, 3, 4) in frequent(got)
     few = basket.triple_baskets(df, least).collect()
     assert len(few) < 0.5 * len(sets) and len({r["basket_num"] for r in few}) == len(few)
+
+
+def test_churn_scores_take_no_model_into_the_tasks(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    lines = star(fixture.load(spark, SF_SMALL))
+    scored = churn_model.churn_model(lines, horizon=30)
+    assert "UDF" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    data = churn_model.churn_training_frame(lines, horizon=30)
+    vec = VectorAssembler(inputCols=list(churn_model.FEATURES), outputCol="raw").transform(data)
+    scaled = StandardScaler(inputCol="raw", outputCol="features").fit(vec).transform(vec)
+    model = LogisticRegression(featuresCol="features", labelCol="churned", maxIter=100, regParam=0.01).fit(scaled)
+    want = {r[0]: r[1] for r in model.transform(scaled).select("hshd_num", vector_to_array("probability")[1]).collect()}
+    got = {r["hshd_num"]: r["churn_probability"] for r in scored.collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) > 10
+    assert all(abs(got[h] - want[h]) < 6e-5 for h in want)
+    # one kind of household only
+    assert {r["churn_probability"] for r in churn_model.churn_model(lines, horizon=-1_000).collect()} == {1.0}

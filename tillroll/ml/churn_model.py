@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +55,24 @@ def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:
 
     The training frame (one row per household) is materialised once; the
     scaler fit, the optimiser's passes and the scoring all read it. Without
-    households the result is empty.
+    households the result is empty. The probability is written out from the
+    coefficients: the fitted model's own function takes the whole model into
+    the tasks, which a session that ran other queries could not serialise.
     """
     data = materialize(churn_training_frame(star, horizon))
     if data.isEmpty():
         return data.select("hshd_num", F.col("churned").cast("int").alias("churned"),
                            F.lit(0.0).alias("churn_probability"))
     vec = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(data)
-    scaled = StandardScaler(inputCol="raw", outputCol="features").fit(vec).transform(vec)
+    scaler = StandardScaler(inputCol="raw", outputCol="features").fit(vec)
     model = LogisticRegression(featuresCol="features", labelCol="churned",
-                               maxIter=100, regParam=0.01).fit(scaled)
-    return model.transform(scaled).select(
+                               maxIter=100, regParam=0.01).fit(scaler.transform(vec))
+    margin = F.lit(float(model.intercept))
+    for name, weight, std in zip(FEATURES, model.coefficients.toArray().tolist(), scaler.std.toArray().tolist()):
+        margin = margin + F.col(name) * F.lit(1 / std if std else 0.0) * F.lit(weight)
+    return data.select(
         "hshd_num", F.col("churned").cast("int").alias("churned"),
-        F.round(vector_to_array("probability")[1], 4).alias("churn_probability"))
+        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 4).alias("churn_probability"))
 
 
 def churn_backtest(star: DataFrame, horizon: int = 8, origins: int = 4) -> DataFrame:
