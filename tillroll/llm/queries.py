@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import (alignment, ann, decontaminate, html_extract, language_id, license_scan, mixing, ngram_join,
                           packing, pii, resample, token_store, toxicity)
-from tillroll.llm.common import fold, table
+from tillroll.llm.common import PIECE, fold, table
 from tillroll.session import checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -82,7 +82,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-store")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID)
+    token_store.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID,
+                            together=4 * PIECE)
     return token_store.read_documents(spark, path)
 
 

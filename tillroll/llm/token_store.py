@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import bounded, lean, row_groups, text_bytes
+from tillroll.llm.common import PIECE, bounded, lean, row_groups, text_bytes
 from tillroll.llm.pieces import PIECES, pattern_encoder
 
 # Fixed values of the format: ids per word and bits per id of selectors 0..14.
@@ -122,12 +122,12 @@ def _segment(shard, seg, docs, parts):
         pa.array([escapes.astype("<u8").tobytes()], pa.binary())], schema=_SEGMENT_ARROW)
 
 
-def _encode(tokenizer: str, end_id: int, pieces: int):
+def _encode(tokenizer: str, end_id: int, pieces: int, together: int):
     def run(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = pattern_encoder(tokenizer, pieces)
+        encoder = pattern_encoder(tokenizer, pieces, group=together)
         seg, docs, parts, held = 0, [], [], 0
         for batch in batches:
             offsets, _ = text_bytes(batch.column(1))
@@ -149,15 +149,16 @@ def _encode(tokenizer: str, end_id: int, pieces: int):
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
-                text_col: str = "text", pieces: int = PIECES) -> None:
+                text_col: str = "text", pieces: int = PIECES, together: int = PIECE) -> None:
     """Tokenize ``docs`` and write the store to ``path`` (a folder all executors share).
 
-    ``pieces`` trades a worker's memory for speed; the ids do not depend on it.
+    ``pieces`` and ``together`` (bytes of text whose pieces are looked up
+    together) trade a worker's memory for speed; the ids do not depend on them.
     """
     (bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
      .repartitionByRange("doc_id", F.xxhash64("text"), F.spark_partition_id())      # rows of one id may be split
      .sortWithinPartitions("doc_id", "text")
-     .mapInArrow(_encode(tokenizer, end_id, pieces), SEGMENT).write.parquet(path))
+     .mapInArrow(_encode(tokenizer, end_id, pieces, together), SEGMENT).write.parquet(path))
 
 
 _DOC = "shard int, seg int, doc_id long, within long, n_tokens long, ids_crc32 long"
