@@ -56,8 +56,9 @@ def churn_model(star: DataFrame, horizon: int = 8) -> DataFrame:
     The training frame (one row per household) is materialised once; the
     scaler fit, the optimiser's passes and the scoring all read it. Without
     households the result is empty. The probability is written out from the
-    coefficients: the fitted model's own function takes the whole model into
-    the tasks, which a session that ran other queries could not serialise.
+    coefficients: the fitted model's own function takes its training summary
+    and with it the session into the tasks, which cannot be serialised once
+    the session has observed a frame (``warehouse.refresh`` does).
     """
     data = materialize(churn_training_frame(star, horizon))
     if data.isEmpty():
