@@ -1,7 +1,7 @@
 """Shared helpers: tables, fold rule, vectorised words of Arrow text batches.
 
 Texts stay as UTF-8 bytes in numpy. A batch is cut into pieces of about
-``PIECE`` bytes, so memory depends on the piece and on the longest single
+``WORDS_PIECE`` bytes, so memory depends on the piece and on the longest single
 word, never on the batch or on the longest document.
 """
 
@@ -15,11 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tillroll.session import checkpoint_dir
 
 PIECE = 1 << 20
 BATCH_BYTES = 4 * PIECE
+# Bytes whose words are found together: some ten numbers a byte are held meanwhile, two of them as long as the worker lives.
+WORDS_PIECE = PIECE // 4
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # ASCII white space \x20 and \x09-\x0D separates words.
@@ -64,6 +68,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver, sent as Arrow.
+
+    A list given to ``createDataFrame`` is converted by Python workers of another kind than the tasks of
+    ``mapInArrow`` have; they then stay beside those in every executor.
+    """
+    kinds = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(kinds)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema), kinds)
+
+
 def lean(run):
     """A task's function that gives its free memory back at the end: workers live on and serve other stages."""
     def leaner(batches):
@@ -114,7 +130,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, PIECE + 1)
+            size = max(n, WORDS_PIECE + 1)
             inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
             self.up = np.full(size, _BASE, np.uint64)
             self.down = np.full(size, inverse, np.uint64)
@@ -169,7 +185,7 @@ def words(offsets: np.ndarray, data: np.ndarray, is_word: np.ndarray, hashed: bo
     parts = []
     starts_of_docs = offsets[:-1][offsets[1:] > offsets[:-1]]
     while lo < end:
-        hi = min(lo + PIECE, end)
+        hi = min(lo + WORDS_PIECE, end)
         # move the cut to the end of a word or of a document
         while hi < end and is_word[data[hi - 1]] and is_word[data[hi]]:
             stop = min(hi + 4096, end)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tillroll.llm.common import SPACE_WORDS, bounded, lean, materialize, text_bytes, word_counts
+from tillroll.llm.common import SPACE_WORDS, bounded, lean, materialize, small_table, text_bytes, word_counts
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,7 @@ def plan(rows: DataFrame, spec: MixSpec = MixSpec()) -> Plan:
                         "whole": whole, "rest": round(t - whole * r["size"]),
                         "n_blocks": max(1, min(spec.max_blocks, r["n"] // spec.block_rows))})
     kinds = ("k_ int, src_ string, source_size long, target double, whole int, rest long, n_blocks int")
-    small = spark.createDataFrame([tuple(s.values()) for s in sources], kinds)
+    small = small_table(spark, [tuple(s.values()) for s in sources], kinds)
     tagged = rows.join(F.broadcast(small), rows["src_"].eqNullSafe(small["src_"])).drop(small["src_"]) \
         .withColumn("b_", _block(spec))
     # blocks in hash order with running words; a source has at most max_blocks of them
@@ -216,7 +216,7 @@ def _carry(tagged: DataFrame, ranked: DataFrame, part: DataFrame, order, rests:
         rests[r["k_"]] -= r["words"]
     open_blocks = _lookup(ranked.where("not full").select("k_", "b_"), blocks)
     while rests := {k: n for k, n in rests.items() if n > 0}:
-        left = F.broadcast(spark.createDataFrame(list(rests.items()), "k_ int, left long"))
+        left = F.broadcast(small_table(spark, list(rests.items()), "k_ int, left long"))
         fit = tagged.join(left, "k_").where("size_ > 0 and size_ <= left").join(open_blocks, ["k_", "b_"], "left_semi") \
             .groupBy("k_", "b_", "h_").agg(F.sum("size_").alias("words"), F.first("left").alias("left")) \
             .where("words <= left").join(part.select("k_", "h_"), ["k_", "h_"], "left_anti")
