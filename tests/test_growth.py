@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tillroll.ml import churn_model
-from tillroll.operators import basket, cleaning
-from tillroll.operators.star import star
+from tillroll.operators import basket, cleaning, kpi
+from tillroll.operators.star import BROADCAST_ROWS, star
 from tillroll.plans import maintained
 from tillroll.sources import fixture, warehouse
 from tillroll.sources.csv_extracts import read_extract
+from tillroll.sources.fixture import RetailTables
 
 
 def _read_back(spark, scratch, table):
@@ -110,3 +111,31 @@ def test_churn_scores_take_no_model_into_the_tasks(spark):
     assert all(abs(got[h] - want[h]) < 6e-5 for h in want)
     # one kind of household only
     assert {r["churn_probability"] for r in churn_model.churn_model(lines, horizon=-1_000).collect()} == {1.0}
+
+
+def _warehouse_of_many_products(spark, scratch):
+    """A million and more products in a few compressed megabytes; a household with a third of the lines."""
+    src = fixture.load(spark, SF_SMALL)
+    more = spark.range(10_000, 10_000 + BROADCAST_ROWS, 1, 2).selectExpr(
+        "id AS product_num", "'D' AS department", "'C' AS commodity", "'B' AS brand_ty", "'Y' AS natural_organic_flag")
+    products = src.products.unionByName(more)
+    lines = src.transactions.withColumns({
+        "product_num": F.when(F.col("basket_num") % 5 == 0, F.col("product_num") + 10_000).otherwise(F.col("product_num")),
+        "hshd_num": F.when(F.col("basket_num") % 3 == 0, 10).otherwise(F.col("hshd_num"))})
+    wh = os.path.join(scratch, "wh")
+    tables = RetailTables(src.households, products, lines)
+    warehouse.write_version(spark, tables, wh, version="1")
+    return wh, tables
+
+
+def test_lines_of_a_commit_are_joined_once(spark, scratch, monkeypatch):
+    wh, tables = _warehouse_of_many_products(spark, scratch)
+    read, sums = [], kpi.dashboard_sums
+    monkeypatch.setattr(kpi, "dashboard_sums", lambda lines: read.extend(lines.inputFiles()) or sums(lines))
+    got = maintained.dashboard(spark, wh)
+    monkeypatch.undo()
+    assert read and not any(f"/{t}/v=" in f for f in read for t in ("households", "products", "transactions"))
+    assert os.listdir(os.path.join(wh, "_staging")) == []
+    want = kpi.dashboard_series(star(tables))
+    assert sorted(map(str, got.series.collect())) == sorted(map(str, want.collect()))
+    assert got.totals.collect() == kpi.kpi_totals(star(tables)).collect()

@@ -15,6 +15,8 @@ merged sketches then estimate the count (about 1 %).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from tillroll.plans.reports import Dashboard
 from tillroll.sources import commits, warehouse
 
 SUMS = "series string, label string, week_num int, cents bigint, n bigint"
+# what the sums need of a line
+COLUMNS = ("basket_num", "spend", *(source for _, source, *_ in kpi.SERIES))
 
 
 def _folder(root: str, first: dict, commit: dict, what: str) -> str:
@@ -43,27 +47,40 @@ def maintain(spark: SparkSession, root: str, exact_baskets: bool = True) -> list
         sums = _folder(root, first, commit, "sums")
         if _done(spark, sums):
             continue
-        lines = star(warehouse.read_commits(spark, root, live, [commit]))
-        if exact_baskets:
-            keys = lines.select("basket_num").where("basket_num is not null").distinct()
-            before = [_folder(root, first, c, "baskets") for c in live[:i]]
-            if before:
-                keys = keys.join(spark.read.schema("basket_num bigint").parquet(*before), "basket_num", "left_anti")
-            keys.write.mode("overwrite").parquet(_folder(root, first, commit, "baskets"))
-        # the lines are as many as a join of the delivery: one pass for the sketch and the total
-        sketch = _folder(root, first, commit, "sketch")
-        lines.agg(F.hll_sketch_agg("basket_num").alias("sketch"), F.sum(kpi.cents(F.col("spend"))).alias("cents")
-                  ).write.mode("overwrite").parquet(sketch)
-        series = kpi.dashboard_sums(lines)
-        total = spark.read.schema("cents bigint").parquet(sketch).select(
-            F.lit(kpi.BASKETS).alias("series"), F.lit(None).cast("string").alias("label"),
-            F.lit(None).cast("int").alias("week_num"), "cents", F.lit(None).cast("bigint").alias("n"))
-        # last, and in one write: its success mark says that the commit is done
-        series.unionByName(total).coalesce(1).write.mode("overwrite").parquet(sums)
+        joined = star(warehouse.read_commits(spark, root, live, [commit])).select(*COLUMNS)
+        staging = f"{root}/_staging/dashboard-{uuid.uuid4().hex}"
+        try:
+            # dimensions too large to broadcast shuffle every line: joined once, read three times
+            joined.write.parquet(staging)
+            lines = spark.read.schema(joined.schema).parquet(staging)
+            _sums_of(spark, lines, _folder(root, first, commit, ""),
+                     [_folder(root, first, c, "baskets") for c in live[:i]], exact_baskets)
+        finally:
+            fs, path = commits.file_system(spark, staging)
+            fs.delete(path, True)
         made.append(commit["commit"])
     return made
 
 
+def _sums_of(spark: SparkSession, lines: DataFrame, folder: str, before: list[str], exact_baskets: bool) -> None:
+    """Write the sums of one commit's joined lines; ``before`` has the basket keys of the commits that precede it."""
+    if exact_baskets:
+        keys = lines.select("basket_num").where("basket_num is not null").distinct()
+        if before:
+            keys = keys.join(spark.read.schema("basket_num bigint").parquet(*before), "basket_num", "left_anti")
+        keys.write.mode("overwrite").parquet(f"{folder}baskets")
+    # the lines are as many as the delivery's: one pass for the sketch and the total
+    sketch = f"{folder}sketch"
+    lines.agg(F.hll_sketch_agg("basket_num").alias("sketch"), F.sum(kpi.cents(F.col("spend"))).alias("cents")
+              ).write.mode("overwrite").parquet(sketch)
+    series = kpi.dashboard_sums(lines)
+    total = spark.read.schema("cents bigint").parquet(sketch).select(
+        F.lit(kpi.BASKETS).alias("series"), F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("int").alias("week_num"), "cents", F.lit(None).cast("bigint").alias("n"))
+    # last, and in one write: its success mark says that the commit is done
+    series.unionByName(total).coalesce(1).write.mode("overwrite").parquet(f"{folder}sums")
+
+
 def dashboard(spark: SparkSession, root: str, exact_baskets: bool = True) -> Dashboard:
     """The dashboard of the current tables; equal to ``reports.dashboard`` over all their lines."""
     maintain(spark, root, exact_baskets)

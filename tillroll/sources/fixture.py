@@ -127,6 +127,8 @@ class RetailTables:
     transactions: DataFrame
     # keys with a large share of the lines, by column; results don't depend on them
     heavy: dict[str, list] = field(default_factory=dict)
+    # rows of a dimension, by table, where they were counted
+    rows: dict[str, int] = field(default_factory=dict)
 
 
 # Schemas of the driver tables (declared, so reads skip schema

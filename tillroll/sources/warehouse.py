@@ -226,7 +226,8 @@ def read_commits(spark: SparkSession, warehouse: str, live: list[dict], lines: l
         households=spark.read.schema(schema.HOUSEHOLDS).parquet(f"{warehouse}/households/v={v}"),
         products=spark.read.schema(schema.PRODUCTS).parquet(f"{warehouse}/products/v={v}"),
         transactions=read_lines(spark, warehouse, lines),
-        heavy={c: sorted({k for x in lines for k in x.get("heavy", {}).get(c, [])}) for c in ("hshd_num", "basket_num")})
+        heavy={c: sorted({k for x in lines for k in x.get("heavy", {}).get(c, [])}) for c in ("hshd_num", "basket_num")},
+        rows={t: live[0][t] for t in ("households", "products") if t in live[0]})
 
 
 def read_current(spark: SparkSession, warehouse: str) -> RetailTables:
