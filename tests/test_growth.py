@@ -128,6 +128,19 @@ def _warehouse_of_many_products(spark, scratch):
     return wh, tables
 
 
+def _joins(df):
+    return set(re.findall(r"(\w+Join) \[(\w+)#", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark, scratch):
+    wh, tables = _warehouse_of_many_products(spark, scratch)
+    t = warehouse.read_current(spark, wh)
+    assert 10 in t.heavy["hshd_num"] and t.rows == {"households": tables.households.count(), "products": tables.products.count()}
+    totals = kpi.kpi_totals(star(t))
+    assert _joins(totals) == {("SortMergeJoin", "product_num"), ("BroadcastHashJoin", "hshd_num")}
+    assert totals.collect() == kpi.kpi_totals(star(tables)).collect()
+
+
 def test_lines_of_a_commit_are_joined_once(spark, scratch, monkeypatch):
     wh, tables = _warehouse_of_many_products(spark, scratch)
     read, sums = [], kpi.dashboard_sums
